@@ -55,6 +55,24 @@ class Words:
     end: np.ndarray
     hash: np.ndarray
     first: np.ndarray
+    sums: np.ndarray
+
+    def prefix_hash(self, which: np.ndarray, length: int) -> np.ndarray:
+        """Hash of the first ``length`` bytes of the words ``which`` (all at least that long)."""
+        at = self.start[which]
+        with np.errstate(over="ignore"):
+            return mix(_placed(self.sums[at + length] - self.sums[at], at) + np.uint64(length))
+
+
+def _placed(value: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Polynomial sums moved from their start to a common place."""
+    power = _powers(CHUNK + 1, _P, "power")
+    near = start <= CHUNK
+    value[near] *= power[CHUNK - start[near]]
+    if not near.all():  # a document longer than a chunk
+        far = start[~near] - CHUNK
+        value[~near] *= _powers(int(far.max()) + 1, _PINV, "inverse")[far]
+    return value
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -95,12 +113,8 @@ def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> Words:
         power = _powers(max(n, CHUNK) + 1, _P, "power")
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum((LOWER[data].astype(np.uint64) + np.uint64(1)) * power[:n], out=sums[1:])
-        value = sums[end] - sums[start]
-        near = start <= CHUNK
-        value[near] *= power[CHUNK - start[near]]
-        if not near.all():  # one document longer than a chunk
-            value[~near] *= _powers(n - CHUNK + 1, _PINV, "inverse")[start[~near] - CHUNK]
-    return Words(data, offsets, start, end, mix(value), np.searchsorted(start, offsets))
+        value = _placed(sums[end] - sums[start], start)
+    return Words(data, offsets, start, end, mix(value), np.searchsorted(start, offsets), sums)
 
 
 def code_points(data: np.ndarray) -> np.ndarray:

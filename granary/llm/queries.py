@@ -5,9 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .decontaminate import contamination
 from .exact_dedup import exact_dedup
 from .jaccard_join import ngram_jaccard_components
+from .mixing import mix_sources
+from .toxicity import toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,23 +22,88 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    names = F.array_sort(F.transform("items", lambda i: i.cast("string")))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(names, ","), 256).alias("items_sha256"), "contaminated",
+    )
+
+
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_components(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target share of a source: the square root of its characters."""
+    return mix_sources(_table(spark, sf_dir, "documents")).drop("shuffle_key")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op3_decontaminate": op3_decontaminate,
     "op4_ngram_jaccard": op4_ngram_jaccard,
+    "op7_mix_sources": op7_mix_sources,
+    "op10_toxicity": op10_toxicity,
 }
 
 _ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+
 ORACLE: dict[str, str] = {
     "op1_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id IS NOT DISTINCT FROM max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
     """,
+    "op3_decontaminate": rf"""
+        WITH i AS (
+            SELECT item_id, regexp_extract_all({_ASCII_LOWER}, {_ALNUM}) AS ws FROM benchmark
+        ), win AS (
+            SELECT DISTINCT item_id, least(len(ws), 13) AS size, array_to_string(ws[k:k + least(len(ws), 13) - 1], ' ') AS g
+            FROM i, unnest(range(1, len(ws) - least(len(ws), 13) + 2)) AS t(k) WHERE len(ws) > 0
+        ), d AS (
+            SELECT doc_id, regexp_extract_all({_ASCII_LOWER}, {_ALNUM}) AS ws FROM documents
+        ), met AS (
+            SELECT doc_id, k, size, item_id
+            FROM (SELECT doc_id, k, size, array_to_string(ws[k:k + size - 1], ' ') AS g
+                  FROM d, (SELECT DISTINCT size FROM win) AS sizes, unnest(range(1, len(ws) - size + 2)) AS t(k)) AS dw
+            JOIN win USING (size, g)
+        ), hit AS (
+            SELECT doc_id, count(DISTINCT w) AS n_hit FROM met, unnest(range(k, k + size)) AS t(w) GROUP BY doc_id
+        ), it AS (
+            SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS items
+            FROM met GROUP BY doc_id
+        )
+        SELECT d.doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+        FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
+    """,
+    "op7_mix_sources": """
+        WITH mass AS (
+            SELECT source, CAST(sum(length(coalesce(text, ''))) AS DOUBLE) AS mass FROM documents GROUP BY source
+        ), rate AS (
+            SELECT source, sqrt(mass) / sum(sqrt(mass)) OVER () * sum(mass) OVER () / mass AS rate FROM mass WHERE mass > 0
+        ), piece AS (
+            SELECT source, CAST(ceil(rate / 64) AS INT) AS pieces, rate / ceil(rate / 64) AS mean FROM rate
+        ), cdf AS (
+            SELECT source, j, sum(exp(j * ln(mean) - mean - lgamma(j + 1))) OVER (PARTITION BY source ORDER BY j) AS c
+            FROM piece, unnest(range(0, 1 + CAST(mean + 12 * sqrt(mean) + 40 AS INT))) AS t(j)
+        ), n AS (
+            SELECT d.doc_id, count(*) AS n
+            FROM documents d JOIN piece p ON d.source IS NOT DISTINCT FROM p.source, unnest(range(1, p.pieces + 1)) AS t(k)
+            JOIN cdf ON cdf.source IS NOT DISTINCT FROM d.source
+                 AND cdf.c < (CAST('0x' || substr(md5('42:' || d.doc_id || ':' || k), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0
+            GROUP BY d.doc_id
+        )
+        SELECT d.*, CAST(copy AS INT) AS copy FROM documents d JOIN n USING (doc_id), unnest(range(0, n.n)) AS t(copy)
+    """,
     "op4_ngram_jaccard": rf"""
         WITH RECURSIVE w AS (
             SELECT doc_id, regexp_extract_all({_ASCII_LOWER}, '[^\x20\x09-\x0D]+') AS ws FROM documents
