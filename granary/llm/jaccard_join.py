@@ -37,7 +37,7 @@ from .common import Scratch, connected_components
 #: Largest size that may be handled by subsets; also bounds the size histogram.
 MAX_LIGHT = 26
 #: Sets compared with each other in one task.
-BLOCK_SETS = 4096
+BLOCK_SETS = 1024
 _U = np.uint64
 
 
