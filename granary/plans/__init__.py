@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from . import text
 
+_MODULES = (text,)
 
+QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
+ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
 def flagship(spark, sf_dir):
     raise NotImplementedError
