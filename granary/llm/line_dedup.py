@@ -118,7 +118,8 @@ def repeated_chunks(docs: DataFrame, scratch: Scratch) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row_key", F.xxhash64(F.coalesce("text", F.lit(""))))
     again = scratch.save(texts.select("text").mapInArrow(_counts, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"))
     spelled = texts.mapInArrow(_texts, "doc_id long, row_key long, no long, lines long, start long, end long, h long, chunk binary")
-    spelled = scratch.save(spelled.join(again, "h"))
+    # Merge joins at every size: a broadcast below some size would only hide what the large run moves.
+    spelled = scratch.save(spelled.join(again.hint("merge"), "h"))
     # Equal bytes, not just equal hashes, make a group; its first occurrence stays.
     first = spelled.groupBy("h", "chunk").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "row_key", "no")).alias("first"))
     first = scratch.save(first.where("times > 1"))
@@ -138,7 +139,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
         .withColumnsRenamed({"doc_id": "cut_id", "row_key": "cut_key"})
     )
     text = F.coalesce(F.col("text"), F.lit(""))
-    joined = docs.withColumn("line_row_key", F.xxhash64(text)).join(cuts, F.expr("doc_id <=> cut_id AND line_row_key = cut_key"), "left")
+    joined = docs.withColumn("line_row_key", F.xxhash64(text)).join(cuts.hint("merge"), F.expr("doc_id <=> cut_id AND line_row_key = cut_key"), "left")
     # A cut takes the chunk's closing line feed with it; without one, as at the end, the one before it.
     kept = F.aggregate(
         "cuts", F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")),

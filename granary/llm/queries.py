@@ -167,7 +167,7 @@ ORACLE: dict[str, str] = {
             SELECT page_id, url, replace(replace(replace(replace(raw, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS plain FROM t
         )
         SELECT page_id, url, trim(regexp_replace(plain, '\s+', ' ', 'g')) AS text, length(trim(regexp_replace(plain, '\s+', ' ', 'g'))) AS n_chars FROM e
-    """.replace("\\", "\\"),
+    """,
     "op7_mix_sources": """
         WITH mass AS (
             SELECT source, CAST(sum(length(coalesce(text, ''))) AS DOUBLE) AS mass FROM documents GROUP BY source
