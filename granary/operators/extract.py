@@ -9,7 +9,6 @@ from .text import chunk_sentences, strip, words
 
 # The accepted notations.
 PAREN = r"\(([^,|]+?)\s*,\s*([^,|]+?)\s*,\s*([^,|]+?)\s*\)"
-PIPE = r"([^|]+?)\s*\|\s*([^|]+?)\s*\|\s*([^|]+)"
 SCHEMA = r"^([\p{L}\p{N}_]+)\s*:\s*([\p{L}\p{N}_]+)\s*->\s*(.+)"
 ENTITY = r"^([^{\[]+)\s*(?:\[([\p{L}\p{N}_]+)\])?\s*(?:\{([^}]*)\})?"
 INPUT_TYPES = ("triple", "schema", "text", "entity")
@@ -33,24 +32,44 @@ def detect_input_type(df: DataFrame) -> DataFrame:
     return df.withColumn("stripped", strip(F.coalesce("content", F.lit("")))).withColumn("input_type", kind).drop("stripped")
 
 
-def _triples(pattern: str) -> Column:
-    groups = [F.regexp_extract_all("content", F.lit(pattern), F.lit(g)) for g in (1, 2, 3)]
+def _paren_triples() -> Column:
+    groups = [F.regexp_extract_all("content", F.lit(PAREN), F.lit(g)) for g in (1, 2, 3)]
     return F.transform(
         F.arrays_zip(*(g.alias(n) for g, n in zip(groups, "spo", strict=True))),
         lambda t: F.struct(strip(t["s"]).alias("subject"), strip(t["p"]).alias("predicate"), strip(t["o"]).alias("object")),
     )
 
 
+def _at(cells: str, i: Column) -> Column:
+    return F.struct(*(strip(F.get(cells, i + k)).alias(n) for k, n in enumerate(("subject", "predicate", "object"))))
+
+
+def _bar_triples() -> Column:
+    """Runs of three non-empty cells between bars, from the left without overlaps."""
+    filled = F.transform("cells", lambda c: F.length(c) > 0)
+    starts = F.aggregate(
+        F.when(F.size("cells") >= 3, F.sequence(F.lit(0), F.size("cells") - 3)).otherwise(F.array().cast("array<int>")),
+        F.expr("struct(0 as free, cast(array() as array<int>) as starts)"),
+        lambda a, i: F.when(
+            (i >= a["free"]) & F.get("filled", i) & F.get("filled", i + 1) & F.get("filled", i + 2),
+            F.struct((i + 3).alias("free"), F.concat(a["starts"], F.array(i)).alias("starts")),
+        ).otherwise(a),
+        lambda a: a["starts"],
+    )
+    return F.transform(starts, lambda i: _at("cells", i)), filled
+
+
 def extract_triples(df: DataFrame) -> DataFrame:
     """(source_id, pos, subject, predicate, object): parenthesised, then bar-separated triples; groups of
     three comma parts only where neither matches. Repeats within a source keep their first place."""
     parts = F.filter(F.transform(F.split("content", ",", -1), strip), lambda p: p != "")
     commas = F.length("content") - F.length(F.replace("content", F.lit(","), F.lit("")))
     starts = F.when(F.size("parts") >= 3, F.sequence(F.lit(0), F.size("parts") - 3, F.lit(3))).otherwise(F.array().cast("array<int>"))
-    by_comma = F.transform(starts, lambda i: F.struct(F.get("parts", i).alias("subject"), F.get("parts", i + 1).alias("predicate"), F.get("parts", i + 2).alias("object")))
-    found = F.concat(_triples(PAREN), _triples(PIPE))
+    by_comma = F.transform(starts, lambda i: _at("parts", i))
+    barred, filled = _bar_triples()
     return (
-        df.select("source_id", F.coalesce("content", F.lit("")).alias("content")).withColumn("parts", parts).withColumn("found", found)
+        df.select("source_id", F.coalesce("content", F.lit("")).alias("content")).withColumn("parts", parts)
+        .withColumn("cells", F.split("content", r"\|", -1)).withColumn("filled", filled).withColumn("found", F.concat(_paren_triples(), barred))
         .withColumn("t", F.when((F.size("found") == 0) & (commas >= 2) & ~F.col("content").contains("|"), by_comma).otherwise(F.col("found")))
         .select("source_id", F.posexplode(F.array_distinct("t")).alias("pos", "t"))
         .select("source_id", "pos", "t.subject", "t.predicate", "t.object")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import text
+from . import graph, retrieval, text
 
-_MODULES = (text,)
+_MODULES = (text, retrieval, graph)
 
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+
+#: Retrieve, judge and aggregate over the embeddings: one row per ranking metric.
+flagship = retrieval.ret16

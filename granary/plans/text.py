@@ -183,11 +183,11 @@ _SEMANTIC = r"""CASE WHEN CASE input_type
         WHEN 'text' THEN len(list_filter(string_split(content, '.'), lambda p: regexp_replace(p, '^\s+|\s+$', '', 'g') <> '')) < 1 OR length(content) < 3
         WHEN 'entity' THEN trim(content) = '' ELSE false END THEN 'content' ELSE '' END"""
 _PIECES = r"""
-    WITH p AS (
+    WITH p0 AS (
         SELECT doc_id, CAST(i AS INT) AS chunk_index, CAST(i * 462 AS INT) AS char_start, substr(text, i * 462 + 1, 512) AS piece, i * 462 + 512 < length(text) AS inside
         FROM (SELECT * FROM documents WHERE trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) <> '') d, unnest(range(0, CAST(ceil(length(text) / 462.0) AS BIGINT))) AS t(i)
     ), q AS (
-        SELECT *, length(regexp_extract(substr(piece, 257), '(?s)^(.*?[.!?。！？]\s+)', 1)) AS sentence, length(regexp_extract(substr(piece, 257), '(?s)^(.*?)\s', 1)) AS word FROM p
+        SELECT *, length(regexp_extract(substr(piece, 257), '(?s)^(.*?[.!?。！？]\s+)', 1)) AS sentence, length(regexp_extract(substr(piece, 257), '(?s)^(.*?)\s', 1)) AS word FROM p0
     ), r AS (
         SELECT *, CASE WHEN NOT inside THEN length(piece) WHEN sentence > 0 THEN 256 + sentence WHEN regexp_matches(substr(piece, 257), '\s') THEN 256 + word ELSE length(piece) END AS kept FROM q
     )
