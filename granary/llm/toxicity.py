@@ -32,6 +32,8 @@ PREFIXES = (3, 4, 5, 6)
 REPEATS = (2, 4)
 FOLDS = 3
 MIN_DOCS = 3
+#: Bytes of text whose features are held at once.
+CHUNK = 2 << 20
 _BASE = np.uint64(2**64 - 4)  # the low bits tell the repeats
 
 
@@ -77,7 +79,7 @@ def _count_features(labels: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             y = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in labels]
-            for lo, hi, data, offsets in bt.chunks(batch.column("text")):
+            for lo, hi, data, offsets in bt.chunks(batch.column("text"), CHUNK):
                 doc, feat = _features(data, offsets)
                 value, inverse = np.unique(feat, return_inverse=True)
                 cols = [pa.array(value.view(np.int64)), pa.array(np.bincount(inverse, minlength=len(value)).astype(np.int64))]
@@ -91,7 +93,7 @@ def _count_features(labels: list[str]):
 def _rows(keep: np.ndarray, labels: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, offsets in bt.chunks(batch.column("text")):
+            for lo, hi, data, offsets in bt.chunks(batch.column("text"), CHUNK):
                 doc, feat = _features(data, offsets, keep)
                 first = np.searchsorted(doc, np.arange(hi - lo + 1))
                 lists = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(feat.astype(np.int32)))
@@ -202,7 +204,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, order: tuple[str, ...] = ("qual
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, offsets in bt.chunks(batch.column("text")):
+            for lo, hi, data, offsets in bt.chunks(batch.column("text"), CHUNK):
                 p = model.value.score(data, offsets)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(lo, hi - lo), *map(pa.array, p), pa.array(p[-1] > threshold)],
