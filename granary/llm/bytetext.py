@@ -117,6 +117,14 @@ def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> Words:
     return Words(data, offsets, start, end, mix(value), np.searchsorted(start, offsets), sums)
 
 
+def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the byte spans start:end, by their exact bytes."""
+    with np.errstate(over="ignore"):
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(max(len(data), CHUNK) + 1, _P, "power")[: len(data)], out=sums[1:])
+        return mix(_placed(sums[end] - sums[start], start) + (end - start).astype(np.uint64))
+
+
 def code_points(data: np.ndarray) -> np.ndarray:
     """Number of code points before each byte position (length n + 1)."""
     out = np.zeros(len(data) + 1, np.int64)

@@ -1,10 +1,11 @@
 """Repeated line passages by content-defined chunks.
 
-Each document's lines are hashed; a rolling hash over the last ROLL line hashes closes a chunk where it
-is divisible by DIVISOR, so boundaries depend on nearby lines only and come back in step after any
-insertion. A line of LONG_WORDS words or more is a passage of its own and always stands alone. Chunks
-of several lines, and long lines, that occur more than once in the corpus are removed everywhere but at
-their first occurrence (smallest doc_id, then position), after their bytes have been compared.
+Each document's lines are hashed, a line being a sentence where a line of text holds several, so that a
+passage pasted into the middle of a line is seen too. A rolling hash over the last ROLL line hashes
+closes a chunk where it is divisible by DIVISOR, so boundaries depend on nearby lines only and come back
+in step after any insertion. A line of LONG_WORDS words or more always stands alone. Chunks of several
+lines, and such long lines, that occur more than once in the corpus are removed everywhere but at their
+first occurrence (smallest doc_id, then position), after their bytes have been compared.
 
 Chunk counts are combined in the tasks before they are shuffled, so a passage shared by a third of the
 documents is sent once per task. Text moves only with chunks whose hash is repeated, and once more to
@@ -28,19 +29,22 @@ from pyspark.sql import functions as F
 from . import bytetext as bt
 from .common import Scratch
 
-ROLL = 2
-DIVISOR = 4
+ROLL = 1
+DIVISOR = 2
 LONG_WORDS = 50
 _NEWLINE = 10
-_LINE = np.ones(256, bool)
-_LINE[_NEWLINE] = False
+_STOP = np.zeros(256, bool)
+_STOP[[0x21, 0x2E, 0x3F]] = True
 _U = np.uint64
 
 
 def line_chunks(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     """Chunks of a run of documents: doc, no, first line, lines, start and end byte, hash, removable."""
     n_docs, n = len(offsets) - 1, len(data)
-    breaks = np.flatnonzero(data == _NEWLINE)
+    ends = data == _NEWLINE  # what closes a line: a line feed, or the space after a sentence
+    ends[1:] |= (data[1:] == 0x20) & _STOP[data[:-1]]
+    ends[offsets[:-1][offsets[:-1] < n]] = data[offsets[:-1][offsets[:-1] < n]] == _NEWLINE
+    breaks = np.flatnonzero(ends)
     owner = np.searchsorted(offsets, breaks, "right") - 1
     start = np.concatenate([offsets[:-1], breaks + 1])
     doc = np.concatenate([np.arange(n_docs), owner])
@@ -51,10 +55,8 @@ def line_chunks(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     end[:-1] = start[1:] - 1
     end[last] = offsets[1:]
     # line hashes and word counts
-    w = bt.words(data, offsets, _LINE)
-    h = np.full(len(start), _U(0x51ED270B))
+    h = bt.span_hash(data, start, end)
     filled = end > start
-    h[filled] = w.hash
     is_word = bt.NONSPACE[data]
     opens = np.zeros(n + 1, np.int64)
     if n:
@@ -66,8 +68,13 @@ def line_chunks(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     long = words >= LONG_WORDS
     first_line = np.append(True, doc[1:] != doc[:-1])
     with np.errstate(over="ignore"):
-        before = np.where(first_line, _U(0), np.concatenate([[_U(0)], h[:-1]])) if len(h) else h
-        rolled = bt.mix(h * _U(0x9E3779B97F4A7C15) + before)
+        rolled = h.copy()
+        behind, crossed = h, first_line
+        for _ in range(ROLL - 1):
+            behind = np.concatenate([[_U(0)], behind[:-1]]) if len(h) else h
+            rolled = bt.mix(rolled * _U(0x9E3779B97F4A7C15) + np.where(crossed, _U(0), behind))
+            crossed = crossed | np.concatenate([[True], crossed[:-1]])
+        rolled = bt.mix(rolled)
         closes = (rolled % _U(DIVISOR) == 0) | last | long
         closes[:-1] |= long[1:]
         chunk = np.concatenate([[0], np.cumsum(closes)[:-1]])
@@ -140,13 +147,14 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     )
     text = F.coalesce(F.col("text"), F.lit(""))
     joined = docs.withColumn("line_row_key", F.xxhash64(text)).join(cuts.hint("merge"), F.expr("doc_id <=> cut_id AND line_row_key = cut_key"), "left")
-    # A cut takes the chunk's closing line feed with it; without one, as at the end, the one before it.
+    # A cut takes the chunk's closing line feed or space with it; at the end of the text the one before it.
     kept = F.aggregate(
         "cuts", F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")),
         lambda acc, c: F.struct((c["end"] + 1).alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, c["start"] - acc["at"])).alias("out")),
-        lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text).cast("long"))),
+        lambda acc: F.when(acc["at"] > F.length(text), F.substring(acc["out"], F.lit(1), F.length(acc["out"]) - 1)).otherwise(
+            F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text).cast("long")))),
     )
-    cut_text = F.when(F.col("cuts").isNull(), F.col("text")).otherwise(F.regexp_replace(kept, "\n$", ""))
+    cut_text = F.when(F.col("cuts").isNull(), F.col("text")).otherwise(kept)
     return joined.withColumn("cut_text", cut_text).select(
         *(F.col("cut_text").alias("text") if c == "text" else F.col(c) for c in docs.columns),
         F.coalesce("removed_chunks", F.lit(0)).alias("removed_chunks"), F.coalesce("removed_lines", F.lit(0)).alias("removed_lines"),
