@@ -14,7 +14,7 @@ from .html_text import extract_main_text
 from .jaccard_join import ngram_jaccard_components
 from .line_dedup import dedup_lines
 from .mixing import mix_sources
-from .secret_scan import secret_spans
+from .secret_scan import BASE, RULES, secret_spans
 from .toxicity import toxicity
 from .url_filter import filter_urls
 
@@ -98,7 +98,30 @@ _ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abc
 
 _ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 
+
+
+def _secret_sql() -> str:
+    """Spans by the lengths of matches and of what stands between them."""
+
+    def kind(n: int, rule) -> str:
+        p = "'" + ("(?i)" if rule.ignore_case else "") + rule.pattern.replace("'", "''") + "'"
+        return f"""
+            SELECT doc_id, {n} AS n, '{rule.kind}' AS kind, m[i] AS m,
+                   list_sum(gaps[1:i]) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS start, length(regexp_extract(m[i], {p}, {rule.group})) >= {rule.least} AS kept
+            FROM (SELECT doc_id, regexp_extract_all(t, {p}) AS m, list_transform(regexp_split_to_array(t, {p}), lambda x: length(x)) AS gaps FROM d), unnest(range(1, len(m) + 1)) AS u(i)"""
+
+    spans = " UNION ALL ".join(kind(n, r) for n, r in enumerate(RULES))
+    joined = "string_agg(kind || ':' || CAST(start AS BIGINT) || ':' || CAST(start + length(m) AS BIGINT), ',' ORDER BY start, n)"
+    counts = ", ".join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in BASE)
+    return f"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), s AS ({spans}), k AS (
+            SELECT doc_id, {counts}, coalesce({joined} FILTER (n < {len(BASE)}), '') AS base, {joined} AS spans FROM s WHERE kept GROUP BY doc_id)
+        SELECT d.doc_id, {', '.join(f'coalesce(n_{r.kind}, 0) AS n_{r.kind}' for r in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN k USING (doc_id)
+    """
+
+
 ORACLE: dict[str, str] = {
+    "op5_secret_scan": _secret_sql(),
     "op1_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id IS NOT DISTINCT FROM max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
@@ -140,6 +163,7 @@ ORACLE: dict[str, str] = {
                sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
         FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
     """,
+    # Without labels of its own no template here is rejected, so pages without a rule are allowed.
     "op6_url_filter": r"""
         WITH u AS (
             SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
