@@ -57,10 +57,14 @@ def read_hotpot(spark: SparkSession, path: str) -> DataFrame:
 
 def read_document_lines(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, title, content) from ``title | content`` lines; a line without a bar is all content."""
-    lines = spark.read.text(path).withColumn("at", F.monotonically_increasing_id()).where("trim(value) <> ''")
-    n = F.row_number().over(Window.orderBy("at"))  # one file typed by hand
+    at = F.monotonically_increasing_id()
+    lines = spark.read.text(path).where("trim(value) <> ''").withColumn("part", F.shiftright(at, 33)).withColumn("i", at.bitwiseAND(F.lit((1 << 33) - 1)))
+    # Line numbers run on from part to part: counts of parts, summed over the parts before.
+    counts = lines.groupBy("part").agg(F.count("*").alias("c"))
+    before = counts.select("part", (F.sum("c").over(Window.orderBy("part")) - F.col("c")).alias("before"))  # one row per file split
+    lines = lines.join(before, "part").withColumn("n", (F.col("before") + F.col("i") + 1).cast("long"))
     barred = F.contains("value", F.lit("|"))
-    return lines.withColumn("n", n).select(
+    return lines.select(
         F.format_string("doc-%03d", "n").alias("doc_id"), F.when(barred, F.trim(F.substring_index("value", "|", 1))).otherwise(F.concat(F.lit("Doc "), F.col("n").cast("string"))).alias("title"),
         F.trim(F.regexp_replace("value", r"^[^|]*\|", "")).alias("content"),
     )
