@@ -162,7 +162,7 @@ def exp16(spark, sf):
 
 
 def exp17(spark, sf):
-    return E.compare_runs(_scores(spark, sf)).select("strategy", "metric_name", F.round("mean", 3).alias("mean"), "best")
+    return E.compare_runs(_scores(spark, sf)).select("strategy", "metric_name", "mean", "best")
 
 
 def exp18(spark, sf):
@@ -272,7 +272,7 @@ ORACLE = {
     "exp15_metric_summary": f"SELECT metric_name, count(*) AS \"count\", round(avg(score), 6) AS mean, round(stddev_samp(score), 6) AS std, round(min(score), 6) AS min, round(max(score), 6) AS max FROM ({_S}) s GROUP BY metric_name",
     "exp16_experiment_summary": f"""WITH s AS ({_S}), t AS (SELECT count(*) FILTER (metric_name = 'm1') AS n_questions, count(DISTINCT model) AS n_model, count(DISTINCT strategy) AS n_strategy, count(DISTINCT question_type) AS n_question_type, count(*) AS n_scores, count(DISTINCT metric_name) AS n_metrics FROM s)
         SELECT strategy, round(avg(score) FILTER (metric_name = 'm1'), 6) AS m1, round(avg(score) FILTER (metric_name = 'm2'), 6) AS m2, n_questions, n_model, n_strategy, n_question_type, n_scores, n_metrics FROM s, t GROUP BY ALL""",
-    "exp17_compare_runs": f"WITH m AS (SELECT strategy, metric_name, round_even(avg(score), 4) AS x FROM ({_S}) s GROUP BY ALL) SELECT strategy, metric_name, round(x, 3) AS mean, x = max(x) OVER (PARTITION BY metric_name) AND x > 0 AS best FROM m",
+    "exp17_compare_runs": f"WITH m AS (SELECT strategy, metric_name, round_even(avg(score), 4) AS x FROM ({_S}) s GROUP BY ALL) SELECT strategy, metric_name, x AS mean, x = max(x) OVER (PARTITION BY metric_name) AND x > 0 AS best FROM m",
     "exp18_score_matrix": f"SELECT model, {', '.join(f'round(coalesce(avg(score) FILTER (strategy = {chr(39)}{c}{chr(39)}), 0), 6) AS {c}' for c in ('de', 'en', 'es', 'fr'))} FROM ({_S}) s WHERE metric_name = 'm1' AND NOT (model = 'src3' AND strategy = 'en') GROUP BY model",
     "exp19_page": "SELECT o_orderkey, o_totalprice, (SELECT count(*) FROM orders) AS total FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25 OFFSET 50",
     "exp20_batch_outcome": "SELECT event_type, count(*) AS total, count(*) FILTER (event_type <> 'error') AS success, count(*) FILTER (event_type = 'error') AS failed, round(sum(value), 2) AS total_latency, round(avg(value), 6) AS mean_latency FROM events GROUP BY event_type",
