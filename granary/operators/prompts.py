@@ -61,7 +61,8 @@ def select_random(knowledge: DataFrame, examples: DataFrame, k: int, seed: int =
 
 
 def _bag(c: Column) -> Column:
-    return F.array_distinct(words(F.lower(F.coalesce(c, F.lit("")))))
+    """Distinct lower-case words, as 64-bit hashes."""
+    return F.array_distinct(F.transform(words(F.lower(F.coalesce(c, F.lit("")))), lambda w: F.xxhash64(w)))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -70,7 +71,9 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def _scored(knowledge: DataFrame, examples: DataFrame) -> DataFrame:
-    return candidates(knowledge, examples).select("source_id", "ex_id", _bag(F.col("ex_knowledge")).alias("bag"), jaccard(_bag(F.col("content")), _bag(F.col("ex_knowledge"))).alias("sim"))
+    # Word sets are made once per row, before rows meet.
+    met = candidates(knowledge.withColumn("content", _bag(F.col("content"))), examples.withColumn("knowledge", _bag(F.col("knowledge"))))
+    return met.select("source_id", "ex_id", F.col("ex_knowledge").alias("bag"), jaccard(F.col("content"), F.col("ex_knowledge")).alias("sim"))
 
 
 def select_similar(knowledge: DataFrame, examples: DataFrame, k: int) -> DataFrame:

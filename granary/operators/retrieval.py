@@ -16,6 +16,8 @@ from .text import strip
 
 #: Queries multiplied against an Arrow batch at once; more queries take further passes.
 QUERY_BLOCK = 4096
+#: Parts that a token's postings are dealt over.
+SALTS = 32
 TOKEN = r"[\p{L}\p{N}_]+"
 
 
@@ -119,8 +121,12 @@ def bm25(queries: DataFrame, postings: DataFrame, df: DataFrame, stats: DataFram
     n, average = (F.col("n_docs"), F.col("avg_chars")) if mode == "reference" else (F.col("n_chunks"), F.col("avg_tokens"))
     asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times"))
     idf = F.ln((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    # A frequent token's postings are dealt over salts by chunk, so its pairs are summed where they arise.
+    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
+    asked = asked.join(df, "token").withColumn("salt", salts)
+    postings = postings.withColumn("salt", F.pmod(F.xxhash64("chunk_id"), F.lit(SALTS)))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / average)) * F.col("times")
-    met = asked.join(df, "token").join(postings, "token").crossJoin(F.broadcast(stats))  # stats is one row
+    met = asked.join(postings, ["token", "salt"]).crossJoin(F.broadcast(stats))  # stats is one row
     return met.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
 
 
