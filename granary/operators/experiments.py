@@ -12,7 +12,7 @@ from granary.functions.student import p_value, t_quantile
 
 CONDITION = ("model", "strategy", "question_type")
 # Name parts that tell a model's provider, in the order they are tried.
-PROVIDERS = (("gpt", "openai"), ("claude", "anthropic"), ("llama", "ollama"), ("qwen", "ollama"), ("mistral", "ollama"))
+PROVIDERS = (("gpt", "openai"), ("openai", "openai"), ("deepseek", "deepseek"), ("claude", "claude"))
 
 
 def experiment_matrix(knowledge: DataFrame, models: list[str], strategies: list[str], types: list[str]) -> DataFrame:
@@ -44,7 +44,7 @@ def provider(model: Column) -> Column:
     low, out = F.lower(model), None
     for part, name in PROVIDERS:
         out = F.when(low.contains(part), name) if out is None else out.when(low.contains(part), name)
-    return out.otherwise("local")
+    return out.otherwise("ollama")
 
 
 def provider_breakdown(questions: DataFrame) -> DataFrame:

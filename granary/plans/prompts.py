@@ -1,6 +1,6 @@
 """Queries of few-shot selection, prompts, adversarial and multi-hop benchmarks.
 
-The example bank is the customers of each market segment; knowledge rows are suppliers and documents.
+The example bank is the benchmark; knowledge rows are documents, questions are about customers.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from granary.operators import graph as G
 from granary.operators import prompts as P
 from granary.operators import retrieval as R
 
-from .common import TRIPLES, frame, plain, table
+from .common import TRIPLES, frame, plain
 from .graph import _PATHS
 from .retrieval import _OVERLAP, _context, _docs, _items
 
