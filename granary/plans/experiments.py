@@ -13,6 +13,8 @@ from granary.operators import quality as Q
 from granary.operators import retrieval as R
 
 from .common import frame, plain, table
+from .retrieval import _EMBED
+from .text_metrics import _COS
 
 SCORES = """
     SELECT d.doc_id AS question_id, source AS model, lang AS strategy, CASE quality WHEN 1 THEN 'factual' ELSE 'schema' END AS question_type, 'm1' AS metric_name, CAST(n_chars % 101 AS DOUBLE) / 100 AS score
@@ -229,6 +231,8 @@ _STAT = "round(round_even(avg(score), 4), 3) AS mean, round(round_even(coalesce(
 _K = "documents, (SELECT unnest(['llama', 'gpt-4']) AS model) m, (SELECT unnest(['zero_shot', 'cot']) AS strategy) t, (SELECT unnest(['factual', 'schema']) AS question_type) q"
 
 ORACLE = {
+    "qq1_relevance": f"""WITH q AS ({_Q}), e_in AS (SELECT id * 2 AS id, question_text AS text FROM q UNION ALL SELECT id * 2 + 1, knowledge FROM q), {_EMBED}
+        SELECT a.id // 2 AS id, round(coalesce({_COS}, 0), 6) AS score FROM e a JOIN e b ON b.id = a.id + 1 AND a.id % 2 = 0""",
     "qq2_type_consistency": f"""WITH q AS (SELECT *, lower(question_text) AS t FROM ({_Q}) x), a AS (SELECT id, question_type,
             CAST(regexp_matches(t, '\\b(what|who|when|where|how many|how much)\\b') AS INT) + CAST(regexp_matches(t, '\\b(is|are|was|were|did|does|do|has|have|had)\\b') AS INT) AS f,
             len(regexp_extract_all(t, '\\b\\d{{4}}\\b')) + len(regexp_extract_all(t, '\\b\\d+\\b')) AS n, (SELECT count(*) FROM (VALUES {_W}) AS w(w) WHERE contains(t, w)) AS s,

@@ -8,7 +8,7 @@ from granary.operators import retrieval as R
 from granary.operators import text_metrics as M
 
 from .common import frame, plain, table
-from .retrieval import _TOP, _dense, _docs, _items
+from .retrieval import _EMBED, _OVERLAP, _TOKENS, _TOP, _dense, _docs, _items
 
 _TURNS = "SELECT conv_id * 1000 + turn AS id, role, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM {conversations}"
 PREDS = f"SELECT id, text FROM ({_TURNS}) AS t WHERE role = 'assistant'"
@@ -180,6 +180,12 @@ ORACLE = {
     "met13_contains_answer": _LOWERED + " SELECT id, CASE WHEN contains(p, r) OR contains(r, p) THEN 1.0::DOUBLE ELSE 0 END AS value FROM p JOIN r USING (id)",
     "met14_semantic_similarity": f"SELECT a.vec_id AS id, round({_VEC.format('a.embedding', 'b.embedding')}, 5) AS value FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1",
     "met15_context_relevance": f"WITH {_TOP}, v AS (SELECT query_id, avg(score) AS v FROM top GROUP BY query_id) SELECT vec_id AS query_id, round(coalesce(v, 0), 5) AS value FROM embeddings LEFT JOIN v ON query_id = vec_id WHERE vec_id % 25 = 0",
+    "met16_faithfulness_vec": f"""WITH e_in AS (SELECT id * 2 AS id, text FROM ({plain(PREDS)}) p UNION ALL SELECT id * 2 + 1, text FROM ({plain(REFS)}) r WHERE ref = 0), {_EMBED}
+        SELECT a.id // 2 AS id, round(coalesce({_COS}, 0), 6) AS value FROM e a JOIN e b ON b.id = a.id + 1 AND a.id % 2 = 0""",
+    "met17_faithfulness": _OVERLAP + f""", ans AS (SELECT item_id AS query_id, coalesce('Based on the documents: ' || substr(string_agg(substr(d.text, 1, 200), ' ' ORDER BY rank), 1, 500), 'No relevant documents were found.') AS text
+            FROM benchmark LEFT JOIN ov ON item_id = query_id LEFT JOIN documents d ON d.doc_id = chunk_id GROUP BY item_id
+        ), said AS (SELECT DISTINCT query_id, unnest({_TOKENS}) AS t FROM ans), known AS (SELECT DISTINCT query_id, unnest({_TOKENS}) AS t FROM ov JOIN documents ON doc_id = chunk_id WHERE rank <= 2)
+        SELECT query_id, round(avg(CASE WHEN known.t IS NULL THEN 0.0 ELSE 1 END), 6) AS value FROM said LEFT JOIN known USING (query_id, t) GROUP BY query_id""",
     "met18_answer_relevance": f"SELECT a.vec_id AS id, round({_COS}, 5) AS value FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 2",
     "met19_context_precision": f"WITH {_TOP} SELECT query_id, round(avg(CASE WHEN chunk_id % 3 = 0 THEN 1.0 ELSE 0 END), 6) AS value FROM top GROUP BY query_id",
     "met21_compute_metrics": f"""{_BLEU}, {_METEOR[5:].replace('pw AS', 'pw2 AS').replace('rw AS', 'rw2 AS').replace('pg AS', 'pg2 AS').replace('rg AS', 'rg2 AS').replace('sh AS', 'sh2 AS').replace('FROM pw,', 'FROM pw2,').replace('FROM rw,', 'FROM rw2,').replace('FROM pg JOIN rg USING', 'FROM pg2 pg JOIN rg2 rg USING').replace('FROM pw JOIN rw ON', 'FROM pw2 pw JOIN rw2 rw ON').replace('LEFT JOIN sh ON', 'LEFT JOIN sh2 sh ON')},
