@@ -14,7 +14,7 @@ from granary.operators import retrieval as R
 
 from .common import frame, plain, table
 from .retrieval import _EMBED
-from .text_metrics import _COS
+from .text_metrics import _COS, _GRAMMAR
 
 SCORES = """
     SELECT d.doc_id AS question_id, source AS model, lang AS strategy, CASE quality WHEN 1 THEN 'factual' ELSE 'schema' END AS question_type, 'm1' AS metric_name, CAST(n_chars % 101 AS DOUBLE) / 100 AS score
@@ -248,6 +248,10 @@ ORACLE = {
             regexp_extract_all(knowledge, '(?i)(?:property|attribute|field)[\s:]+([A-Za-z_][A-Za-z0-9_]*)', 1), regexp_extract_all(knowledge, '(?i)(?:relation|relationship|predicate)[\s:]+([A-Za-z_][A-Za-z0-9_]*)', 1))) AS e FROM ({_Q}) x
         ), r AS (SELECT *, coalesce(len(list_filter(e, lambda x: contains(t, lower(x)))) / nullif(len(e), 0), 0.5) AS r FROM q)
         SELECT id, round(CASE WHEN question_type = 'schema' THEN r ELSE r * 0.5 + 0.5 END, 6) AS score FROM r""",
+    "qq4_fluency": rf"""WITH q AS (SELECT id, question_text AS text, len(list_filter(regexp_split_to_array(question_text, '\s+'), lambda w: w <> '')) AS n FROM ({_Q}) x), p AS (
+            SELECT id, n, {_GRAMMAR} AS g, CASE WHEN regexp_matches(text, '\b\w+(\s+\w+){{14}}') THEN 0.3::DOUBLE ELSE 0 END + CASE WHEN regexp_matches(text, '(?i)\b(the\s+the|a\s+a|an\s+an)\b') THEN 0.4::DOUBLE ELSE 0 END
+                + CASE WHEN regexp_matches(text, '\b\w+\b\s*\(\s*\b\w+\b\s*\)\s*\b\w+\b\s*\(\s*\b\w+\b\s*\)') THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN regexp_matches(text, '[^a-zA-Z0-9\s\x{{4e00}}-\x{{9fff}}.,;:!?()''\"-]') THEN 0.2::DOUBLE ELSE 0 END AS f FROM q)
+        SELECT id, round(greatest(0, least(1, 0.4::DOUBLE * g + 0.4::DOUBLE * greatest(0, 1 - f) + 0.2::DOUBLE * CASE WHEN n BETWEEN 5 AND 25 THEN 1 WHEN n < 5 THEN n / 5 ELSE greatest(0.3, 1 - (n - 25) / 50) END)), 6) AS score FROM p""",
     "exp1_matrix": f"SELECT CAST(doc_id AS VARCHAR) AS source_id, model, strategy, question_type FROM {_K}",
     "exp2_template_questions": f"""SELECT substr(sha256(doc_id || '/' || model || '/' || strategy || '/' || question_type), 1, 12) AS question_id,
         CASE question_type WHEN 'factual' THEN 'What is described by: ' ELSE 'What is the structure of: ' END || substr(coalesce(text, ''), 1, 50) || '?' AS question_text FROM {_K}""",
