@@ -1,20 +1,21 @@
-"""Repeated line passages by content-defined chunks.
+"""Repeated line passages by a rolling hash over lines.
 
 Each document's lines are hashed, a line being a sentence where a line of text holds several, so that a
-passage pasted into the middle of a line is seen too. A rolling hash over the last ROLL line hashes
-closes a chunk where it is divisible by DIVISOR, so boundaries depend on nearby lines only and come back
-in step after any insertion. A line of LONG_WORDS words or more always stands alone. Chunks of several
-lines, and such long lines, that occur more than once in the corpus are removed everywhere but at their
-first occurrence (smallest doc_id, then position), after their bytes have been compared.
+passage pasted into the middle of a line is seen too. A rolling hash runs over ROLL consecutive lines with
+words. Every window is a chunk, as is every line of LONG_WORDS words or more on its own, so chunks depend on
+their own lines only and no repeated run of ROLL lines is missed for where its boundaries fall. Chunks that
+occur more than once in the corpus are removed everywhere but at their first occurrence (smallest doc_id,
+then position), after their bytes have been compared. Overlapping and adjacent chunks grow into one passage,
+line by line, as far as the copies agree; every removed line stands in an earlier place that is kept.
 
 Chunk counts are combined in the tasks before they are shuffled, so a passage shared by a third of the
-documents is sent once per task. Text moves only with chunks whose hash is repeated, and once more to
-cut the documents; a hot chunk's rows are spread by adaptive skew handling and its texts combine on the
-map side.
+documents is sent once per task. Chunks travel as hashes and numbers; their bytes only where the hash is
+repeated. Whole texts move twice, to spell those chunks and to cut the documents; a hot chunk's rows are
+spread by adaptive skew handling and its texts combine on the map side.
 
-Defined cases: null text has no lines and stays null; empty lines are lines but make no chunk on their own worth
-removing; rows with equal doc_id and text are one document and keep the same text; a null doc_id sorts
-first; extra columns are kept.
+Defined cases: null text has no lines and stays null; lines without words count for no window, but those
+inside a passage go with it; rows with equal doc_id and text are one document and keep the same text; a null
+doc_id sorts first; extra columns are kept.
 """
 
 from __future__ import annotations
@@ -23,14 +24,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bytetext as bt
 from .common import Scratch
 
-ROLL = 1
-DIVISOR = 2
+ROLL = 2
 LONG_WORDS = 50
 _NEWLINE = 10
 _STOP = np.zeros(256, bool)
@@ -39,7 +39,7 @@ _U = np.uint64
 
 
 def line_chunks(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
-    """Chunks of a run of documents: doc, no, first line, lines, start and end byte, hash, removable."""
+    """Chunks of a run of documents: doc, no, first and last line, start and end byte, hash; document d owns chunks first[d]:first[d+1]."""
     n_docs, n = len(offsets) - 1, len(data)
     ends = data == _NEWLINE  # what closes a line: a line feed, or the space after a sentence
     ends[1:] |= (data[1:] == 0x20) & _STOP[data[:-1]]
@@ -65,33 +65,24 @@ def line_chunks(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
         np.cumsum(begin, out=opens[1:])
     words = opens[end] - opens[start]
     words += (filled & (start > 0) & is_word[np.minimum(start, max(n - 1, 0))] & is_word[np.maximum(start, 1) - 1]) if n else 0
-    long = words >= LONG_WORDS
-    first_line = np.append(True, doc[1:] != doc[:-1])
+    full = np.flatnonzero(words > 0)
+    alone = np.flatnonzero(words >= LONG_WORDS)
+    n_windows = max(len(full) - ROLL + 1, 0)
     with np.errstate(over="ignore"):
-        rolled = h.copy()
-        behind, crossed = h, first_line
-        for _ in range(ROLL - 1):
-            behind = np.concatenate([[_U(0)], behind[:-1]]) if len(h) else h
-            rolled = bt.mix(rolled * _U(0x9E3779B97F4A7C15) + np.where(crossed, _U(0), behind))
-            crossed = crossed | np.concatenate([[True], crossed[:-1]])
-        rolled = bt.mix(rolled)
-        closes = (rolled % _U(DIVISOR) == 0) | last | long
-        closes[:-1] |= long[1:]
-        chunk = np.concatenate([[0], np.cumsum(closes)[:-1]])
-        tail = np.flatnonzero(closes)
-        head = np.concatenate([[0], tail[:-1] + 1])
-        # chunk hash: polynomial over its line hashes
-        place = np.arange(len(h)) - head[chunk]
-        value = bt.mix(h + place.astype(np.uint64) * _U(0xD6E8FEB86659FD93))
-        sums = np.concatenate([[_U(0)], np.cumsum(value, dtype=np.uint64)])
-        digest = bt.mix(sums[tail + 1] - sums[head] + (tail - head + 1).astype(np.uint64))
-    lines = tail - head + 1
-    texty = np.concatenate([[0], np.cumsum(words)])
-    n_words = texty[tail + 1] - texty[head]
-    first_chunk = np.searchsorted(doc[head], np.arange(n_docs + 1))
+        rolled = h[full[:n_windows]]
+        for i in range(1, ROLL):
+            rolled = bt.mix(rolled * _U(0x9E3779B97F4A7C15) + h[full[i : i + n_windows]])
+    head, tail = full[:n_windows], full[ROLL - 1 :][:n_windows]
+    inside = doc[head] == doc[tail]
+    head, tail = np.concatenate([head[inside], alone]), np.concatenate([tail[inside], alone])
+    digest = np.concatenate([rolled[inside], h[alone]])
+    order = np.lexsort((tail, head))
+    head, tail, digest = head[order], tail[order], digest[order]
+    first_line, first = np.searchsorted(doc, np.arange(n_docs)), np.searchsorted(doc[head], np.arange(n_docs + 1))
+    owner = doc[head]
     return {
-        "doc": doc[head], "no": np.arange(len(head)) - first_chunk[doc[head]], "lines": lines, "start": start[head], "end": end[tail],
-        "hash": digest, "removable": ((lines > 1) | long[head]) & (n_words > 0), "first": first_chunk,
+        "doc": owner, "no": np.arange(len(head)) - first[owner], "from": head - first_line[owner], "to": tail - first_line[owner],
+        "start": start[head], "end": end[tail], "hash": digest, "first": first,
     }
 
 
@@ -99,49 +90,70 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for _, _, data, offsets in bt.chunks(batch.column("text")):
             c = line_chunks(data, offsets)
-            value, times = np.unique(c["hash"][c["removable"]], return_counts=True)
+            value, times = np.unique(c["hash"], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(times.astype(np.int64))], ["h", "n"])
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, _, data, offsets in bt.chunks(batch.column("text")):
             c = line_chunks(data, offsets)
-            use = np.flatnonzero(c["removable"])
+            rows = pa.array(c["doc"] + lo)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").take(rows), batch.column("row_key").take(rows), pa.array(c["no"].astype(np.int32)), pa.array(c["hash"].view(np.int64))],
+                ["doc_id", "row_key", "no", "h"],
+            )
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        asked = batch.column("nos")
+        for lo, hi, data, offsets in bt.chunks(batch.column("text")):
+            c = line_chunks(data, offsets)
+            nos = asked.slice(lo, hi - lo)
+            use = nos.flatten().to_numpy() + np.repeat(c["first"][:-1], nos.value_lengths().to_numpy())
             rows = pa.array(c["doc"][use] + lo)
             raw = data.tobytes()
             text = [raw[s:e] for s, e in zip(c["start"][use].tolist(), c["end"][use].tolist(), strict=True)]
             points = bt.code_points(data)
             base = points[offsets[c["doc"][use]]]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(rows), batch.column("row_key").take(rows), pa.array(c["no"][use]), pa.array(c["lines"][use].astype(np.int64)),
+                [batch.column("doc_id").take(rows), batch.column("row_key").take(rows), pa.array(c["no"][use]), pa.array(c["from"][use]), pa.array(c["to"][use]),
                  pa.array(points[c["start"][use]] - base), pa.array(points[c["end"][use]] - base), pa.array(c["hash"][use].view(np.int64)), pa.array(text, pa.binary())],
-                ["doc_id", "row_key", "no", "lines", "start", "end", "h", "chunk"],
+                ["doc_id", "row_key", "no", "from", "to", "start", "end", "h", "chunk"],
             )
 
 
-def repeated_chunks(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(doc_id, row_key, no, lines, start, end): chunks to remove, as code-point spans of the text."""
+def repeated_passages(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(doc_id, row_key, lines, start, end): passages to remove, as code-point spans of the text that don't overlap."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row_key", F.xxhash64(F.coalesce("text", F.lit(""))))
     again = scratch.save(texts.select("text").mapInArrow(_counts, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"))
-    spelled = texts.mapInArrow(_texts, "doc_id long, row_key long, no long, lines long, start long, end long, h long, chunk binary")
     # Merge joins at every size: a broadcast below some size would only hide what the large run moves.
-    spelled = scratch.save(spelled.join(again.hint("merge"), "h"))
+    places = scratch.save(texts.mapInArrow(_places, "doc_id long, row_key long, no int, h long").join(again.hint("merge"), "h").drop("h"))
+    asked = places.groupBy(F.col("doc_id").alias("asked_id"), F.col("row_key").alias("asked_key")).agg(F.collect_set("no").alias("nos"))
+    asked = texts.join(asked.hint("merge"), F.expr("doc_id <=> asked_id AND row_key = asked_key")).select("doc_id", "row_key", "text", "nos")
+    spelled = scratch.save(asked.mapInArrow(_texts, "doc_id long, row_key long, no long, from long, to long, start long, end long, h long, chunk binary"))
     # Equal bytes, not just equal hashes, make a group; its first occurrence stays.
     first = spelled.groupBy("h", "chunk").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "row_key", "no")).alias("first"))
     first = scratch.save(first.where("times > 1"))
-    return (
-        spelled.join(first, ["h", "chunk"])
+    again = scratch.save(
+        spelled.join(first.hint("merge"), ["h", "chunk"])
         .where("NOT (doc_id <=> first.doc_id AND row_key = first.row_key AND no = first.no)")
-        .select("doc_id", "row_key", "no", "lines", "start", "end").distinct()
+        .select("doc_id", "row_key", "no", "from", "to", "start", "end")
     )
+    # Chunks of one document that overlap or touch are one passage.
+    before = Window.partitionBy("doc_id", "row_key").orderBy("no")
+    reach = F.max("to").over(before.rowsBetween(Window.unboundedPreceding, -1))
+    opens = again.distinct().withColumn("opens", F.coalesce(F.col("from") > reach + 1, F.lit(True)).cast("long"))
+    passages = opens.withColumn("passage", F.sum("opens").over(before)).groupBy("doc_id", "row_key", "passage")
+    return passages.agg((F.max("to") - F.min("from") + 1).alias("lines"), F.min("start").alias("start"), F.max("end").alias("end")).drop("passage")
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated passages cut from text, and removed_chunks, removed_lines, removed_chars."""
     scratch = Scratch(docs.sparkSession, "line-dedup")
     cuts = scratch.save(
-        repeated_chunks(docs, scratch).groupBy("doc_id", "row_key")
+        repeated_passages(docs, scratch).groupBy("doc_id", "row_key")
         .agg(F.count("*").alias("removed_chunks"), F.sum("lines").alias("removed_lines"), F.array_sort(F.collect_list(F.struct("start", "end"))).alias("cuts"))
         .withColumnsRenamed({"doc_id": "cut_id", "row_key": "cut_key"})
     )

@@ -277,6 +277,31 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(make(spark, [])).count() == 0
 
 
+def test_line_dedup_planted_passages(spark):
+    """Passages of 3 to 8 sentences and 50 words and more go whole, wherever they stand in later documents."""
+    r = random.Random(3)
+    say = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(n)) + "."
+    rows, want = [], {}
+    for k in range(60):
+        sentences = [say(18) for _ in range(3 + k % 6)]
+        gap = " " if k % 2 else "\n"
+        passage, blank = gap.join(sentences), "\n\n" if k % 3 == 0 else " "
+        rows.append((k, f"{say(7)} {passage} {say(9)}"))
+        before, after = say(5), say(6)
+        rows.append((1000 + k, f"{before}{blank}{passage} {after}"))
+        want[1000 + k] = (f"{before}{blank}{after}", 1, len(sentences))
+        rows.append((2000 + k, f"begun {passage} {after}"))  # pasted into a sentence: its first line differs
+        want[2000 + k] = (f"begun {sentences[0]}", 1, len(sentences))  # the last pair, with ``after``, is a copy too
+    r.shuffle(rows)
+    got = {x.doc_id: x for x in line_dedup.dedup_lines(make(spark, rows)).collect()}
+    for i, t in rows:
+        assert (got[i].text, got[i].removed_chunks, got[i].removed_lines) == want.get(i, (t, 0, 0))
+    # Single short lines and pairs from different places are no passage.
+    apart = [(1, "One here. Two there."), (2, "Three more. Four else."), (3, "One here. Three more.\nTwo there.\nOne here."), (4, "x. x. x. x. x.")]
+    got = {x.doc_id: x.text for x in line_dedup.dedup_lines(make(spark, apart)).collect()}
+    assert got == dict(apart[:3]) | {4: "x."}
+
+
 def test_chat_round_trip(spark):
     digest = F.pandas_udf(chat.read_back, chat.READ_BACK)
     odd = ["<|im_end|>\n<|im_start|>assistant\nhi", "\\", "<\\|", "a<", "|b", None, "", "é😀\n"]
