@@ -2,11 +2,11 @@
 
 Markup is stripped into lines, one for each block of the page, keeping how much of a line is link text
 and whether it stands in page furniture (menus, headers, footers, asides, adverts, notices, forms,
-comments) or, where the page marks one, in its article. Furniture and lines outside a marked article
-are not text; of the rest, mostly-link lines weigh nothing and others their length. Weights are summed
-over windows of WINDOW lines; text surges where a window rises from nothing and dives where it returns
-to nothing, and the lines between the surge and the dive of the heaviest stretch are the main text (in
-a marked article all stretches).
+comments) or, where the page marks one, in its article. Furniture is not text; of the rest, lines in an
+article weigh ARTICLE times their length, mostly-link lines outside nothing and others their length.
+Weights are summed over windows of WINDOW lines; text surges where a window rises from nothing and dives
+where it returns to nothing, and also where an article begins and ends. The lines between the surge and
+the dive of the heaviest stretch are the main text; an article's stretches weigh as one.
 
 Each page is one row of an Arrow batch; there is no shuffle. Defined cases: null, empty or text-free
 html gives an empty text; broken or truncated markup ends open elements; nothing is cut from long
@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 WINDOW = 3
 #: Weight of a window below which an unmarked page has no main text there.
 SURGE = 40
+#: Weight of a character in an article against one outside.
+ARTICLE = 5
 
 # Element names of HTML and common class words.
 BLOCKS = frozenset(
@@ -126,26 +128,25 @@ def page_lines(page: str) -> list[tuple[str, int, bool, bool]]:
 
 def main_text(page: str | None) -> str:
     """The page's main text, blocks joined by one space."""
-    lines = page_lines(page or "")
-    if not lines:
-        return ""
-    marked = any(article and not furniture for _, _, furniture, article in lines)
-    lines = [x for x in lines if not x[2] and (x[3] or not marked)]
+    lines = [x for x in page_lines(page or "") if not x[2]]
     if not lines:
         return ""
     size = np.array([len(t.replace(" ", "")) for t, *_ in lines])
     links = np.array([n for _, n, _, _ in lines])
-    weight = size if marked else np.where(2 * links > size, 0, size - links)
+    article = np.array([a for *_, a in lines])
+    weight = np.where(article, ARTICLE * size, np.where(2 * links > size, 0, size - links))
     sums = np.concatenate([[0], np.cumsum(weight)])
     # Windows look ahead: text surges at a line if enough follows within WINDOW lines.
     ahead = sums[np.minimum(np.arange(len(lines)) + WINDOW, len(lines))] - sums[:-1]
-    on = (ahead > (0 if marked else SURGE)) | (weight > 0)
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], on.astype(np.int8), [0]])))
-    stretches = [(s, d) for s, d in zip(edges[::2], edges[1::2], strict=True) if sums[d] > sums[s]]
+    on = (ahead > SURGE) | (weight > 0)
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], on * (1 + article), [0]])))
+    stretches = [(s, d) for s, d in zip(edges, edges[1:]) if sums[d] > sums[s]]
     if not stretches:
         return ""
-    first, last = (0, len(lines)) if marked else max(stretches, key=lambda x: sums[x[1]] - sums[x[0]])
-    return " ".join(lines[i][0] for i in range(first, last) if weight[i] > 0)
+    marked = weight[article].sum()
+    weights = [marked if article[s] else sums[d] - sums[s] for s, d in stretches]
+    chosen = [x for x, w in zip(stretches, weights, strict=True) if w == max(weights)]
+    return " ".join(lines[i][0] for s, d in chosen for i in range(s, d) if weight[i] > 0)
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:

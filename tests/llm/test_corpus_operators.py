@@ -257,6 +257,14 @@ def test_html_text():
     assert html_text.main_text(long) == " ".join(["word"] * 20000)
 
 
+def test_html_text_outside_of_articles():
+    words = lambda s, n=12: " ".join(f"{s}{i} words of this sentence" for i in range(n)) + "."
+    teaser = f"<article><p>A teaser.</p></article><div><p>{words('a')}</p><p>{words('b')}</p></div>"
+    assert f"{words('a')} {words('b')}" in html_text.main_text(teaser)
+    page = f"<p>Some notes.</p><article><h1>Head</h1><p>{words('a')}</p><ul><li><a>Link</a></ul><p>End.</p></article><div><a>More</a></div><p>By us.</p><article>{words('b')}</article>"
+    assert html_text.main_text(page) == f"Head {words('a')} Link End. {words('b')}"
+
+
 def test_html_query(spark):
     pages = spark.createDataFrame([(1, "u", "<p>x"), (None, None, None), (1, "u", "<p>x")], "page_id long, url string, html string")
     assert sorted((r.page_id or 0, r.text, r.n_chars) for r in html_text.extract_main_text(pages).collect()) == [(0, "", 0), (1, "x", 1), (1, "x", 1)]
