@@ -5,8 +5,9 @@ and whether it stands in page furniture (menus, headers, footers, asides, advert
 comments) or, where the page marks one, in its article. Furniture is not text; of the rest, lines in an
 article weigh ARTICLE times their length, mostly-link lines outside nothing and others their length.
 Weights are summed over windows of WINDOW lines; text surges where a window rises from nothing and dives
-where it returns to nothing, and also where an article begins and ends. The lines between the surge and
-the dive of the heaviest stretch are the main text; an article's stretches weigh as one.
+where it returns to nothing, and also where an article begins and ends. Stretches between surge and dive
+that weigh at least FLOOR of the heaviest are main text, and so is all that stands between two of them on
+the same side of an article's edge, mostly-link lines too; an article's stretches weigh as one.
 
 Each page is one row of an Arrow batch; there is no shuffle. Defined cases: null, empty or text-free
 html gives an empty text; broken or truncated markup ends open elements; nothing is cut from long
@@ -29,6 +30,8 @@ WINDOW = 3
 SURGE = 40
 #: Weight of a character in an article against one outside.
 ARTICLE = 5
+#: Share of the heaviest stretch's weight below which a stretch at the edge is not main text.
+FLOOR = 0.1
 
 # Element names of HTML and common class words.
 BLOCKS = frozenset(
@@ -145,8 +148,13 @@ def main_text(page: str | None) -> str:
         return ""
     marked = weight[article].sum()
     weights = [marked if article[s] else sums[d] - sums[s] for s, d in stretches]
-    chosen = [x for x, w in zip(stretches, weights, strict=True) if w == max(weights)]
-    return " ".join(lines[i][0] for s, d in chosen for i in range(s, d) if weight[i] > 0)
+    side = np.cumsum(np.diff(article, prepend=article[:1]))
+    ends: dict[int, tuple[int, int]] = {}
+    for (s, d), w in zip(stretches, weights, strict=True):
+        if w >= FLOOR * max(weights):
+            texty = s + np.flatnonzero(weight[s:d])
+            ends[side[s]] = (ends.get(side[s], (texty[0],))[0], texty[-1] + 1)
+    return " ".join(lines[i][0] for s, d in ends.values() for i in range(s, d))
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:

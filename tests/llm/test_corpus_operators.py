@@ -265,6 +265,18 @@ def test_html_text_outside_of_articles():
     assert html_text.main_text(page) == f"Head {words('a')} Link End. {words('b')}"
 
 
+def test_html_text_around_links():
+    words = lambda s, n=12: " ".join(f"{s}{i} words of this sentence" for i in range(n)) + "."
+    link = "<p><a href=x>A link of some length</a> x</p>"
+    menu = "<div><a href=x>Home page of ours</a></div>" * 4
+    text = "A link of some length x"
+    for n in (1, 3, 6):
+        page = f"{menu}<p>{words('a', 30)}</p>{link * n}<p>{words('b', 9)}</p>{menu}<p>(c) us</p>"
+        assert html_text.main_text(page) == " ".join([words("a", 30), *[text] * n, words("b", 9)])
+    page = f"{menu}<p>{words('a')}</p>{link}<p>So.</p>{link * 4}<p>{words('b')}</p>"
+    assert html_text.main_text(page) == " ".join([words("a"), text, "So.", *[text] * 4, words("b")])
+
+
 def test_html_query(spark):
     pages = spark.createDataFrame([(1, "u", "<p>x"), (None, None, None), (1, "u", "<p>x")], "page_id long, url string, html string")
     assert sorted((r.page_id or 0, r.text, r.n_chars) for r in html_text.extract_main_text(pages).collect()) == [(0, "", 0), (1, "x", 1), (1, "x", 1)]
