@@ -277,6 +277,14 @@ def test_html_text_around_links():
     assert html_text.main_text(page) == " ".join([words("a"), text, "So.", *[text] * 4, words("b")])
 
 
+def test_html_attributes():
+    for plain in ('style="overflow:hidden"', 'data-hidden="false"', "data-id=menu", "data-class='ad'", 'title="class=ad id=menu hidden"', "x-role=banner", 'title=hidden', 'alt = " hidden "', "onclick='a(\"x\") hidden'"):
+        assert html_text.main_text(f"<article><div {plain}>Text of it</div></article>") == "Text of it", plain
+        assert html_text.main_text(f"<div {plain}>Text of it</div>") == "Text of it", plain
+    for gone in ("hidden", "HIDDEN=''", 'a="b"hidden', "data-x hidden", "class=ad", 'Class = "big ad"', "id='menu'", "role=banner", 'aria-hidden="true"', "title='hidden' class=ad"):
+        assert html_text.main_text(f"<article>a <div {gone}>Text of it</div></article>") == "a", gone
+
+
 def test_html_query(spark):
     pages = spark.createDataFrame([(1, "u", "<p>x"), (None, None, None), (1, "u", "<p>x")], "page_id long, url string, html string")
     assert sorted((r.page_id or 0, r.text, r.n_chars) for r in html_text.extract_main_text(pages).collect()) == [(0, "", 0), (1, "x", 1), (1, "x", 1)]
