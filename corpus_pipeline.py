@@ -44,7 +44,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", toxicity), ("exact dedup", exact), ("n-gram jaccard", near), ("decontamination", decontaminate), ("mixing", mix)]
 
-#: The classifier cannot be expressed in SQL; tests/llm holds a brute-force version of run().
+#: The classifier cannot be expressed in SQL; given its verdicts, tests/llm/test_pipeline.py recomputes run() by brute force.
 ORACLE_SQL: str | None = None
 
 

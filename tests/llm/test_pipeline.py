@@ -1,6 +1,11 @@
 """The pipeline against its stages' contracts on a small table."""
 
+import collections
+import hashlib
+import math
+
 import corpus_pipeline
+from test_corpus_operators import _components, _contaminated, _sets
 
 SF = "/root/testdata/sf0.001"
 
@@ -22,3 +27,82 @@ def test_pipeline_keeps_and_drops(spark):
     assert final.columns == [*out["start"].columns, "copy"]
     ids = {r.doc_id for r in docs.select("doc_id").collect()}
     assert {r.doc_id for r in final.select("doc_id").distinct().collect()} <= ids
+
+
+def _mixed(rows):
+    """(doc_id, copy) counts by Poisson quantiles at md5-seeded numbers; targets are square roots of characters."""
+    mass = collections.Counter()
+    for r in rows:
+        mass[r.source] += len(r.text or "")
+    mass = {s: n for s, n in mass.items() if n}
+    total, roots = sum(mass.values()), sum(math.sqrt(n) for n in mass.values())
+    out = collections.Counter()
+    for r in rows:
+        if r.source not in mass:
+            continue
+        rate = math.sqrt(mass[r.source]) / roots * total / mass[r.source]
+        pieces = math.ceil(rate / 64)
+        key = str(r.doc_id) if r.doc_id is not None else "text:" + (r.text or "")
+        n = 0
+        for piece in range(1, pieces + 1):
+            u = (int(hashlib.md5(f"42:{key}:{piece}".encode()).hexdigest()[:13], 16) + 0.5) / (1 << 52)
+            p = below = math.exp(-rate / pieces)
+            k = 0
+            while below < u:
+                k += 1
+                p *= rate / pieces / k
+                below += p
+            n += k
+        out.update((r.doc_id, copy) for copy in range(n))
+    return out
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    sf = str(tmp_path)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    given = [r for r in docs.orderBy("doc_id").collect() if r.text and len(r.text.split()) > 70]
+    items = [r.text for r in bench.orderBy("item_id").collect() if len(r.text.split()) >= 13]
+    planted = []
+    for n, r in enumerate(given[:24]):
+        words, i, source = r.text.split(), 100_000 + 10 * n, ("web", "books", None)[n % 3]
+        planted.append((i, r.text, r.lang, source, len(r.text)))  # an exact copy
+        for k in (1, 2):  # copies with a changed word, linked or not by their length
+            near = " ".join([*words[: len(words) // k - 1], "qqq", *words[len(words) // k :]])
+            planted.append((i + k, near, r.lang, source, len(near)))
+        dirty = f"{items[n % len(items)]} {' '.join(words[:40])} zz{n}"
+        planted.append((i + 3, dirty, r.lang, source, len(dirty)))
+        diluted = f"{items[n % len(items)]} {' '.join(f'u{n}x{j}' for j in range(600))}"  # below 5 %
+        planted.append((i + 4, diluted, r.lang, source, len(diluted)))
+    planted += [(200_000, None, "en", "web", 0), (200_001, "", "en", "web", 0), (None, "no id here", "en", "web", 10)]
+    docs.union(spark.createDataFrame(planted, docs.schema)).write.parquet(f"{sf}/documents.parquet")
+    bench.write.parquet(f"{sf}/benchmark.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    labels.write.parquet(f"{sf}/labels.parquet")
+
+    start = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = corpus_pipeline.toxicity(spark, start, sf).collect()  # the classifier's verdicts are taken as given
+    sizes = [start.count(), len(rows)]
+    toxic = {r.doc_id for r in labels.where("toxic = 1").collect()}
+    assert toxic and len(toxic - {r.doc_id for r in rows}) >= 0.8 * len(toxic)
+    best = {}
+    for r in rows:
+        t = r.text or ""
+        if t not in best or best[t].doc_id is None or r.doc_id is not None and r.doc_id > best[t].doc_id:
+            best[t] = r
+    rows = list(best.values())
+    sizes.append(len(rows))
+    component = _components(_sets([(r.doc_id, r.text) for r in rows]))
+    rows = [r for r in rows if component[r.doc_id] == r.doc_id]
+    sizes.append(len(rows))
+    found = _contaminated([(r.doc_id, r.text) for r in rows], [(r.item_id, r.text) for r in bench.collect()])
+    dirty = {i for i, *_, contaminated in found if contaminated}
+    rows = [r for r in rows if r.doc_id not in dirty]
+    sizes.append(len(rows))
+    assert all(a > b > 0 for a, b in zip(sizes, sizes[1:])), sizes  # every stage has something to drop
+    want = _mixed(rows)
+    assert {copy for _, copy in want} > {0, 1}
+    got = corpus_pipeline.run(spark, sf).collect()
+    assert collections.Counter((r.doc_id, r.copy) for r in got) == want
+    text = {r.doc_id: (r.text, r.source) for r in rows}
+    assert all((r.text, r.source) == text[r.doc_id] for r in got)
