@@ -246,6 +246,19 @@ def test_url_templates_follow_purity(spark):
     assert got["http://x.test/news/1"] == got["http://x.test/other/1"] == "allow" and got["http://x.test/spam/a3"] == "block"
 
 
+def test_url_template_blocks_pages_without_rule(spark):
+    """A wildcard of nearly all different names joins pages without a rule to labelled ones, of which most are blocked."""
+    rules = (url_filter.UrlRule("block", "x.test/spam/a"), url_filter.UrlRule("allow", "x.test/news/a"))
+    names = [a + b for a in "qwertyuiop" for b in "sdfg"]
+    urls = [f"http://x.test/{top}/a{n}" for top in ("spam", "news") for n in names]
+    free = ["http://x.test/spam/zoo", "http://x.test/spam/yak", "http://x.test/news/zoo", "http://x.test/else/zoo", "http://y.test/spam/zoo"]
+    pages = spark.createDataFrame(list(enumerate(urls + free)), "page_id long, url string")
+    got = {(urls + free)[r.page_id]: r for r in url_filter.filter_urls(pages, rules).collect()}
+    assert [got[u].rule for u in free] == [None] * 5
+    assert [got[u].verdict for u in free] == ["block", "block", "allow", "allow", "allow"]
+    assert got[free[0]].template == got[urls[0]].template == "spam/*" and abs(got[free[0]].purity - 41 / 42) < 1e-12
+
+
 def test_html_text():
     page = """<!DOCTYPE html><html><head><title>T</title><script>if(a<b)document.write("<p>x</p>")</script></head><body><nav><ul><li><a href=x>Home</a></li></ul></nav>
     <article><h1>Title</h1><p><b>First &amp; foremost.<br><p>a < b&nbsp;c <i>in</i>line</p><aside>See also</aside><ul><li>one<li>two</ul><div class="comments"><p>I disagree</p></div></article><footer>&copy; me</footer></body>"""
