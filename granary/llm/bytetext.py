@@ -12,7 +12,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 1 << 22
+#: Bytes of text worked on at once; a step holds some dozens of bytes for each.
+CHUNK = 1 << 20
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _PINV = np.uint64(pow(int(_P), -1, 1 << 64))
 LOWER = np.arange(256, dtype=np.uint8)

@@ -2,19 +2,24 @@
 
 A set of size s can only be linked with sets that differ in at most floor(s / 9) elements, so:
 
-* Light sets (small) enumerate their fixed-size subsets. Two sets that share a c-subset overlap in at
-  least c elements, so sharing one proves the link without looking at the sets again. Each subset's
-  list links its members to its smallest one: if any two members qualify through that subset, both
-  qualify with the smallest, so no pairs are listed and no link is lost.
+* Light sets (small) enumerate their fixed-size subsets, each as a 128-bit digest. Two sets that share a
+  c-subset overlap in at least c elements, so sharing one proves the link without looking at the sets
+  again. Each subset's list links its members to its smallest one: if any two members qualify through
+  that subset, both qualify with the smallest, so no pairs are listed and no link is lost.
 * Heavy sets (large) are cut by element hash into one slice more than the differences allowed; linked
   sets then agree in a whole slice. Inverted lists are keyed by slice contents, which keeps lists of
   passages shared by thousands of documents short. Lists chain their members into candidate
-  components; within a component each set scans the inverted lists of its elements and counts
-  overlaps, in blocks of bounded size.
+  components. Each set is first compared with its component's smallest member, which settles groups of
+  near copies in one comparison a set; members of lists that this leaves open are compared in blocks of
+  bounded sets and elements, where each set scans the inverted lists of its elements and counts overlaps.
+
+A list's hub is a minimum that tasks combine before the shuffle, and members meet it in a join that
+adaptive execution splits, so a signature shared by a third of all documents is no single task's work.
 
 The boundary between light and heavy is the size that minimises the rows and elements the two ways
-would produce, counted over the whole table's sizes. Copies with the same set are one class and only
-the class takes part.
+would produce, counted over the whole table's sizes; sets above MAX_LIGHT are heavy under every choice,
+so their cost is the same for all and left out of it. Copies with the same set are one class and only the
+class takes part.
 
 Defined cases: null or blank texts have an empty set and link with nothing; rows that share a doc_id
 are one document for linking, each with its own n_shingles; a null doc_id links with nothing and has a
@@ -28,16 +33,17 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytetext as bt
 from .common import Scratch, connected_components
 
-#: Largest size that may be handled by subsets; also bounds the size histogram.
+#: Largest size that may be handled by subsets.
 MAX_LIGHT = 26
-#: Sets compared with each other in one task.
+#: Sets, and elements of sets, in one of the two blocks that a task compares; a larger set is a block of its own.
 BLOCK_SETS = 1024
+BLOCK_ELEMENTS = 1 << 18
 _U = np.uint64
 
 
@@ -142,49 +148,46 @@ def _signatures(k: int, boundary: int):
     lowest_heavy = -(-9 * (boundary + 1) // 10)  # light sets that a heavy one can be linked with
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()
         for batch in batches:
             for lo, hi, data, offsets in bt.chunks(batch.column(1)):
                 ids = np.asarray(batch.column(0).slice(lo, hi - lo).to_numpy(zero_copy_only=False))
                 values, first = shingle_sets(data, offsets, k)
                 sizes = np.diff(first)
-                fresh = np.zeros(len(ids), bool)
-                for i, key in enumerate(zip(*(d.tolist() for d in _digests(values, first)), strict=True)):
-                    if sizes[i] and key not in seen:
-                        seen.add(key)
-                        fresh[i] = True
-                rows = [_light(ids, values, first, np.flatnonzero(fresh & (sizes <= boundary)))]
-                docs = np.flatnonzero(fresh & (sizes >= lowest_heavy))
+                # Copies within the chunk write their signatures once.
+                a, b = _digests(values, first)
+                order = np.lexsort((ids, b, a))
+                fresh = np.ones(len(ids), bool)
+                fresh[order[1:]] = (a[order[1:]] != a[order[:-1]]) | (b[order[1:]] != b[order[:-1]])
+                rows = [_light(ids, values, first, np.flatnonzero(fresh & (sizes > 0) & (sizes <= boundary)))]
+                docs = np.flatnonzero(fresh & (sizes >= max(lowest_heavy, 1)))
                 if len(docs):
                     ends = size_groups(int(sizes[docs].max()))
                     own = np.searchsorted(ends, sizes[docs], "right") - 1
                     rows += [_heavy(ids, values, first, docs[own + s >= 0], (own + s)[own + s >= 0], ends) for s in (0, -1)]
-                for c, sig, n, node in rows:
+                for c, sig, sig2, over, node in rows:
                     if len(sig):
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(c.astype(np.int32)), _i64(sig), pa.array(n.astype(np.int64)), pa.array(node.astype(np.int64))],
-                            ["c", "sig", "n", "node"],
+                            [pa.array(c.astype(np.int32)), _i64(sig), _i64(sig2), pa.array(over.astype(np.int32)), pa.array(node.astype(np.int64))],
+                            ["c", "sig", "sig2", "over", "node"],
                         )
 
     return run
 
 
 def _light(ids, values, first, docs):
-    c, sig, n, node = [], [], [], []
+    """Subset size, 128-bit digest, elements over the subset's, and node of every subset of the light sets."""
+    out = [[], [], [], [], []]
     with np.errstate(over="ignore"):
         for d in docs:
-            v = bt.mix(values[first[d] : first[d + 1]] ^ _U(0xA0761D6478BD642F))
-            whole, size = v.sum(dtype=np.uint64), len(v)
-            for drop in range(_drops(size) + 1):
-                out = [list(x) for x in combinations(range(size), drop)]
-                sums = whole - v[np.array(out)].sum(axis=1, dtype=np.uint64) if drop else np.array([whole])
-                sig.append(bt.mix(sums + _U((size - drop) * 0x9E3779B97F4A7C15 & (2**64 - 1))))
-                c.append(np.full(len(sums), size - drop))
-                n.append(np.full(len(sums), size))
-                node.append(np.full(len(sums), ids[d]))
-    if not sig:
-        return (np.zeros(0, np.int64),) * 4
-    return tuple(np.concatenate(x) for x in (c, sig, n, node))
+            v = values[first[d] : first[d + 1]]
+            salted = [bt.mix(v ^ _U(x)) for x in (0xA0761D6478BD642F, 0x589965CC75374CC3)]
+            for drop in range(_drops(len(v)) + 1):
+                gone = np.array(list(combinations(range(len(v)), drop)), np.int64)  # one row a subset
+                tag = _U((len(v) - drop) * 0x9E3779B97F4A7C15 & (2**64 - 1))
+                sums = [bt.mix(x.sum(dtype=np.uint64) - x[gone].sum(axis=1, dtype=np.uint64) + tag) for x in salted]
+                for to, part in zip(out, (np.full(len(gone), len(v) - drop), *sums, np.full(len(gone), drop), np.full(len(gone), ids[d])), strict=True):
+                    to.append(part)
+    return tuple(np.concatenate([*x, np.zeros(0, kind)]) for x, kind in zip(out, (np.int64, np.uint64, np.uint64, np.int64, np.int64), strict=True))
 
 
 def _heavy(ids, values, first, docs, group, ends):
@@ -205,13 +208,14 @@ def _heavy(ids, values, first, docs, group, ends):
         owner = np.repeat(np.arange(len(docs)), slices)
         tag = group[owner].astype(np.uint64) * _U(1 << 32) + number.astype(np.uint64)
         sig = bt.mix(sums[edge[1:]] - sums[edge[:-1]] + bt.mix(tag + _U(0x8EBC6AF09C88C6E3)))
-    return np.zeros(len(sig), np.int64), sig, sizes[owner], ids[docs][owner]
+    none = np.zeros(len(sig), np.int64)
+    return none, sig, none.view(np.uint64), none, ids[docs][owner]
 
 
 def _arrays(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.select(["comp", "node", "block", "n_blocks"])
+            keys = batch.select(["comp", "node"])
             for lo, hi, data, offsets in bt.chunks(batch.column("text")):
                 values, first = shingle_sets(data, offsets, k)
                 sets = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), _i64(values))
@@ -230,47 +234,45 @@ def _links_in_block(table: pa.Table) -> pa.Table:
     values = np.asarray(lists.flatten()).view(np.uint64)
     first = first - first[0]
     sizes = np.diff(first)
-    owner = np.repeat(np.arange(len(node)), sizes)
-    order = np.argsort(values, kind="stable")
-    ranked = values[order]
-    new = np.ones(len(ranked), bool)
-    new[1:] = ranked[1:] != ranked[:-1]
-    lengths = np.diff(np.append(np.flatnonzero(new), len(ranked)))
-    element = np.empty(len(values), np.int64)
-    element[order] = np.repeat(np.arange(len(lengths)), lengths)
+    _, element, lengths = np.unique(values, return_inverse=True, return_counts=True)
+    posting = np.repeat(np.arange(len(node)), sizes)[np.argsort(element, kind="stable")]
     begin = np.concatenate([[0], np.cumsum(lengths)])
-    posting = owner[order]
-    root = list(range(len(node)))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
     both_sides = left.any() and not left.all()
+    label = np.arange(len(node))
     held = np.zeros(len(lengths), bool)
     out = []
-    for i in range(len(node)):
+
+    def link(i: int, others: np.ndarray) -> None:
+        """Count the overlap of set i with each of ``others`` and join what qualifies."""
+        others = others[(10 * sizes[others] >= 9 * sizes[i]) & (9 * sizes[others] <= 10 * sizes[i])]
+        if not len(others):
+            return
         mine = element[first[i] : first[i + 1]]
-        if not len(mine):
-            continue
-        # A linked set lacks at most _drops elements, so it is on a list of any one more: take the shortest.
-        rare = mine[np.argsort(lengths[mine], kind="stable")[: _drops(len(mine)) + 1]]
-        many = lengths[rare]
-        met = np.unique(posting[np.repeat(begin[rare], many) + bt.runs(many)])
-        met = met[met != i]
-        near = met[(10 * sizes[met] >= 9 * sizes[i]) & (9 * sizes[met] <= 10 * sizes[i])]
         held[mine] = True
-        for j in near.tolist():
-            if both_sides and left[i] == left[j] or find(i) == find(j):
-                continue
-            overlap = int(np.count_nonzero(held[element[first[j] : first[j + 1]]]))
-            if 100 * overlap >= 90 * (sizes[i] + sizes[j] - overlap):
-                a, b = find(i), find(j)
-                root[max(a, b)] = min(a, b)
-                out.append((node[i], node[j]))
+        at = np.repeat(first[others], sizes[others]) + bt.runs(sizes[others])
+        overlap = np.add.reduceat(held[element[at]].astype(np.int64), np.cumsum(sizes[others]) - sizes[others])
         held[mine] = False
+        for j in others[100 * overlap >= 90 * (sizes[i] + sizes[others] - overlap)]:
+            if label[i] != label[j]:
+                label[label == label[j]] = label[i]
+                out.append((node[i], node[j]))
+
+    def shortest(i: int) -> np.ndarray:
+        # A linked set lacks at most _drops elements, so it is on a list of any one more.
+        mine = element[first[i] : first[i + 1]]
+        return mine[np.argsort(lengths[mine], kind="stable")[: _drops(len(mine)) + 1]]
+
+    filled = np.flatnonzero(sizes).tolist()
+    for i in filled:  # the first on its shortest list: joins most of a group of near copies
+        link(i, posting[begin[shortest(i)[:1]]])
+    # Lists whose members are all joined by now have nothing left to compare.
+    mixed = np.minimum.reduceat(label[posting], begin[:-1]) != np.maximum.reduceat(label[posting], begin[:-1]) if len(posting) else np.zeros(0, bool)
+    for i in filled:
+        rare = shortest(i)
+        rare = rare[mixed[rare]]
+        if len(rare):
+            met = np.unique(posting[np.repeat(begin[rare], lengths[rare]) + bt.runs(lengths[rare])])
+            link(i, met[(label[met] != label[i]) & ((left[met] != left[i]) | (not both_sides))])
     pairs = np.array(out, np.int64).reshape(-1, 2)
     return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
@@ -287,18 +289,40 @@ def set_classes(profiles: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataF
     return every.where("doc_id <> class").select("doc_id", "class"), joined
 
 
-def _with_blocks(nodes: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, comp, block, n_blocks): components of more than BLOCK_SETS sets are split by a hash of the node."""
-    comps = nodes.withColumnRenamed("component", "comp")
-    large = scratch.save(
-        comps.groupBy("comp").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK_SETS)
-        .select("comp", F.ceil(F.col("m") / BLOCK_SETS).cast("int").alias("n_blocks"))
-    )
-    if large.isEmpty():
-        return comps.select("node", "comp", F.lit(0).alias("block"), F.lit(1).alias("n_blocks"))
-    return comps.join(large, "comp", "left").select(
-        "node", "comp", F.expr("pmod(xxhash64(node), coalesce(n_blocks, 1))").cast("int").alias("block"), F.coalesce("n_blocks", F.lit(1)).alias("n_blocks")
+def _signature_links(signatures: DataFrame, scratch: Scratch) -> DataFrame:
+    """(c, over, node, hub, hub_over): each list's members and the hub, the smallest of those with the fewest elements."""
+    most = _drops(MAX_LIGHT)
+    ends = [F.min(F.when(F.col("over") == d, F.col("node"))).alias(f"m{d}") for d in range(most + 1)]
+    lists = signatures.groupBy("c", "sig", "sig2").agg(*ends, F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
+    hubs = scratch.save(lists.select(
+        "c", "sig", "sig2", F.coalesce(*(f"m{d}" for d in range(most + 1))).alias("hub"),
+        F.coalesce(*(F.when(F.col(f"m{d}").isNotNull(), F.lit(d)) for d in range(most + 1))).alias("hub_over"),
+    ))
+    return signatures.join(hubs, ["c", "sig", "sig2"]).where("node <> hub").select("c", "over", "node", "hub", "hub_over").distinct()
+
+
+def _heavy_links(edges: DataFrame, texts: DataFrame, k: int, scratch: Scratch) -> DataFrame:
+    """(a, b): verified links of the candidate ``edges`` (a, b: a member of a list and its hub)."""
+    maybe = connected_components(edges, scratch).select(F.col("node").alias("doc_id"), F.col("component").alias("comp"))
+    sets = texts.join(maybe, "doc_id").select("comp", F.col("doc_id").alias("node"), "text").mapInArrow(_arrays(k), "comp long, node long, elements array<bigint>")
+    sets = scratch.save(sets)
+    # One comparison with the component's smallest member for each set.
+    root = sets.where("node = comp").select("comp", F.col("elements").alias("root"))
+    overlap = F.size(F.array_intersect("elements", "root"))
+    near = overlap * 100 >= (F.size("elements") + F.size("root") - overlap) * 90
+    star = scratch.save(sets.where("node <> comp").join(root, "comp").where(near).select(F.col("node").alias("a"), F.col("comp").alias("b")).distinct())
+    # A list is settled if all its members are joined to the root; the others' members are compared with each other.
+    settled = star.select("a").union(maybe.where("doc_id = comp").select("doc_id"))
+    loose = edges.select(F.explode(F.array("a", "b")).alias("a"), F.col("b").alias("hub")).distinct().join(settled, "a", "left_anti").select(F.col("hub").alias("b")).distinct()
+    rest = scratch.save(edges.join(loose, "b", "left_semi").select("a", "b"))
+    again = connected_components(rest, scratch).select("node", F.col("component").alias("part"))
+    left = scratch.save(sets.join(again, "node").select("part", "node", "elements"))
+    spread = left.groupBy("part").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum(F.size("elements")) / BLOCK_ELEMENTS)).cast("int").alias("n_blocks"))
+    blocked = left.join(spread, "part").withColumn("block", F.expr("pmod(xxhash64(node, elements), n_blocks)").cast("int"))
+    placed = blocked.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).select(
+        "part", F.least("block", "j").alias("p"), F.greatest("block", "j").alias("q"), "node", F.expr("block <= j").alias("left_side"), "elements"
     )
+    return star.union(placed.groupBy("part", "p", "q").applyInArrow(_links_in_block, "a long, b long"))
 
 
 def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, boundary: int | None = None) -> DataFrame:
@@ -313,33 +337,18 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
         small = profiles.where(F.col("n").between(1, MAX_LIGHT)).groupBy("n").count().collect()  # MAX_LIGHT rows
         boundary = choose_boundary({r["n"]: r["count"] for r in small})
 
-    lists = Window.partitionBy("c", "sig").orderBy("n", "node").rowsBetween(Window.unboundedPreceding, 0)
-    shared = (
-        texts.mapInArrow(_signatures(k, boundary), "c int, sig long, n long, node long")
-        .withColumn("hub", F.first(F.struct("node", "n")).over(lists))
-        .where("node <> hub.node")
-        .select("c", "n", "node", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"))
-        .distinct()
-    )
+    signatures = scratch.save(texts.mapInArrow(_signatures(k, boundary), "c int, sig long, sig2 long, over int, node long"))
+    shared = scratch.save(_signature_links(signatures, scratch))
+    scratch.free(signatures)
     # Members of one class may have written signatures in different tasks.
-    shared = scratch.save(shared)
     edges = scratch.save(
         shared.join(classes.toDF("node", "node_class"), "node", "left").join(classes.toDF("hub", "hub_class"), "hub", "left")
-        .select("c", "n", "hub_n", F.coalesce("node_class", "node").alias("a"), F.coalesce("hub_class", "hub").alias("b"))
-        .where("a <> b")
-    )
-    proven = edges.where("c > 0 AND 100 * c >= 90 * (n + hub_n - c)").select("a", "b")
-
-    maybe = scratch.save(connected_components(edges.where("c = 0").select("a", "b"), scratch))
-    blocks = scratch.save(_with_blocks(maybe, scratch))
-    sets = (
-        texts.join(blocks.withColumnRenamed("node", "doc_id"), "doc_id").withColumnRenamed("doc_id", "node")
-        .mapInArrow(_arrays(k), "comp long, node long, block int, n_blocks int, elements array<bigint>")
-    )
-    placed = sets.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).select(
-        "comp", F.least("block", "j").alias("p"), F.greatest("block", "j").alias("q"), "node", F.expr("block <= j").alias("left_side"), "elements"
+        .select("c", "over", "hub_over", F.coalesce("node_class", "node").alias("a"), F.coalesce("hub_class", "hub").alias("b"))
+        .where("a <> b").distinct()
     )
-    verified = placed.groupBy("comp", "p", "q").applyInArrow(_links_in_block, "a long, b long")
+    # Both sets have c elements in common, one has ``over`` more and the hub ``hub_over``.
+    proven = edges.where("c > 0 AND 100 * c >= 90 * (c + over + hub_over)").select("a", "b")
+    verified = _heavy_links(edges.where("c = 0").select("a", "b"), texts, k, scratch)
     links = scratch.save(proven.union(verified).union(joined))
     comps = scratch.save(connected_components(links, scratch))
 

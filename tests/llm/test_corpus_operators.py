@@ -96,6 +96,7 @@ def test_ngram_jaccard(spark, boundary):
 
 def test_jaccard_blocks(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 4)
+    monkeypatch.setattr(jaccard_join, "BLOCK_ELEMENTS", 900)
     base = [f"w{i}" for i in range(300)]
     rows = [(j, " ".join(base[j % 7 : 280 + j])) for j in range(18)] + [(99, "other words here entirely")]
     want = _components(_sets(rows))
