@@ -16,7 +16,7 @@ from .line_dedup import dedup_lines
 from .mixing import mix_sources
 from .secret_scan import BASE, RULES, secret_spans
 from .toxicity import toxicity
-from .url_filter import filter_urls
+from .url_filter import FANOUT, FANOUT_SHARE, NAMED, PRIOR, PRIOR_WEIGHT, REJECT, SIMILAR_Z, UNLABELLED, filter_urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -120,6 +120,63 @@ def _secret_sql() -> str:
     """
 
 
+def _url_sql(levels: int = 8) -> str:
+    """The path-template tree with its levels unrolled; deeper levels, of which the tables have none, would stay as they are."""
+    ctes = [r"""
+        u AS (
+            SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+        ), p AS (
+            SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+            FROM u
+        ), rules(target, verdict) AS (
+            VALUES ('net/', 'block'), ('example.net/en/', 'allow'), ('example.com/de/', 'block'), ('org/fr/', 'allow')
+        ), r AS (
+            SELECT page_id, host, path, arg_max(target, length(target)) AS rule, arg_max(rules.verdict, length(target)) AS label,
+                   string_split(regexp_replace(regexp_replace(path, '^/', ''), '[0-9]+', '*', 'g'), '/') AS shape
+            FROM p LEFT JOIN rules
+              ON (host = split_part(target, '/', 1) OR ends_with(host, '.' || split_part(target, '/', 1)))
+             AND starts_with(path, substr(target, strpos(target, '/')))
+            GROUP BY page_id, host, path
+        ), t0 AS (
+            SELECT host, shape, shape AS t, count(*) AS n, count(*) FILTER (label = 'block') AS b, count(label) AS l FROM r GROUP BY ALL
+        )"""]
+    mean = "(({0} + lag({0}) OVER w) / (n + lag(n) OVER w))"
+    z = f"abs({{0}} / n - lag({{0}}) OVER w / lag(n) OVER w) / sqrt(greatest(({{0}}2 + lag({{0}}2) OVER w) / (n + lag(n) OVER w) - {mean} * {mean}, 1e-9) * (1 / n + 1 / lag(n) OVER w))"
+    pooled = "((b + lag(b) OVER w + 1) / (l + lag(l) OVER w + 2))"
+    labels = f"CASE WHEN l > 0 AND lag(l) OVER w > 0 THEN abs(b / l - lag(b) OVER w / lag(l) OVER w) / sqrt({pooled} * (1 - {pooled}) * (1 / l + 1 / lag(l) OVER w)) ELSE 0 END"
+    for k in range(1, levels + 1):
+        ctes.append(f"""
+        h{k} AS (
+            SELECT *, array_to_string(t[1:{k - 1}], '/') AS parent, t[{k}] AS seg, length(array_to_string(t[{k + 1}:], '/')) AS rest, len(t) - {k} AS below FROM t{k - 1}
+        ), c{k} AS (
+            SELECT host, parent, seg, CAST(sum(n) AS DOUBLE) AS n, CAST(sum(b) AS DOUBLE) AS b, CAST(sum(l) AS DOUBLE) AS l, CAST(sum(n * rest) AS DOUBLE) AS length, CAST(sum(n * rest * rest) AS DOUBLE) AS length2,
+                   CAST(sum(n * below) AS DOUBLE) AS depth, CAST(sum(n * below * below) AS DOUBLE) AS depth2 FROM h{k} WHERE seg IS NOT NULL GROUP BY ALL
+        ), f{k} AS (
+            SELECT *, count(*) OVER f >= {FANOUT} AND (count(*) OVER f >= {FANOUT_SHARE} * sum(n) OVER f OR count(*) OVER f > {NAMED}) AS variable FROM c{k} WINDOW f AS (PARTITION BY host, parent)
+        ), o{k} AS (
+            SELECT *, CASE WHEN lag(n) OVER w IS NULL THEN 1 WHEN {z.format('length')} < {SIMILAR_Z} AND {z.format('depth')} < {SIMILAR_Z} AND {labels} < {SIMILAR_Z} THEN 0 ELSE 1 END AS opens
+            FROM f{k} WHERE NOT variable WINDOW w AS (PARTITION BY host, parent ORDER BY length / n, seg)
+        ), r{k} AS (
+            SELECT *, sum(opens) OVER (PARTITION BY host, parent ORDER BY length / n, seg) AS run FROM o{k}
+        ), m{k} AS (
+            SELECT host, parent, seg, '*' AS name FROM f{k} WHERE variable
+            UNION ALL SELECT host, parent, seg, CASE WHEN count(*) OVER x > 1 THEN '~' || min(seg) OVER x ELSE seg END FROM r{k} WINDOW x AS (PARTITION BY host, parent, run)
+        ), t{k} AS (
+            SELECT host, shape, CASE WHEN seg IS NULL THEN t ELSE list_concat(t[1:{k - 1}], [name], t[{k + 1}:]) END AS t, n, b, l FROM h{k} LEFT JOIN m{k} USING (host, parent, seg)
+        )""")
+    ctes.append(f"""
+        pool AS (
+            SELECT host, t, sum(n) AS n, sum(b) AS b, sum(l) AS l FROM t{levels} GROUP BY ALL
+        ), everywhere AS (
+            SELECT t, {PRIOR_WEIGHT}::DOUBLE + (sum(n) - sum(l)) / {UNLABELLED}::DOUBLE AS weight, (sum(b) + {PRIOR}::DOUBLE * weight) / (sum(l) + weight) AS prior FROM pool GROUP BY t
+        ), judged AS (
+            SELECT host, shape, {PRIOR_WEIGHT}::DOUBLE + (pool.n - pool.l) / {UNLABELLED}::DOUBLE AS weight, (pool.b + prior * weight) / (pool.l + weight) >= {REJECT} AS rejected
+            FROM t{levels} JOIN pool USING (host, t) JOIN (SELECT t, prior FROM everywhere) e USING (t)
+        )""")
+    return f"WITH {','.join(ctes)} SELECT page_id, host, path, rule, coalesce(label, CASE WHEN rejected THEN 'block' ELSE 'allow' END) AS verdict FROM r JOIN judged USING (host, shape)"
+
+
 ORACLE: dict[str, str] = {
     "op5_secret_scan": _secret_sql(),
     "op1_exact_dedup": """
@@ -163,25 +220,7 @@ ORACLE: dict[str, str] = {
                sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
         FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
     """,
-    # Without labels of its own no template here is rejected, so pages without a rule are allowed.
-    "op6_url_filter": r"""
-        WITH u AS (
-            SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
-        ), p AS (
-            SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-                   regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
-            FROM u
-        ), rules(target, verdict) AS (
-            VALUES ('net/', 'block'), ('example.net/en/', 'allow'), ('example.com/de/', 'block'), ('org/fr/', 'allow')
-        ), r AS (
-            SELECT page_id, host, path, arg_max(target, length(target)) AS rule, arg_max(rules.verdict, length(target)) AS verdict
-            FROM p LEFT JOIN rules
-              ON (host = split_part(target, '/', 1) OR ends_with(host, '.' || split_part(target, '/', 1)))
-             AND starts_with(path, substr(target, strpos(target, '/')))
-            GROUP BY page_id, host, path
-        )
-        SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM r
-    """,
+    "op6_url_filter": _url_sql(),
     "op8_html_text": r"""
         WITH a AS (
             SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(</article>|$)', 1) AS body FROM pages

@@ -2,35 +2,39 @@
 
 Explicit rules decide first: a rule fits its host and all subdomains if the path starts with the rule's
 path, and the longest fitting rule wins. The pages they decide are the labels for the rest. Per host the
-paths form a tree of segments: digit runs become wildcards, a position whose children are nearly all
-different becomes a wildcard, and sibling branches whose labelled block rates do not differ
-significantly are merged. A template is rejected if its labelled purity, smoothed towards PRIOR, reaches
-REJECT; pages without a rule take their template's verdict.
+paths form a tree of segments, digit runs being wildcards from the start. Level by level, a position whose
+children are nearly all different, or more than NAMED, becomes a wildcard; of the named children, in the
+order of the mean length of what follows, each is compared with the one before it, and they merge if
+neither length nor depth of what follows nor, where both have labels, their block rates differ
+significantly. So branches without labels join labelled ones that are built alike. A template's block
+rate is smoothed towards that of equal templates on all hosts, and that one towards PRIOR; templates that
+reach REJECT are rejected, and pages without a rule take their template's verdict.
 
 The tree is built on distinct (host, path shape) rows with counts, so a host with a third of all pages
 is aggregated on the map side; pages meet their template again in one join on (host, shape), which
-adaptive execution splits where a host is hot.
+adaptive execution splits where a host is hot. A window sees NAMED rows at most.
 
-Defined cases: a null url, or one without ``://``, has an empty host and path and no rule; segments
-beyond MAX_DEPTH are one wildcard tail; pages of templates without labels are allowed; repeated rows
-each get their row; a null page_id passes through; extra columns are ignored.
+Defined cases: a null url, or one without ``://``, has an empty host and path and no rule, and such pages
+form a host of their own; paths may have any depth, and levels at which no host's paths differ cost
+nothing; a template without labels on any host has PRIOR and is allowed; repeated rows each get their
+row; a null page_id passes through; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch
 
-MAX_DEPTH = 8
-#: A position is variable from this many children, if they are at least this share of its pages.
-FANOUT, FANOUT_SHARE = 8, 0.5
-#: Labelled pages from which a branch's rate is compared with its siblings', and the z limit of a match.
-MIN_LABELLED, SIMILAR_Z = 5, 1.96
-PRIOR, PRIOR_WEIGHT, REJECT = 0.5, 2.0, 0.8
+#: A position is variable from FANOUT children, if they are at least FANOUT_SHARE of its pages or more than NAMED.
+FANOUT, FANOUT_SHARE, NAMED = 8, 0.5, 64
+#: The z value from which two branches differ.
+SIMILAR_Z = 1.96
+#: The prior counts as PRIOR_WEIGHT labelled pages and one more for each UNLABELLED pages without label.
+PRIOR, PRIOR_WEIGHT, UNLABELLED, REJECT = 0.5, 2.0, 2.0, 0.8
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -77,9 +81,42 @@ def decide(rules: tuple[UrlRule, ...] = RULES) -> Column:
 
 
 def shape(path: Column) -> Column:
-    """Segments of a path with digit runs as wildcards; what lies beyond MAX_DEPTH is one tail."""
-    segments = F.split(F.regexp_replace(F.regexp_replace(path, r"^/", ""), r"[0-9]+", "*"), "/", -1)
-    return F.when(F.size(segments) > MAX_DEPTH, F.concat(F.slice(segments, 1, MAX_DEPTH), F.array(F.lit("**")))).otherwise(segments)
+    """Segments of a path with digit runs as wildcards."""
+    return F.split(F.regexp_replace(F.regexp_replace(path, r"^/", ""), r"[0-9]+", "*"), "/", -1)
+
+
+def _z(total: str, square: str) -> Column:
+    """z value of the difference between this branch's mean and the one before it, by their common variance."""
+    n = F.col("n") + F.col("n_before")
+    mean = (F.col(total) + F.col(f"{total}_before")) / n
+    variance = F.greatest((F.col(square) + F.col(f"{square}_before")) / n - mean * mean, F.lit(1e-9))
+    gap = F.abs(F.col(total) / F.col("n") - F.col(f"{total}_before") / F.col("n_before"))
+    return gap / F.sqrt(variance * (1 / F.col("n") + 1 / F.col("n_before")))
+
+
+def _label_z() -> Column:
+    pooled = (F.col("b") + F.col("b_before") + 1) / (F.col("l") + F.col("l_before") + 2)
+    gap = F.abs(F.col("b") / F.col("l") - F.col("b_before") / F.col("l_before"))
+    both = (F.col("l") > 0) & (F.col("l_before") > 0)
+    return F.when(both, gap / F.sqrt(pooled * (1 - pooled) * (1 / F.col("l") + 1 / F.col("l_before")))).otherwise(0.0)
+
+
+def _renamed(children: DataFrame) -> DataFrame:
+    """(host, parent, seg, to): children that a wildcard or a merged branch replaces."""
+    keys = ["host", "parent"]
+    family = children.groupBy(*keys).agg(F.count("*").alias("fan"), F.sum("n").alias("all"))
+    variable = (F.col("fan") >= FANOUT) & ((F.col("fan") >= F.col("all") * FANOUT_SHARE) | (F.col("fan") > NAMED))
+    marked = children.join(family.where("fan > 1").select(*keys, variable.alias("variable")), keys)
+    wild = marked.where("variable").select(*keys, "seg", F.lit("*").alias("to"))
+    order = Window.partitionBy(*keys).orderBy(F.col("length") / F.col("n"), "seg")
+    stats = ("n", "b", "l", "length", "length2", "depth", "depth2")
+    named = marked.where("NOT variable").select("*", *(F.lag(c).over(order).alias(f"{c}_before") for c in stats))
+    alike = (_z("length", "length2") < SIMILAR_Z) & (_z("depth", "depth2") < SIMILAR_Z) & (_label_z() < SIMILAR_Z)
+    opens = F.when(F.col("n_before").isNull(), 1).when(alike, 0).otherwise(1)
+    runs = named.withColumn("opens", opens).withColumn("run", F.sum("opens").over(order))
+    run = Window.partitionBy(*keys, "run")
+    merged = runs.select(*keys, "seg", F.count("*").over(run).alias("members"), F.concat(F.lit("~"), F.min("seg").over(run)).alias("to"))
+    return wild.where("seg <> '*'").unionByName(merged.where("members > 1").drop("members"))
 
 
 def path_templates(labelled: DataFrame, scratch: Scratch) -> DataFrame:
@@ -92,30 +129,38 @@ def path_templates(labelled: DataFrame, scratch: Scratch) -> DataFrame:
         .agg(F.count("*").alias("n"), F.count_if(F.col("label") == "block").alias("n_block"), F.count("label").alias("n_labelled"))
         .withColumn("template", F.col("shape"))
     )
-    depth = tree.agg(F.max(F.size("template"))).first()[0] or 0
-    for k in range(1, depth + 1):
+    # Levels at which the paths of some host differ; one small integer for each.
+    places = tree.select("host", F.posexplode("template").alias("k", "seg")).groupBy("host", "k").agg(F.min("seg").alias("low"), F.max("seg").alias("high"))
+    levels = sorted(r[0] + 1 for r in places.where("low <> high").select("k").distinct().collect())
+    for k in levels:
         parent = F.concat_ws("/", F.slice("template", 1, k - 1)) if k > 1 else F.lit("")
         here = tree.withColumn("parent", parent).withColumn("seg", F.get("template", F.lit(k - 1)))
+        rest = F.length(F.concat_ws("/", F.slice("template", k + 1, 2**31 - 1)))
+        below = F.size("template") - k
         children = scratch.save(
-            here.where("seg IS NOT NULL").groupBy("host", "parent", "seg").agg(F.sum("n").alias("n"), F.sum("n_block").alias("b"), F.sum("n_labelled").alias("l"))
+            here.where("seg IS NOT NULL").groupBy("host", "parent", "seg").agg(
+                F.sum("n").alias("n"), F.sum("n_block").alias("b"), F.sum("n_labelled").alias("l"), F.sum(F.col("n") * rest).alias("length"),
+                F.sum(F.col("n") * rest * rest).alias("length2"), F.sum(F.col("n") * below).alias("depth"), F.sum(F.col("n") * below * below).alias("depth2"),
+            )
         )
-        compared = F.col("l") >= MIN_LABELLED
-        family = children.groupBy("host", "parent").agg(
-            F.count("*").alias("fan"), F.sum("n").alias("all"), F.sum(F.when(compared, F.col("b"))).alias("fb"), F.sum(F.when(compared, F.col("l"))).alias("fl"),
-        )
-        rate = F.col("fb") / F.col("fl")
-        z = F.abs(F.col("b") - F.col("l") * rate) / F.sqrt(F.greatest(F.col("l") * rate * (1 - rate), F.lit(1e-9)))
-        name = F.when((F.col("fan") >= FANOUT) & (F.col("fan") >= F.col("all") * FANOUT_SHARE), F.lit("*")).when(compared & (z < SIMILAR_Z), F.lit("~"))
-        renamed = children.join(family, ["host", "parent"]).select("host", "parent", "seg", name.alias("to")).where("to IS NOT NULL AND to <> seg")
+        renamed = scratch.save(_renamed(children))
+        if renamed.isEmpty():
+            if here.where("seg IS NOT NULL").groupBy("host", "parent").agg(F.min("template").alias("low"), F.max("template").alias("high")).where("low <> high").isEmpty():
+                break  # below here no branch has a sibling
+            continue
         tree = scratch.save(
             here.join(renamed, ["host", "parent", "seg"], "left")
             .withColumn("template", F.when(F.col("to").isNull(), F.col("template")).otherwise(
-                F.concat(F.slice("template", 1, k - 1), F.array("to"), F.slice("template", k + 1, MAX_DEPTH + 1))))
+                F.concat(F.slice("template", 1, k - 1), F.array("to"), F.slice("template", k + 1, 2**31 - 1))))
             .select("host", "shape", "n", "n_block", "n_labelled", "template")
         )
-    pools = tree.groupBy("host", "template").agg(F.sum("n_block").alias("b"), F.sum("n_labelled").alias("l"))
-    purity = (F.col("b") + PRIOR * PRIOR_WEIGHT) / (F.col("l") + PRIOR_WEIGHT)
-    return tree.join(pools, ["host", "template"]).select(
+    pools = tree.groupBy("host", "template").agg(F.sum("n").alias("n"), F.sum("n_block").alias("b"), F.sum("n_labelled").alias("l"))
+    everywhere = pools.groupBy("template").agg(F.sum("n").alias("all_n"), F.sum("b").alias("all_b"), F.sum("l").alias("all_l"))
+    weight = PRIOR_WEIGHT + (F.col("n") - F.col("l")) / UNLABELLED
+    all_weight = PRIOR_WEIGHT + (F.col("all_n") - F.col("all_l")) / UNLABELLED
+    common = (F.col("all_b") + PRIOR * all_weight) / (F.col("all_l") + all_weight)
+    purity = (F.col("b") + common * weight) / (F.col("l") + weight)
+    return tree.drop("n").join(pools.join(everywhere, "template"), ["host", "template"]).select(
         "host", "shape", F.concat_ws("/", "template").alias("template"), F.col("b").alias("n_block"), F.col("l").alias("n_labelled"),
         purity.alias("purity"), (purity >= REJECT).alias("rejected"),
     )

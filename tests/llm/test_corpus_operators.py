@@ -2,8 +2,10 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -239,25 +241,85 @@ def test_url_filter(spark):
     assert url_filter.filter_urls(pages.limit(0)).count() == 0
 
 
-def test_url_templates_follow_purity(spark):
-    rules = (url_filter.UrlRule("block", "x.test/spam/a"), url_filter.UrlRule("allow", "x.test/news/"))
-    urls = [f"http://x.test/spam/a{i}" for i in range(40)] + ["http://x.test/spam/77", "http://x.test/news/1", "http://x.test/other/1"] + [f"http://x.test/spam/b{i}x{'qwertyuiopasdfghjkl'[i]}" for i in range(12)]
-    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
-    got = {u: r.verdict for r, u in ((r, urls[r.page_id]) for r in url_filter.filter_urls(pages, rules).collect())}
-    assert got["http://x.test/news/1"] == got["http://x.test/other/1"] == "allow" and got["http://x.test/spam/a3"] == "block"
+def _tree_verdicts(pages, rules):
+    """Verdicts of (host, path) pages by the template tree, one page and one branch at a time."""
+    U = url_filter
+    rows = []
+    for host, path in pages:
+        fits = [r for r in rules if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+        label = max(fits, key=lambda r: len(r.target)).verdict if fits else None
+        rows.append([host, tuple(re.sub("[0-9]+", "*", re.sub("^/", "", path)).split("/")), label])
+    z = lambda x, y: abs(statistics.mean(x) - statistics.mean(y)) / math.sqrt(max(statistics.pvariance(x + y), 1e-9) * (1 / len(x) + 1 / len(y)))
+    for k in range(max((len(t) for _, t, _ in rows), default=0)):
+        families = collections.defaultdict(lambda: collections.defaultdict(list))
+        for row in rows:
+            if len(row[1]) > k:
+                families[row[0], row[1][:k]][row[1][k]].append(row)
+        for branches in families.values():
+            if len(branches) >= U.FANOUT and (len(branches) >= U.FANOUT_SHARE * sum(map(len, branches.values())) or len(branches) > U.NAMED):
+                groups = [("*", list(branches))]
+            else:
+                length = lambda s: [len("/".join(r[1][k + 1 :])) for r in branches[s]]
+                depth = lambda s: [len(r[1]) - k - 1 for r in branches[s]]
+                runs = []
+                for seg in sorted(branches, key=lambda s: (statistics.mean(length(s)), s)):
+                    blocked = lambda s: [float(r[2] == "block") for r in branches[s] if r[2]]
+                    alike = bool(runs) and all(z(f(seg), f(runs[-1][-1])) < U.SIMILAR_Z for f in (length, depth))
+                    if alike and blocked(seg) and blocked(runs[-1][-1]):
+                        x, y = blocked(seg), blocked(runs[-1][-1])
+                        p = (sum(x) + sum(y) + 1) / (len(x) + len(y) + 2)
+                        alike = abs(statistics.mean(x) - statistics.mean(y)) / math.sqrt(p * (1 - p) * (1 / len(x) + 1 / len(y))) < U.SIMILAR_Z
+                    if alike:
+                        runs[-1].append(seg)
+                    else:
+                        runs.append([seg])
+                groups = [("~" + min(run) if len(run) > 1 else run[0], run) for run in runs]
+            for name, segs in groups:
+                for seg in segs:
+                    for row in branches[seg]:
+                        row[1] = (*row[1][:k], name, *row[1][k + 1 :])
+
+    def rate(some, prior):
+        known = [r[2] == "block" for r in some if r[2]]
+        weight = U.PRIOR_WEIGHT + (len(some) - len(known)) / U.UNLABELLED
+        return (sum(known) + prior * weight) / (len(known) + weight)
+
+    out = []
+    for host, t, label in rows:
+        prior = rate([r for r in rows if r[1] == t], U.PRIOR)
+        out.append(label or ("block" if rate([r for r in rows if r[:2] == [host, t]], prior) >= U.REJECT else "allow"))
+    return out
 
 
-def test_url_template_blocks_pages_without_rule(spark):
-    """A wildcard of nearly all different names joins pages without a rule to labelled ones, of which most are blocked."""
-    rules = (url_filter.UrlRule("block", "x.test/spam/a"), url_filter.UrlRule("allow", "x.test/news/a"))
-    names = [a + b for a in "qwertyuiop" for b in "sdfg"]
-    urls = [f"http://x.test/{top}/a{n}" for top in ("spam", "news") for n in names]
-    free = ["http://x.test/spam/zoo", "http://x.test/spam/yak", "http://x.test/news/zoo", "http://x.test/else/zoo", "http://y.test/spam/zoo"]
+def test_url_tree_against_brute_force(spark):
+    r = random.Random(6)
+    rules = (url_filter.UrlRule("block", "a.test/x/"), url_filter.UrlRule("allow", "a.test/y/"), url_filter.UrlRule("block", "b.test/"), url_filter.UrlRule("allow", "b.test/y/q"))
+    pages = []
+    for _ in range(900):
+        host = r.choice(("a.test", "w.a.test", "b.test", "c.test", "d.test"))
+        top = r.choice(("x", "y", "z", "zz", "v", "long-name"))
+        tail = {"x": f"{r.randrange(99)}/{r.choice('pqr')}", "y": f"q{r.randrange(40)}.html", "z": f"{r.randrange(99)}/{r.choice('pqr')}", "zz": "".join(r.choice("abcdefgh") for _ in range(4)), "v": "p/" * r.randrange(1, 5), "long-name": ""}[top]
+        pages.append((host, f"/{top}/{tail}"))
+    pages += [("e.test", "/" + "a/" * 60 + s) for s in ("b", "c")] + [("", ""), ("e.test", "")]
+    pages += [("f.test", f"/{a}{b}/") for a in "abcdefghijkl" for b in "mnopqrst" for _ in range(3)]  # more than NAMED children
+    urls = spark.createDataFrame([(i, f"http://{h}{p}" if h else None) for i, (h, p) in enumerate(pages)], "page_id long, url string")
+    got = {x.page_id: x for x in url_filter.filter_urls(urls, rules).collect()}
+    want = _tree_verdicts(pages, rules)
+    assert [got[i].verdict for i in range(len(pages))] == want
+    free = collections.Counter(want[i] for i in range(len(pages)) if got[i].rule is None)
+    assert free["block"] > 20 and free["allow"] > 20  # the tree decides either way
+
+
+def test_url_branches_join_labelled_ones(spark):
+    """A branch without labels is blocked with one that is built alike, and allowed where the structure differs."""
+    rules = (url_filter.UrlRule("block", "x.test/spam/"), url_filter.UrlRule("allow", "x.test/news/"))
+    urls = [f"http://x.test/spam/{i}/win" for i in range(60)] + [f"http://x.test/news/{i}/story/in/full.html" for i in range(60)]
+    free = [f"http://x.test/offers/{i}/win" for i in range(9)] + [f"http://x.test/world/{i}/story/in/full.html" for i in range(9)]
     pages = spark.createDataFrame(list(enumerate(urls + free)), "page_id long, url string")
-    got = {(urls + free)[r.page_id]: r for r in url_filter.filter_urls(pages, rules).collect()}
-    assert [got[u].rule for u in free] == [None] * 5
-    assert [got[u].verdict for u in free] == ["block", "block", "allow", "allow", "allow"]
-    assert got[free[0]].template == got[urls[0]].template == "spam/*" and abs(got[free[0]].purity - 41 / 42) < 1e-12
+    got = {(urls + free)[x.page_id]: x for x in url_filter.filter_urls(pages, rules).collect()}
+    assert [got[u].rule for u in free] == [None] * 18
+    assert [got[u].verdict for u in free] == ["block"] * 9 + ["allow"] * 9
+    assert got[free[0]].template == got[urls[0]].template == "~offers/*/win"
 
 
 def test_html_text():
