@@ -9,10 +9,11 @@ The template is ``<|im_start|>role\\ntext<|im_end|>\\n`` for each turn. Inside t
 is doubled and ``<|`` becomes ``<\\|``, in roles a line feed becomes ``\\n``, so control strings in a text
 stay text and unescaping is exact. The loss mask covers the assistant texts.
 
-Defined cases: null text or role counts as empty; a null or unknown parent makes a root; repeated
-(tree, node) rows count once, the smallest (parent, role, text) staying; messages on or below a parent
-cycle have no root and are on no path; null scores count 0; score ties go to the smaller leaf; extra
-columns are ignored.
+Defined cases: null text or role counts as empty; messages of a null tree are one tree whose id is null; a
+null or unknown parent makes a root; a message without a node id is on no path; repeated (tree, node)
+rows count once, the smallest (parent, role, text) staying; messages on or below a parent cycle have no
+root and are on no path; null scores count 0; score ties go to the smaller leaf; texts of any length are
+kept whole; no messages give no rows; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -81,29 +82,24 @@ def reply_paths(messages: DataFrame, scratch: Scratch, top: int = 1) -> DataFram
 def format_conversations(messages: DataFrame, top: int = 1) -> DataFrame:
     """One row per chosen path: tree, leaf, branch, conversation, loss (code-point spans of assistant texts)."""
     scratch = Scratch(messages.sparkSession, "chat")
+    kind = messages.schema["tree"].dataType
+    # A null tree is a tree: ids travel with a sign in front, which no null has.
+    named = F.when(F.col("tree").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col("tree").cast("string")))
+    messages = messages.select(named.alias("tree"), "node", "parent", "score", "role", "text")
     path = reply_paths(messages, scratch, top)
     texts = messages.groupBy("tree", "node").agg(F.min(F.struct("parent", "role", "text")).alias("m")).select("tree", "node", "m.role", "m.text")
     turns = path.join(texts, ["tree", "node"]).select(
         "tree", "leaf", "branch", "pos", F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n")).alias("head"), escape(F.col("text")).alias("body"),
         (F.col("role") == "assistant").alias("loss"),
     )
-    listed = turns.groupBy("tree", "leaf", "branch").agg(F.array_sort(F.collect_list(F.struct("pos", "head", "body", "loss"))).alias("t"))
-    place = F.aggregate(
-        "t", F.expr("struct(0L as at, cast(array() as array<struct<start: bigint, end: bigint>>) as spans)"),
-        lambda acc, t: F.struct(
-            (acc["at"] + F.length(t["head"]) + F.length(t["body"]) + len(END)).cast("long").alias("at"),
-            F.when(
-                F.coalesce(t["loss"], F.lit(False)),
-                F.concat(acc["spans"], F.array(F.struct(
-                    (acc["at"] + F.length(t["head"])).cast("long").alias("start"),
-                    (acc["at"] + F.length(t["head"]) + F.length(t["body"])).cast("long").alias("end"),
-                ))),
-            ).otherwise(acc["spans"]).alias("spans"),
-        ),
-        lambda acc: acc["spans"],
-    )
+    branch = Window.partitionBy("tree", "leaf", "branch").orderBy("pos")
+    end = F.sum(F.length("head") + F.length("body") + len(END)).over(branch) - len(END)
+    turns = turns.withColumn("end", end.cast("long")).withColumn("start", F.col("end") - F.length("body"))
+    listed = turns.groupBy("tree", "leaf", "branch").agg(F.array_sort(F.collect_list(F.struct("pos", "head", "body", "loss", "start", "end"))).alias("t"))
+    place = F.transform(F.filter("t", lambda t: F.coalesce(t["loss"], F.lit(False))), lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end")))
     text = F.array_join(F.transform("t", lambda t: F.concat(t["head"], t["body"], F.lit(END))), "")
-    return listed.select("tree", "leaf", "branch", text.alias("conversation"), place.alias("loss"))
+    tree = F.when(F.col("tree") != "", F.substring("tree", 2, 2**31 - 1)).cast(kind)
+    return listed.select(tree.alias("tree"), "leaf", "branch", text.alias("conversation"), place.alias("loss"))
 
 
 def parse_turns(conversation: str) -> list[tuple[str, str]]:
@@ -132,7 +128,8 @@ def read_back(conversation: pd.Series, loss: pd.Series) -> pd.DataFrame:
 
 
 def linear_messages(turns: DataFrame) -> DataFrame:
-    """Messages of (conv_id, turn, role, text) rows: each turn replies to the one before it."""
+    """Messages of (conv_id, turn, role, text) rows: each turn replies to the one before it. Turns with equal
+    numbers, and repeated rows, all stay, by role and text; turns without a number come first."""
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     node = F.row_number().over(order).cast("long")
     return turns.select("conv_id", "turn", "role", "text").withColumn("node", node).select(

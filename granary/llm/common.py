@@ -9,23 +9,48 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN_DIRS: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared scratch folder; a private one only if the session names none (tests)."""
+    """The cluster's shared scratch folder; a private one only if a local session names none (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors reach")
     app = spark.sparkContext.applicationId
     if app not in _OWN_DIRS:
         _OWN_DIRS[app] = tempfile.mkdtemp(prefix="granary-")
     return _OWN_DIRS[app]
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with underscores added until no column of ``df`` is called so."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """64-bit digest of a row's id and text: rows with a null id, or sharing one, are told apart by it."""
+    return F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")), F.col(id_col).isNull())
+
+
+def without(docs: DataFrame, bad: DataFrame) -> DataFrame:
+    """``docs`` less the rows whose row_key is in ``bad(doc_id)``, columns unchanged."""
+    (key,) = fresh(docs, "row_key")
+    gone = bad.select(F.col("doc_id").alias(key)).distinct()
+    return docs.withColumn(key, row_key()).join(gone, key, "left_anti").select(*docs.columns)
+
+
 class Scratch:
     """Parquet tables in the shared folder that cut lineage between the steps of one operator."""
 

@@ -11,8 +11,10 @@ tasks in blocks of about BLOCK_BYTES; beyond one block each block makes its own
 hits are merged by document.
 
 Defined cases: null or wordless documents have no words and are clean; items without words match
-nothing; a repeated item_id counts once; items with a null id hit but are not listed; repeated rows
-each get their row; extra columns are ignored.
+nothing; item ids may be of any type and are listed as strings; a repeated item_id counts once and
+repeated items are one; items with a null id hit but are not listed; repeated rows each get their row, as
+do rows with a null or shared doc_id; long texts are searched whole; no documents or no items give no
+hits; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytetext as bt
-from .common import Scratch
+from .common import Scratch, row_key, without
 
 WINDOW = 13
 BLOCK_BYTES = 2 << 20
@@ -61,7 +63,7 @@ class Phrases:
         pairs = np.unique(np.stack([inverse.reshape(-1), owner], 1), axis=0) if len(rows) else np.zeros((0, 2), np.int64)
         self.item_of = pairs[:, 1]
         self.item_first = np.searchsorted(pairs[:, 0], np.arange(len(self.rows) + 1))
-        self.items = [None if i is None else int(i) for i, _ in items]
+        self.items = [i for i, _ in items]
         self.shortest = int(self.length.min()) if len(self.rows) else 0
 
     def codes(self, w: bt.Words) -> np.ndarray:
@@ -254,7 +256,7 @@ class _Shard:
         struct = pa.StructArray.from_arrays([pa.array(h, pa.int64()) for h in hits], ["word", "start", "end"])
         return pa.RecordBatch.from_arrays(
             [ids, pa.array(n_words), pa.ListArray.from_arrays(pa.array(hit_first, pa.int32()), struct),
-             pa.ListArray.from_arrays(pa.array(item_first, pa.int32()), pa.array(item_ids, pa.int64()))],
+             pa.ListArray.from_arrays(pa.array(item_first, pa.int32()), pa.array(item_ids, pa.string()))],
             ["doc_id", "n_words", "hits", "items"],
         )
 
@@ -273,23 +275,25 @@ def _scan(broadcast):
     return run
 
 
-_SCHEMA = "doc_id long, n_words long, hits array<struct<word: bigint, start: bigint, end: bigint>>, items array<bigint>"
+_SCHEMA = "doc_id long, n_words long, hits array<struct<word: bigint, start: bigint, end: bigint>>, items array<string>"
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, items (ids with occurrences), spans (merged runs of
     hit words: word range and code-point range to remove), contaminated (hit words are 5 % or more)."""
     spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    items = benchmark.select(F.col("item_id").cast("string"), F.coalesce("text", F.lit("")).alias("text")).distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    passes = []
+    scratch, passes = Scratch(spark, "decontaminate"), []
     for b in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) if blocks > 1 else items
-        phrases = Phrases([tuple(r) for r in part.collect()], window)  # about block_bytes of benchmark text
-        passes.append(spark.sparkContext.broadcast(phrases))
-    found = texts.mapInArrow(_scan(passes[0]), _SCHEMA) if blocks == 1 else _merge_passes(texts, passes)
+        phrases = spark.sparkContext.broadcast(Phrases([tuple(r) for r in part.collect()], window))  # about block_bytes of benchmark text
+        if blocks > 1:
+            passes.append(scratch.save(texts.withColumn("sha", F.sha2(F.coalesce("text", F.lit("")), 256)).mapInArrow(_scan_keyed(phrases), _SCHEMA + ", sha string")))
+            phrases.unpersist()
+    found = texts.mapInArrow(_scan(phrases), _SCHEMA) if blocks == 1 else _merge_passes(passes)
     joined = F.aggregate(
         F.array_sort("hits"),
         F.expr("cast(array() as array<struct<word: bigint, last: bigint, start: bigint, end: bigint>>)"),
@@ -308,18 +312,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     )
 
 
-def _merge_passes(texts: DataFrame, blocks: list) -> DataFrame:
+def _merge_passes(passes: list[DataFrame]) -> DataFrame:
     """Hits of all passes by document; rows repeated with the same id and text have the same hits."""
-    tagged = texts.withColumn("sha", F.sha2(F.coalesce("text", F.lit("")), 256))
-    union = None
-    for broadcast in blocks:
-        one = tagged.mapInArrow(_scan_keyed(broadcast), _SCHEMA + ", sha string")
-        union = one if union is None else union.unionByName(one)
+    union = passes[0]
+    for one in passes[1:]:
+        union = union.unionByName(one)
     return (
         union.groupBy("doc_id", "sha")
         .agg(
             F.first("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"),
-            F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), (F.count("*") / len(blocks)).cast("long").alias("m"),
+            F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), (F.count("*") / len(passes)).cast("long").alias("m"),
         )
         .withColumn("copy", F.explode(F.expr("sequence(1L, m)")))
         .select("doc_id", "n_words", "hits", "items")
@@ -339,7 +341,8 @@ def _scan_keyed(broadcast):
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the contaminated ones, columns unchanged."""
+    """``docs`` without the contaminated rows, columns unchanged; each row is judged by its own text,
+    also where ids are null or shared."""
     scratch = Scratch(docs.sparkSession, "decontaminate-drop")
-    bad = scratch.save(contamination(docs, benchmark).where("contaminated").select("doc_id").distinct())
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    keyed = docs.select(row_key().alias("doc_id"), "text")
+    return without(docs, scratch.save(contamination(keyed, benchmark).where("contaminated").select("doc_id")))

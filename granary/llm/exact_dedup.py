@@ -11,7 +11,8 @@ second join on the block itself.
 
 Defined cases: null text counts as empty, and empty texts are equal; a null doc_id is a document of
 its own and never wins over another id; rows repeated with the same doc_id and text all come back and
-count in group_size; extra columns are ignored.
+count in group_size, but one of them at most is kept; so is one of a group of null ids only; texts of any
+length are compared whole; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, fresh
 
 BLOCK_CHARS = 4096
 
@@ -99,7 +100,7 @@ def identities(
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS, **how) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
-    Of equal texts the row with the largest id stays (``keep_id``).
+    Of equal texts the row with the largest id stays (``keep_id``); of such rows repeated, one.
     """
     scratch = Scratch(docs.sparkSession, "exact-dedup")
     ids = scratch.save(identities(docs, scratch, id_col, text_col, block_chars, **how))
@@ -108,19 +109,22 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         ids.join(groups, ["level", "name"])
         .withColumn("copy", F.explode(F.expr("sequence(1L, m)")))
         .select(
-            F.col("id").alias("doc_id"), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"),
+            F.col("id").alias("doc_id"), "keep_id", "group_size", (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"),
             F.lower(F.hex("sha")).alias("text_sha256"),
         )
     )
 
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
-    """``documents`` with one row for each distinct text, columns unchanged."""
+    """``documents`` with one row for each distinct text, columns unchanged; of rows that repeat the id and
+    text that stay, any one."""
     scratch = Scratch(docs.sparkSession, "exact-drop")
-    verdict = scratch.save(exact_dedup(docs).where("kept").groupBy("doc_id", "text_sha256").agg(F.count("*").alias("rows")))
-    sha = F.sha2(F.coalesce("text", F.lit("")), 256)
-    v = verdict.select(F.col("doc_id").alias("v_id"), F.col("text_sha256").alias("v_sha"))
-    kept = docs.withColumn("v_text_sha", sha).join(v, F.expr("doc_id <=> v_id AND v_text_sha = v_sha"), "left_semi")
-    if not verdict.where("rows > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id", "v_text_sha"])
-    return kept.drop("v_text_sha")
+    best = exact_dedup(docs).where("doc_id <=> keep_id")
+    best = scratch.save(best.groupBy("doc_id", "text_sha256").agg(F.count("*").alias("rows")))
+    sha, best_id, best_sha = fresh(docs, "text_sha", "best_id", "best_sha")
+    v = best.select(F.col("doc_id").alias(best_id), F.col("text_sha256").alias(best_sha))
+    texts = docs.withColumn(sha, F.sha2(F.coalesce("text", F.lit("")), 256))
+    kept = texts.join(v, F.col("doc_id").eqNullSafe(F.col(best_id)) & (F.col(sha) == F.col(best_sha)), "left_semi")
+    if not best.where("rows > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id", sha])
+    return kept.drop(sha)

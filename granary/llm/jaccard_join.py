@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytetext as bt
-from .common import Scratch, connected_components
+from .common import Scratch, connected_components, fresh
 
 #: Largest size that may be handled by subsets.
 MAX_LIGHT = 26
@@ -360,7 +360,9 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` with the smallest doc_id of each component, columns unchanged."""
+    """``docs`` with the smallest doc_id of each component, columns unchanged. Rows that share a doc_id are
+    one document and go or stay together; rows with a null doc_id stay, and so do empty texts."""
     scratch = Scratch(docs.sparkSession, "jaccard-drop")
-    gone = scratch.save(ngram_jaccard_components(docs).where("doc_id <> component_id").select("doc_id").distinct())
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    (own,) = fresh(docs, "copy_id")
+    gone = scratch.save(ngram_jaccard_components(docs).where("doc_id <> component_id").select(F.col("doc_id").alias(own)).distinct())
+    return docs.join(gone, F.col("doc_id") == F.col(own), "left_anti")

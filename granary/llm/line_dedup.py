@@ -8,27 +8,35 @@ occur more than once in the corpus are removed everywhere but at their first occ
 then position), after their bytes have been compared. Overlapping and adjacent chunks grow into one passage,
 line by line, as far as the copies agree; every removed line stands in an earlier place that is kept.
 
+A copy then grows beyond its lines: as many bytes of the line before it and of the line after it go as
+agree with what stands beside the first occurrence, cut back to a word, so a passage pasted into the middle
+of a sentence goes whole. Every removed stretch stands in an earlier place that is kept.
+
 Chunk counts are combined in the tasks before they are shuffled, so a passage shared by a third of the
 documents is sent once per task. Chunks travel as hashes and numbers; their bytes only where the hash is
 repeated. Whole texts move twice, to spell those chunks and to cut the documents; a hot chunk's rows are
 spread by adaptive skew handling and its texts combine on the map side.
 
-Defined cases: null text has no lines and stays null; lines without words count for no window, but those
-inside a passage go with it; rows with equal doc_id and text are one document and keep the same text; a null
-doc_id sorts first; extra columns are kept.
+Defined cases: null text has no lines and stays null, empty text stays empty; lines without words count for
+no window, but those inside a passage go with it; rows with equal doc_id and text are one document and keep
+the same text; a null doc_id sorts first; long texts are read whole; an empty table gives an empty one;
+extra columns are kept, but columns called removed_chunks, removed_lines and removed_chars are replaced by
+the result's own.
 """
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bytetext as bt
-from .common import Scratch
+from .common import Scratch, fresh
 
 ROLL = 2
 LONG_WORDS = 50
@@ -83,6 +91,9 @@ def line_chunks(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     return {
         "doc": owner, "no": np.arange(len(head)) - first[owner], "from": head - first_line[owner], "to": tail - first_line[owner],
         "start": start[head], "end": end[tail], "hash": digest, "first": first,
+        # where the line before begins and the one after ends; the chunk's own place where there is none
+        "before": np.where(head > first_line[owner], start[np.maximum(head - 1, 0)], start[head]),
+        "after": np.where(last[tail], end[tail], end[np.minimum(tail + 1, max(len(end) - 1, 0))]) if len(tail) else end[tail],
     }
 
 
@@ -117,13 +128,49 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text = [raw[s:e] for s, e in zip(c["start"][use].tolist(), c["end"][use].tolist(), strict=True)]
             points = bt.code_points(data)
             base = points[offsets[c["doc"][use]]]
+            before = [raw[s:e] for s, e in zip(c["before"][use].tolist(), c["start"][use].tolist(), strict=True)]
+            after = [raw[s:e] for s, e in zip(c["end"][use].tolist(), c["after"][use].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").take(rows), batch.column("row_key").take(rows), pa.array(c["no"][use]), pa.array(c["from"][use]), pa.array(c["to"][use]),
-                 pa.array(points[c["start"][use]] - base), pa.array(points[c["end"][use]] - base), pa.array(c["hash"][use].view(np.int64)), pa.array(text, pa.binary())],
-                ["doc_id", "row_key", "no", "from", "to", "start", "end", "h", "chunk"],
+                 pa.array(points[c["start"][use]] - base), pa.array(points[c["end"][use]] - base), pa.array(c["hash"][use].view(np.int64)),
+                 *(pa.array(x, pa.binary()) for x in (text, before, after))],
+                ["doc_id", "row_key", "no", "from", "to", "start", "end", "h", "chunk", "before", "after"],
             )
 
 
+def _common_start(a: bytes, b: bytes) -> bytes:
+    """What both begin with, in whole words."""
+    n = len(os.path.commonprefix([a, b]))
+    if all(n == len(x) or x[n : n + 1].isspace() for x in (a, b)):
+        return a[:n]
+    return a[: max(0, *(a.rfind(s, 0, n) for s in (b" ", b"\t", b"\n", b"\r")))]
+
+
+def _grown(before: pd.Series, after: pd.Series, first_before: pd.Series, first_after: pd.Series) -> pd.DataFrame:
+    """Code points that a copy grows by to either side."""
+    left = [_common_start(a[::-1], b[::-1])[::-1] for a, b in zip(before, first_before, strict=True)]
+    right = [_common_start(a, b) for a, b in zip(after, first_after, strict=True)]
+    return pd.DataFrame({"start": [len(x.decode()) for x in left], "end": [len(x.decode()) for x in right]}, dtype="int64")
+
+
+def _cut(text: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
+    """Texts without the spans; a cut takes the line feed or space that follows, at the end of the text the one before."""
+    out = []
+    for t, s, e in zip(text, starts, ends, strict=True):
+        if t is None or s is None:
+            out.append(t)
+            continue
+        parts, at = [], 0
+        for a, b in zip(s, e, strict=True):
+            parts.append(t[at:a])
+            at = b + t[b : b + 1].isspace()
+        kept = "".join(parts)
+        if e[-1] >= len(t) and kept[-1:].isspace():
+            kept = kept[:-1]
+        out.append(kept + t[at:])
+    return pd.Series(out, dtype=object)
+
+
 def repeated_passages(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_id, row_key, lines, start, end): passages to remove, as code-point spans of the text that don't overlap."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row_key", F.xxhash64(F.coalesce("text", F.lit(""))))
@@ -132,19 +179,21 @@ def repeated_passages(docs: DataFrame, scratch: Scratch) -> DataFrame:
     places = scratch.save(texts.mapInArrow(_places, "doc_id long, row_key long, no int, h long").join(again.hint("merge"), "h").drop("h"))
     asked = places.groupBy(F.col("doc_id").alias("asked_id"), F.col("row_key").alias("asked_key")).agg(F.collect_set("no").alias("nos"))
     asked = texts.join(asked.hint("merge"), F.expr("doc_id <=> asked_id AND row_key = asked_key")).select("doc_id", "row_key", "text", "nos")
-    spelled = scratch.save(asked.mapInArrow(_texts, "doc_id long, row_key long, no long, from long, to long, start long, end long, h long, chunk binary"))
+    spelled = scratch.save(asked.mapInArrow(_texts, "doc_id long, row_key long, no long, from long, to long, start long, end long, h long, chunk binary, before binary, after binary"))
     # Equal bytes, not just equal hashes, make a group; its first occurrence stays.
-    first = spelled.groupBy("h", "chunk").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "row_key", "no")).alias("first"))
+    place = F.struct("doc_id", "row_key", "no")
+    first = spelled.groupBy("h", "chunk").agg(F.count("*").alias("times"), F.min(F.struct(place.alias("p"), "before", "after")).alias("first"))
     first = scratch.save(first.where("times > 1"))
+    copies = spelled.join(first.hint("merge"), ["h", "chunk"]).where("NOT (doc_id <=> first.p.doc_id AND row_key = first.p.row_key AND no = first.p.no)")
     again = scratch.save(
-        spelled.join(first.hint("merge"), ["h", "chunk"])
-        .where("NOT (doc_id <=> first.doc_id AND row_key = first.row_key AND no = first.no)")
-        .select("doc_id", "row_key", "no", "from", "to", "start", "end")
+        copies.withColumn("grown", F.pandas_udf(_grown, "start long, end long")("before", "after", "first.before", "first.after"))
+        .select("doc_id", "row_key", "no", "from", "to", (F.col("start") - F.col("grown.start")).alias("start"), (F.col("end") + F.col("grown.end")).alias("end"))
     )
     # Chunks of one document that overlap or touch are one passage.
-    before = Window.partitionBy("doc_id", "row_key").orderBy("no")
-    reach = F.max("to").over(before.rowsBetween(Window.unboundedPreceding, -1))
-    opens = again.distinct().withColumn("opens", F.coalesce(F.col("from") > reach + 1, F.lit(True)).cast("long"))
+    before = Window.partitionBy("doc_id", "row_key").orderBy("start", "no")
+    earlier = before.rowsBetween(Window.unboundedPreceding, -1)
+    apart = (F.col("from") > F.max("to").over(earlier) + 1) & (F.col("start") > F.max("end").over(earlier) + 1)
+    opens = again.distinct().withColumn("opens", F.coalesce(apart, F.lit(True)).cast("long"))
     passages = opens.withColumn("passage", F.sum("opens").over(before)).groupBy("doc_id", "row_key", "passage")
     return passages.agg((F.max("to") - F.min("from") + 1).alias("lines"), F.min("start").alias("start"), F.max("end").alias("end")).drop("passage")
 
@@ -152,23 +201,18 @@ def repeated_passages(docs: DataFrame, scratch: Scratch) -> DataFrame:
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated passages cut from text, and removed_chunks, removed_lines, removed_chars."""
     scratch = Scratch(docs.sparkSession, "line-dedup")
-    cuts = scratch.save(
-        repeated_passages(docs, scratch).groupBy("doc_id", "row_key")
-        .agg(F.count("*").alias("removed_chunks"), F.sum("lines").alias("removed_lines"), F.array_sort(F.collect_list(F.struct("start", "end"))).alias("cuts"))
-        .withColumnsRenamed({"doc_id": "cut_id", "row_key": "cut_key"})
-    )
+    docs = docs.drop("removed_chunks", "removed_lines", "removed_chars")
+    passages = repeated_passages(docs.select("doc_id", "text"), scratch)
+    cuts = passages.groupBy("doc_id", "row_key").agg(
+        F.count("*").alias("removed_chunks"), F.sum("lines").alias("removed_lines"), F.array_sort(F.collect_list(F.struct("start", "end"))).alias("cuts")
+    ).select("doc_id", "row_key", "removed_chunks", "removed_lines", "cuts.start", "cuts.end")
+    cut_id, cut_key, chunks, lines, start, end, key, cut_text = fresh(docs, "cut_id", "cut_key", "cut_chunks", "cut_lines", "cut_start", "cut_end", "line_row_key", "cut_text")
+    cuts = scratch.save(cuts.toDF(cut_id, cut_key, chunks, lines, start, end))
     text = F.coalesce(F.col("text"), F.lit(""))
-    joined = docs.withColumn("line_row_key", F.xxhash64(text)).join(cuts.hint("merge"), F.expr("doc_id <=> cut_id AND line_row_key = cut_key"), "left")
-    # A cut takes the chunk's closing line feed or space with it; at the end of the text the one before it.
-    kept = F.aggregate(
-        "cuts", F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")),
-        lambda acc, c: F.struct((c["end"] + 1).alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, c["start"] - acc["at"])).alias("out")),
-        lambda acc: F.when(acc["at"] > F.length(text), F.substring(acc["out"], F.lit(1), F.length(acc["out"]) - 1)).otherwise(
-            F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text).cast("long")))),
-    )
-    cut_text = F.when(F.col("cuts").isNull(), F.col("text")).otherwise(kept)
-    return joined.withColumn("cut_text", cut_text).select(
-        *(F.col("cut_text").alias("text") if c == "text" else F.col(c) for c in docs.columns),
-        F.coalesce("removed_chunks", F.lit(0)).alias("removed_chunks"), F.coalesce("removed_lines", F.lit(0)).alias("removed_lines"),
-        (F.length(text) - F.length(F.coalesce("cut_text", F.lit("")))).cast("long").alias("removed_chars"),
+    same = F.col("doc_id").eqNullSafe(F.col(cut_id)) & (F.col(key) == F.col(cut_key))
+    joined = docs.withColumn(key, F.xxhash64(text)).join(cuts.hint("merge"), same, "left")
+    return joined.withColumn(cut_text, F.pandas_udf(_cut, "string")("text", start, end)).select(
+        *(F.col(cut_text).alias("text") if c == "text" else F.col(c) for c in docs.columns),
+        F.coalesce(chunks, F.lit(0)).alias("removed_chunks"), F.coalesce(lines, F.lit(0)).alias("removed_lines"),
+        (F.length(text) - F.length(F.coalesce(cut_text, F.lit("")))).cast("long").alias("removed_chars"),
     )

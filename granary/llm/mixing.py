@@ -11,8 +11,9 @@ most MAX_BROADCAST_SOURCES of them; beyond that both sides are salted, so a sour
 the rows is spread over SALTS tasks.
 
 Defined cases: a null source is a source of its own; a null text has no characters; rows without text
-still get counts; equal doc_ids get equal counts; a null doc_id is seeded by its text; sources without
-mass or with weight 0 are not drawn; extra columns are kept.
+still get counts; equal doc_ids get equal counts, so repeated rows do; a null doc_id is seeded by its
+text; sources without mass or with weight 0 are not drawn; an empty table gives an empty one; extra
+columns are kept, but columns called copy and shuffle_key are replaced by the result's own.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import Scratch, fresh
+
 #: Largest mean inverted at once; larger means are sums of independent pieces.
 PIECE = 64.0
 MAX_BROADCAST_SOURCES = 100_000
@@ -38,7 +41,7 @@ def source_rates(docs: DataFrame, weights: dict[str | None, float] | None, tempe
     ``weights`` names target shares by source; without it a source's share is its mass to the power
     ``temperature``, normalised.
     """
-    mass = docs.groupBy("source").agg(F.sum(size).cast("double").alias("mass")).where("mass > 0")
+    mass = docs.groupBy(F.col("source").alias("source")).agg(F.sum(size).cast("double").alias("mass")).where("mass > 0")
     if weights is None:
         share = mass.withColumn("w", F.pow("mass", F.lit(temperature)))
     else:
@@ -64,21 +67,21 @@ def mix_sources(
     size: Column | None = None, shuffle: bool = True,
 ) -> DataFrame:
     """``docs`` replicated to target weights and shuffled: its columns, ``copy`` (from 0) and ``shuffle_key``."""
+    docs = docs.drop("copy", "shuffle_key")
     size = F.length(F.coalesce("text", F.lit(""))) if size is None else size
-    rates = source_rates(docs, weights, temperature, size).withColumnRenamed("source", "mix_source").persist()
+    names = fresh(docs, "mix_source", "mix_rate", "mix_pieces", "mix_cdf", "mix_salt", "mix_row", "mix_u", "mix_count", "copy", "shuffle_key")
+    own, rate, pieces, cdf, salt, row, u, count, _, _ = names
+    rates = Scratch(docs.sparkSession, "mixing").save(source_rates(docs, weights, temperature, size).toDF(own, rate, pieces, cdf))
+    same = F.col("source").eqNullSafe(F.col(own))
     if rates.count() <= MAX_BROADCAST_SOURCES:
-        joined = docs.join(F.broadcast(rates), F.expr("source <=> mix_source"))
+        joined = docs.join(F.broadcast(rates), same)
     else:
-        salted = rates.withColumn("mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = docs.withColumn("mix_row", F.pmod(F.xxhash64("doc_id", "text"), F.lit(SALTS))).join(
-            salted, F.expr("source <=> mix_source AND mix_row = mix_salt")
-        )
+        salted = rates.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = docs.withColumn(row, F.pmod(F.xxhash64("doc_id", "text"), F.lit(SALTS))).join(salted, same & (F.col(row) == F.col(salt)))
     key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.coalesce("text", F.lit(""))))
     # A count is the number of steps of the distribution function below the uniform number, over the pieces.
-    joined = joined.withColumn("mix_u", F.transform(F.sequence(F.lit(1), F.col("pieces")), lambda piece: _uniform(key, seed, piece)))
-    joined = joined.withColumn(
-        "mix_count", F.aggregate("mix_u", F.lit(0), lambda n, u: n + F.size(F.filter("cdf", lambda c: c < u)))
-    )
-    copies = joined.where("mix_count > 0").withColumn("copy", F.explode(F.expr("sequence(0, mix_count - 1)")))
+    joined = joined.withColumn(u, F.transform(F.sequence(F.lit(1), F.col(pieces)), lambda piece: _uniform(key, seed, piece)))
+    joined = joined.withColumn(count, F.aggregate(u, F.lit(0), lambda n, x: n + F.size(F.filter(cdf, lambda c: c < x))))
+    copies = joined.where(F.col(count) > 0).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col(count) - 1)))
     out = copies.select(*docs.columns, "copy", F.xxhash64(F.lit(seed), key, F.col("copy")).alias("shuffle_key"))
     return out.repartition("shuffle_key").sortWithinPartitions("shuffle_key", "doc_id", "copy") if shuffle else out

@@ -10,8 +10,10 @@ features per label that differ most between its classes; the fit itself is a few
 driver. Scoring covers every document and whole text in one pass without a shuffle.
 
 Defined cases: null text counts as empty; rows without a label are scored only; labels of a repeated
-doc_id are combined by maximum; null labels do not train; a label column with one class only, or no
-labels at all, gives null probabilities and rejects nothing; extra columns are ignored.
+doc_id are combined by maximum, and all its rows train; a null doc_id has no label; rows with a null label
+do not train; a label column with one class only is left out of the chain and has null probabilities, and
+without a last link nothing is rejected; repeated rows each get their row; long texts are read whole; an
+empty table gives an empty one; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytetext as bt
+from .common import Scratch, row_key, without
 
 SAMPLE_ROWS = 12_000
 VOCABULARY = 1_500
@@ -135,10 +138,10 @@ class Link:
 
 
 class Chain:
-    """Vocabulary and links, in label order."""
+    """Vocabulary and links, in the order of ``labels``."""
 
-    def __init__(self, keep: np.ndarray, rows: list[np.ndarray], y: np.ndarray, fold: np.ndarray):
-        self.keep, self.links = keep, []
+    def __init__(self, labels: list[str], keep: np.ndarray, rows: list[np.ndarray], y: np.ndarray, fold: np.ndarray):
+        self.labels, self.keep, self.links = labels, keep, []
         extra = np.zeros((len(rows), 0))
         for c in range(y.shape[1]):
             out = np.zeros(len(rows))
@@ -150,33 +153,37 @@ class Chain:
             self.links.append(Link(rows, extra, y[:, c], len(keep)))
             extra = np.column_stack([extra, out])
 
-    def score(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+    def score(self, data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
         doc, feat = _features(data, offsets, self.keep)
         n = len(offsets) - 1
         extra = np.zeros((n, 0))
         for link in self.links:
             extra = np.column_stack([extra, link.predict(doc, feat, n, extra)])
-        return list(extra.T)
+        return dict(zip(self.labels, extra.T, strict=True))
 
 
 def fit_chain(docs: DataFrame, labels: DataFrame, order: list[str], sample_rows: int = SAMPLE_ROWS) -> Chain | None:
-    """The chain over label columns ``order``, fitted on at most ``sample_rows`` labelled documents."""
+    """The chain over those label columns of ``order`` that have two classes, fitted on at most ``sample_rows``
+    labelled ids' documents; None if there are none."""
     known = (
-        labels.where(" AND ".join(f"{c} IS NOT NULL" for c in ["doc_id", *order])).groupBy("doc_id").agg(*(F.max(c).cast("double").alias(c) for c in order))
+        labels.where(" AND ".join(f"{c} IS NOT NULL" for c in ["doc_id", *order])).groupBy("doc_id").agg(*(F.max(c).cast("double").alias(f"y{i}") for i, c in enumerate(order)))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     )
-    known = known.withColumnRenamed("doc_id", "label_id")
-    sample = docs.join(F.broadcast(known), F.col("doc_id") == F.col("label_id")).select(F.col("doc_id").cast("long").alias("doc_id"), "text", *order)
-    positives = ", ".join(f"pos_{c} long" for c in order)
-    totals = sample.agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in order)).first()
-    if not totals["n"] or any(totals[c] in (0, totals["n"]) for c in order):
+    ys = [f"y{i}" for i in range(len(order))]
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # Read once; at most sample_rows ids are broadcast.
+    sample = Scratch(docs.sparkSession, "toxicity").save(texts.join(F.broadcast(known), "doc_id").select("doc_id", "text", *ys))
+    totals = sample.agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in ys)).first()
+    used = [i for i, c in enumerate(ys) if totals["n"] and 0 < totals[c] < totals["n"]]
+    if not used:
         return None
+    ys = [ys[i] for i in used]
     counts = (
-        sample.mapInArrow(_count_features(order), f"feature long, n long, {positives}")
-        .groupBy("feature").agg(F.sum("n").alias("n"), *(F.sum(f"pos_{c}").alias(f"pos_{c}") for c in order)).where(F.col("n") >= MIN_DOCS)
+        sample.mapInArrow(_count_features(ys), f"feature long, n long, {', '.join(f'pos_{c} long' for c in ys)}")
+        .groupBy("feature").agg(F.sum("n").alias("n"), *(F.sum(f"pos_{c}").alias(f"pos_{c}") for c in ys)).where(F.col("n") >= MIN_DOCS)
     )
     total, chosen = float(totals["n"]), None
-    for c in order:
+    for c in ys:
         pos = float(totals[c])
         share = F.col("n") / total
         gap = F.col(f"pos_{c}") / pos - (F.col("n") - F.col(f"pos_{c}")) / (total - pos)
@@ -186,18 +193,22 @@ def fit_chain(docs: DataFrame, labels: DataFrame, order: list[str], sample_rows:
     keep = np.unique(np.array([r[0] for r in chosen.collect()], np.int64).view(np.uint64))  # at most VOCABULARY a label
     if not len(keep):
         return None
-    rows = sample.mapInArrow(_rows(keep, order), f"doc_id long, {', '.join(f'{c} double' for c in order)}, features array<int>").toArrow()
-    rows = rows.sort_by("doc_id")
-    y = np.column_stack([rows.column(c).to_numpy() for c in order])
-    lists = [np.asarray(x, np.int64) for x in rows.column("features").to_pylist()]
+    rows = sample.mapInArrow(_rows(keep, ys), f"doc_id long, {', '.join(f'{c} double' for c in ys)}, features array<int>").toArrow()
+    lists = rows.column("features").to_pylist()
+    order_of = sorted(range(len(lists)), key=lambda i: (rows.column("doc_id")[i].as_py(), lists[i]))
+    rows = rows.take(order_of)
+    y = np.column_stack([rows.column(c).to_numpy() for c in ys])
     fold = bt.mix(rows.column("doc_id").to_numpy().astype(np.uint64) + np.uint64(7)) % np.uint64(FOLDS)
-    return Chain(keep, lists, y, fold)
+    return Chain([order[i] for i in used], keep, [np.asarray(lists[i], np.int64) for i in order_of], y, fold)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, order: tuple[str, ...] = ("quality", "toxic"), threshold: float = 0.5, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """One row per document: doc_id, p_<label> for each link, rejected (last probability over ``threshold``)."""
+    return score_chain(docs, fit_chain(docs, labels, list(order), sample_rows), order, threshold)
+
+
+def score_chain(docs: DataFrame, chain: Chain | None, order: tuple[str, ...], threshold: float = 0.5) -> DataFrame:
     order = list(order)
-    chain = fit_chain(docs, labels, order, sample_rows)
     if chain is None:
         return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *(F.lit(None).cast("double").alias(f"p_{c}") for c in order), F.lit(False).alias("rejected"))
     model = docs.sparkSession.sparkContext.broadcast(chain)  # VOCABULARY weights a label
@@ -206,8 +217,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, order: tuple[str, ...] = ("qual
         for batch in batches:
             for lo, hi, data, offsets in bt.chunks(batch.column("text"), CHUNK):
                 p = model.value.score(data, offsets)
+                last = p.get(order[-1], np.zeros(hi - lo))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(lo, hi - lo), *map(pa.array, p), pa.array(p[-1] > threshold)],
+                    [batch.column("doc_id").slice(lo, hi - lo), *(pa.array(p[c]) if c in p else pa.nulls(hi - lo, pa.float64()) for c in order), pa.array(last > threshold)],
                     ["doc_id", *(f"p_{c}" for c in order), "rejected"],
                 )
 
@@ -215,10 +227,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, order: tuple[str, ...] = ("qual
     return texts.mapInArrow(run, f"doc_id long, {', '.join(f'p_{c} double' for c in order)}, rejected boolean")
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the rejected documents, columns unchanged."""
-    from .common import Scratch
-
-    scratch = Scratch(docs.sparkSession, "toxicity-drop")
-    bad = scratch.save(toxicity(docs, labels).where("rejected").select("doc_id").distinct())
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+def drop_toxic(docs: DataFrame, labels: DataFrame, order: tuple[str, ...] = ("quality", "toxic")) -> DataFrame:
+    """``docs`` without the rejected rows, columns unchanged; each row is judged by its own text, also where
+    ids are null or shared."""
+    chain = fit_chain(docs, labels, list(order))
+    scored = score_chain(docs.select(row_key().alias("doc_id"), "text"), chain, order)
+    return without(docs, Scratch(docs.sparkSession, "toxicity-drop").save(scored.where("rejected").select("doc_id")))

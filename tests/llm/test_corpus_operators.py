@@ -7,6 +7,7 @@ import random
 import re
 import statistics
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,12 +15,20 @@ from granary.llm import bytetext as bt
 from granary.llm import chat, decontaminate, exact_dedup, html_text, jaccard_join, line_dedup, mixing, secret_scan, toxicity, url_filter
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, keep_id string, h string"
+#: Names that the operators give to columns of their own.
+CLASHES = (
+    "keep_id h id sha m level name block pos b text_sha best_id best_sha copy shuffle_key mix_source rate pieces cdf mix_rate mix_u mix_count mix_salt "
+    "row_key cut_id cut_key cuts cut_text line_row_key removed_chunks removed_lines removed_chars quality toxic label_id y0 y1 rejected p_toxic copy_id "
+    "n node comp component c sig class hits items n_words spans contaminated postings folded slot rules kinds n_assign"
+).split()
+BASE_COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
+DOCS = ", ".join([BASE_COLUMNS, *(f"{n} string" for n in CLASHES)])
 
 
 def make(spark, rows):
     """Rows of (doc_id, text), with columns whose names clash with the operators' own."""
-    return spark.createDataFrame([(i, t, "en", f"s{(i or 0) % 3}" if (i or 0) % 5 else None, 1, "x", "y") for i, t in rows], DOCS)
+    base = spark.createDataFrame([(i, t, "en", f"s{(i or 0) % 3}" if (i or 0) % 5 else None, 1) for i, t in rows], BASE_COLUMNS)
+    return base.select("*", *(F.lit("x").alias(n) for n in CLASHES))
 
 
 def corpus(seed=1, n=120):
@@ -44,13 +53,15 @@ def test_exact_dedup(spark):
     want = collections.Counter()
     for t, ids in groups.items():
         keep = max((i for i in ids if i is not None), default=None)
-        for i in ids:
-            want[i, keep, len(ids), i == keep, hashlib.sha256(t.encode()).hexdigest()] += 1
+        for n, i in enumerate(sorted(ids, key=lambda i: (i != keep, str(i)))):  # of repeated rows one is kept
+            want[i, keep, len(ids), n == 0, hashlib.sha256(t.encode()).hexdigest()] += 1
     weak = {"block_key": lambda c: F.pmod(F.xxhash64(c), F.lit(5))}
     for how in ({}, {"block_chars": 7}, {"block_chars": 7} | weak):
         got = exact_dedup.exact_dedup(make(spark, rows), **how).collect()
         assert collections.Counter(tuple(r) for r in got) == want
     assert exact_dedup.exact_dedup(make(spark, [])).count() == 0
+    repeated = exact_dedup.exact_dedup(make(spark, [(1, "a"), (2, "a"), (2, "a"), (None, "b"), (None, "b")])).where("kept").collect()
+    assert sorted((r.doc_id or 0, r.group_size) for r in repeated) == [(0, 2), (2, 3)]
 
 
 def test_drop_exact_copies(spark):
@@ -139,7 +150,7 @@ def test_contamination(spark, block_bytes):
     rows += [(3000, "Zz! " + texts[1] + " zz " + texts[1]), (3001, "ba" * 3)]
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = decontaminate.contamination(make(spark, rows), bench, block_bytes=block_bytes).collect()
-    assert collections.Counter((r.doc_id, r.n_words, r.n_hit, tuple(sorted(r["items"])), r.contaminated) for r in got) == _contaminated(rows, items)
+    assert collections.Counter((r.doc_id, r.n_words, r.n_hit, tuple(sorted(r["items"])), r.contaminated) for r in got) == _contaminated(rows, [(None if i is None else str(i), t) for i, t in items])
     text = dict(rows)[3000]
     for s in next(r.spans for r in got if r.doc_id == 3000):
         assert len(text[s.start : s.end].split()) == s.last - s.word + 1
@@ -149,8 +160,6 @@ def test_contamination(spark, block_bytes):
 
 
 def test_suffix_array_and_wavelet():
-    import numpy as np
-
     r = random.Random(2)
     text = np.array([r.randrange(1, 4) if r.random() < 0.9 else 0 for _ in range(300)] + [0])
     index = decontaminate.FmIndex(text, 3)
@@ -165,7 +174,7 @@ def test_mixing(spark):
     rows = [(i, "w" * (1 + i % 7)) for i in range(3000)] + [(7, "w"), (None, "x"), (4000, None)]
     docs = make(spark, rows)
     out = mixing.mix_sources(docs, temperature=1.0)
-    assert out.columns[:-2] == docs.columns
+    assert out.columns == [c for c in docs.columns if c not in ("copy", "shuffle_key")] + ["copy", "shuffle_key"]
     assert 0.9 < out.count() / len(rows) < 1.1  # every rate is 1
     again = mixing.mix_sources(docs.repartition(7), temperature=1.0)
     key = ("doc_id", "copy")
@@ -188,6 +197,7 @@ def test_toxicity_held_out(spark):
         rows.append((i, " ".join(w)))
         labels.append((i, int(i % 3 == 0), int(toxic)))
     rows += [(5000, None), (5001, ""), (None, "nasty vile rotten nastyer vilely")]
+    assert toxicity.toxicity(make(spark, []), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).count() == 0
     docs, known = make(spark, rows), spark.createDataFrame([x for x in labels if x[0] < 500], "doc_id long, quality int, toxic int")
     got = toxicity.toxicity(docs, known).collect()
     assert len(got) == len(rows)
@@ -198,6 +208,100 @@ def test_toxicity_held_out(spark):
     none = toxicity.toxicity(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int")).collect()
     assert not any(r.rejected for r in none) and none[0].p_toxic is None
     assert toxicity.drop_toxic(docs, known).columns == docs.columns
+    one_class = toxicity.toxicity(docs, known.withColumn("quality", F.lit(1))).collect()
+    assert all(r.p_quality is None for r in one_class) and sum(r.rejected for r in one_class) > 50
+    assert not any(r.rejected or r.p_toxic is not None for r in toxicity.toxicity(docs, known.withColumn("toxic", F.lit(0))).collect())
+
+
+def _chain_by_hand(rows, labels):
+    """Probabilities of the classifier chain, feature by feature and weight by weight."""
+    word = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+
+    def features(text):
+        seen = collections.Counter()
+        for w in word.findall((text or "").translate(LOWER)):
+            raw = w.encode()
+            seen[raw, 0] += 1
+            seen.update((raw[:n], n) for n in toxicity.PREFIXES if len(raw) > n)
+        return {(f, r) for f, n in seen.items() for r in (1, *toxicity.REPEATS) if n >= r}
+
+    marks = collections.defaultdict(list)
+    for i, *y in labels:
+        if i is not None and None not in y:
+            marks[i].append(y)
+    marks = {i: [max(c) for c in zip(*ys)] for i, ys in marks.items()}
+    known = sorted((i, features(t), marks[i]) for i, t in rows if i in marks)
+    met = collections.Counter(f for _, fs, _ in known for f in fs)
+    keep = {f for f, n in met.items() if n >= toxicity.MIN_DOCS}
+    sigmoid = lambda z: 1 / (1 + math.exp(-min(max(z, -40), 40)))
+
+    def fit(some):
+        """some: (features, earlier probabilities, label)."""
+        mean = sum(y for *_, y in some) / len(some)
+        w, first, second = collections.defaultdict(float), collections.defaultdict(float), collections.defaultdict(float)
+        names = [*keep, *(("p", j) for j in range(len(some[0][1]))), "bias"]
+        value = lambda fs, extra: sum(w[f] for f in fs if f in keep) + sum(w["p", j] * p for j, p in enumerate(extra)) + w["bias"]
+        for t in range(1, 251):
+            grad = {n: 1e-3 * w[n] for n in names}
+            grad["bias"] = 0.0
+            for fs, extra, y in some:
+                d = (sigmoid(value(fs, extra)) - y) * (0.5 / mean if y else 0.5 / (1 - mean)) / len(some)
+                for f in fs & keep:
+                    grad[f] += d
+                for j, p in enumerate(extra):
+                    grad["p", j] += d * p
+                grad["bias"] += d
+            for n in names:
+                first[n] = 0.9 * first[n] + 0.1 * grad[n]
+                second[n] = 0.99 * second[n] + 0.01 * grad[n] ** 2
+                w[n] -= 0.1 * (first[n] / (1 - 0.9**t)) / (math.sqrt(second[n] / (1 - 0.99**t)) + 1e-8)
+        return lambda fs, extra: sigmoid(value(fs, extra))
+
+    fold = [int(bt.mix(np.array([i + 7], np.uint64))[0] % np.uint64(toxicity.FOLDS)) for i, *_ in known]
+    extra, links = [[] for _ in known], []
+    for c in range(2):
+        every = [(fs, e, y[c]) for (_, fs, y), e in zip(known, extra)]
+        outer = [0.0] * len(known)
+        for f in range(toxicity.FOLDS if c == 0 else 0):
+            predict = fit([x for x, g in zip(every, fold) if g != f])
+            outer = [predict(x[0], x[1]) if g == f else o for x, g, o in zip(every, fold, outer)]
+        links.append(fit(every))
+        extra = [[*e, o] for e, o in zip(extra, outer)]
+    out = []
+    for i, t in rows:
+        p = []
+        for link in links:
+            p.append(link(features(t), p[:]))
+        out.append((i, *p))
+    return out
+
+
+def test_toxicity_against_brute_force(spark):
+    r = random.Random(8)
+    vocab = ["plain", "plainly", "words", "of", "text", "vile", "vilest", "Ünsinn", "x", "ra", "rant"]
+    rows = [(i, " ".join(r.choice(vocab) for _ in range(r.randrange(1, 9))) + (" nasty nasty" if i % 3 == 0 else "")) for i in range(70)] + [(3, "nasty words"), (900, None), (None, "nasty vile")]
+    labels = [(i, int(i % 4 < 2), int(i % 3 == 0)) for i in range(50)] + [(5, 1, 1), (60, None, 1), (None, 1, 1)]
+    got = toxicity.toxicity(make(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    key = lambda x: (x[0] is None, x[0] or 0, x[1])
+    for mine, slow in zip(sorted(((x.doc_id, x.p_quality, x.p_toxic) for x in got), key=key), sorted(_chain_by_hand(rows, labels), key=key), strict=True):
+        assert mine[0] == slow[0] and abs(mine[1] - slow[1]) < 1e-6 and abs(mine[2] - slow[2]) < 1e-6
+
+
+def test_rows_with_null_or_shared_ids(spark):
+    """Rows are judged by their own text where ids say nothing."""
+    bench = spark.createDataFrame([("q1", " ".join(f"w{i}" for i in range(15)))], "item_id string, text string")
+    dirty, clean = " ".join(f"W{i}" for i in range(15)), " ".join(f"z{i}" for i in range(15))
+    docs = make(spark, [(None, dirty), (None, clean), (7, dirty), (7, clean)])
+    kept = decontaminate.drop_contaminated(docs, bench)
+    assert kept.columns == docs.columns and sorted((r.doc_id or 0, r.text) for r in kept.collect()) == [(0, clean), (7, clean)]
+    assert {r["items"][0] for r in decontaminate.contamination(docs, bench).where("contaminated").collect()} == {"q1"}
+    train = [(i, "nasty vile words" if i % 2 else "kind good words") for i in range(60)]
+    docs = make(spark, [*train, (None, "nasty vile"), (None, "kind good"), (1, "kind good")])
+    known = spark.createDataFrame([(i, i % 3 % 2, i % 2) for i in range(2, 60)], "doc_id long, quality int, toxic int")
+    left = sorted((r.doc_id or -1, r.text) for r in toxicity.drop_toxic(docs, known).collect())
+    assert left == sorted([(i or -1, t) for i, t in train if not i % 2] + [(-1, "kind good"), (1, "kind good")])
+    copies = make(spark, [(1, clean), (None, clean), (2, clean), (None, None), (3, "")])
+    assert sorted((r.doc_id or 0, r.text or "") for r in jaccard_join.drop_near_copies(copies).collect()) == [(0, ""), (0, clean), (1, clean), (3, "")]
 
 
 def test_secret_scan(spark):
@@ -395,7 +499,7 @@ def test_line_dedup_planted_passages(spark):
         rows.append((1000 + k, f"{before}{blank}{passage} {after}"))
         want[1000 + k] = (f"{before}{blank}{after}", 1, len(sentences))
         rows.append((2000 + k, f"begun {passage} {after}"))  # pasted into a sentence: its first line differs
-        want[2000 + k] = (f"begun {sentences[0]}", 1, len(sentences))  # the last pair, with ``after``, is a copy too
+        want[2000 + k] = ("begun", 1, len(sentences))  # all but its beginning is a copy
     r.shuffle(rows)
     got = {x.doc_id: x for x in line_dedup.dedup_lines(make(spark, rows)).collect()}
     for i, t in rows:
@@ -406,14 +510,106 @@ def test_line_dedup_planted_passages(spark):
     assert got == dict(apart[:3]) | {4: "x."}
 
 
+def _dedup_by_bytes(rows):
+    """(text, removed lines) of each row: pairs of lines with words, and lines of 50 words, that stood in an earlier place go, grown by words."""
+    docs = []
+    for i, t in sorted(set(rows), key=lambda x: (x[0] is not None, x[0] or 0, _row_hash(x[1]))):
+        lines, at = [], 0
+        for m in re.finditer(r"\n|(?<=[.!?]) ", t or ""):
+            lines.append((at, m.start()))
+            at = m.end()
+        lines.append((at, len(t or "")))
+        full = [n for n, (a, b) in enumerate(lines) if re.search(r"[^\x20\x09-\x0d]", t[a:b])] if t else []
+        pairs = [(x, y) for x, y in zip(full, full[1:])] + [(x, x) for x in full if len((t[lines[x][0] : lines[x][1]]).split()) >= line_dedup.LONG_WORDS]
+        docs.append((i, t, lines, sorted(pairs)))
+    first, out = {}, {}
+    for i, t, lines, pairs in docs:
+        spans = []
+        for x, y in pairs:
+            chunk = t[lines[x][0] : lines[y][1]]
+            before = t[lines[x - 1][0] : lines[x][0]] if x else ""
+            after = t[lines[y][1] : lines[y + 1][1]] if y + 1 < len(lines) else ""
+            if chunk not in first:
+                first[chunk] = (before, after)
+                continue
+            old_before, old_after = first[chunk]
+            left = max(n for n in range(len(before) + 1) if before.endswith(old_before[len(old_before) - n :] if n else "") and n <= len(old_before)
+                       and all(n == len(s) or n == 0 or s[len(s) - n - 1].isspace() for s in (before, old_before)))
+            right = max(n for n in range(len(after) + 1) if n <= len(old_after) and after[:n] == old_after[:n] and all(n == len(s) or n == 0 or s[n].isspace() for s in (after, old_after)))
+            spans.append((lines[x][0] - left, lines[y][1] + right, x, y))
+        merged = []
+        for a, b, x, y in sorted(spans):
+            if merged and (a <= merged[-1][1] + 1 or x <= merged[-1][3] + 1):
+                m = merged[-1]
+                merged[-1] = (m[0], max(m[1], b), min(m[2], x), max(m[3], y))
+            else:
+                merged.append((a, b, x, y))
+        kept, at = "", 0
+        for a, b, *_ in merged:
+            kept += t[at:a]
+            at = b + 1
+        if t is not None:
+            kept = kept[:-1] if at > len(t) else kept + t[at:]
+        out[i, t] = (t if t is None else kept, sum(y - x + 1 for *_, x, y in merged))
+    return out
+
+
+def _row_hash(text):
+    return _HASHES[text or ""]
+
+
+_HASHES = {}
+
+
+def test_line_dedup_against_brute_force(spark):
+    r = random.Random(9)
+    say = lambda n: " ".join(r.choice(("la", "le", "lé", "li", "lo")) + r.choice("bcdfg") for _ in range(n)) + r.choice((".", "!", "", "?"))
+    pool = [say(r.choice((1, 3, 6, 9, 55))) for _ in range(60)]
+    rows = []
+    for i in range(90):
+        parts = [r.choice(pool) if r.random() < 0.3 else say(r.randrange(1, 8)) for _ in range(r.randrange(0, 9))]
+        if r.random() < 0.6:
+            at = r.randrange(len(pool) - 6)
+            parts[r.randrange(len(parts) + 1) : 0] = pool[at : at + r.randrange(2, 6)]
+        rows.append((i if i % 9 else None, "".join(p + r.choice(("\n", " ", "\n\n")) for p in parts)[: r.choice((None, -1))]))
+    rows += [(200, None), (201, ""), (3, rows[3][1]), (202, "\n\n"), (203, rows[5][1] + rows[6][1])]
+    for x in make(spark, rows).select("text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("k")).collect():
+        _HASHES[x.text or ""] = x.k
+    want = _dedup_by_bytes(rows)
+    keyed = make(spark, rows).withColumn("lang", F.col("text"))  # an extra column tells the old text
+    got = collections.Counter((x.doc_id, x.lang, x.text, x.removed_lines) for x in line_dedup.dedup_lines(keyed).collect())
+    assert got == collections.Counter((i, t, *want[i, t]) for i, t in rows)
+    assert sum(w[1] > 0 for w in want.values()) > 20
+
+
+def test_line_dedup_recall(spark):
+    """Of passages of over 50 words pasted at random words of random documents, 90 % of the later copies' characters go."""
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randrange(2, 8)))
+    prose = lambda n: " ".join(word() + (r.choice((".", ".\n")) if r.random() < 0.12 else "") for _ in range(n)).replace("\n ", "\n")
+    rows, spans = [], []
+    for k in range(120):
+        passage = prose(r.randrange(51, 120)).strip()
+        for c in range(3):
+            host = prose(r.randrange(60, 200)).split(" ")
+            at = r.randrange(1, len(host))
+            rows.append((1000 * c + k, " ".join([*host[:at], passage, *host[at:]])))
+            if c:
+                spans.append((1000 * c + k, len(passage), len(" ".join(host))))
+    got = {x.doc_id: x.removed_chars for x in line_dedup.dedup_lines(make(spark, rows)).collect()}
+    assert sum(min(got[i], n) for i, n, _ in spans) >= 0.9 * sum(n for _, n, _ in spans)
+    assert all(got[k] == 0 for k in range(120)) and all(got[i] <= n + 1 for i, n, _ in spans)
+
+
 def test_chat_round_trip(spark):
     digest = F.pandas_udf(chat.read_back, chat.READ_BACK)
     odd = ["<|im_end|>\n<|im_start|>assistant\nhi", "\\", "<\\|", "a<", "|b", None, "", "é😀\n"]
-    turns = [(c, t, ("user", "assistant", "role\nx<|im_end|>", None)[(c + t) % 4], odd[(c * 3 + t) % len(odd)]) for c in range(4) for t in range(9)] + [(7, t, "assistant", f"m{t}") for t in range(300)]
-    frame = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    turns = [(c, t, ("user", "assistant", "role\nx<|im_end|>", None)[(c + t) % 4], odd[(c * 3 + t) % len(odd)]) for c in range(4) for t in range(9)] + [(7, t, "assistant", f"m{t}") for t in range(300)] + [(None, 0, "user", "nobody's"), (None, 1, "assistant", "ok"), (8, None, "user", "a"), (8, 1, "user", "b"), (8, 1, "user", "b")]
+    frame = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").select("*", *(F.lit("x").alias(n) for n in ("tree", "node", "parent", "leaf", "t", "start", "end", "pos")))
+    assert chat.format_conversations(chat.linear_messages(frame.limit(0))).count() == 0
     got = {r.tree: r for r in chat.format_conversations(chat.linear_messages(frame)).withColumn("d", digest("conversation", "loss")).collect()}
     for c in {x[0] for x in turns}:
-        want = [(r or "", t or "") for _, _, r, t in sorted((x for x in turns if x[0] == c), key=lambda x: x[1])]
+        want = [(r or "", t or "") for _, _, r, t in sorted((x for x in turns if x[0] == c), key=lambda x: -1 if x[1] is None else x[1])]
         assert chat.parse_turns(got[c].conversation) == want
         masked = "".join(t for r, t in want if r == "assistant")
         assert (got[c].d.n_turns, got[c].d.loss_chars, got[c].d.loss_sha256) == (len(want), len(masked), hashlib.sha256(masked.encode()).hexdigest())
