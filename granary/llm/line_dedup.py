@@ -8,14 +8,15 @@ occur more than once in the corpus are removed everywhere but at their first occ
 then position), after their bytes have been compared. Overlapping and adjacent chunks grow into one passage,
 line by line, as far as the copies agree; every removed line stands in an earlier place that is kept.
 
-A copy then grows beyond its lines: as many bytes of the line before it and of the line after it go as
-agree with what stands beside the first occurrence, cut back to a word, so a passage pasted into the middle
-of a sentence goes whole. Every removed stretch stands in an earlier place that is kept.
+A passage then grows beyond its lines: as many words of the line before it and of the line after it go as
+agree with what stands beside the first occurrence, so a passage pasted into the middle of a sentence goes
+whole. Every removed stretch stands in an earlier place that is kept.
 
 Chunk counts are combined in the tasks before they are shuffled, so a passage shared by a third of the
 documents is sent once per task. Chunks travel as hashes and numbers; their bytes only where the hash is
-repeated. Whole texts move twice, to spell those chunks and to cut the documents; a hot chunk's rows are
-spread by adaptive skew handling and its texts combine on the map side.
+repeated. Texts move three times: of documents with repeated chunks, to spell those; of documents beside
+whose passages a line stands, to spell that line; and all, to be cut. A hot chunk's rows are spread by
+adaptive skew handling and its texts combine on the map side.
 
 Defined cases: null text has no lines and stays null, empty text stays empty; lines without words count for
 no window, but those inside a passage go with it; rows with equal doc_id and text are one document and keep
@@ -91,9 +92,7 @@ def line_chunks(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     return {
         "doc": owner, "no": np.arange(len(head)) - first[owner], "from": head - first_line[owner], "to": tail - first_line[owner],
         "start": start[head], "end": end[tail], "hash": digest, "first": first,
-        # where the line before begins and the one after ends; the chunk's own place where there is none
-        "before": np.where(head > first_line[owner], start[np.maximum(head - 1, 0)], start[head]),
-        "after": np.where(last[tail], end[tail], end[np.minimum(tail + 1, max(len(end) - 1, 0))]) if len(tail) else end[tail],
+        "line_start": start, "line_end": end, "first_line": first_line, "line_doc": doc,
     }
 
 
@@ -128,13 +127,32 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text = [raw[s:e] for s, e in zip(c["start"][use].tolist(), c["end"][use].tolist(), strict=True)]
             points = bt.code_points(data)
             base = points[offsets[c["doc"][use]]]
-            before = [raw[s:e] for s, e in zip(c["before"][use].tolist(), c["start"][use].tolist(), strict=True)]
-            after = [raw[s:e] for s, e in zip(c["end"][use].tolist(), c["after"][use].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").take(rows), batch.column("row_key").take(rows), pa.array(c["no"][use]), pa.array(c["from"][use]), pa.array(c["to"][use]),
-                 pa.array(points[c["start"][use]] - base), pa.array(points[c["end"][use]] - base), pa.array(c["hash"][use].view(np.int64)),
-                 *(pa.array(x, pa.binary()) for x in (text, before, after))],
-                ["doc_id", "row_key", "no", "from", "to", "start", "end", "h", "chunk", "before", "after"],
+                 pa.array(points[c["start"][use]] - base), pa.array(points[c["end"][use]] - base), pa.array(c["hash"][use].view(np.int64)), pa.array(text, pa.binary())],
+                ["doc_id", "row_key", "no", "from", "to", "start", "end", "h", "chunk"],
+            )
+
+
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lines asked for, with what separates each from the one before and the one after; nothing beyond the last line."""
+    for batch in batches:
+        asked = batch.column("nos")
+        for lo, hi, data, offsets in bt.chunks(batch.column("text")):
+            c = line_chunks(data, offsets)
+            nos = asked.slice(lo, hi - lo)
+            many = np.bincount(c["line_doc"], minlength=hi - lo)
+            line, owner = nos.flatten().to_numpy(), np.repeat(np.arange(hi - lo), nos.value_lengths().to_numpy())
+            there = line < many[owner]
+            line, owner = line[there], owner[there]
+            at = line + c["first_line"][owner]
+            start, end = c["line_start"][at], c["line_end"][at]
+            lead, trail = np.maximum(start - 1, offsets[owner]), np.minimum(end + 1, offsets[owner + 1])
+            raw, rows = data.tobytes(), pa.array(owner + lo)
+            spell = lambda s, e, raw=raw: pa.array([raw[i:j] for i, j in zip(s.tolist(), e.tolist(), strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").take(rows), batch.column("row_key").take(rows), pa.array(line), spell(start, trail), spell(lead, end)],
+                ["doc_id", "row_key", "line", "to_next", "from_last"],
             )
 
 
@@ -146,7 +164,7 @@ def _common_start(a: bytes, b: bytes) -> bytes:
     return a[: max(0, *(a.rfind(s, 0, n) for s in (b" ", b"\t", b"\n", b"\r")))]
 
 
-def _grown(before: pd.Series, after: pd.Series, first_before: pd.Series, first_after: pd.Series) -> pd.DataFrame:
+def _grown(before: pd.Series, first_before: pd.Series, after: pd.Series, first_after: pd.Series) -> pd.DataFrame:
     """Code points that a copy grows by to either side."""
     left = [_common_start(a[::-1], b[::-1])[::-1] for a, b in zip(before, first_before, strict=True)]
     right = [_common_start(a, b) for a, b in zip(after, first_after, strict=True)]
@@ -179,23 +197,52 @@ def repeated_passages(docs: DataFrame, scratch: Scratch) -> DataFrame:
     places = scratch.save(texts.mapInArrow(_places, "doc_id long, row_key long, no int, h long").join(again.hint("merge"), "h").drop("h"))
     asked = places.groupBy(F.col("doc_id").alias("asked_id"), F.col("row_key").alias("asked_key")).agg(F.collect_set("no").alias("nos"))
     asked = texts.join(asked.hint("merge"), F.expr("doc_id <=> asked_id AND row_key = asked_key")).select("doc_id", "row_key", "text", "nos")
-    spelled = scratch.save(asked.mapInArrow(_texts, "doc_id long, row_key long, no long, from long, to long, start long, end long, h long, chunk binary, before binary, after binary"))
+    spelled = scratch.save(asked.mapInArrow(_texts, "doc_id long, row_key long, no long, from long, to long, start long, end long, h long, chunk binary"))
     # Equal bytes, not just equal hashes, make a group; its first occurrence stays.
-    place = F.struct("doc_id", "row_key", "no")
-    first = spelled.groupBy("h", "chunk").agg(F.count("*").alias("times"), F.min(F.struct(place.alias("p"), "before", "after")).alias("first"))
+    place = F.struct("doc_id", "row_key", "no", "from", "to")
+    first = spelled.groupBy("h", "chunk").agg(F.count("*").alias("times"), F.min(place).alias("first"))
     first = scratch.save(first.where("times > 1"))
-    copies = spelled.join(first.hint("merge"), ["h", "chunk"]).where("NOT (doc_id <=> first.p.doc_id AND row_key = first.p.row_key AND no = first.p.no)")
-    again = scratch.save(
-        copies.withColumn("grown", F.pandas_udf(_grown, "start long, end long")("before", "after", "first.before", "first.after"))
-        .select("doc_id", "row_key", "no", "from", "to", (F.col("start") - F.col("grown.start")).alias("start"), (F.col("end") + F.col("grown.end")).alias("end"))
-    )
+    copies = spelled.join(first.hint("merge"), ["h", "chunk"]).where("NOT (doc_id <=> first.doc_id AND row_key = first.row_key AND no = first.no)")
+    again = scratch.save(copies.select("doc_id", "row_key", "no", "from", "to", "start", "end", "first"))
     # Chunks of one document that overlap or touch are one passage.
-    before = Window.partitionBy("doc_id", "row_key").orderBy("start", "no")
-    earlier = before.rowsBetween(Window.unboundedPreceding, -1)
-    apart = (F.col("from") > F.max("to").over(earlier) + 1) & (F.col("start") > F.max("end").over(earlier) + 1)
-    opens = again.distinct().withColumn("opens", F.coalesce(apart, F.lit(True)).cast("long"))
-    passages = opens.withColumn("passage", F.sum("opens").over(before)).groupBy("doc_id", "row_key", "passage")
-    return passages.agg((F.max("to") - F.min("from") + 1).alias("lines"), F.min("start").alias("start"), F.max("end").alias("end")).drop("passage")
+    before = Window.partitionBy("doc_id", "row_key").orderBy("no")
+    reach = F.max("to").over(before.rowsBetween(Window.unboundedPreceding, -1))
+    opens = again.distinct().withColumn("opens", F.coalesce(F.col("from") > reach + 1, F.lit(True)).cast("long"))
+    passages = opens.withColumn("passage", F.sum("opens").over(before)).groupBy("doc_id", "row_key", "passage").agg(
+        F.min("from").alias("from"), F.max("to").alias("to"), F.min("start").alias("start"), F.max("end").alias("end"),
+        F.min(F.struct("from", "no", "first")).alias("head"), F.max(F.struct("to", "no", "first")).alias("tail"),
+    )
+    passages = scratch.save(passages.select("doc_id", "row_key", "from", "to", "start", "end", F.col("head.first").alias("head"), F.col("tail.first").alias("tail")))
+    return _grow(passages, texts, scratch)
+
+
+def _grow(passages: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """Passages with what the lines beside them share with those beside their first occurrences; (doc_id, row_key, lines, start, end)."""
+    own = [F.col(c).alias(f"p_{c}") for c in ("doc_id", "row_key", "from")]
+
+    def ask(side: str, whose: str, row: str, line: str) -> DataFrame:
+        doc = [F.col(f"{row}{c}").alias(c) for c in ("doc_id", "row_key")]
+        return passages.where("from > 0 AND head.from > 0" if side == "left" else "true").select(*own, F.lit(f"{side}_{whose}").alias("what"), *doc, F.expr(line).cast("long").alias("line"))
+
+    asks = ask("left", "own", "", "from - 1").unionByName(ask("left", "first", "head.", "head.from - 1"))
+    asks = asks.unionByName(ask("right", "own", "", "to + 1")).unionByName(ask("right", "first", "tail.", "tail.to + 1"))
+    wanted = asks.groupBy(F.col("doc_id").alias("asked_id"), F.col("row_key").alias("asked_key")).agg(F.collect_set("line").alias("nos"))
+    wanted = texts.join(wanted.hint("merge"), F.expr("doc_id <=> asked_id AND row_key = asked_key")).select("doc_id", "row_key", "text", "nos")
+    lines = scratch.save(wanted.mapInArrow(_lines, "doc_id long, row_key long, line long, to_next binary, from_last binary").distinct())
+    lines = lines.withColumnsRenamed({"doc_id": "l_doc_id", "row_key": "l_row_key", "line": "l_line"})
+    met = asks.join(lines.hint("merge"), F.expr("doc_id <=> l_doc_id AND row_key = l_row_key AND line = l_line"))
+    piece = F.when(F.startswith("what", F.lit("left")), F.col("to_next")).otherwise(F.col("from_last"))
+    sides = [f"{side}_{whose}" for side in ("left", "right") for whose in ("own", "first")]
+    beside = met.groupBy("p_doc_id", "p_row_key", "p_from").agg(*(F.coalesce(F.max(F.when(F.col("what") == x, piece)), F.lit(b"")).alias(x) for x in sides))
+    grown = scratch.save(beside.select("p_doc_id", "p_row_key", "p_from", F.pandas_udf(_grown, "start long, end long")(*(F.col(x) for x in sides)).alias("g")))
+    whole = passages.join(grown.hint("merge"), F.expr("doc_id <=> p_doc_id AND row_key = p_row_key AND from = p_from"), "left").select(
+        "doc_id", "row_key", "from", "to", (F.col("start") - F.coalesce("g.start", F.lit(0))).alias("start"), (F.col("end") + F.coalesce("g.end", F.lit(0))).alias("end")
+    )
+    # Passages that have grown together are one.
+    before = Window.partitionBy("doc_id", "row_key").orderBy("start", "from")
+    apart = F.coalesce(F.col("start") > F.max("end").over(before.rowsBetween(Window.unboundedPreceding, -1)) + 1, F.lit(True))
+    one = whole.withColumn("opens", apart.cast("long")).withColumn("passage", F.sum("opens").over(before)).groupBy("doc_id", "row_key", "passage")
+    return one.agg((F.max("to") - F.min("from") + 1).alias("lines"), F.min("start").alias("start"), F.max("end").alias("end")).drop("passage")
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:

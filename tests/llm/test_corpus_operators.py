@@ -319,11 +319,26 @@ def test_secret_scan(spark):
         want[i, ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(spans))] += 1
     got = secret_scan.secret_spans(make(spark, rows)).collect()
     assert collections.Counter((r.doc_id, r.base_spans) for r in got) == want
+    plain = secret_scan.secret_spans(make(spark, rows), indexed=False).collect()
+    assert collections.Counter((r.doc_id, r.spans) for r in got) == collections.Counter((r.doc_id, r.spans) for r in plain)
     assert {r.doc_id: r.spans for r in got}[8].startswith("jwt:0:")
     assert secret_scan.trigram_query(secret_scan.BASE[2]) is None
     assert secret_scan.secret_spans(make(spark, [])).count() == 0
 
 
+def test_trigram_index(spark):
+    """Postings, and the candidates left by their intersection, against the texts themselves."""
+    rules = secret_scan.RULES
+    texts = {1: "my PASSWORD is long", 2: "pass the word", 3: "AKIAX", 4: "akia", 5: "xoxb-", 6: "api key api_key", 7: ""}
+    keyed = spark.createDataFrame(list(texts.items()), "key long, text string")
+    named = {t for r in rules for way in secret_scan.folded_query(r) or () for t in way}
+    postings = secret_scan.build_index(keyed, rules)
+    assert {(r.trigram, r.key) for r in postings.collect()} == {(t, k) for t in named for k, text in texts.items() if t in text.lower()}
+    want = {(k, r.kind) for k, text in texts.items() for r in rules if any(all(t in text.lower() for t in way) for way in secret_scan.folded_query(r) or ())}
+    assert {(r.key, kind) for r in secret_scan.candidates(postings, rules).collect() for kind in r.kinds} == want
+    assert (1, "assign") in want and (2, "assign") not in want
+
+
 def test_trigram_queries_hold_for_matches():
     for rule in secret_scan.RULES:
         query = secret_scan.trigram_query(rule)
@@ -523,25 +538,27 @@ def _dedup_by_bytes(rows):
         pairs = [(x, y) for x, y in zip(full, full[1:])] + [(x, x) for x in full if len((t[lines[x][0] : lines[x][1]]).split()) >= line_dedup.LONG_WORDS]
         docs.append((i, t, lines, sorted(pairs)))
     first, out = {}, {}
+    beside = lambda t, lines, x, y: (t[lines[x - 1][0] : lines[x][0]] if x else "", t[lines[y][1] : lines[y + 1][1]] if y + 1 < len(lines) else "")
     for i, t, lines, pairs in docs:
-        spans = []
+        passages = []  # [first line, last line, what stood before the first occurrence of its first chunk, and after that of its last]
         for x, y in pairs:
             chunk = t[lines[x][0] : lines[y][1]]
-            before = t[lines[x - 1][0] : lines[x][0]] if x else ""
-            after = t[lines[y][1] : lines[y + 1][1]] if y + 1 < len(lines) else ""
             if chunk not in first:
-                first[chunk] = (before, after)
-                continue
-            old_before, old_after = first[chunk]
-            left = max(n for n in range(len(before) + 1) if before.endswith(old_before[len(old_before) - n :] if n else "") and n <= len(old_before)
-                       and all(n == len(s) or n == 0 or s[len(s) - n - 1].isspace() for s in (before, old_before)))
-            right = max(n for n in range(len(after) + 1) if n <= len(old_after) and after[:n] == old_after[:n] and all(n == len(s) or n == 0 or s[n].isspace() for s in (after, old_after)))
-            spans.append((lines[x][0] - left, lines[y][1] + right, x, y))
+                first[chunk] = beside(t, lines, x, y)
+            elif passages and x <= passages[-1][1] + 1:
+                p = passages[-1]
+                passages[-1] = [p[0], y, p[2], first[chunk][1]] if y >= p[1] else p
+            else:
+                passages.append([x, y, *first[chunk]])
         merged = []
-        for a, b, x, y in sorted(spans):
-            if merged and (a <= merged[-1][1] + 1 or x <= merged[-1][3] + 1):
-                m = merged[-1]
-                merged[-1] = (m[0], max(m[1], b), min(m[2], x), max(m[3], y))
+        for x, y, old_before, old_after in passages:
+            before, after = beside(t, lines, x, y)
+            left = max(n for n in range(min(len(before), len(old_before)) + 1) if before[len(before) - n :] == old_before[len(old_before) - n :]
+                       and (n == 0 or all(n == len(s) or s[len(s) - n - 1].isspace() for s in (before, old_before))))
+            right = max(n for n in range(min(len(after), len(old_after)) + 1) if after[:n] == old_after[:n] and (n == 0 or all(n == len(s) or s[n].isspace() for s in (after, old_after))))
+            a, b = lines[x][0] - left, lines[y][1] + right
+            if merged and a <= merged[-1][1] + 1:
+                merged[-1] = (merged[-1][0], max(merged[-1][1], b), merged[-1][2], y)
             else:
                 merged.append((a, b, x, y))
         kept, at = "", 0
