@@ -1,24 +1,33 @@
-"""Secret scan through a trigram index, in DataFrame functions only.
+"""Secret scan through a trigram inverted index, in DataFrame functions only.
 
 Every rule's regular expression is turned into a Boolean query over trigrams that any match must
-contain (AND of ORs of ANDs, derived from the parsed expression). The index has one posting bitmap for
-each trigram that some query names: a bit per document, kept beside the document as 64-bit words, so
-postings are intersected where the text is and no text moves. Documents that satisfy a rule's query are
-verified with its expression; rules without mandatory trigrams scan every document.
-
-Defined cases: null text counts as empty; empty texts have no spans; repeated rows each get their row;
-a null doc_id is passed through; extra columns are ignored.
+contain (OR of ANDs, derived from the parsed expression). One tokenising pass finds the trigrams that
+some query names, in lower-cased text, and makes the inverted index: postings (trigram, document).
+Postings meet the queries by trigram, the lists of a conjunction are intersected by document, and the
+documents left are joined to their texts, where the expression itself is run. Rules without mandatory
+trigrams scan every text in a pass of their own.
+
+Documents travel as a 64-bit digest of id and text. Postings are a few small rows a document, distinct
+before they are shuffled; texts move once, to meet the candidates, and those of a hot key are split by
+adaptive execution. Positions are running sums over the exploded matches, so their cost is linear.
+
+Defined cases: null text counts as empty; empty texts have no spans; long texts are scanned whole;
+repeated rows each get their row; a null doc_id is passed through; an empty table gives an empty one;
+extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import re
 import re._constants as sc
 import re._parser as sp
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import row_key
+
 #: Alternatives kept while literals are joined; more of them make a query useless and are given up.
 MAX_STRINGS = 64
 
@@ -127,86 +136,89 @@ def trigram_query(rule: Rule) -> Query:
     return frozenset(frozenset(t.lower() for t in way) for way in query)
 
 
-def _keys(rules: tuple[Rule, ...]) -> list[tuple[str, bool]]:
-    """Indexed trigrams in a fixed order, with whether they stand for either case."""
-    return sorted({(t, r.ignore_case) for r in rules for way in trigram_query(r) or () for t in way})
-
-
-def build_index(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """doc_id, text and ``postings``: for each 64 indexed trigrams a long with a bit for each one present."""
-    keys = _keys(rules)
-    folded = F.lower("text")
-    words = []
-    for lo in range(0, max(len(keys), 1), 64):
-        word = F.lit(0).cast("long")
-        for bit, (trigram, either) in enumerate(keys[lo : lo + 64]):
-            there = F.contains(F.col("folded") if either else F.col("text"), F.lit(trigram))
-            word = word.bitwiseOR(F.when(there, F.lit(_signed(1 << bit))).otherwise(F.lit(0)).cast("long"))
-        words.append(word)
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("folded", folded)
-    return texts.select("doc_id", "text", F.array(*words).alias("postings"))
-
-
-def _signed(mask: int) -> int:
-    return mask - (1 << 64) if mask >> 63 else mask
-
-
-def candidate(rule: Rule, rules: tuple[Rule, ...] = RULES) -> Column:
-    """Whether the intersected postings leave the document a candidate of the rule."""
+def folded_query(rule: Rule) -> Query:
+    """The rule's query as the index answers it, in lower case; it leaves no fewer candidates."""
     query = trigram_query(rule)
-    if query is None:
-        return F.lit(True)
-    place = {k: i for i, k in enumerate(_keys(rules))}
-    any_way = F.lit(False)
-    for way in sorted(query, key=sorted):
-        masks: dict[int, int] = {}
-        for t in way:
-            i = place[t, rule.ignore_case]
-            masks[i // 64] = masks.get(i // 64, 0) | 1 << (i % 64)
-        every = F.lit(True)
-        for word, mask in sorted(masks.items()):
-            m = F.lit(_signed(mask)).cast("long")
-            every = every & (F.col("postings")[word].bitwiseAND(m) == m)
-        any_way = any_way | every
-    return any_way
-
-
-def _spans(rule: Rule) -> Column:
-    """array<struct<start, end>> of the rule's matches in ``text``, in code points."""
-    found = F.regexp_extract_all("text", F.lit(rule.java), F.lit(0))
-    between = F.transform(F.split("text", rule.java, -1), lambda t: F.length(t))
-    placed = F.aggregate(
-        F.arrays_zip(found.alias("m"), F.slice(between, 1, F.size(found)).alias("gap")),
-        F.expr("struct(0L as at, cast(array() as array<struct<start: bigint, end: bigint, match: string>>) as spans)"),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + F.length(x["m"])).cast("long").alias("at"),
-            F.concat(acc["spans"], F.array(F.struct((acc["at"] + x["gap"]).cast("long").alias("start"), (acc["at"] + x["gap"] + F.length(x["m"])).cast("long").alias("end"), x["m"].alias("match")))).alias("spans"),
-        ),
-        lambda acc: acc["spans"],
+    return query and _least(frozenset(frozenset(t.lower() for t in way) for way in query))
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(row_key().alias("key"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+
+
+def build_index(texts: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Postings (trigram, key) of the trigrams that the rules' queries name."""
+    named = sorted({t for r in rules for way in folded_query(r) or () for t in way})
+    if not named:
+        return texts.select(F.lit("").alias("trigram"), "key").limit(0)
+    found = F.filter(F.array(*map(F.lit, named)), lambda t: F.contains("folded", t))
+    texts = texts.select("key", F.lower("text").alias("folded"))
+    return texts.select("key", F.explode(found).alias("trigram")).distinct()
+
+
+def candidates(postings: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(key, kinds): documents on all lists of some conjunction of a rule's query."""
+    asked = [
+        (r.kind, n, t, len(way)) for r in rules for n, way in enumerate(sorted(folded_query(r) or (), key=sorted)) for t in sorted(way)
+    ]
+    queries = postings.sparkSession.createDataFrame(asked, "kind string, way int, trigram string, size int")
+    met = postings.join(F.broadcast(queries), "trigram")  # a few rows a rule
+    every = met.groupBy("key", "kind", "way", "size").agg(F.count("*").alias("n")).where("n = size")
+    return every.groupBy("key").agg(F.collect_set("kind").alias("kinds"))
+
+
+def _matches(texts: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """(key, n, start, end, kept): matches of the rules in ``kinds`` over texts (key, text, kinds), in code points."""
+    none = F.expr("cast(array() as array<struct<n: int, gap: int, m: string, kept: boolean>>)")
+
+    def found_by(n: int, r: Rule) -> Column:
+        found = F.regexp_extract_all("text", F.lit(r.java), F.lit(0))
+        gaps = F.transform(F.split("text", r.java, -1), lambda t: F.length(t))
+        kept = lambda m: F.length(F.regexp_extract(m, r.java, r.group)) >= r.least
+        rows = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda m, gap: F.struct(F.lit(n).alias("n"), gap.alias("gap"), m.alias("m"), kept(m).alias("kept")))
+        return F.when(F.array_contains("kinds", r.kind) & F.rlike("text", F.lit(r.java)), rows).otherwise(none)
+
+    lists = [found_by(n, r) for n, r in enumerate(rules)]
+    listed = texts.select("key", F.posexplode(F.concat(*lists)).alias("pos", "x"))
+    till = F.sum(F.col("x.gap") + F.length("x.m")).over(Window.partitionBy("key", "x.n").orderBy("pos"))
+    return listed.withColumn("end", till).where("x.kept").select("key", "x.n", (F.col("end") - F.length("x.m")).alias("start"), "end")
+
+
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, indexed: bool = True) -> DataFrame:
+    """doc_id and ``found``, an array of (start, n, end) with the rule's place n, in order; ``indexed=False`` scans for every rule."""
+    texts = _texts(docs)
+    with_query = tuple(r for r in rules if indexed and trigram_query(r) is not None)
+    spans = None
+    if with_query:
+        left = candidates(build_index(texts, rules), with_query)
+        met = texts.select("key", "text").join(left, "key").dropDuplicates(["key"])
+        spans = _matches(met, rules)
+    rest = [r for r in rules if r not in with_query]
+    if rest:
+        hit = F.array_compact(F.array(*(F.when(F.rlike("text", F.lit(r.java)), F.lit(r.kind)) for r in rest)))
+        met = texts.select("key", "text", hit.alias("kinds")).where(F.size("kinds") > 0).dropDuplicates(["key"])
+        scanned = _matches(met, rules)
+        spans = scanned if spans is None else spans.unionByName(scanned)
+    per = spans.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "n", "end"))).alias("found"))
+    none = F.expr("cast(array() as array<struct<start: bigint, n: int, end: bigint>>)")
+    return texts.select("doc_id", "key").join(per, "key", "left").select("doc_id", F.coalesce("found", none).alias("found"))
+
+
+def joined_spans(rules: tuple[Rule, ...], last: int) -> Column:
+    """kind:start:end of the spans of the first ``last`` rules, by start and then in the order of the rules."""
+    kinds = F.array(*(F.lit(r.kind) for r in rules))
+    told = F.transform(F.filter("found", lambda s: s["n"] < last), lambda s: F.concat_ws(":", F.get(kinds, s["n"]), s["start"].cast("string"), s["end"].cast("string")))
+    return F.array_join(told, ",")
+
+
+def secret_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES, indexed: bool = True) -> DataFrame:
+    """One row per document: doc_id, an array of spans (start, end) for each kind, base_spans and spans
+    (joined); the rules begin with the base ones."""
+    found = scan(docs, rules, indexed)
+
+    def own(n: int) -> Column:
+        return F.transform(F.filter("found", lambda s: s["n"] == n), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+
+    return found.select(
+        "doc_id", *(own(n).alias(r.kind) for n, r in enumerate(rules)), joined_spans(rules, len(BASE)).alias("base_spans"), joined_spans(rules, len(rules)).alias("spans")
     )
-    kept = F.filter(placed, lambda s: F.length(F.regexp_extract(s["match"], rule.java, rule.group)) >= rule.least)
-    return F.transform(kept, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
-
-
-def scan(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """doc_id and an array of spans (start, end) for each rule's kind."""
-    none = F.expr("cast(array() as array<struct<start: bigint, end: bigint>>)")
-    # Verification runs only where the index and a plain test of the expression leave a candidate.
-    flags = [(candidate(r, rules) & F.rlike("text", F.lit(r.java))).alias(f"is_{r.kind}") for r in rules]
-    flagged = index.select("doc_id", "text", *flags)
-    return flagged.select("doc_id", *(F.when(F.col(f"is_{r.kind}"), _spans(r)).otherwise(none).alias(r.kind) for r in rules))
-
-
-def joined_spans(rules: tuple[Rule, ...]) -> Column:
-    """kind:start:end of all the rules' spans, by start and then in the order of the rules."""
-
-    def tagged(n: int, kind: str) -> Column:
-        return F.transform(kind, lambda s: F.struct(s["start"].alias("start"), F.lit(n).alias("n"), s["end"].alias("end"), F.lit(kind).alias("kind")))
-
-    order = F.array_sort(F.concat(*(tagged(n, r.kind) for n, r in enumerate(rules))))
-    return F.array_join(F.transform(order, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
-
-
-def secret_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """One row per document: doc_id, a span array for each kind, base_spans and spans (joined)."""
-    return scan(build_index(docs, rules), rules).withColumn("base_spans", joined_spans(BASE)).withColumn("spans", joined_spans(rules))
