@@ -1,7 +1,7 @@
 """Knowledge graphs as node and edge frames, traversal and graph retrieval.
 
 nodes: id, label, type; edges: src, dst, relation, weight, evidence. Traversals are bounded self-joins
-over frontiers; their rounds are unrolled, at most the depth asked for.
+over frontiers, at most the depth asked for; each round's frontier is saved.
 """
 
 from __future__ import annotations
@@ -9,17 +9,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from granary.sources.scratch import saved
+
 from .text import sentence_table, strip
 
 # Relation patterns of the rule-based extractor, in the order they are tried.
-_NAME = r"([A-Z][a-zA-Z\s]+)"
 RELATIONS = (
-    (rf"{_NAME}\s+is\s+(?:the\s+)?([a-z]+)\s+of\s+{_NAME}", None),
-    (rf"{_NAME}\s+was\s+born\s+in\s+{_NAME}", "born_in"),
-    (rf"{_NAME}\s+invented\s+{_NAME}", "invented"),
-    (rf"{_NAME}\s+discovered\s+{_NAME}", "discovered"),
-    (rf"{_NAME}\s+works\s+(?:at|for)\s+{_NAME}", "works_at"),
-    (rf"{_NAME}\s+won\s+(?:the\s+)?{_NAME}", "won"),
+    (r"([A-Z][a-zA-Z\s]+)\s+is\s+(?:the\s+)?([a-z]+)\s+of\s+([A-Z][a-zA-Z\s]+)", "{1}_of"),
+    (r"([A-Z][a-zA-Z\s]+)\s+was\s+born\s+in\s+([A-Z][a-zA-Z\s]+)", "born_in"),
+    (r"([A-Z][a-zA-Z\s]+)\s+invented\s+([A-Z][a-zA-Z\s]+)", "invented"),
+    (r"([A-Z][a-zA-Z\s]+)\s+discovered\s+([A-Z][a-zA-Z\s]+)", "discovered"),
+    (r"([A-Z][a-zA-Z\s]+)\s+works\s+(?:at|for)\s+([A-Z][a-zA-Z\s]+)", "works_at"),
+    (r"([A-Z][a-zA-Z\s]+)\s+won\s+(?:the\s+)?([A-Z][a-zA-Z\s]+)", "won"),
 )
 
 
@@ -28,13 +29,16 @@ def node_id(label: Column) -> Column:
 
 
 def graph_from_triples(triples: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of (subject, predicate, object): the largest label of an id stays; edges keep repeats."""
+    """(nodes, edges) of (subject, predicate, object): the last label of an id stays, by the column ``pos``
+    if there is one and an object after its subject, else the largest; edges keep repeats."""
+    pos = F.col("pos") if "pos" in triples.columns else F.lit(0)
     edges = triples.select(
         node_id(F.col("subject")).alias("src"), node_id(F.col("object")).alias("dst"), F.col("predicate").alias("relation"), F.lit(1.0).alias("weight"),
         F.concat_ws(" ", "subject", "predicate", "object").alias("evidence"),
     )
-    labels = triples.select(F.explode(F.array("subject", "object")).alias("label"))
-    nodes = labels.groupBy(node_id(F.col("label")).alias("id")).agg(F.max("label").alias("label")).withColumn("type", F.lit("Entity"))
+    labels = triples.select(pos.alias("pos"), F.posexplode(F.array("subject", "object")).alias("side", "label")).withColumn("side", F.when(F.col("pos").isNotNull(), F.col("side")))
+    last = F.max_by("label", F.struct("pos", "side", "label")) if "pos" in triples.columns else F.max("label")
+    nodes = labels.groupBy(node_id(F.col("label")).alias("id")).agg(last.alias("label")).withColumn("type", F.lit("Entity"))
     return nodes, edges
 
 
@@ -48,10 +52,11 @@ def extract_relations(docs: DataFrame) -> DataFrame:
     s = F.col("sentence")
     made = None
     for pattern, relation in RELATIONS:
-        name = strip(F.lower(F.regexp_extract(s, pattern, 2))) if relation is None else None
+        named = "{1}" in relation  # the second group is part of the relation's name
+        name = strip(F.lower(F.regexp_extract(s, pattern, 2))) if named else F.lit("")
         t = F.struct(
-            strip(F.regexp_extract(s, pattern, 1)).alias("subject"), (F.concat(name, F.lit("_of")) if relation is None else F.lit(relation)).alias("predicate"),
-            strip(F.regexp_extract(s, pattern, 3 if relation is None else 2)).alias("object"),
+            strip(F.regexp_extract(s, pattern, 1)).alias("subject"), F.replace(F.lit(relation), F.lit("{1}"), name).alias("predicate"),
+            strip(F.regexp_extract(s, pattern, 3 if named else 2)).alias("object"),
         )
         made = F.when(s.rlike(pattern), t) if made is None else made.when(s.rlike(pattern), t)
     return sentence_table(docs).withColumn("t", made).where("t IS NOT NULL").select("doc_id", "pos", "t.subject", "t.predicate", "t.object")
@@ -111,12 +116,15 @@ def top_degrees(nodes: DataFrame, edges: DataFrame, k: int = 5) -> DataFrame:
 
 
 def find_paths(edges: DataFrame, pairs: DataFrame, max_depth: int = 3) -> DataFrame:
-    """(start, end, path): simple directed paths of at most ``max_depth`` edges that stop at the end."""
+    """(start, end, path): simple directed paths of at most ``max_depth`` edges that stop at the end.
+
+    Each round's open paths are saved, so a round extends them instead of repeating the rounds before."""
     steps = edges.select(F.col("src").alias("at"), F.col("dst").alias("next")).distinct()
     live = pairs.where("start <> end").distinct().select("start", "end", F.col("start").alias("at"), F.array("start").alias("path"))
     found = None
     for _ in range(max_depth):
         live = live.join(steps, "at").where(~F.array_contains("path", F.col("next"))).select("start", "end", F.col("next").alias("at"), F.concat("path", F.array("next")).alias("path"))
+        live = saved(live, "paths")
         done = live.where(F.col("at") == F.col("end")).select("start", "end", "path")
         found = done if found is None else found.unionByName(done)
         live = live.where(F.col("at") != F.col("end"))
@@ -136,7 +144,7 @@ def ego_nodes(edges: DataFrame, seeds: DataFrame, k: int = 2) -> DataFrame:
     front = seen
     for hop in range(1, k + 1):
         new = front.select("seed", F.col("id").alias("a")).join(steps, "a").select("seed", F.col("b").alias("id")).distinct()
-        front = new.join(seen.select("seed", "id"), ["seed", "id"], "left_anti").withColumn("hop", F.lit(hop))
+        front = saved(new.join(seen.select("seed", "id"), ["seed", "id"], "left_anti").withColumn("hop", F.lit(hop)), "ego")
         seen = seen.unionByName(front)
     return seen
 
@@ -154,33 +162,50 @@ def to_triples(edges: DataFrame) -> DataFrame:
 
 
 def link_entities(queries: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(query_id, id, place, label): nodes whose label occurs in the query, without case.
+    """(query_id, id, place, label): nodes whose label occurs in the query, without case, and where first.
 
-    Labels and queries meet on the label's first word; a full test follows, so no pair of a query and a
-    node that share no word is made. Labels must start at a word of the query.
+    Queries and labels meet on the whole label: a query offers its substrings of the lengths that labels
+    have, so candidates are as many as links. Empty labels link with nothing.
     """
-    first = F.regexp_extract(F.lower("label"), r"[\p{L}\p{N}_]+", 0)
-    keyed = nodes.select("id", F.lower("label").alias("low"), "label", first.alias("w")).where("w <> ''")
-    asked = queries.select("query_id", F.lower("text").alias("text"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))).alias("w"))
-    met = asked.join(keyed, "w").where(F.col("text").contains(F.col("low")))
-    return met.select("query_id", "id", F.instr("text", F.col("low")).alias("place"), "label").distinct()
-
-
-def ego_topk(queries: DataFrame, nodes: DataFrame, edges: DataFrame, k_hops: int = 1, k: int = 5) -> DataFrame:
-    """(query_id, chunk_id, score, rank): nodes around each query's linked entities, nearest first."""
-    linked = link_entities(queries, nodes)
+    keyed = nodes.select("id", F.lower("label").alias("low"), "label").where("low <> ''")
+    lengths = [r[0] for r in keyed.select(F.length("low")).distinct().collect()]  # small integers
+    asked = queries.select("query_id", F.lower("text").alias("text")).where("text <> ''").withColumn("size", F.explode(F.array(*map(F.lit, lengths)).cast("array<int>")))
+    offered = asked.where(F.length("text") >= F.col("size")).withColumn("place", F.explode(F.sequence(F.lit(1), F.length("text") - F.col("size") + 1)))
+    offered = offered.select("query_id", "place", F.expr("substring(text, place, size)").alias("low"))
+    return offered.join(keyed, "low").groupBy("query_id", "id", "label").agg(F.min("place").alias("place")).select("query_id", "id", "place", "label")
+
+
+def _as_chunks(found: DataFrame, nodes: DataFrame, chunk_map: DataFrame | None, prefix: str, k: int, *order: str) -> DataFrame:
+    """(query_id, chunk_id, score, rank) of found nodes (query_id, id): their chunks by ``chunk_map`` (id,
+    chunk_id), else one named for the node where it has content; without a map or a content column each node
+    is its own chunk."""
+    own = F.lit(None).cast("string")
+    if "content" in nodes.columns:
+        content = nodes.where("content <> ''").select("id", F.concat(F.lit(prefix), "id").alias("own"))
+        found, own = found.join(content, "id", "left"), F.col("own")
+    if chunk_map is not None:
+        found, own = found.join(chunk_map.select("id", F.col("chunk_id").cast("string").alias("mapped")), "id", "left"), F.coalesce("mapped", own)
+    elif "content" not in nodes.columns:
+        own = F.col("id")
+    first = Window.partitionBy("query_id").orderBy(*order)
+    kept = found.withColumn("chunk_id", own).where("chunk_id IS NOT NULL").withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k)
+    return kept.select("query_id", "chunk_id", F.lit(1.0).alias("score"), "rank")
+
+
+def ego_topk(queries: DataFrame, nodes: DataFrame, edges: DataFrame, k_hops: int = 1, k: int = 5, chunk_map: DataFrame | None = None) -> DataFrame:
+    """(query_id, chunk_id, score, rank): chunks of the nodes around each query's linked entities, nearest first."""
+    linked = saved(link_entities(queries, nodes), "links")
     near = ego_nodes(edges, linked.select(F.col("id").alias("seed")), k_hops)
     hops = linked.select("query_id", F.col("id").alias("seed")).join(near, "seed").groupBy("query_id", "id").agg(F.min("hop").alias("hop"))
-    order = Window.partitionBy("query_id").orderBy("hop", "id")
-    return hops.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("id").alias("chunk_id"), F.lit(1.0).alias("score"), "rank")
+    return _as_chunks(hops, nodes, chunk_map, "kg_", k, "hop", "id")
 
 
-def path_topk(queries: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int = 3, k: int = 5) -> DataFrame:
-    """(query_id, chunk_id, score, rank): nodes on the paths between each query's first two entities."""
+def path_topk(queries: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int = 3, k: int = 5, chunk_map: DataFrame | None = None) -> DataFrame:
+    """(query_id, chunk_id, score, rank): chunks of the nodes on the paths between each query's first two entities."""
     order = Window.partitionBy("query_id").orderBy("place", F.length("label").desc(), "id")
     two = link_entities(queries, nodes).withColumn("n", F.row_number().over(order)).where("n <= 2")
     pairs = two.groupBy("query_id").agg(F.max(F.when(F.col("n") == 1, F.col("id"))).alias("start"), F.max(F.when(F.col("n") == 2, F.col("id"))).alias("end")).where("end IS NOT NULL")
+    pairs = saved(pairs, "pairs")
     paths = find_paths(edges, pairs.select("start", "end"), depth)
     on = pairs.join(paths, ["start", "end"]).select("query_id", F.size("path").alias("n"), F.explode("path").alias("id")).groupBy("query_id", "id").agg(F.min("n").alias("n"))
-    best = Window.partitionBy("query_id").orderBy("n", "id")
-    return on.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("id").alias("chunk_id"), F.lit(1.0).alias("score"), "rank")
+    return _as_chunks(on, nodes, chunk_map, "kg_path_", k, "n", "id")

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from granary.sources.scratch import scratch_path
+
+__all__ = ["frame", "plain", "scratch_path", "table"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -46,9 +48,3 @@ TRIPLES = """
     UNION ALL
     SELECT 'customer ' || c_custkey, 'from_nation', 'nation ' || n_name FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey
 """
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new folder that the driver and all executors reach."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{root.rstrip('/')}/granary-files/{name}-{uuid.uuid4().hex}"

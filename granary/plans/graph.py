@@ -11,8 +11,8 @@ from .common import TRIPLES, frame, plain
 
 _T = plain(TRIPLES)
 _SENTENCES = """
-    SELECT c_custkey AS doc_id, c_name || ' is the client of Nation ' || n_name || '. Then Ann' || ' was born in ' || n_name || '! ' || c_name || ' works at ' || n_name || ' Bank' AS text
-    FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey
+    SELECT c_custkey AS doc_id, name || ' is the client of Nation ' || n_name || '. Then ' || name || ' Ann was born in ' || n_name || '! ' || name || ' works at ' || n_name || ' Bank' AS text
+    FROM (SELECT *, 'Client ' || translate(CAST(c_custkey AS STRING), '0123456789', 'abcdefghij') AS name FROM {customer}) c JOIN {nation} ON c_nationkey = n_nationkey
 """
 _NATIONS = "SELECT s_suppkey AS query_id, 'Which supplier ' || s_suppkey || ' serves nation ' || n_name || ' today?' AS text FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey"
 _OUTPUT = """
@@ -31,8 +31,12 @@ def _seeds(spark, sf, nodes, name="seed"):
     return nodes.where("id LIKE 'supplier_%'").select(F.col("id").alias(name))
 
 
+_SHOUTED = f"SELECT subject, predicate, CASE WHEN subject LIKE '%7' THEN upper(object) ELSE object END AS object, subject AS pos FROM ({TRIPLES}) AS t"
+
+
 def gra1(spark, sf):
-    nodes, edges = _graph(spark, sf)
+    """Labels differ in case; the last one, by subject, stays."""
+    nodes, edges = G.graph_from_triples(frame(spark, sf, _SHOUTED))
     return nodes.select(F.lit("node").alias("part"), "id", "label").unionByName(edges.select(F.lit("edge").alias("part"), F.col("src").alias("id"), F.concat_ws(">", "relation", "dst").alias("label")))
 
 
@@ -114,14 +118,21 @@ def ret9(spark, sf):
     return G.link_entities(frame(spark, sf, _NATIONS), nodes).select("query_id", "id", F.col("place").cast("long").alias("place"))
 
 
-def ret10(spark, sf):
+def _chunked(spark, sf):
+    """Suppliers have chunks, nations content of their own, customers neither."""
     nodes, edges = _graph(spark, sf)
-    return G.ego_topk(frame(spark, sf, _NATIONS), nodes, edges, 1, 5)
+    nodes = nodes.withColumn("content", F.when(F.startswith("id", F.lit("nation_")), F.col("label")))
+    return nodes, edges, nodes.where("id LIKE 'supplier_%'").select("id", F.concat(F.lit("chunk "), "label").alias("chunk_id"))
+
+
+def ret10(spark, sf):
+    nodes, edges, chunks = _chunked(spark, sf)
+    return G.ego_topk(frame(spark, sf, _NATIONS), nodes, edges, 1, 5, chunks)
 
 
 def ret11(spark, sf):
-    nodes, edges = _graph(spark, sf)
-    return G.path_topk(frame(spark, sf, _NATIONS), nodes, edges)
+    nodes, edges, chunks = _chunked(spark, sf)
+    return G.path_topk(frame(spark, sf, _NATIONS), nodes, edges, chunk_map=chunks)
 
 
 def ret12(spark, sf):
@@ -148,6 +159,7 @@ _N = plain(_NATIONS)
 _EGO = f"""WITH {_G}, q AS ({_N}), l AS (SELECT query_id, id, strpos(lower(text), lower(label)) AS place, label FROM q, n WHERE contains(lower(text), lower(label))
     ), h AS (SELECT query_id, id, min(hop) AS hop FROM (SELECT query_id, id, 0 AS hop FROM l UNION ALL SELECT query_id, b, 1 FROM l JOIN b ON a = id) GROUP BY ALL
     ), g AS (SELECT query_id, id AS chunk_id, CAST(1.0 AS DOUBLE) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY hop, id) AS INT) AS rank FROM h)"""
+_CHUNK = "CASE WHEN id LIKE 'supplier_%' THEN 'chunk ' || label WHEN id LIKE 'nation_%' THEN '{0}' || id END"
 _SENT = plain(_SENTENCES)
 _RELATIONS = rf"""WITH d AS ({_SENT}), s AS (SELECT doc_id, regexp_split_to_array(text, '[.!?]\s+') AS ss FROM d), x AS (SELECT doc_id, CAST(generate_subscripts(ss, 1) - 1 AS INT) AS pos, unnest(ss) AS z FROM s
     ), r AS (SELECT doc_id, pos,
@@ -158,7 +170,8 @@ _RELATIONS = rf"""WITH d AS ({_SENT}), s AS (SELECT doc_id, regexp_split_to_arra
 _OUT = plain(_OUTPUT)
 
 ORACLE = {
-    "gra1_graph_from_triples": f"WITH {_G} SELECT 'node' AS part, id, label FROM n UNION ALL SELECT 'edge', src, relation || '>' || dst FROM e",
+    "gra1_graph_from_triples": f"""WITH t AS ({plain(_SHOUTED)}), e AS (SELECT {_S} AS src, {_O} AS dst, predicate AS relation FROM t
+        ), l AS (SELECT subject AS label, pos, 0 AS side FROM t UNION ALL SELECT object, pos, 1 FROM t), n AS (SELECT {_ID.replace('{0}', 'label')} AS id, arg_max(label, (pos, side, label)) AS label FROM l GROUP BY 1) SELECT 'node' AS part, id, label FROM n UNION ALL SELECT 'edge', src, relation || '>' || dst FROM e""",
     "gra2_resolve_entities": f"""WITH t AS ({_T}), l AS (SELECT object AS label FROM t UNION SELECT upper(object) FROM t)
         SELECT {_ID.replace('{0}', 'label')} AS id, max(label) AS label, string_agg(DISTINCT label, '|' ORDER BY label) AS aliases FROM l GROUP BY 1""",
     "gra3_extract_relations": _RELATIONS + " SELECT * FROM rel",
@@ -182,10 +195,12 @@ ORACLE = {
     "ret8_graph_hybrid": _EGO + """, f AS (SELECT query_id, chunk_id, 0.6 * CASE WHEN rank % 2 = 1 THEN 1.0 / rank ELSE 0 END + 0.4 AS score FROM g WHERE rank <= 10)
         SELECT query_id, chunk_id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY f.score DESC, chunk_id) AS INT) AS rank FROM f QUALIFY rank <= 5""",
     "ret9_link_entities": _EGO + " SELECT query_id, id, place FROM l",
-    "ret10_ego_topk": _EGO + " SELECT * FROM g WHERE rank <= 5",
+    "ret10_ego_topk": _EGO + f""", c AS (SELECT query_id, hop, id, {_CHUNK.format('kg_')} AS chunk_id FROM h JOIN n USING (id))
+        SELECT query_id, chunk_id, CAST(1.0 AS DOUBLE) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY hop, id) AS INT) AS rank FROM c WHERE chunk_id IS NOT NULL QUALIFY rank <= 5""",
     "ret11_path_topk": _EGO + """, two AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY place, length(label) DESC, id) AS i FROM l
         ), pr AS (SELECT query_id, max(id) FILTER (i = 1) AS s, max(id) FILTER (i = 2) AS f FROM two WHERE i <= 2 GROUP BY query_id
         ), o AS (SELECT query_id, s AS id FROM pr JOIN e ON src = s AND dst = f UNION SELECT query_id, f FROM pr JOIN e ON src = s AND dst = f)
-        SELECT query_id, id AS chunk_id, CAST(1.0 AS DOUBLE) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY id) AS INT) AS rank FROM o""",
+        SELECT query_id, chunk_id, CAST(1.0 AS DOUBLE) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY id) AS INT) AS rank
+        FROM (SELECT query_id, id, """ + _CHUNK.format("kg_path_") + """ AS chunk_id FROM o JOIN n USING (id)) c WHERE chunk_id IS NOT NULL""",
     "ret12_graph_from_documents": _RELATIONS + f""", ends AS (SELECT {_S} AS id FROM rel UNION ALL SELECT {_O} FROM rel) SELECT id, count(*) AS degree FROM ends GROUP BY id""",
 }
