@@ -92,7 +92,7 @@ def line_chunks(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     return {
         "doc": owner, "no": np.arange(len(head)) - first[owner], "from": head - first_line[owner], "to": tail - first_line[owner],
         "start": start[head], "end": end[tail], "hash": digest, "first": first,
-        "line_start": start, "line_end": end, "first_line": first_line, "line_doc": doc,
+        "more": ~last[tail], "line_start": start, "line_end": end, "first_line": first_line, "line_doc": doc,
     }
 
 
@@ -129,8 +129,8 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             base = points[offsets[c["doc"][use]]]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").take(rows), batch.column("row_key").take(rows), pa.array(c["no"][use]), pa.array(c["from"][use]), pa.array(c["to"][use]),
-                 pa.array(points[c["start"][use]] - base), pa.array(points[c["end"][use]] - base), pa.array(c["hash"][use].view(np.int64)), pa.array(text, pa.binary())],
-                ["doc_id", "row_key", "no", "from", "to", "start", "end", "h", "chunk"],
+                 pa.array(points[c["start"][use]] - base), pa.array(points[c["end"][use]] - base), pa.array(c["hash"][use].view(np.int64)), pa.array(text, pa.binary()), pa.array(c["more"][use])],
+                ["doc_id", "row_key", "no", "from", "to", "start", "end", "h", "chunk", "more"],
             )
 
 
@@ -195,24 +195,36 @@ def repeated_passages(docs: DataFrame, scratch: Scratch) -> DataFrame:
     again = scratch.save(texts.select("text").mapInArrow(_counts, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"))
     # Merge joins at every size: a broadcast below some size would only hide what the large run moves.
     places = scratch.save(texts.mapInArrow(_places, "doc_id long, row_key long, no int, h long").join(again.hint("merge"), "h").drop("h"))
-    asked = places.groupBy(F.col("doc_id").alias("asked_id"), F.col("row_key").alias("asked_key")).agg(F.collect_set("no").alias("nos"))
+    asked = scratch.save(places.groupBy(F.col("doc_id").alias("asked_id"), F.col("row_key").alias("asked_key")).agg(F.collect_set("no").alias("nos"), F.count("*").alias("n")))
+    repeated_rows = not asked.where(F.col("n") > F.size("nos")).isEmpty()
     asked = texts.join(asked.hint("merge"), F.expr("doc_id <=> asked_id AND row_key = asked_key")).select("doc_id", "row_key", "text", "nos")
-    spelled = scratch.save(asked.mapInArrow(_texts, "doc_id long, row_key long, no long, from long, to long, start long, end long, h long, chunk binary"))
-    # Equal bytes, not just equal hashes, make a group; its first occurrence stays.
-    place = F.struct("doc_id", "row_key", "no", "from", "to")
-    first = spelled.groupBy("h", "chunk").agg(F.count("*").alias("times"), F.min(place).alias("first"))
-    first = scratch.save(first.where("times > 1"))
-    copies = spelled.join(first.hint("merge"), ["h", "chunk"]).where("NOT (doc_id <=> first.doc_id AND row_key = first.row_key AND no = first.no)")
-    again = scratch.save(copies.select("doc_id", "row_key", "no", "from", "to", "start", "end", "first"))
+    spelled = scratch.save(asked.mapInArrow(_texts, "doc_id long, row_key long, no long, from long, to long, start long, end long, h long, chunk binary, more boolean"))
+    # Equal bytes, not just equal hashes, make a group; its first occurrence stays. Where all chunks of a hash
+    # have the same bytes, the hash stands for them from here on.
+    place = F.min(F.struct("doc_id", "row_key", "no", "from", "to", "more")).alias("first")
+    by_hash = spelled.groupBy("h").agg(F.count("*").alias("times"), F.min("chunk").alias("low"), F.max("chunk").alias("high"), place)
+    by_hash = scratch.save(by_hash.where("times > 1").select("h", (F.col("low") == F.col("high")).alias("same"), "first"))
+    copies = spelled.drop("chunk").join(by_hash.where("same").select("h", "first").hint("merge"), "h")
+    mixed = by_hash.where("NOT same").select("h")
+    if not mixed.isEmpty():
+        doubtful = spelled.join(mixed.hint("merge"), "h")
+        by_bytes = doubtful.groupBy("h", "chunk").agg(F.count("*").alias("times"), place).where("times > 1")
+        copies = copies.unionByName(doubtful.join(by_bytes.drop("times").hint("merge"), ["h", "chunk"]).drop("chunk"))
+    copies = copies.where("NOT (doc_id <=> first.doc_id AND row_key = first.row_key AND no = first.no)").select("doc_id", "row_key", "no", "from", "to", "start", "end", "more", "first")
+    again = scratch.save(copies.distinct() if repeated_rows else copies)
     # Chunks of one document that overlap or touch are one passage.
     before = Window.partitionBy("doc_id", "row_key").orderBy("no")
     reach = F.max("to").over(before.rowsBetween(Window.unboundedPreceding, -1))
-    opens = again.distinct().withColumn("opens", F.coalesce(F.col("from") > reach + 1, F.lit(True)).cast("long"))
+    opens = again.withColumn("opens", F.coalesce(F.col("from") > reach + 1, F.lit(True)).cast("long"))
     passages = opens.withColumn("passage", F.sum("opens").over(before)).groupBy("doc_id", "row_key", "passage").agg(
         F.min("from").alias("from"), F.max("to").alias("to"), F.min("start").alias("start"), F.max("end").alias("end"),
-        F.min(F.struct("from", "no", "first")).alias("head"), F.max(F.struct("to", "no", "first")).alias("tail"),
+        F.min(F.struct("from", "no", "first")).alias("head"), F.max(F.struct("to", "no", "more", "first")).alias("tail"),
     )
-    passages = scratch.save(passages.select("doc_id", "row_key", "from", "to", "start", "end", F.col("head.first").alias("head"), F.col("tail.first").alias("tail")))
+    # Whether a line stands beside the passage, and beside its first occurrence, too.
+    passages = scratch.save(passages.select(
+        "doc_id", "row_key", "from", "to", "start", "end", F.col("head.first").alias("head"), F.col("tail.first").alias("tail"),
+        F.expr("from > 0 AND head.first.from > 0").alias("is_left"), F.expr("tail.more AND tail.first.more").alias("is_right"),
+    ))
     return _grow(passages, texts, scratch)
 
 
@@ -222,13 +234,13 @@ def _grow(passages: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
 
     def ask(side: str, whose: str, row: str, line: str) -> DataFrame:
         doc = [F.col(f"{row}{c}").alias(c) for c in ("doc_id", "row_key")]
-        return passages.where("from > 0 AND head.from > 0" if side == "left" else "true").select(*own, F.lit(f"{side}_{whose}").alias("what"), *doc, F.expr(line).cast("long").alias("line"))
+        return passages.where(f"is_{side}").select(*own, F.lit(f"{side}_{whose}").alias("what"), *doc, F.expr(line).cast("long").alias("line"))
 
     asks = ask("left", "own", "", "from - 1").unionByName(ask("left", "first", "head.", "head.from - 1"))
     asks = asks.unionByName(ask("right", "own", "", "to + 1")).unionByName(ask("right", "first", "tail.", "tail.to + 1"))
     wanted = asks.groupBy(F.col("doc_id").alias("asked_id"), F.col("row_key").alias("asked_key")).agg(F.collect_set("line").alias("nos"))
     wanted = texts.join(wanted.hint("merge"), F.expr("doc_id <=> asked_id AND row_key = asked_key")).select("doc_id", "row_key", "text", "nos")
-    lines = scratch.save(wanted.mapInArrow(_lines, "doc_id long, row_key long, line long, to_next binary, from_last binary").distinct())
+    lines = scratch.save(wanted.mapInArrow(_lines, "doc_id long, row_key long, line long, to_next binary, from_last binary"))
     lines = lines.withColumnsRenamed({"doc_id": "l_doc_id", "row_key": "l_row_key", "line": "l_line"})
     met = asks.join(lines.hint("merge"), F.expr("doc_id <=> l_doc_id AND row_key = l_row_key AND line = l_line"))
     piece = F.when(F.startswith("what", F.lit("left")), F.col("to_next")).otherwise(F.col("from_last"))
