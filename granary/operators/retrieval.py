@@ -12,10 +12,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from granary.sources.scratch import saved
+
 from .text import strip
 
-#: Queries multiplied against an Arrow batch at once; more queries take further passes.
-QUERY_BLOCK = 4096
+#: Queries and index rows that one task multiplies; every block of queries meets every block of the index.
+QUERY_BLOCK, INDEX_BLOCK = 1024, 32768
+#: Chunks whose scores against a block of queries are held at once.
+SCORED = 1024
 #: Parts that a token's postings are dealt over.
 SALTS = 32
 TOKEN = r"[\p{L}\p{N}_]+"
@@ -45,39 +49,82 @@ def append_index(index: DataFrame, new: DataFrame, dim: int) -> DataFrame:
     return index.unionByName(checked)
 
 
-def dense_topk(queries: DataFrame, index: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
+def _meet(queries: DataFrame, index: DataFrame, q_id: str, i_id: str, kernel, schema: str, q_block: int = QUERY_BLOCK, i_block: int = INDEX_BLOCK, pool: str | None = None) -> DataFrame:
+    """``kernel(query rows, index rows)`` for every pair of blocks, of the same ``pool`` if one is named. Each side
+    is dealt by a hash of its id and sent once for each block of the other; no side passes the driver."""
+    per = [pool] if pool else []
+
+    def blocks(df: DataFrame, size: int) -> DataFrame:
+        return df.groupBy(*per).agg(F.ceil(F.count("*") / size).cast("int").alias("n_blocks"))
+
+    def dealt(df: DataFrame, own: DataFrame, other: DataFrame, id_: str, names: tuple[str, str]) -> DataFrame:
+        both = own.withColumnRenamed("n_blocks", "own_blocks").join(other.withColumnRenamed("n_blocks", "other_blocks"), per) if pool else own.withColumnRenamed("n_blocks", "own_blocks").crossJoin(other.withColumnRenamed("n_blocks", "other_blocks"))
+        # a row for each pool, or just one
+        out = df.join(both, per) if pool else df.crossJoin(F.broadcast(both))
+        return out.withColumn(names[0], F.expr(f"pmod(xxhash64({id_}), own_blocks)").cast("int")).withColumn(names[1], F.explode(F.sequence(F.lit(0), F.col("other_blocks") - 1))).drop("own_blocks", "other_blocks")
+
+    nq, ni = blocks(queries, q_block), blocks(index, i_block)
+    q, i = dealt(queries, nq, ni, q_id, ("qb", "ib")), dealt(index, ni, nq, i_id, ("ib", "qb"))
+    q, i = (df.toDF(*df.columns) for df in (q, i))  # new attributes, should both come from one frame
+    keys = [*per, "qb", "ib"]
+    return q.groupBy(*keys).cogroup(i.groupBy(*keys)).applyInArrow(lambda left, right: kernel(left.combine_chunks(), right.combine_chunks()), schema)
+
+
+def best(score: np.ndarray, valid: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k largest valid scores of each row, with all that tie with the last but for rounding."""
+    score = np.where(valid, score, -np.inf)
+    if score.shape[1] > k:
+        limit = np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k]
+        valid = valid & (score >= limit[:, None] - 1e-8)
+    return np.nonzero(valid)
+
+
+def dense_topk(queries: DataFrame, index: DataFrame, k: int, q_block: int = QUERY_BLOCK, i_block: int = INDEX_BLOCK) -> DataFrame:
     """The k largest dot products of each query (query_id, embedding) over the index (chunk_id, embedding),
-    the query's own id left out. Queries go to the index in blocks; each batch keeps its own k best."""
-    n = queries.count()
-    parts = []
-    for b in range(max(1, -(-n // block))):
-        blocks = max(1, -(-n // block))
-        some = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).select("query_id", "embedding").toArrow()
-        ids = some.column("query_id").to_numpy()
-        matrix = np.array(some.column("embedding").to_pylist(), np.float64).reshape(len(ids), -1)
-        parts.append(index.select("chunk_id", "embedding").mapInArrow(_multiply(queries.sparkSession.sparkContext.broadcast((ids, matrix)), k), "query_id long, chunk_id long, score double"))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.union(p)
+    the query's own id left out. Blocks of queries meet blocks of the index; each pair keeps its own k best."""
+
+    def multiply(q: pa.Table, x: pa.Table) -> pa.Table:
+        ids, chunk = q.column("query_id").to_numpy(), x.column("chunk_id").to_numpy()
+        if not len(ids) or not len(chunk):
+            return _SCORED.empty_table()
+        a, b = (np.asarray(t.column("embedding").combine_chunks().flatten(), np.float64).reshape(len(t), -1) for t in (q, x))
+        out = []
+        for lo in range(0, len(chunk), SCORED):
+            scores = a @ b[lo : lo + SCORED].T
+            row, col = best(scores, ids[:, None] != chunk[None, lo : lo + SCORED], k)
+            out.append(pa.table([ids[row], chunk[lo + col], scores[row, col]], schema=_SCORED))
+        return pa.concat_tables(out)
+
+    found = _meet(queries.select("query_id", "embedding"), index.select("chunk_id", "embedding"), "query_id", "chunk_id", multiply, "query_id long, chunk_id long, score double", q_block, i_block)
     return _ranked(found, k)
 
 
-def _multiply(query_block, k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, matrix = query_block.value
-        for batch in batches:
-            chunk = batch.column("chunk_id").to_numpy()
-            if not len(chunk) or not len(ids):
-                continue
-            vectors = np.asarray(batch.column("embedding").flatten(), np.float64).reshape(len(chunk), -1)
-            scores = matrix @ vectors.T
-            scores[ids[:, None] == chunk[None, :]] = -np.inf
-            top = min(k, len(chunk))
-            limit = np.partition(scores, len(chunk) - top, axis=1)[:, len(chunk) - top]
-            q, c = np.nonzero((scores >= limit[:, None]) & np.isfinite(scores))  # ties at the limit all stay
-            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(chunk[c]), pa.array(scores[q, c])], ["query_id", "chunk_id", "score"])
-
-    return run
+_SCORED = pa.schema([("query_id", pa.int64()), ("chunk_id", pa.int64()), ("score", pa.float64())])
+
+
+def _shared(q: pa.Table, x: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For runs of SCORED index rows: (first row, cells, query-word rows, times a word stands in a chunk, chunks,
+    shape), a cell being query * rows + chunk for each word that a query (words in list ``t``) and a chunk share."""
+    asked = q.column("t").combine_chunks()
+    n_q = len(q)
+    word, owner = np.asarray(asked.flatten()), np.repeat(np.arange(n_q), np.asarray(asked.value_lengths()))
+    order = np.argsort(word, kind="stable")
+    vocabulary, first = np.unique(word[order], return_index=True)
+    ends = np.append(first[1:], len(word))
+    lists = x.column("t").combine_chunks()
+    for lo in range(0, len(x), SCORED):
+        part = lists.slice(lo, SCORED)
+        chunk = np.repeat(np.arange(len(part)), np.asarray(part.value_lengths()))
+        tokens = np.asarray(part.flatten())
+        at = np.minimum(np.searchsorted(vocabulary, tokens), max(len(vocabulary) - 1, 0))
+        hit = vocabulary[at] == tokens if len(vocabulary) else np.zeros(len(tokens), bool)
+        pair, tf = np.unique(at[hit] * len(part) + chunk[hit], return_counts=True)
+        v, c = pair // max(len(part), 1), pair % max(len(part), 1)
+        many = ends[v] - first[v] if len(v) else np.zeros(0, np.int64)
+        total = np.cumsum(many)
+        step = np.arange(total[-1] if len(total) else 0) - np.repeat(total - many, many)
+        row = order[np.repeat(first[v] if len(v) else v, many) + step]
+        yield lo, owner[row] * len(part) + np.repeat(c, many), row, np.repeat(tf, many), np.repeat(c, many), np.array([n_q, len(part)])
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -112,24 +159,65 @@ def build_postings(chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return postings, df, stats
 
 
+def _weights(queries: DataFrame, df: DataFrame, stats: DataFrame) -> DataFrame:
+    """(query_id, token, times, idf_reference, idf_standard): ``reference`` counts documents as the original
+    does, ``standard`` chunks."""
+    asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times"))
+    idf = {m: F.ln((F.col(n) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1) for m, n in (("reference", "n_docs"), ("standard", "n_chunks"))}
+    return asked.join(df, "token").crossJoin(F.broadcast(stats)).select("query_id", "token", "times", *(c.alias(f"idf_{m}") for m, c in idf.items()))  # stats is one row
+
+
+_AVERAGE = {"reference": "avg_chars", "standard": "avg_tokens"}
+
+
 def bm25(queries: DataFrame, postings: DataFrame, df: DataFrame, stats: DataFrame, k1: float = 1.5, b: float = 0.75, mode: str = "reference") -> DataFrame:
-    """(query_id, chunk_id, score) of chunks sharing a token with a query (query_id, text).
+    """(query_id, chunk_id, score) of all chunks sharing a token with a query (query_id, text).
 
     ``reference`` mixes units as the original does: documents for N and characters for the average length;
     ``standard`` uses chunks and tokens. A token repeated in the query counts each time.
     """
-    n, average = (F.col("n_docs"), F.col("avg_chars")) if mode == "reference" else (F.col("n_chunks"), F.col("avg_tokens"))
-    asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times"))
-    idf = F.ln((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     # A frequent token's postings are dealt over salts by chunk, so its pairs are summed where they arise.
     salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
-    asked = asked.join(df, "token").withColumn("salt", salts)
+    asked = _weights(queries, df, stats).withColumn("salt", salts)
     postings = postings.withColumn("salt", F.pmod(F.xxhash64("chunk_id"), F.lit(SALTS)))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / average)) * F.col("times")
-    met = asked.join(postings, ["token", "salt"]).crossJoin(F.broadcast(stats))  # stats is one row
+    part = F.col(f"idf_{mode}") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col(_AVERAGE[mode]))) * F.col("times")
+    met = asked.join(postings, ["token", "salt"]).crossJoin(F.broadcast(stats.select(_AVERAGE[mode])))  # one row
     return met.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
 
 
+def bm25_topk(queries: DataFrame, chunks: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, modes: tuple[str, ...] = ("reference", "standard")) -> DataFrame:
+    """(mode, query_id, chunk_id, score, rank): the k best chunks (chunk_id, doc_id, text) of each query by BM25, in
+    each mode over one pass. Document frequencies are combined counts; scores are summed where blocks of
+    queries and chunks meet, so no pair of a query and a chunk is shuffled but the k best of a block."""
+    listed = chunks.select("chunk_id", "doc_id", F.length("text").alias("n_chars"), tokens(F.col("text")).alias("t"))
+    listed = saved(listed.select("chunk_id", "doc_id", "n_chars", F.size("t").alias("dl"), "t"), "tokens")
+    df = listed.select(F.explode(F.array_distinct("t")).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+    stats = listed.agg(F.countDistinct("doc_id").alias("n_docs"), F.count("*").alias("n_chunks"), F.avg("n_chars").alias("avg_chars"), F.avg("dl").alias("avg_tokens"))
+    stats = saved(stats, "stats")
+    asked = _weights(queries, df, stats).withColumn("w", F.xxhash64("token")).groupBy("query_id").agg(
+        F.collect_list(F.struct("w", *((F.col(f"idf_{m}") * F.col("times") * (k1 + 1)).alias(m) for m in modes))).alias("x")
+    ).select("query_id", F.col("x.w").alias("t"), *(F.col(f"x.{m}") for m in modes))
+    norms = [(k1 * (1 - b + b * F.col("dl") / F.col(_AVERAGE[m]))).alias(m) for m in modes]
+    index = listed.crossJoin(F.broadcast(stats.drop("n_docs"))).select("chunk_id", F.transform("t", lambda t: F.xxhash64(t)).alias("t"), *norms)
+
+    def score(q: pa.Table, x: pa.Table) -> pa.Table:
+        ids, chunk, out = q.column("query_id"), x.column("chunk_id"), []
+        weight = {m: np.asarray(q.column(m).combine_chunks().flatten()) for m in modes}
+        for lo, cell, row, tf, c, shape in _shared(q, x):
+            valid = np.bincount(cell, minlength=shape.prod()).reshape(shape) > 0
+            for m in modes:
+                norm = x.column(m).to_numpy()[lo : lo + SCORED]
+                value = np.bincount(cell, weight[m][row] * tf / (tf + norm[c]), shape.prod()).reshape(shape)
+                r, col = best(value, valid, k)
+                out.append(pa.table({"mode": pa.array([m] * len(r), pa.string()), "query_id": ids.take(pa.array(r)), "chunk_id": chunk.take(pa.array(lo + col)), "score": value[r, col]}))
+        return pa.concat_tables(out) if out else pa.table({"mode": pa.array([], pa.string()), "query_id": ids.slice(0, 0), "chunk_id": chunk.slice(0, 0), "score": pa.array([], pa.float64())})
+
+    kinds = {c: f.schema[c].dataType.simpleString() for c, f in (("query_id", queries), ("chunk_id", chunks))}
+    found = _meet(asked, index, "query_id", "chunk_id", score, f"mode string, query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, score double")
+    order = Window.partitionBy("mode", "query_id").orderBy(F.round("score", 9).desc(), "chunk_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
 def fuse(first: DataFrame, second: DataFrame, k: int | None, w_first: float, w_second: float) -> DataFrame:
     """Weighted sum of two score frames; a chunk missing from one scores 0 there. Weights must sum to 1."""
     if abs(w_first + w_second - 1) > 1e-6:
@@ -154,14 +242,25 @@ def overlap_topk(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """The k documents (chunk_id, text) sharing most distinct words with each query; places left over go
     to the smallest ids with score 0."""
     def distinct_words(df: DataFrame, id_: str) -> DataFrame:
-        return df.select(id_, F.explode(F.array_distinct(F.split(F.lower(strip(F.coalesce("text", F.lit("")))), r"\s+", -1))).alias("w")).where("w <> ''")
-
-    shared = distinct_words(queries, "query_id").join(distinct_words(docs, "chunk_id"), "w").groupBy("query_id", "chunk_id").agg(F.count("*").cast("double").alias("score"))
-    best = _ranked(shared, k).drop("rank")
+        split = F.array_remove(F.array_distinct(F.split(F.lower(strip(F.coalesce("text", F.lit("")))), r"\s+", -1)), "")
+        return df.select(id_, F.transform(split, lambda w: F.xxhash64(w)).alias("t"))
+
+    def count(q: pa.Table, x: pa.Table) -> pa.Table:
+        ids, chunk, out = q.column("query_id"), x.column("chunk_id"), []
+        for lo, cell, _, _, _, shape in _shared(q, x):
+            n = np.bincount(cell, minlength=shape.prod()).reshape(shape)
+            row, col = best(n.astype(np.float64), n > 0, k)
+            out.append(pa.table({"query_id": ids.take(pa.array(row)), "chunk_id": chunk.take(pa.array(lo + col)), "score": n[row, col].astype(np.float64)}))
+        return pa.concat_tables(out) if out else pa.table({"query_id": ids.slice(0, 0), "chunk_id": chunk.slice(0, 0), "score": pa.array([], pa.float64())})
+
+    kinds = {c: f.schema[c].dataType.simpleString() for c, f in (("query_id", queries), ("chunk_id", docs))}
+    found = _meet(distinct_words(queries, "query_id"), distinct_words(docs, "chunk_id"), "query_id", "chunk_id", count, f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, score double")
+    top = saved(_ranked(found, k).drop("rank"), "overlap")
+    # Queries with places left: any k of the 2k smallest ids are enough to fill up.
+    lacking = queries.select("query_id").join(top.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k), "query_id", "left_anti")
     filler = docs.select("chunk_id").orderBy("chunk_id").limit(2 * k)
-    # any k of these 2k smallest ids are enough to fill up
-    padded = queries.select("query_id").crossJoin(F.broadcast(filler)).join(best.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti").withColumn("score", F.lit(0.0))
-    return _ranked(best.unionByName(padded), k)
+    padded = lacking.crossJoin(F.broadcast(filler)).join(top.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti").withColumn("score", F.lit(0.0))
+    return _ranked(top.unionByName(padded), k)
 
 
 def pack_context(retrieved: DataFrame, max_chars: int = 3000) -> DataFrame:

@@ -66,13 +66,8 @@ def ret4(spark, sf):
     return df.crossJoin(F.broadcast(stats.select("n_docs", "n_chunks", F.round("avg_chars", 6).alias("avg_chars"), F.round("avg_tokens", 6).alias("avg_tokens"))))
 
 
-def _lexical(spark, sf, mode):
-    return R.bm25(_items(spark, sf), *R.build_postings(_chunks(spark, sf)), mode=mode)
-
-
 def ret5(spark, sf):
-    parts = [R._ranked(_lexical(spark, sf, m).withColumn("score", F.round("score", 6)), K).withColumn("mode", F.lit(m)) for m in ("reference", "standard")]
-    return parts[0].unionByName(parts[1])
+    return R.bm25_topk(_items(spark, sf), _chunks(spark, sf), K).withColumn("score", F.round("score", 6))
 
 
 def ret6(spark, sf):
