@@ -9,14 +9,14 @@ then position), after their bytes have been compared. Overlapping and adjacent c
 line by line, as far as the copies agree; every removed line stands in an earlier place that is kept.
 
 A passage then grows beyond its lines: as many words of the line before it and of the line after it go as
-agree with what stands beside the first occurrence, so a passage pasted into the middle of a sentence goes
-whole. Every removed stretch stands in an earlier place that is kept.
+agree with what stands beside the first occurrence, where a run of repeated chunks ends in both places; so a
+passage pasted into the middle of a sentence goes whole. Every removed stretch stands in an earlier place
+that is kept.
 
 Chunk counts are combined in the tasks before they are shuffled, so a passage shared by a third of the
 documents is sent once per task. Chunks travel as hashes and numbers; their bytes only where the hash is
-repeated. Texts move three times: of documents with repeated chunks, to spell those; of documents beside
-whose passages a line stands, to spell that line; and all, to be cut. A hot chunk's rows are spread by
-adaptive skew handling and its texts combine on the map side.
+repeated. Whole texts move twice, to spell those chunks and to cut the documents; a hot chunk's rows are
+spread by adaptive skew handling and its texts combine on the map side.
 
 Defined cases: null text has no lines and stays null, empty text stays empty; lines without words count for
 no window, but those inside a passage go with it; rows with equal doc_id and text are one document and keep
@@ -92,7 +92,7 @@ def line_chunks(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     return {
         "doc": owner, "no": np.arange(len(head)) - first[owner], "from": head - first_line[owner], "to": tail - first_line[owner],
         "start": start[head], "end": end[tail], "hash": digest, "first": first,
-        "more": ~last[tail], "line_start": start, "line_end": end, "first_line": first_line, "line_doc": doc,
+        "line_start": start, "line_end": end, "first_line": first_line, "line_doc": doc,
     }
 
 
@@ -121,38 +121,27 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo, hi, data, offsets in bt.chunks(batch.column("text")):
             c = line_chunks(data, offsets)
             nos = asked.slice(lo, hi - lo)
-            use = nos.flatten().to_numpy() + np.repeat(c["first"][:-1], nos.value_lengths().to_numpy())
-            rows = pa.array(c["doc"][use] + lo)
+            use = np.sort(nos.flatten().to_numpy() + np.repeat(c["first"][:-1], nos.value_lengths().to_numpy()))
+            doc, start, end = c["doc"][use], c["start"][use], c["end"][use]
+            rows = pa.array(doc + lo)
             raw = data.tobytes()
-            text = [raw[s:e] for s, e in zip(c["start"][use].tolist(), c["end"][use].tolist(), strict=True)]
             points = bt.code_points(data)
-            base = points[offsets[c["doc"][use]]]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(rows), batch.column("row_key").take(rows), pa.array(c["no"][use]), pa.array(c["from"][use]), pa.array(c["to"][use]),
-                 pa.array(points[c["start"][use]] - base), pa.array(points[c["end"][use]] - base), pa.array(c["hash"][use].view(np.int64)), pa.array(text, pa.binary()), pa.array(c["more"][use])],
-                ["doc_id", "row_key", "no", "from", "to", "start", "end", "h", "chunk", "more"],
-            )
+            base = points[offsets[doc]]
+            # Where a run of repeated chunks ends, the line beside it.
+            gap = np.append(True, (doc[1:] != doc[:-1]) | (c["from"][use][1:] > c["to"][use][:-1] + 1)) if len(use) else np.zeros(0, bool)
+            head, tail = c["first_line"][doc] + c["from"][use], c["first_line"][doc] + c["to"][use]
+            left = gap & (c["from"][use] > 0)
+            right = np.append(gap[1:], True)[: len(use)] & (end < offsets[doc + 1])
+            before, after = c["line_start"][np.maximum(head - 1, 0)], c["line_end"][np.minimum(tail + 1, len(c["line_end"]) - 1)]
 
+            def spell(s: np.ndarray, e: np.ndarray, which: np.ndarray, raw: bytes = raw) -> pa.Array:
+                return pa.array([raw[i:j] if w else None for i, j, w in zip(s.tolist(), e.tolist(), which.tolist(), strict=True)], pa.binary())
 
-def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The lines asked for, with what separates each from the one before and the one after; nothing beyond the last line."""
-    for batch in batches:
-        asked = batch.column("nos")
-        for lo, hi, data, offsets in bt.chunks(batch.column("text")):
-            c = line_chunks(data, offsets)
-            nos = asked.slice(lo, hi - lo)
-            many = np.bincount(c["line_doc"], minlength=hi - lo)
-            line, owner = nos.flatten().to_numpy(), np.repeat(np.arange(hi - lo), nos.value_lengths().to_numpy())
-            there = line < many[owner]
-            line, owner = line[there], owner[there]
-            at = line + c["first_line"][owner]
-            start, end = c["line_start"][at], c["line_end"][at]
-            lead, trail = np.maximum(start - 1, offsets[owner]), np.minimum(end + 1, offsets[owner + 1])
-            raw, rows = data.tobytes(), pa.array(owner + lo)
-            spell = lambda s, e, raw=raw: pa.array([raw[i:j] for i, j in zip(s.tolist(), e.tolist(), strict=True)], pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(rows), batch.column("row_key").take(rows), pa.array(line), spell(start, trail), spell(lead, end)],
-                ["doc_id", "row_key", "line", "to_next", "from_last"],
+                [batch.column("doc_id").take(rows), batch.column("row_key").take(rows), pa.array(c["no"][use]), pa.array(c["from"][use]), pa.array(c["to"][use]),
+                 pa.array(points[start] - base), pa.array(points[end] - base), pa.array(c["hash"][use].view(np.int64)),
+                 spell(start, end, np.ones(len(use), bool)), spell(before, start, left), spell(end, after, right)],
+                ["doc_id", "row_key", "no", "from", "to", "start", "end", "h", "chunk", "before", "after"],
             )
 
 
@@ -198,10 +187,10 @@ def repeated_passages(docs: DataFrame, scratch: Scratch) -> DataFrame:
     asked = scratch.save(places.groupBy(F.col("doc_id").alias("asked_id"), F.col("row_key").alias("asked_key")).agg(F.collect_set("no").alias("nos"), F.count("*").alias("n")))
     repeated_rows = not asked.where(F.col("n") > F.size("nos")).isEmpty()
     asked = texts.join(asked.hint("merge"), F.expr("doc_id <=> asked_id AND row_key = asked_key")).select("doc_id", "row_key", "text", "nos")
-    spelled = scratch.save(asked.mapInArrow(_texts, "doc_id long, row_key long, no long, from long, to long, start long, end long, h long, chunk binary, more boolean"))
+    spelled = scratch.save(asked.mapInArrow(_texts, "doc_id long, row_key long, no long, from long, to long, start long, end long, h long, chunk binary, before binary, after binary"))
     # Equal bytes, not just equal hashes, make a group; its first occurrence stays. Where all chunks of a hash
     # have the same bytes, the hash stands for them from here on.
-    place = F.min(F.struct("doc_id", "row_key", "no", "from", "to", "more")).alias("first")
+    place = F.min(F.struct("doc_id", "row_key", "no", "before", "after")).alias("first")
     by_hash = spelled.groupBy("h").agg(F.count("*").alias("times"), F.min("chunk").alias("low"), F.max("chunk").alias("high"), place)
     by_hash = scratch.save(by_hash.where("times > 1").select("h", (F.col("low") == F.col("high")).alias("same"), "first"))
     copies = spelled.drop("chunk").join(by_hash.where("same").select("h", "first").hint("merge"), "h")
@@ -210,50 +199,27 @@ def repeated_passages(docs: DataFrame, scratch: Scratch) -> DataFrame:
         doubtful = spelled.join(mixed.hint("merge"), "h")
         by_bytes = doubtful.groupBy("h", "chunk").agg(F.count("*").alias("times"), place).where("times > 1")
         copies = copies.unionByName(doubtful.join(by_bytes.drop("times").hint("merge"), ["h", "chunk"]).drop("chunk"))
-    copies = copies.where("NOT (doc_id <=> first.doc_id AND row_key = first.row_key AND no = first.no)").select("doc_id", "row_key", "no", "from", "to", "start", "end", "more", "first")
+    copies = copies.where("NOT (doc_id <=> first.doc_id AND row_key = first.row_key AND no = first.no)")
+    left = F.when(F.col("before").isNotNull() & F.col("first.before").isNotNull(), F.struct("before", F.col("first.before").alias("first")))
+    right = F.when(F.col("after").isNotNull() & F.col("first.after").isNotNull(), F.struct("after", F.col("first.after").alias("first")))
+    copies = copies.select("doc_id", "row_key", "no", "from", "to", "start", "end", left.alias("left"), right.alias("right"))
     again = scratch.save(copies.distinct() if repeated_rows else copies)
+    scratch.free(spelled)
     # Chunks of one document that overlap or touch are one passage.
     before = Window.partitionBy("doc_id", "row_key").orderBy("no")
     reach = F.max("to").over(before.rowsBetween(Window.unboundedPreceding, -1))
     opens = again.withColumn("opens", F.coalesce(F.col("from") > reach + 1, F.lit(True)).cast("long"))
     passages = opens.withColumn("passage", F.sum("opens").over(before)).groupBy("doc_id", "row_key", "passage").agg(
         F.min("from").alias("from"), F.max("to").alias("to"), F.min("start").alias("start"), F.max("end").alias("end"),
-        F.min(F.struct("from", "no", "first")).alias("head"), F.max(F.struct("to", "no", "more", "first")).alias("tail"),
-    )
-    # Whether a line stands beside the passage, and beside its first occurrence, too.
-    passages = scratch.save(passages.select(
-        "doc_id", "row_key", "from", "to", "start", "end", F.col("head.first").alias("head"), F.col("tail.first").alias("tail"),
-        F.expr("from > 0 AND head.first.from > 0").alias("is_left"), F.expr("tail.more AND tail.first.more").alias("is_right"),
-    ))
-    return _grow(passages, texts, scratch)
-
-
-def _grow(passages: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
-    """Passages with what the lines beside them share with those beside their first occurrences; (doc_id, row_key, lines, start, end)."""
-    own = [F.col(c).alias(f"p_{c}") for c in ("doc_id", "row_key", "from")]
-
-    def ask(side: str, whose: str, row: str, line: str) -> DataFrame:
-        doc = [F.col(f"{row}{c}").alias(c) for c in ("doc_id", "row_key")]
-        return passages.where(f"is_{side}").select(*own, F.lit(f"{side}_{whose}").alias("what"), *doc, F.expr(line).cast("long").alias("line"))
-
-    asks = ask("left", "own", "", "from - 1").unionByName(ask("left", "first", "head.", "head.from - 1"))
-    asks = asks.unionByName(ask("right", "own", "", "to + 1")).unionByName(ask("right", "first", "tail.", "tail.to + 1"))
-    wanted = asks.groupBy(F.col("doc_id").alias("asked_id"), F.col("row_key").alias("asked_key")).agg(F.collect_set("line").alias("nos"))
-    wanted = texts.join(wanted.hint("merge"), F.expr("doc_id <=> asked_id AND row_key = asked_key")).select("doc_id", "row_key", "text", "nos")
-    lines = scratch.save(wanted.mapInArrow(_lines, "doc_id long, row_key long, line long, to_next binary, from_last binary"))
-    lines = lines.withColumnsRenamed({"doc_id": "l_doc_id", "row_key": "l_row_key", "line": "l_line"})
-    met = asks.join(lines.hint("merge"), F.expr("doc_id <=> l_doc_id AND row_key = l_row_key AND line = l_line"))
-    piece = F.when(F.startswith("what", F.lit("left")), F.col("to_next")).otherwise(F.col("from_last"))
-    sides = [f"{side}_{whose}" for side in ("left", "right") for whose in ("own", "first")]
-    beside = met.groupBy("p_doc_id", "p_row_key", "p_from").agg(*(F.coalesce(F.max(F.when(F.col("what") == x, piece)), F.lit(b"")).alias(x) for x in sides))
-    grown = scratch.save(beside.select("p_doc_id", "p_row_key", "p_from", F.pandas_udf(_grown, "start long, end long")(*(F.col(x) for x in sides)).alias("g")))
-    whole = passages.join(grown.hint("merge"), F.expr("doc_id <=> p_doc_id AND row_key = p_row_key AND from = p_from"), "left").select(
-        "doc_id", "row_key", "from", "to", (F.col("start") - F.coalesce("g.start", F.lit(0))).alias("start"), (F.col("end") + F.coalesce("g.end", F.lit(0))).alias("end")
+        F.min(F.struct("from", "no", "left")).alias("head"), F.max(F.struct("to", "no", "right")).alias("tail"),
     )
+    sides = ("head.left.before", "head.left.first", "tail.right.after", "tail.right.first")
+    grown = F.pandas_udf(_grown, "start long, end long")(*(F.coalesce(F.col(x), F.lit(b"")) for x in sides))
+    whole = passages.withColumn("g", grown).select("doc_id", "row_key", "from", "to", (F.col("start") - F.col("g.start")).alias("start"), (F.col("end") + F.col("g.end")).alias("end"))
     # Passages that have grown together are one.
-    before = Window.partitionBy("doc_id", "row_key").orderBy("start", "from")
-    apart = F.coalesce(F.col("start") > F.max("end").over(before.rowsBetween(Window.unboundedPreceding, -1)) + 1, F.lit(True))
-    one = whole.withColumn("opens", apart.cast("long")).withColumn("passage", F.sum("opens").over(before)).groupBy("doc_id", "row_key", "passage")
+    order = Window.partitionBy("doc_id", "row_key").orderBy("start", "from")
+    apart = F.coalesce(F.col("start") > F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)) + 1, F.lit(True))
+    one = whole.withColumn("opens", apart.cast("long")).withColumn("passage", F.sum("opens").over(order)).groupBy("doc_id", "row_key", "passage")
     return one.agg((F.max("to") - F.min("from") + 1).alias("lines"), F.min("start").alias("start"), F.max("end").alias("end")).drop("passage")
 
 

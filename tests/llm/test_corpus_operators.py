@@ -514,7 +514,8 @@ def test_line_dedup_planted_passages(spark):
         rows.append((1000 + k, f"{before}{blank}{passage} {after}"))
         want[1000 + k] = (f"{before}{blank}{after}", 1, len(sentences))
         rows.append((2000 + k, f"begun {passage} {after}"))  # pasted into a sentence: its first line differs
-        want[2000 + k] = ("begun", 1, len(sentences))  # all but its beginning is a copy
+        # The first occurrence has the first sentence inside its run of repeated chunks, so it is not compared.
+        want[2000 + k] = (f"begun {sentences[0]}", 1, len(sentences))
     r.shuffle(rows)
     got = {x.doc_id: x for x in line_dedup.dedup_lines(make(spark, rows)).collect()}
     for i, t in rows:
@@ -537,22 +538,26 @@ def _dedup_by_bytes(rows):
         full = [n for n, (a, b) in enumerate(lines) if re.search(r"[^\x20\x09-\x0d]", t[a:b])] if t else []
         pairs = [(x, y) for x, y in zip(full, full[1:])] + [(x, x) for x in full if len((t[lines[x][0] : lines[x][1]]).split()) >= line_dedup.LONG_WORDS]
         docs.append((i, t, lines, sorted(pairs)))
+    many = collections.Counter(rows)
+    times = collections.Counter(t[lines[x][0] : lines[y][1]] for i, t, lines, pairs in docs for x, y in pairs for _ in range(many[i, t]))
     first, out = {}, {}
-    beside = lambda t, lines, x, y: (t[lines[x - 1][0] : lines[x][0]] if x else "", t[lines[y][1] : lines[y + 1][1]] if y + 1 < len(lines) else "")
     for i, t, lines, pairs in docs:
-        passages = []  # [first line, last line, what stood before the first occurrence of its first chunk, and after that of its last]
-        for x, y in pairs:
+        passages = []  # [first line, last line, what stands before, and before the first occurrence, and the same after]
+        again = [(x, y) for x, y in pairs if times[t[lines[x][0] : lines[y][1]]] > 1]
+        for n, (x, y) in enumerate(again):
             chunk = t[lines[x][0] : lines[y][1]]
+            # Only where a run of repeated chunks ends in either place is the line beside it compared.
+            before = t[lines[x - 1][0] : lines[x][0]] if x and (n == 0 or x > again[n - 1][1] + 1) else ""
+            after = t[lines[y][1] : lines[y + 1][1]] if y + 1 < len(lines) and (n + 1 == len(again) or again[n + 1][0] > y + 1) else ""
             if chunk not in first:
-                first[chunk] = beside(t, lines, x, y)
+                first[chunk] = (before, after)
             elif passages and x <= passages[-1][1] + 1:
                 p = passages[-1]
-                passages[-1] = [p[0], y, p[2], first[chunk][1]] if y >= p[1] else p
+                passages[-1] = [p[0], y, *p[2:4], after, first[chunk][1]] if y >= p[1] else p
             else:
-                passages.append([x, y, *first[chunk]])
+                passages.append([x, y, before, first[chunk][0], after, first[chunk][1]])
         merged = []
-        for x, y, old_before, old_after in passages:
-            before, after = beside(t, lines, x, y)
+        for x, y, before, old_before, after, old_after in passages:
             left = max(n for n in range(min(len(before), len(old_before)) + 1) if before[len(before) - n :] == old_before[len(old_before) - n :]
                        and (n == 0 or all(n == len(s) or s[len(s) - n - 1].isspace() for s in (before, old_before))))
             right = max(n for n in range(min(len(after), len(old_after)) + 1) if after[:n] == old_after[:n] and (n == 0 or all(n == len(s) or s[n].isspace() for s in (after, old_after))))
