@@ -539,11 +539,12 @@ def _dedup_by_bytes(rows):
         pairs = [(x, y) for x, y in zip(full, full[1:])] + [(x, x) for x in full if len((t[lines[x][0] : lines[x][1]]).split()) >= line_dedup.LONG_WORDS]
         docs.append((i, t, lines, sorted(pairs)))
     many = collections.Counter(rows)
-    times = collections.Counter(t[lines[x][0] : lines[y][1]] for i, t, lines, pairs in docs for x, y in pairs for _ in range(many[i, t]))
+    pair = lambda t, lines, x, y: (t[slice(*lines[x])], t[slice(*lines[y])])  # noqa: E731  blank lines between don't count here
+    times = collections.Counter(pair(t, lines, x, y) for i, t, lines, pairs in docs for x, y in pairs for _ in range(many[i, t]))
     first, out = {}, {}
     for i, t, lines, pairs in docs:
         passages = []  # [first line, last line, what stands before, and before the first occurrence, and the same after]
-        again = [(x, y) for x, y in pairs if times[t[lines[x][0] : lines[y][1]]] > 1]
+        again = [(x, y) for x, y in pairs if times[pair(t, lines, x, y)] > 1]
         for n, (x, y) in enumerate(again):
             chunk = t[lines[x][0] : lines[y][1]]
             # Only where a run of repeated chunks ends in either place is the line beside it compared.
