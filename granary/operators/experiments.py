@@ -5,7 +5,9 @@ Scores are long: question_id, model, strategy, question_type, metric_name, score
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from granary.functions.student import p_value, t_quantile
@@ -221,9 +223,23 @@ def find_experiment(df: DataFrame, experiment_id: str) -> DataFrame:
     return exact.unionByName(near).orderBy("place", "experiment_id").limit(1).drop("place")
 
 
-def evaluate(scores: DataFrame) -> dict[str, DataFrame]:
-    """All report frames of a score table; each is lazy, so one that fails does not stop the others."""
+def report_frames(scores: DataFrame) -> dict[str, Callable[[], DataFrame]]:
+    """The report's frames over a score table, each made when it is called."""
     return {
-        "conditions": condition_summary(scores), "marginals": marginal_means(scores), "statistics": describe(scores, ["strategy", "metric_name"]),
-        "rankings": rankings(scores, "model"), "summary": metric_summary(scores), "comparisons": compare_all(scores, "strategy"),
+        "conditions": lambda: condition_summary(scores), "marginals": lambda: marginal_means(scores), "statistics": lambda: describe(scores, ["strategy", "metric_name"]),
+        "rankings": lambda: rankings(scores, "model"), "summary": lambda: metric_summary(scores), "comparisons": lambda: compare_all(scores, "strategy"),
     }
+
+
+def evaluate(spark: SparkSession, stages: dict[str, Callable[[], DataFrame]], path: str) -> DataFrame:
+    """Run the stages in order, such as quality, metrics, retrieval and the report's frames, and export each
+    as Parquet below ``path``: (stage, n, error). A stage that fails, when it is planned or when it runs, has
+    its error there and does not stop the others."""
+    told = []
+    for name, make in stages.items():
+        try:
+            make().write.mode("overwrite").parquet(f"{path}/{name}")
+            told.append((name, spark.read.parquet(f"{path}/{name}").count(), None))
+        except Exception as e:  # whatever a stage raises is its own affair
+            told.append((name, None, type(e).__name__))
+    return spark.createDataFrame(told, "stage string, n long, error string")

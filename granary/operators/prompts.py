@@ -6,9 +6,12 @@ question_type, strategy.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .retrieval import meet, shared_words
 from .text import strip, words
 
 # Reasoning instructions of self-consistency prompts, in order.
@@ -56,8 +59,30 @@ def _top(df: DataFrame, k: int, *order: Column) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _pools(knowledge: DataFrame, examples: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Knowledge rows and examples with ``pool``: rows of a type and strategy that examples have share a pool
+    with those, other rows one with all examples of their type. Rows of an unknown type have no pool."""
+    exact, typed = F.to_json(F.struct("question_type", "strategy")), F.to_json(F.struct("question_type"))
+    kinds = examples.select(exact.alias("pool")).distinct().withColumn("known", F.lit(True))
+    rows = knowledge.withColumn("pool", exact).join(kinds, "pool", "left").withColumn("pool", F.when(F.col("known"), F.col("pool")).otherwise(typed)).drop("known")
+    bank = examples.withColumn("pool", F.explode(F.array_distinct(F.array(exact, typed))))
+    return rows.where("question_type IS NOT NULL"), bank.where("question_type IS NOT NULL")
+
+
 def select_random(knowledge: DataFrame, examples: DataFrame, k: int, seed: int = 42) -> DataFrame:
-    return _top(candidates(knowledge, examples), k, F.xxhash64(F.lit(seed), "source_id", "ex_id"), F.col("ex_id")).select("source_id", "ex_id", "rank")
+    """(source_id, ex_id, rank): k different examples of each row's pool, the next ones in an order by seeded
+    md5 from a place that the row's seeded md5 names; a row meets no more than these."""
+    rows, bank = _pools(knowledge.select("source_id", "question_type", "strategy"), examples.select("ex_id", "question_type", "strategy"))
+
+    def number(id_: str) -> Column:
+        return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_).cast("string"))), 1, 13), 16, 10).cast("long")
+
+    order = Window.partitionBy("pool").orderBy(number("ex_id"), "ex_id")
+    placed = bank.select("pool", "ex_id", (F.row_number().over(order) - 1).cast("long").alias("place"))
+    sizes = bank.groupBy("pool").agg(F.count("*").alias("m"))
+    draws = rows.join(sizes, "pool").withColumn("rank", F.explode(F.sequence(F.lit(1), F.least(F.lit(k), F.col("m")).cast("int"))))
+    draws = draws.select("source_id", "pool", "rank", F.pmod(number("source_id") + F.col("rank") - 1, F.col("m")).alias("place"))
+    return draws.join(placed, ["pool", "place"]).select("source_id", "ex_id", "rank")
 
 
 def _bag(c: Column) -> Column:
@@ -77,7 +102,26 @@ def _scored(knowledge: DataFrame, examples: DataFrame) -> DataFrame:
 
 
 def select_similar(knowledge: DataFrame, examples: DataFrame, k: int) -> DataFrame:
-    return _top(_scored(knowledge, examples), k, F.desc(F.round("sim", 9)), F.col("ex_id")).select("source_id", "ex_id", "sim", "rank")
+    """(source_id, ex_id, sim, rank): the k examples of each row's pool whose words are most similar to the
+    content's. Blocks of rows meet blocks of their pool's examples; only the k best of a block are shuffled."""
+    rows, bank = _pools(knowledge.select("source_id", "content", "question_type", "strategy"), examples.select("ex_id", "knowledge", "question_type", "strategy"))
+    rows, bank = rows.select("pool", "source_id", _bag(F.col("content")).alias("t")), bank.select("pool", "ex_id", _bag(F.col("knowledge")).alias("t"))
+
+    def compare(q: pa.Table, x: pa.Table) -> pa.Table:
+        x = x.sort_by("ex_id").combine_chunks()
+        ids, ex, out = q.column("source_id"), x.column("ex_id"), []
+        n_q, n_x = (np.asarray(t.column("t").combine_chunks().value_lengths(), np.float64) for t in (q, x))
+        for lo, cell, _, _, _, shape in shared_words(q, x):
+            n = np.bincount(cell, minlength=shape.prod()).reshape(shape)
+            sim = n / np.maximum(n_q[:, None] + n_x[None, lo : lo + shape[1]] - n, 1)
+            col = np.argsort(-np.round(sim, 9), axis=1, kind="stable")[:, :k]  # of equal ones the smallest ids
+            row = np.repeat(np.arange(len(col)), col.shape[1])
+            out.append(pa.table({"source_id": ids.take(pa.array(row)), "ex_id": ex.take(pa.array(lo + col.ravel())), "sim": sim[row, col.ravel()]}))
+        return pa.concat_tables(out) if out else pa.table({"source_id": ids.slice(0, 0), "ex_id": ex.slice(0, 0), "sim": pa.array([], pa.float64())})
+
+    kinds = {c: f.schema[c].dataType.simpleString() for c, f in (("source_id", rows), ("ex_id", bank))}
+    met = meet(rows, bank, "source_id", "ex_id", compare, f"source_id {kinds['source_id']}, ex_id {kinds['ex_id']}, sim double", pool="pool")
+    return _top(met, k, F.desc(F.round("sim", 9)), F.col("ex_id")).select("source_id", "ex_id", "sim", "rank")
 
 
 def select_diverse(knowledge: DataFrame, examples: DataFrame, k: int, lam: float = 0.5) -> DataFrame:

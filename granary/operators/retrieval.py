@@ -49,7 +49,7 @@ def append_index(index: DataFrame, new: DataFrame, dim: int) -> DataFrame:
     return index.unionByName(checked)
 
 
-def _meet(queries: DataFrame, index: DataFrame, q_id: str, i_id: str, kernel, schema: str, q_block: int = QUERY_BLOCK, i_block: int = INDEX_BLOCK, pool: str | None = None) -> DataFrame:
+def meet(queries: DataFrame, index: DataFrame, q_id: str, i_id: str, kernel, schema: str, q_block: int = QUERY_BLOCK, i_block: int = INDEX_BLOCK, pool: str | None = None) -> DataFrame:
     """``kernel(query rows, index rows)`` for every pair of blocks, of the same ``pool`` if one is named. Each side
     is dealt by a hash of its id and sent once for each block of the other; no side passes the driver."""
     per = [pool] if pool else []
@@ -95,14 +95,14 @@ def dense_topk(queries: DataFrame, index: DataFrame, k: int, q_block: int = QUER
             out.append(pa.table([ids[row], chunk[lo + col], scores[row, col]], schema=_SCORED))
         return pa.concat_tables(out)
 
-    found = _meet(queries.select("query_id", "embedding"), index.select("chunk_id", "embedding"), "query_id", "chunk_id", multiply, "query_id long, chunk_id long, score double", q_block, i_block)
+    found = meet(queries.select("query_id", "embedding"), index.select("chunk_id", "embedding"), "query_id", "chunk_id", multiply, "query_id long, chunk_id long, score double", q_block, i_block)
     return _ranked(found, k)
 
 
 _SCORED = pa.schema([("query_id", pa.int64()), ("chunk_id", pa.int64()), ("score", pa.float64())])
 
 
-def _shared(q: pa.Table, x: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def shared_words(q: pa.Table, x: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For runs of SCORED index rows: (first row, cells, query-word rows, times a word stands in a chunk, chunks,
     shape), a cell being query * rows + chunk for each word that a query (words in list ``t``) and a chunk share."""
     asked = q.column("t").combine_chunks()
@@ -203,7 +203,7 @@ def bm25_topk(queries: DataFrame, chunks: DataFrame, k: int, k1: float = 1.5, b:
     def score(q: pa.Table, x: pa.Table) -> pa.Table:
         ids, chunk, out = q.column("query_id"), x.column("chunk_id"), []
         weight = {m: np.asarray(q.column(m).combine_chunks().flatten()) for m in modes}
-        for lo, cell, row, tf, c, shape in _shared(q, x):
+        for lo, cell, row, tf, c, shape in shared_words(q, x):
             valid = np.bincount(cell, minlength=shape.prod()).reshape(shape) > 0
             for m in modes:
                 norm = x.column(m).to_numpy()[lo : lo + SCORED]
@@ -213,7 +213,7 @@ def bm25_topk(queries: DataFrame, chunks: DataFrame, k: int, k1: float = 1.5, b:
         return pa.concat_tables(out) if out else pa.table({"mode": pa.array([], pa.string()), "query_id": ids.slice(0, 0), "chunk_id": chunk.slice(0, 0), "score": pa.array([], pa.float64())})
 
     kinds = {c: f.schema[c].dataType.simpleString() for c, f in (("query_id", queries), ("chunk_id", chunks))}
-    found = _meet(asked, index, "query_id", "chunk_id", score, f"mode string, query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, score double")
+    found = meet(asked, index, "query_id", "chunk_id", score, f"mode string, query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, score double")
     order = Window.partitionBy("mode", "query_id").orderBy(F.round("score", 9).desc(), "chunk_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -247,14 +247,14 @@ def overlap_topk(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
 
     def count(q: pa.Table, x: pa.Table) -> pa.Table:
         ids, chunk, out = q.column("query_id"), x.column("chunk_id"), []
-        for lo, cell, _, _, _, shape in _shared(q, x):
+        for lo, cell, _, _, _, shape in shared_words(q, x):
             n = np.bincount(cell, minlength=shape.prod()).reshape(shape)
             row, col = best(n.astype(np.float64), n > 0, k)
             out.append(pa.table({"query_id": ids.take(pa.array(row)), "chunk_id": chunk.take(pa.array(lo + col)), "score": n[row, col].astype(np.float64)}))
         return pa.concat_tables(out) if out else pa.table({"query_id": ids.slice(0, 0), "chunk_id": chunk.slice(0, 0), "score": pa.array([], pa.float64())})
 
     kinds = {c: f.schema[c].dataType.simpleString() for c, f in (("query_id", queries), ("chunk_id", docs))}
-    found = _meet(distinct_words(queries, "query_id"), distinct_words(docs, "chunk_id"), "query_id", "chunk_id", count, f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, score double")
+    found = meet(distinct_words(queries, "query_id"), distinct_words(docs, "chunk_id"), "query_id", "chunk_id", count, f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, score double")
     top = saved(_ranked(found, k).drop("rank"), "overlap")
     # Queries with places left: any k of the 2k smallest ids are enough to fill up.
     lacking = queries.select("query_id").join(top.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k), "query_id", "left_anti")

@@ -5,6 +5,7 @@ Functions take a frame with an id column (``doc_id`` unless named) and ``text``;
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -93,33 +94,29 @@ def chunk_fixed(docs: DataFrame, size: int = 512, overlap: int = 50) -> DataFram
     )
 
 
+def _packed(sentences: list[str], size: int, overlap: int) -> list[str]:
+    done, opened, n = [], [], 0
+    for s in sentences:
+        if n + len(s) > size and opened:
+            done.append(" ".join(opened))
+            kept, n = [], 0
+            for t in reversed(opened):
+                if n + len(t) > overlap:
+                    break
+                kept.append(t)
+                n += len(t) + 1
+            opened = kept[::-1]
+        opened.append(s)
+        n += len(s) + 1
+    return [*done, " ".join(opened)]
+
+
 def chunk_sentences(docs: DataFrame, size: int = 512, overlap: int = 50) -> DataFrame:
     """(doc_id, chunk_index, content): sentences packed greedily up to ``size`` characters; a new chunk
-    starts with the sentences that ended the last one, as far as they fit ``overlap``."""
+    starts with the sentences that ended the last one, as far as they fit ``overlap``. One pass a document."""
+
+    def pack(lists: pd.Series) -> pd.Series:
+        return pd.Series([_packed(list(x), size, overlap) for x in lists])
+
     sentences = F.split(F.coalesce("text", F.lit("")), r"(?<=[.!?])\s+", -1)
-    start = F.expr("struct(cast(array() as array<string>) as done, cast(array() as array<string>) as open, 0 as size)")
-
-    def carried(opened: Column) -> Column:
-        # trailing sentences that fit the overlap, newest first, then put back in order
-        fold = F.aggregate(
-            F.reverse(opened), F.expr("struct(cast(array() as array<string>) as kept, 0 as size, true as going)"),
-            lambda a, s: F.when(
-                a["going"] & (a["size"] + F.length(s) <= overlap),
-                F.struct(F.concat(F.array(s), a["kept"]).alias("kept"), (a["size"] + F.length(s) + 1).alias("size"), F.lit(True).alias("going")),
-            ).otherwise(F.struct(a["kept"].alias("kept"), a["size"].alias("size"), F.lit(False).alias("going"))),
-        )
-        return fold
-
-    def step(a: Column, s: Column) -> Column:
-        full = (a["size"] + F.length(s) > size) & (F.size(a["open"]) > 0)
-        rest = carried(a["open"])
-        return F.when(
-            full,
-            F.struct(
-                F.concat(a["done"], F.array(F.array_join(a["open"], " "))).alias("done"), F.concat(rest["kept"], F.array(s)).alias("open"),
-                (rest["size"] + F.length(s) + 1).alias("size"),
-            ),
-        ).otherwise(F.struct(a["done"].alias("done"), F.concat(a["open"], F.array(s)).alias("open"), (a["size"] + F.length(s) + 1).alias("size")))
-
-    chunks = F.aggregate(sentences, start, step, lambda a: F.concat(a["done"], F.array(F.array_join(a["open"], " "))))
-    return docs.select("doc_id", F.posexplode(chunks).alias("chunk_index", "content"))
+    return docs.select("doc_id", F.posexplode(F.pandas_udf(pack, "array<string>")(sentences)).alias("chunk_index", "content"))

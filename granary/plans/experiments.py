@@ -12,9 +12,12 @@ from granary.operators import experiments as E
 from granary.operators import quality as Q
 from granary.operators import retrieval as R
 
-from .common import frame, plain, table
-from .retrieval import _EMBED
-from .text_metrics import _COS, _GRAMMAR
+from granary.operators import ir_metrics as I
+from granary.operators import text_metrics as M
+
+from .common import frame, plain, scratch_path, table
+from .retrieval import _EMBED, _TOP, _judged
+from .text_metrics import _COS, _GRAMMAR, PREDS, _pairs
 
 SCORES = """
     SELECT d.doc_id AS question_id, source AS model, lang AS strategy, CASE quality WHEN 1 THEN 'factual' ELSE 'schema' END AS question_type, 'm1' AS metric_name, CAST(n_chars % 101 AS DOUBLE) / 100 AS score
@@ -23,7 +26,7 @@ SCORES = """
     SELECT d.doc_id, source, lang, CASE quality WHEN 1 THEN 'factual' ELSE 'schema' END, 'm2', CAST(n_chars % 13 AS DOUBLE) / 12 FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id
 """
 QUESTIONS = """
-    SELECT conv_id * 1000 + turn AS id, CASE turn % 3 WHEN 0 THEN 'What type of ' || substr(text, 1, 80) || ' in 2024?' WHEN 1 THEN 'Why is the the ' || substr(text, 1, 160) ELSE 'How? ' || role END AS question_text,
+    SELECT conv_id * 1000 + turn AS id, CASE turn % 3 WHEN 0 THEN 'What type of ' || text || ' in 2024?' WHEN 1 THEN 'Why is the the ' || text ELSE 'How? ' || role END AS question_text,
            CASE conv_id % 4 WHEN 0 THEN 'factual' WHEN 1 THEN 'schema' WHEN 2 THEN 'composite' ELSE 'other' END AS question_type,
            'Class: ' || role || ' ' || text AS knowledge, CASE WHEN turn % 2 = 0 THEN chr(123) || '"class": "type", "n": ["' || role || '", "zz"]' || chr(125) ELSE '' END AS structured
     FROM {conversations}
@@ -63,7 +66,7 @@ def qq6(spark, sf):
 
 
 def qq7(spark, sf):
-    return _long(spark, sf).groupBy("dimension").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean"))
+    return _round(_long(spark, sf), "score")
 
 
 def _matrix(spark, sf):
@@ -183,11 +186,13 @@ def exp20(spark, sf):
 
 
 def exp21(spark, sf):
-    out = None
-    for name, df in E.evaluate(_scores(spark, sf)).items():
-        part = df.groupBy().agg(F.count("*").alias("n")).select(F.lit(name).alias("part"), "n")
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Quality, metrics, retrieval, report and export; one stage fails on purpose, when it runs."""
+    stages = {
+        "quality": lambda: _long(spark, sf), "metrics": lambda: M.compute_metrics(*_pairs(spark, sf), ["bleu", "rouge1", "exact_match"]),
+        "retrieval": lambda: I.retrieval_metrics(_judged(spark, sf), (1, 5), "distinct"), "broken": lambda: _scores(spark, sf).select(F.raise_error(F.lit("no such metric"))),
+        **E.report_frames(_scores(spark, sf)),
+    }
+    return E.evaluate(spark, stages, scratch_path(spark, "report")).select("stage", "n", F.col("error").isNotNull().alias("failed"))
 
 
 def _experiments(spark, sf):
@@ -219,7 +224,7 @@ _W = "('type'), ('class'), ('property'), ('relation'), ('attribute'), ('schema')
 _MOMENTS = "SELECT {0} AS g, CAST(count(score) AS DOUBLE) AS n, avg(score) AS mean, var_pop(score) AS vp, var_samp(score) AS vs FROM s GROUP BY 1"
 
 
-def _pairs(by: str, where: str) -> str:
+def _compared(by: str, where: str) -> str:
     return f"""WITH s AS (SELECT * FROM ({_S}) x WHERE {where}), m AS ({_MOMENTS.format(by)}), c AS (
         SELECT a.g AS baseline, b.g AS comparison, a.mean AS baseline_mean, b.mean AS comparison_mean, b.mean - a.mean AS difference, CASE WHEN a.mean <> 0 THEN 100 * (b.mean - a.mean) / abs(a.mean) ELSE 0 END AS percent_change,
                coalesce((b.mean - a.mean) / nullif(sqrt((a.vs + b.vs) / 2), 0), 0) AS cohens_d, (b.mean - a.mean) / sqrt(a.vs / a.n + b.vs / b.n) AS t,
@@ -228,6 +233,8 @@ def _pairs(by: str, where: str) -> str:
 
 
 _STAT = "round(round_even(avg(score), 4), 3) AS mean, round(round_even(coalesce(stddev_samp(score), 0), 4), 3) AS std, round(round_even(median(score), 4), 3) AS median, round(round_even(min(score), 4), 3) AS min, round(round_even(max(score), 4), 3) AS max"
+#: Ranking metrics of a query at two cut-offs: mrr once, four others at each.
+_METRIC_ROWS = 9
 _K = "documents, (SELECT unnest(['llama', 'gpt-4']) AS model) m, (SELECT unnest(['zero_shot', 'cot']) AS strategy) t, (SELECT unnest(['factual', 'schema']) AS question_type) q"
 
 ORACLE = {
@@ -268,15 +275,15 @@ ORACLE = {
         ), z AS (SELECT 'm1', 'm2', avg(x), avg(y), coalesce((avg(y) - avg(x)) / nullif(sqrt((var_pop(x) + var_pop(y)) / 2), 0), 0), 'paired', avg(y - x) / (stddev_samp(y - x) / sqrt(count(*))), CAST(count(*) - 1 AS DOUBLE) FROM p
         ), u AS (SELECT * FROM w UNION ALL SELECT * FROM z)
         SELECT baseline, comparison, round(am, 6) AS baseline_mean, round(bm, 6) AS comparison_mean, round(bm - am, 6) AS difference, round(100 * (bm - am) / abs(am), 6) AS percent_change, round(d, 6) AS cohens_d, test, round(t, 6) AS t, round(df, 6) AS df FROM u""",
-    "exp8_compare_all": _pairs("strategy", "metric_name = 'm1'") + " SELECT baseline, comparison, " + ", ".join(f"round({c}, 6) AS {c}" for c in _CMP) + " FROM c",
+    "exp8_compare_all": _compared("strategy", "metric_name = 'm1'") + " SELECT baseline, comparison, " + ", ".join(f"round({c}, 6) AS {c}" for c in _CMP) + " FROM c",
     "exp9_describe": f"SELECT model, metric_name, count(*) AS n, {_STAT} FROM ({_S}) s GROUP BY ALL",
     "exp10_describe_by": f"""WITH d AS (SELECT unnest([lang, 'any']) || ' / ' || CASE WHEN doc_id % 5 > 0 THEN source ELSE 'unknown' END AS "group", CAST(n_chars % 101 AS DOUBLE) AS a, CAST(n_chars % 7 AS DOUBLE) AS b FROM documents
         ), l AS (SELECT "group", 'a' AS metric_name, a AS score FROM d UNION ALL SELECT "group", 'b', b FROM d) SELECT "group", metric_name, count(*) AS n, {_STAT} FROM l GROUP BY ALL""",
     "exp11_rankings": f"SELECT metric_name, model, round(mean, 6) AS mean, CAST(row_number() OVER (PARTITION BY metric_name ORDER BY round(x.mean, 9) DESC, model) AS INT) AS rank FROM (SELECT metric_name, model, avg(score) AS mean FROM ({_S}) s GROUP BY ALL) x",
     "exp12_assemble_long": f"""WITH s AS ({_S}), l AS (SELECT model || '_' || strategy AS "group", metric_name, score FROM s UNION ALL SELECT 'all', metric_name, score FROM s UNION ALL SELECT 'rag_retrieval', 'mrr', score FROM s
         UNION ALL SELECT 'rag_retrieval', 'p@5', score FROM s UNION ALL SELECT 'rag_generation', metric_name, score FROM s) SELECT "group", metric_name, count(*) AS n, round(sum(score), 4) AS total FROM l GROUP BY ALL""",
-    "exp13_comparison_table": _pairs("question_type", "metric_name = 'm2'") + " SELECT baseline, comparison, " + ", ".join(f"round(round_even({c}, 4), 2) AS {c}" for c in ("baseline_mean", "comparison_mean", "difference", "cohens_d")) + ", round(round_even(percent_change, 2), 1) AS percent_change FROM c",
-    "exp14_effect_size": _pairs("strategy", "metric_name = 'm1'") + " SELECT baseline AS a_g, comparison AS b_g, round(cohens_d, 6) AS d FROM c",
+    "exp13_comparison_table": _compared("question_type", "metric_name = 'm2'") + " SELECT baseline, comparison, " + ", ".join(f"round(round_even({c}, 4), 2) AS {c}" for c in ("baseline_mean", "comparison_mean", "difference", "cohens_d")) + ", round(round_even(percent_change, 2), 1) AS percent_change FROM c",
+    "exp14_effect_size": _compared("strategy", "metric_name = 'm1'") + " SELECT baseline AS a_g, comparison AS b_g, round(cohens_d, 6) AS d FROM c",
     "exp15_metric_summary": f"SELECT metric_name, count(*) AS \"count\", round(avg(score), 6) AS mean, round(stddev_samp(score), 6) AS std, round(min(score), 6) AS min, round(max(score), 6) AS max FROM ({_S}) s GROUP BY metric_name",
     "exp16_experiment_summary": f"""WITH s AS ({_S}), t AS (SELECT count(*) FILTER (metric_name = 'm1') AS n_questions, count(DISTINCT model) AS n_model, count(DISTINCT strategy) AS n_strategy, count(DISTINCT question_type) AS n_question_type, count(*) AS n_scores, count(DISTINCT metric_name) AS n_metrics FROM s)
         SELECT strategy, round(avg(score) FILTER (metric_name = 'm1'), 6) AS m1, round(avg(score) FILTER (metric_name = 'm2'), 6) AS m2, n_questions, n_model, n_strategy, n_question_type, n_scores, n_metrics FROM s, t GROUP BY ALL""",
@@ -287,3 +294,23 @@ ORACLE = {
     "src9_find_experiment": "SELECT 'exp_7' AS experiment_id, 'exp_7' AS asked UNION ALL SELECT min('exp_' || c_custkey), 'p_1' FROM customer WHERE contains('exp_' || c_custkey, 'p_1')",
     "snk4_validate_experiments": "SELECT 'exp_' || c_custkey AS experiment_id, concat_ws(',', CASE WHEN c_custkey % 10 = 5 THEN 'duplicate' END, CASE WHEN c_custkey % 4 = 0 THEN 'no strategies' END) AS reasons FROM customer",
 }
+
+
+def _dimensions(digits: int) -> str:
+    """(id, dimension, score) of the five dimensions' own SQL, rounded to ``digits``."""
+    own = {"relevance": "qq1_relevance", "type_consistency": "qq2_type_consistency", "answerability": "qq3_answerability", "fluency": "qq4_fluency", "structural_grounding": "qq5_grounding"}
+    return " UNION ALL ".join(f"SELECT id, '{d}' AS dimension, score FROM ({ORACLE[q].replace(', 6) AS score', f', {digits}) AS score')}) AS {d}" for d, q in own.items())
+
+
+_WEIGHTED = " ".join(f"WHEN '{d}' THEN {w}::DOUBLE" for d, w in Q.WEIGHTS.items())
+ORACLE |= {
+    "qq6_quality": f"SELECT id, round(sum(score * CASE dimension {_WEIGHTED} END) / sum(CASE dimension {_WEIGHTED} END), 6) AS overall FROM ({_dimensions(15)}) AS l GROUP BY id",
+    "qq7_quality_long": _dimensions(6),
+    "exp21_evaluate": f"""WITH {_TOP}, sc AS ({_S}), r AS (SELECT DISTINCT query_id FROM top WHERE query_id IN (SELECT vec_id FROM embeddings e WHERE EXISTS (SELECT 1 FROM embeddings o WHERE o.label = e.label AND o.vec_id <> e.vec_id)))
+        SELECT 'quality' AS stage, (SELECT 5 * count(*) FROM ({_Q}) AS q) AS n, false AS failed UNION ALL SELECT 'metrics', (SELECT 3 * count(*) FROM ({plain(PREDS)}) AS p), false
+        UNION ALL SELECT 'retrieval', (SELECT {_METRIC_ROWS} * count(*) FROM r), false UNION ALL SELECT 'broken', NULL, true
+        UNION ALL SELECT 'conditions', (SELECT count(*) FROM (SELECT DISTINCT model, strategy, question_type FROM sc)), false
+        UNION ALL SELECT 'marginals', (SELECT count(*) FROM (SELECT DISTINCT model, metric_name FROM sc)) + (SELECT count(*) FROM (SELECT DISTINCT strategy, metric_name FROM sc)) + (SELECT count(*) FROM (SELECT DISTINCT question_type, metric_name FROM sc)), false
+        UNION ALL SELECT 'statistics', (SELECT count(*) FROM (SELECT DISTINCT strategy, metric_name FROM sc)), false UNION ALL SELECT 'rankings', (SELECT count(*) FROM (SELECT DISTINCT model, metric_name FROM sc)), false
+        UNION ALL SELECT 'summary', (SELECT count(DISTINCT metric_name) FROM sc), false UNION ALL SELECT 'comparisons', (SELECT count(DISTINCT strategy) * (count(DISTINCT strategy) - 1) // 2 FROM sc), false""",
+}

@@ -21,13 +21,13 @@ BANK = """
     FROM {benchmark} WHERE NOT (item_id % 3 = 0 AND item_id % 2 = 0)
 """
 ASKED = """
-    SELECT doc_id AS source_id, substr(text, 1, 400) AS content, CASE doc_id % 2 WHEN 0 THEN 'factual' ELSE 'schema' END AS question_type, CASE doc_id % 5 WHEN 0 THEN 'cot' ELSE 'zero_shot' END AS strategy FROM {documents}
+    SELECT doc_id AS source_id, text AS content, CASE doc_id % 2 WHEN 0 THEN 'factual' ELSE 'schema' END AS question_type, CASE doc_id % 5 WHEN 0 THEN 'cot' ELSE 'zero_shot' END AS strategy FROM {documents}
 """
 TEMPLATES = [("cot", "factual", "[{question_type}] {examples} Think about {knowledge}"), ("cot", None, "Reason on {knowledge}"), ("few_shot", None, "{examples}\nNow {knowledge}")]
 COMPLETIONS = """
     SELECT conv_id AS source_id, CASE turn % 3 WHEN 0 THEN 'chain_of_thought' WHEN 1 THEN 'self_consistency' ELSE 'zero_shot' END AS strategy,
-           CASE turn % 4 WHEN 0 THEN '<think>' || text || '</think> Final question: ' || role || ' ' || substr(text, 1, 30) WHEN 1 THEN '"' || substr(text, 1, 40) || '"' || chr(10) || 'What is it?'
-                WHEN 2 THEN 'Best. Final answer: `Who?`' ELSE '  ' || substr(text, 1, 20) || '? ' END AS raw_output
+           CASE turn % 4 WHEN 0 THEN '<think>' || text || '</think> Final question: ' || role || ' ' || text WHEN 1 THEN '"' || text || '"' || chr(10) || 'What is it?'
+                WHEN 2 THEN 'Best. Final answer: `Who?`' ELSE '  ' || text || '? ' END AS raw_output
     FROM {conversations}
 """
 QUESTIONS = """
@@ -183,11 +183,28 @@ _MH = _PATHS + """, best AS (SELECT start, "end", arg_min(path, (size, path)) AS
     ), mc AS (SELECT question_id, answer, hops, p[1] || ' -> ' || p[2] || ';' || p[2] || ' -> ' || p[3] AS chain FROM mq)"""
 _MH_SCORE = _MH + ", sc AS (SELECT question_id, hops, length(answer) % 2 = 0 AS answer_correct, CAST(0.5 AS DOUBLE) AS chain_recall, CAST(0 AS DOUBLE) AS fact_recall, CAST(length(answer) AS DOUBLE) AS latency_ms FROM mc)"
 _VAR = ", ".join("'" + v.replace("'", "''") + "'" for v in P.VARIATIONS)
+# Markers in the order in which they are tried, as the operator has them.
+_AFTER = {k: "CASE " + " ".join(f"WHEN contains(x, '{m}') THEN substr(x, strpos(x, '{m}') + {len(m)})" for m in ms) + " ELSE x END" for k, ms in P.MARKERS.items()}
+_CLEAN = rf"""WITH c AS ({_C}), a AS (SELECT source_id, strategy, trim(regexp_replace(trim(coalesce(raw_output, ''), E' \t\n\r'), '(?s)<think>.*?</think>', '', 'g'), E' \t\n\r') AS x FROM c
+    ), b AS (SELECT source_id, trim(CASE strategy WHEN 'chain_of_thought' THEN {_AFTER['chain_of_thought']} WHEN 'self_consistency' THEN {_AFTER['self_consistency']} ELSE x END, E' \t\n\r') AS x FROM a
+    ), d AS (SELECT source_id, list_filter(list_transform(regexp_split_to_array(trim(trim(trim(trim(x, '"'), chr(39)), '`'), E' \t\n\r'), '\r\n|\n|\r'), lambda l: trim(l, E' \t\n\r')), lambda l: l <> '') AS ls FROM b
+    ), f AS (SELECT source_id, coalesce(list_filter(ls, lambda l: ends_with(l, '?') OR ends_with(l, '？'))[1], ls[1], '') AS l FROM d
+    ), q AS (SELECT source_id, CASE WHEN l <> '' AND NOT (ends_with(l, '?') OR ends_with(l, '？')) THEN l || '？' ELSE l END AS question FROM f)"""
 _ADV = f"WITH q AS ({_Q}), {_VARIANTS} "
 
 ORACLE = {
     "fs1_filter_examples": f"SELECT * FROM ({_B}) b WHERE question_type = 'schema' AND strategy = 'cot'",
     "fs2_candidates": f"WITH {_CAND} SELECT source_id, count(*) AS n, CAST(sum(ex_id) AS BIGINT) AS ids FROM c GROUP BY source_id",
+    "fs3_select_random": f"""WITH b AS ({_B}), k AS ({_A}), p AS (SELECT question_type || '|' || strategy AS pool, ex_id FROM b UNION ALL SELECT question_type, ex_id FROM b
+        ), n AS (SELECT pool, ex_id, row_number() OVER (PARTITION BY pool ORDER BY CAST('0x' || substr(md5('42:' || ex_id), 1, 13) AS BIGINT), ex_id) - 1 AS place, count(*) OVER (PARTITION BY pool) AS m FROM p
+        ), r AS (SELECT source_id, CASE WHEN EXISTS (SELECT 1 FROM b WHERE b.question_type = k.question_type AND b.strategy = k.strategy) THEN question_type || '|' || strategy ELSE question_type END AS pool, CAST('0x' || substr(md5('42:' || source_id), 1, 13) AS BIGINT) AS h FROM k)
+        SELECT source_id, ex_id, CAST(j AS INT) AS rank FROM r JOIN n USING (pool), unnest(range(1, 4)) AS t(j) WHERE j <= m AND place = (h + j - 1) % m""",
+    "pr5_clean_completions": rf"""{_CLEAN} SELECT source_id, question, count(*) AS copies FROM q GROUP BY ALL""",
+    "pr6_rank_by_confidence": f"""WITH c AS ({_C}), r AS (SELECT DISTINCT source_id, raw_output AS question, CASE strategy WHEN 'zero_shot' THEN 'schema' ELSE 'factual' END AS t FROM c
+        ), s AS (SELECT source_id, question, t, length(question) AS n FROM r
+        ), v AS (SELECT source_id, question, round_even(greatest(0, least(1, CASE WHEN n < 10 THEN 0.5::DOUBLE WHEN n > 200 THEN 0.8::DOUBLE WHEN n BETWEEN 20 AND 100 THEN 1.05::DOUBLE ELSE 1 END
+            * CASE WHEN ends_with(question, '?') OR ends_with(question, '？') THEN 1 ELSE 0.7::DOUBLE END * CASE t WHEN 'schema' THEN 0.95::DOUBLE ELSE 1 END * CASE WHEN n >= 0.95 * 512 THEN 0.85::DOUBLE ELSE 1 END)), 3) AS confidence FROM s)
+        SELECT source_id, question, confidence, CAST(row_number() OVER (PARTITION BY source_id ORDER BY confidence DESC, question) AS INT) AS rank FROM v QUALIFY rank <= 2""",
     "fs4_select_similar": f"WITH {_CAND} SELECT source_id, ex_id, round(sim, 6) AS sim, rank FROM top WHERE rank <= 3",
     "fs5_select_diverse": f"""WITH {_CAND}, one AS (SELECT source_id, ex_id, y FROM top WHERE rank = 1), two AS (
             SELECT t.source_id, t.ex_id, row_number() OVER (PARTITION BY t.source_id ORDER BY round(0.5::DOUBLE * sim - 0.5::DOUBLE * (len(list_intersect(t.y, o.y)) / (len(t.y) + len(o.y) - len(list_intersect(t.y, o.y)))), 9) DESC, t.ex_id) AS r FROM top t JOIN one o ON o.source_id = t.source_id AND o.ex_id <> t.ex_id)

@@ -44,8 +44,9 @@ def txt6(spark, sf):
 
 def txt7(spark, sf):
     items, errors = X.process_knowledge(_knowledge(spark, sf).withColumn("input_type", F.when(F.col("source_id") == "d3", F.lit("audio")).otherwise(F.col("input_type"))))
-    counts = items.groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("source_id").alias("n_sources"))
-    return counts.unionByName(errors.groupBy(F.lit("error").alias("kind")).agg(F.count("*").alias("n"), F.countDistinct("source_id").alias("n_sources")))
+    listed = items.groupBy("source_id", "kind").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("item")), "\n").alias("items"))
+    listed = listed.select("source_id", "kind", "n", F.sha2("items", 256).alias("items_sha256"))
+    return listed.unionByName(errors.select("source_id", F.lit("error").alias("kind"), F.lit(1).cast("long").alias("n"), F.sha2("error", 256).alias("items_sha256")))
 
 
 def txt8(spark, sf):
@@ -196,7 +197,39 @@ _PIECES = r"""
     FROM r
 """
 
+
+
+def _sentence_chunks(docs: str) -> str:
+    """Greedy sentence chunks of ``docs`` (doc_id, text), a sentence a round."""
+    lens = "list_transform(list_reverse(open), lambda t: length(t))"
+    kept = f"len(list_filter(range(1, len(open) + 1), lambda j: list_sum(({lens})[1:j]) + j - 1 <= 50))"
+    return rf"""
+        WITH RECURSIVE s AS (
+            SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS ss FROM ({docs}) AS d
+        ), st AS (
+            SELECT doc_id, 1 AS i, [ss[1]] AS open, length(ss[1]) + 1 AS n, 0 AS k, CAST(NULL AS VARCHAR) AS chunk FROM s
+            UNION ALL
+            SELECT doc_id, i + 1, list_append(CASE WHEN is_full THEN open[len(open) - c + 1:] ELSE open END, nxt),
+                   CASE WHEN is_full THEN coalesce(list_sum(list_transform(open[len(open) - c + 1:], lambda t: length(t) + 1)), 0) ELSE n END + length(nxt) + 1,
+                   k + CAST(is_full AS INT), CASE WHEN is_full THEN array_to_string(open, ' ') END
+            FROM (SELECT st.*, ss[i + 1] AS nxt, n + length(ss[i + 1]) > 512 AS is_full, {kept} AS c FROM st JOIN s USING (doc_id) WHERE i < len(ss)) AS step
+        )
+        SELECT doc_id, CAST(k - 1 AS INT) AS chunk_index, chunk AS content FROM st WHERE chunk IS NOT NULL
+        UNION ALL SELECT doc_id, CAST(k AS INT), array_to_string(open, ' ') FROM st JOIN s USING (doc_id) WHERE i = len(ss)
+    """
+
+
+_PARTS = rf"""
+    SELECT source_id, 'triple' AS kind, subject || ' | ' || predicate || ' | ' || object AS item FROM ({_TRIPLES} SELECT * FROM triples WHERE input_type = 'triple') AS a
+    UNION ALL SELECT source_id, 'schema', entity_type || ' | ' || property || ' | ' || value FROM ({_ENTRIES} SELECT * FROM entries WHERE source_id LIKE 'p%') AS b
+    UNION ALL SELECT source_id, 'entity', name FROM ({_ENTITIES} SELECT * FROM entities) AS c
+    UNION ALL SELECT doc_id, 'text', content FROM ({_sentence_chunks("SELECT 'd' || doc_id AS doc_id, text FROM documents WHERE doc_id <> 3")}) AS d
+"""
+
 ORACLE = {
+    "txt7_process_knowledge": f"""SELECT source_id, kind, count(*) AS n, sha256(string_agg(item, chr(10) ORDER BY item)) AS items_sha256 FROM ({_PARTS}) AS p GROUP BY ALL
+        UNION ALL SELECT 'd3', 'error', 1, sha256('unknown input_type') FROM documents WHERE doc_id = 3""",
+    "txt14_chunk_sentences": _sentence_chunks("SELECT doc_id, text FROM documents"),
     "txt1_clean_corpus": f"SELECT min(doc_id) AS doc_id, count(*) AS copies, sha256({_CLEAN}) AS text_sha256 FROM documents GROUP BY {_CLEAN}",
     "txt2_drop_empty": "SELECT source, count(*) AS n_total, count(*) FILTER (doc_id % 7 = 0 OR trim(text) = '' OR text IS NULL OR lower(trim(text)) IN ('null', 'none', 'nan', '-')) AS n_dropped FROM documents GROUP BY source",
     "txt3_token_budget": "SELECT source, lang, CAST(sum(length(coalesce(text, '')) // 4) AS BIGINT) AS tokens, count(*) AS n_docs FROM documents GROUP BY source, lang",

@@ -1,4 +1,4 @@
-"""Queries of text metrics: assistant turns against their own beginnings and the turns before them."""
+"""Queries of text metrics: assistant turns against themselves with capitals, or with the turn before, and the turn before alone."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from .retrieval import _EMBED, _OVERLAP, _TOKENS, _TOP, _dense, _docs, _items
 
 _TURNS = "SELECT conv_id * 1000 + turn AS id, role, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM {conversations}"
 PREDS = f"SELECT id, text FROM ({_TURNS}) AS t WHERE role = 'assistant'"
-REFS = f"""SELECT id, 0 AS ref, substr(text, 1, 150) AS text FROM ({_TURNS}) AS t WHERE role = 'assistant'
+REFS = f"""SELECT id, 0 AS ref, CASE id % 3 WHEN 0 THEN replace(text, 'e', 'E') WHEN 1 THEN text || ' ' || coalesce(before, '') ELSE coalesce(before, text) END AS text FROM ({_TURNS}) AS t WHERE role = 'assistant'
     UNION ALL SELECT id, 1, before FROM ({_TURNS}) AS t WHERE role = 'assistant' AND before IS NOT NULL"""
 GROUPED = "SELECT conv_id AS group_id, turn AS id, text FROM {conversations}"
 
@@ -70,7 +70,7 @@ def met14(spark, sf):
 
 
 def met15(spark, sf):
-    q = _vecs(spark, sf, 0, "query_id").where("query_id % 25 = 0")
+    q = _vecs(spark, sf, 0, "query_id").where("query_id % 50 = 0")
     return M.context_relevance(q, _dense(spark, sf), _vecs(spark, sf, 0, "chunk_id")).select("query_id", F.round("value", 5).alias("value"))
 
 
@@ -179,7 +179,7 @@ ORACLE = {
     "met12_exact_match": _LOWERED + " SELECT id, CASE WHEN p = r THEN 1.0::DOUBLE ELSE 0 END AS value FROM p JOIN r USING (id)",
     "met13_contains_answer": _LOWERED + " SELECT id, CASE WHEN contains(p, r) OR contains(r, p) THEN 1.0::DOUBLE ELSE 0 END AS value FROM p JOIN r USING (id)",
     "met14_semantic_similarity": f"SELECT a.vec_id AS id, round({_VEC.format('a.embedding', 'b.embedding')}, 5) AS value FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1",
-    "met15_context_relevance": f"WITH {_TOP}, v AS (SELECT query_id, avg(score) AS v FROM top GROUP BY query_id) SELECT vec_id AS query_id, round(coalesce(v, 0), 5) AS value FROM embeddings LEFT JOIN v ON query_id = vec_id WHERE vec_id % 25 = 0",
+    "met15_context_relevance": f"WITH {_TOP}, v AS (SELECT query_id, avg(score) AS v FROM top GROUP BY query_id) SELECT vec_id AS query_id, round(coalesce(v, 0), 5) AS value FROM embeddings LEFT JOIN v ON query_id = vec_id WHERE vec_id % 50 = 0",
     "met16_faithfulness_vec": f"""WITH e_in AS (SELECT id * 2 AS id, text FROM ({plain(PREDS)}) p UNION ALL SELECT id * 2 + 1, text FROM ({plain(REFS)}) r WHERE ref = 0), {_EMBED}
         SELECT a.id // 2 AS id, round(coalesce({_COS}, 0), 6) AS value FROM e a JOIN e b ON b.id = a.id + 1 AND a.id % 2 = 0""",
     "met17_faithfulness": _OVERLAP + f""", ans AS (SELECT item_id AS query_id, coalesce('Based on the documents: ' || substr(string_agg(substr(d.text, 1, 200), ' ' ORDER BY rank), 1, 500), 'No relevant documents were found.') AS text

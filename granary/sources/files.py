@@ -35,10 +35,19 @@ def read_questions(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.inline(F.from_json(wrapped, f"array<struct<{_fields(QUESTION_SCHEMA)}>>"))).where("question_text IS NOT NULL")
 
 
+def _numbered(lines: DataFrame, name: str) -> DataFrame:
+    """``lines`` with a running number from 1: within a part by its order, from part to part by their counts."""
+    at = F.monotonically_increasing_id()
+    lines = lines.withColumn("part", F.shiftright(at, 33)).withColumn("i", at.bitwiseAND(F.lit((1 << 33) - 1)))
+    counts = lines.groupBy("part").agg(F.count("*").alias("c"))
+    before = counts.select("part", (F.sum("c").over(Window.orderBy("part")) - F.col("c")).alias("before"))  # one row per file split
+    return lines.join(before, "part").withColumn(name, (F.col("before") + F.col("i") + 1).cast("long")).drop("part", "i", "before")
+
+
 def read_references(spark: SparkSession, path: str) -> DataFrame:
-    """(pos, reference): the reference field, a JSON string, other JSON as text, or the raw line; pos counts
-    lines of a file in reading order."""
-    lines = spark.read.text(path).withColumn("pos", F.monotonically_increasing_id())
+    """(pos, reference): the reference field, a JSON string, other JSON as text, or the raw line; pos is the
+    line number from 1, running on from file to file in reading order."""
+    lines = _numbered(spark.read.text(path), "pos")
     quoted = F.when(F.col("value").rlike(r'^\s*".*"\s*$'), F.regexp_extract("value", r'^\s*"(.*)"\s*$', 1))
     return lines.select("pos", F.coalesce(F.get_json_object("value", "$.reference"), quoted, F.col("value")).alias("reference"))
 
@@ -51,18 +60,13 @@ def read_result_dir(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def read_hotpot(spark: SparkSession, path: str) -> DataFrame:
     """Two-hop questions; ids default to q_<n>, difficulty to medium."""
-    df = spark.read.schema("_id string, question string, answer string, level string").json(path, multiLine=True)
-    return df.select(F.coalesce("_id", F.concat(F.lit("q_"), F.monotonically_increasing_id().cast("string"))).alias("question_id"), "question", "answer", F.lit(2).alias("hops"), F.coalesce("level", F.lit("medium")).alias("difficulty"))
+    df = _numbered(spark.read.schema("_id string, question string, answer string, level string").json(path, multiLine=True), "n")
+    return df.select(F.coalesce("_id", F.concat(F.lit("q_"), (F.col("n") - 1).cast("string"))).alias("question_id"), "question", "answer", F.lit(2).alias("hops"), F.coalesce("level", F.lit("medium")).alias("difficulty"))
 
 
 def read_document_lines(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, title, content) from ``title | content`` lines; a line without a bar is all content."""
-    at = F.monotonically_increasing_id()
-    lines = spark.read.text(path).where("trim(value) <> ''").withColumn("part", F.shiftright(at, 33)).withColumn("i", at.bitwiseAND(F.lit((1 << 33) - 1)))
-    # Line numbers run on from part to part: counts of parts, summed over the parts before.
-    counts = lines.groupBy("part").agg(F.count("*").alias("c"))
-    before = counts.select("part", (F.sum("c").over(Window.orderBy("part")) - F.col("c")).alias("before"))  # one row per file split
-    lines = lines.join(before, "part").withColumn("n", (F.col("before") + F.col("i") + 1).cast("long"))
+    lines = _numbered(spark.read.text(path).where("trim(value) <> ''"), "n")
     barred = F.contains("value", F.lit("|"))
     return lines.select(
         F.format_string("doc-%03d", "n").alias("doc_id"), F.when(barred, F.trim(F.substring_index("value", "|", 1))).otherwise(F.concat(F.lit("Doc "), F.col("n").cast("string"))).alias("title"),
