@@ -51,6 +51,59 @@ def src7(spark, sf):
     return S.read_examples(spark, _written(spark, _docs(spark, sf).select(line), "examples")).select("ex_id", "knowledge", "question")
 
 
+def _named_files(spark, rows, path):
+    """Rows (name, value) as files ``name``.json: one partition folder each, then renamed where they lie."""
+    rows.repartition("name").write.partitionBy("name").text(f"{path}-parts")
+    jvm = spark._jvm
+    fs = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(jvm.org.apache.hadoop.fs.Path(path))
+    for part in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{path}-parts/name=*/part-*")):
+        name = part.getPath().getParent().getName().removeprefix("name=")
+        fs.rename(part.getPath(), jvm.org.apache.hadoop.fs.Path(f"{path}/{name}.json"))
+    return path
+
+
+#: Rows that one JSON file holds.
+FILE_ROWS = 500
+
+
+def src4(spark, sf):
+    """Result files of FILE_ROWS documents each, half of them named _results and half _eval."""
+    part = F.floor(F.col("doc_id") / FILE_ROWS)
+    name = F.concat(F.lit("run"), part.cast("string"), F.when(part % 2 == 0, "_results").otherwise("_eval"))
+    listed = _docs(spark, sf).groupBy(name.alias("name")).agg(F.to_json(F.collect_list(F.struct("doc_id", "lang"))).alias("value"))
+    read = S.read_result_dir(spark, _named_files(spark, listed, scratch_path(spark, "results")), "doc_id long, lang string")
+    return read.select("doc_id", "lang", "group")
+
+
+def src5(spark, sf):
+    """Question files; every fourth question has no id and every third no level, and ids run on from file to file."""
+    item = F.struct(
+        F.when(F.col("doc_id") % 4 > 0, F.col("doc_id").cast("string")).alias("_id"), F.concat(F.lit("What says "), "source", F.lit("?")).alias("question"),
+        F.col("lang").alias("answer"), F.when(F.col("doc_id") % 3 > 0, F.lit("hard")).alias("level"),
+    )
+    name = F.format_string("part%08d", F.floor(F.col("doc_id") / FILE_ROWS))
+    listed = _docs(spark, sf).groupBy(name.alias("name")).agg(F.to_json(F.collect_list(item)).alias("value"))
+    read = S.read_hotpot(spark, _named_files(spark, listed, scratch_path(spark, "hotpot")))
+    numbered = F.col("question_id").startswith("q_")
+    known = read.where(~numbered).select("question_id", "question", "answer", "hops", "difficulty")
+    # Which number a question without an id gets depends on the files' order: all differ and stay below the count.
+    made = read.where(numbered).select(F.regexp_replace("question_id", "^q_", "").cast("long").alias("n"), "difficulty").crossJoin(F.broadcast(read.agg(F.count("*").alias("total"))))
+    made = made.groupBy("difficulty").agg(F.countDistinct("n").cast("string").alias("question_id"), F.when(F.max("n") < F.max("total"), "numbered").alias("question"), F.lit("").alias("answer"), F.lit(2).alias("hops"))
+    return known.unionByName(made)
+
+
+def src8(spark, sf):
+    """One experiment for each hundred customers of a segment."""
+    c = table(spark, sf, "customer")
+    key = F.concat_ws("-", F.lower("c_mktsegment"), F.floor(F.col("c_custkey") / 100).cast("string"))
+    listed = c.groupBy(key.alias("project_id")).agg(
+        F.array_sort(F.collect_set(F.concat(F.lit("n"), F.col("c_nationkey").cast("string")))).alias("models"), F.collect_list("c_name").alias("questions"), F.min("c_name").alias("completed_at")
+    ).select(F.concat("project_id", F.lit("_result")).alias("name"), F.to_json(F.struct("project_id", F.col("project_id").alias("name"), "models", F.array(F.lit("cot")).alias("strategies"), "questions", "completed_at")).alias("value"))
+    read = S.list_experiments(spark, _named_files(spark, listed, scratch_path(spark, "experiments")))
+    return read.select("project_id", "name", "models", "strategies", "n_questions", "n_evaluations", "completed_at")
+
+
 def snk1(spark, sf):
     path = scratch_path(spark, "json")
     S.write_json(_docs(spark, sf).select("doc_id", "text"), path)
@@ -72,7 +125,8 @@ def snk3(spark, sf):
 
 
 QUERIES = {
-    "src1_read_knowledge": src1, "src2_read_questions": src2, "src3_read_references": src3, "src6_read_document_lines": src6, "src7_read_examples": src7,
+    "src1_read_knowledge": src1, "src2_read_questions": src2, "src3_read_references": src3, "src4_read_result_dir": src4,
+    "src5_read_hotpot": src5, "src8_list_experiments": src8, "src6_read_document_lines": src6, "src7_read_examples": src7,
     "snk1_write_json": snk1, "snk2_write_stats_csv": snk2, "snk3_save_tables": snk3,
 }
 ORACLE = {
@@ -80,6 +134,11 @@ ORACLE = {
         FROM documents WHERE doc_id % 10 = 0 OR doc_id % 7 > 0""",
     "src2_read_questions": "SELECT conv_id, CASE WHEN conv_id % 2 = 0 THEN count(*) ELSE 1 END AS n FROM conversations WHERE role = 'user' GROUP BY conv_id",
     "src3_read_references": "SELECT CASE doc_id % 3 WHEN 0 THEN lang WHEN 1 THEN source ELSE 'raw ' || source END AS reference, count(*) AS n FROM documents GROUP BY 1",
+    "src4_read_result_dir": f"SELECT doc_id, lang, 'run' || (doc_id // {FILE_ROWS}) AS \"group\" FROM documents",
+    "src5_read_hotpot": """SELECT CAST(doc_id AS VARCHAR) AS question_id, 'What says ' || source || '?' AS question, lang AS answer, 2 AS hops, CASE WHEN doc_id % 3 > 0 THEN 'hard' ELSE 'medium' END AS difficulty FROM documents WHERE doc_id % 4 > 0
+        UNION ALL SELECT CAST(count(*) AS VARCHAR), 'numbered', '', 2, CASE WHEN doc_id % 3 > 0 THEN 'hard' ELSE 'medium' END FROM documents WHERE doc_id % 4 = 0 GROUP BY 5""",
+    "src8_list_experiments": """SELECT p AS project_id, p AS name, string_agg(DISTINCT 'n' || c_nationkey, ',' ORDER BY 'n' || c_nationkey) AS models, 'cot' AS strategies, CAST(count(*) AS INT) AS n_questions, 0 AS n_evaluations, min(c_name) AS completed_at
+        FROM (SELECT *, lower(c_mktsegment) || '-' || c_custkey // 100 AS p FROM customer) AS c GROUP BY p""",
     "src6_read_document_lines": """SELECT CASE doc_id % 4 WHEN 1 THEN source || ' | x' ELSE source END AS content, count(*) AS n, count(*) AS n_ids, count(*) FILTER (doc_id % 4 > 1) AS untitled FROM documents WHERE doc_id % 4 > 0 GROUP BY 1""",
     "src7_read_examples": "SELECT doc_id AS ex_id, source AS knowledge, lang AS question FROM documents WHERE doc_id % 11 > 0 AND doc_id % 3 > 0",
     "snk1_write_json": "SELECT doc_id, sha256(text) AS text_sha256 FROM documents",
