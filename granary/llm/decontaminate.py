@@ -1,10 +1,10 @@
 """Benchmark decontamination by an FM-index for each shard of training documents.
 
 A shard is the documents of one task, up to a bounded number of words. Words outside the benchmark's
-vocabulary can be in no occurrence, so they separate segments, and segments shorter than the shortest
-phrase are left out; the FM-index covers the rest: suffix array by prefix doubling, BWT in a wavelet
-matrix, sampled suffix positions. All phrases are searched backward at once, occurrences located by
-walking to the next sample, and overlapping occurrences merged into removal spans.
+vocabulary can be in no occurrence, so they separate segments; the FM-index covers every other word:
+suffix array by prefix doubling, BWT in a wavelet matrix, sampled suffix positions. All phrases are
+searched backward at once, occurrences located by walking to the next sample, and overlapping occurrences
+merged into removal spans.
 
 Documents are read once and never shuffled. The benchmark is the stated query set: it goes to the
 tasks in blocks of about BLOCK_BYTES; beyond one block each block makes its own pass and the passes'
@@ -64,7 +64,6 @@ class Phrases:
         self.item_of = pairs[:, 1]
         self.item_first = np.searchsorted(pairs[:, 0], np.arange(len(self.rows) + 1))
         self.items = [i for i, _ in items]
-        self.shortest = int(self.length.min()) if len(self.rows) else 0
 
     def codes(self, w: bt.Words) -> np.ndarray:
         """Vocabulary id of each word, 0 for others; equal hashes are confirmed byte by byte."""
@@ -179,7 +178,7 @@ class FmIndex:
 
 
 class _Shard:
-    """Documents waiting for an index: their word counts, and the segments that may hold a phrase."""
+    """Documents waiting for an index: their word counts, and their segments of vocabulary words."""
 
     def __init__(self, phrases: Phrases):
         self.phrases, self.ids, self.n_words = phrases, [], []
@@ -196,10 +195,8 @@ class _Shard:
         opens = known.copy()
         opens[1:] &= ~known[:-1] | (owner[1:] != owner[:-1])
         segment = np.cumsum(opens) - 1
-        sizes = np.bincount(segment[known], minlength=int(opens.sum()))
         keep = np.flatnonzero(known)
-        keep = keep[sizes[segment[keep]] >= max(1, self.phrases.shortest)]
-        if len(keep) and self.phrases.shortest:
+        if len(keep):
             last = np.append(segment[keep[1:]] != segment[keep[:-1]], True)
             at = np.cumsum(last) - last + np.arange(len(keep))
             text = np.zeros(len(keep) + int(last.sum()), np.int64)
