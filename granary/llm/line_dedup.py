@@ -33,6 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -160,22 +161,19 @@ def _grown(before: pd.Series, first_before: pd.Series, after: pd.Series, first_a
     return pd.DataFrame({"start": [len(x.decode()) for x in left], "end": [len(x.decode()) for x in right]}, dtype="int64")
 
 
-def _cut(text: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
+def _cut(text: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
     """Texts without the spans; a cut takes the line feed or space that follows, at the end of the text the one before."""
-    out = []
-    for t, s, e in zip(text, starts, ends, strict=True):
-        if t is None or s is None:
-            out.append(t)
-            continue
-        parts, at = [], 0
-        for a, b in zip(s, e, strict=True):
+    cut = []
+    for i in np.flatnonzero(starts.is_valid().to_numpy(zero_copy_only=False)).tolist():
+        t, parts, at = text[i].as_py(), [], 0
+        for a, b in zip(starts[i].as_py(), ends[i].as_py(), strict=True):
             parts.append(t[at:a])
             at = b + t[b : b + 1].isspace()
         kept = "".join(parts)
-        if e[-1] >= len(t) and kept[-1:].isspace():
+        if b >= len(t) and kept[-1:].isspace():
             kept = kept[:-1]
-        out.append(kept + t[at:])
-    return pd.Series(out, dtype=object)
+        cut.append(kept + t[at:])
+    return pc.replace_with_mask(text, starts.is_valid(), pa.array(cut, text.type))
 
 
 def repeated_passages(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -236,7 +234,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     same = F.col("doc_id").eqNullSafe(F.col(cut_id)) & (F.col(key) == F.col(cut_key))
     joined = docs.withColumn(key, F.xxhash64(text)).join(cuts.hint("merge"), same, "left")
-    return joined.withColumn(cut_text, F.pandas_udf(_cut, "string")("text", start, end)).select(
+    return joined.withColumn(cut_text, F.arrow_udf(_cut, "string")("text", start, end)).select(
         *(F.col(cut_text).alias("text") if c == "text" else F.col(c) for c in docs.columns),
         F.coalesce(chunks, F.lit(0)).alias("removed_chunks"), F.coalesce(lines, F.lit(0)).alias("removed_lines"),
         (F.length(text) - F.length(F.coalesce(cut_text, F.lit("")))).cast("long").alias("removed_chars"),
