@@ -526,6 +526,16 @@ def test_line_dedup_planted_passages(spark):
     assert got == dict(apart[:3]) | {4: "x."}
 
 
+def test_pages_with_clashing_columns(spark):
+    rows = [(1, "http://net/a", "<p>x"), (1, "http://net/a", "<p>x"), (None, None, None), (2, "http://a.org/fr/1", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    pages = pages.select("*", *(F.lit("x").alias(n) for n in ("host", "path", "rule", "verdict", "shape", "label", "template", "purity", "rejected", "n", "d", "text", "n_chars", "parent", "seg", "to")))
+    got = url_filter.filter_urls(pages).collect()
+    assert sorted((r.page_id or 0, r.host, r.rule or "", r.verdict) for r in got) == [(0, "", "", "allow"), (1, "net", "net/", "block"), (1, "net", "net/", "block"), (2, "a.org", "org/fr/", "allow")]
+    assert sorted((r.page_id or 0, r.text, r.n_chars) for r in html_text.extract_main_text(pages).collect()) == [(0, "", 0), (1, "x", 1), (1, "x", 1), (2, "", 0)]
+    assert html_text.extract_main_text(pages.limit(0)).count() == 0
+
+
 def _dedup_by_bytes(rows):
     """(text, removed lines) of each row: pairs of lines with words, and lines of 50 words, that stood in an earlier place go, grown by words."""
     docs = []
