@@ -235,3 +235,115 @@ def test_registry():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_bm25_topk_against_all_pairs(spark, monkeypatch):
+    r = random.Random(3)
+    vocab = ["a", "b", "cc", "dd", "Été", "x_1", "the"]
+    chunks = [(i, i // 3, " ".join(r.choice(vocab) for _ in range(r.randrange(1, 12)))) for i in range(60)] + [(60, 20, ""), (61, 20, None)]
+    queries = [(i, " ".join(r.choice([*vocab, "none"]) for _ in range(4))) for i in range(7)] + [(7, ""), (8, None)]
+    split = lambda t: [w.lower() for w in (t or "").split()]
+    df = {w: sum(w in split(t) for _, _, t in chunks) for w in map(str.lower, vocab)}
+    texts = [t for _, _, t in chunks if t is not None]
+    setting = {"reference": (len({d for _, d, _ in chunks}), sum(map(len, texts)) / len(texts)), "standard": (len(chunks), sum(len(split(t)) for _, _, t in chunks) / len(chunks))}
+    want = set()
+    for mode, (n, average) in setting.items():
+        for q, asked in queries:
+            found = []
+            for c, _, t in chunks:
+                words = split(t)
+                shared = [w for w in split(asked) if w in words]
+                if shared:
+                    value = sum(math.log((n - df[w] + 0.5) / (df[w] + 0.5) + 1) * words.count(w) * 2.5 / (words.count(w) + 1.5 * (0.25 + 0.75 * len(words) / average)) for w in shared)
+                    found.append((-round(value, 9), c, value))
+            want |= {(mode, q, c, n + 1, round(v, 6)) for n, (_, c, v) in enumerate(sorted(found)[:5])}
+    frames = spark.createDataFrame(queries, "query_id long, text string"), spark.createDataFrame(chunks, "chunk_id long, doc_id long, text string")
+    for blocks in ((1024, 32768), (2, 7)):
+        monkeypatch.setattr(retrieval.meet, "__defaults__", (*blocks, None))
+        got = retrieval.bm25_topk(*frames, 5).collect()
+        assert {(x["mode"], x.query_id, x.chunk_id, x["rank"], round(x.score, 6)) for x in got} == want
+
+
+def test_overlap_topk_against_all_pairs(spark, monkeypatch):
+    r = random.Random(4)
+    docs = [(i, " ".join(r.choice("abcdefgh") for _ in range(r.randrange(0, 6)))) for i in range(40)]
+    queries = [(100 + i, " ".join(r.choice("abcdefghxyz") for _ in range(3))) for i in range(12)] + [(200, "zz"), (201, None)]
+    want = set()
+    for q, asked in queries:
+        order = sorted((-len(set((asked or "").split()) & set(t.split())), c) for c, t in docs)[:4]
+        want |= {(q, c, float(-n), i + 1) for i, (n, c) in enumerate(order)}
+    for blocks in ((1024, 32768), (3, 5)):
+        monkeypatch.setattr(retrieval.meet, "__defaults__", (*blocks, None))
+        got = retrieval.overlap_topk(spark.createDataFrame(queries, "query_id long, text string"), spark.createDataFrame(docs, "chunk_id long, text string"), 4)
+        assert set(rows(got, "query_id", "chunk_id", "score", "rank")) == want
+
+
+def test_example_selection(spark, monkeypatch):
+    r = random.Random(5)
+    bank = [(i, " ".join(r.choice("abcdef") for _ in range(4)), "q", r.choice(("factual", "schema")), r.choice(("cot", "plain"))) for i in range(15)]
+    asked = [(100 + i, " ".join(r.choice("abcdefxy") for _ in range(5)), r.choice(("factual", "schema", "odd")), r.choice(("cot", "plain", "none"))) for i in range(30)] + [(200, None, "schema", "cot")]
+    examples = spark.createDataFrame(bank, "ex_id long, knowledge string, question string, question_type string, strategy string")
+    knowledge = spark.createDataFrame(asked, "source_id long, content string, question_type string, strategy string")
+    want, pools = set(), {}
+    for s, content, kind, strategy in asked:
+        exact = [e for e in bank if e[3] == kind and e[4] == strategy]
+        pools[s] = exact or [e for e in bank if e[3] == kind]
+        words = set((content or "").split())
+        sims = sorted((-round(len(words & set(e[1].split())) / max(len(words | set(e[1].split())), 1), 9), e[0]) for e in pools[s])
+        want |= {(s, e, n + 1) for n, (_, e) in enumerate(sims[:3])}
+    for blocks in ((1024, 32768), (4, 3)):
+        monkeypatch.setattr(retrieval.meet, "__defaults__", (*blocks, None))
+        assert set(rows(prompts.select_similar(knowledge, examples, 3), "source_id", "ex_id", "rank")) == want
+    chosen = prompts.select_random(knowledge, examples, 3, seed=1).collect()
+    for s, pool in pools.items():
+        own = [x.ex_id for x in chosen if x.source_id == s]
+        assert len(own) == len(set(own)) == min(3, len(pool)) and set(own) <= {e[0] for e in pool}
+    assert {tuple(x) for x in chosen} != {tuple(x) for x in prompts.select_random(knowledge, examples, 3, seed=2).collect()}
+
+
+def test_entities_inside_words(spark):
+    nodes = spark.createDataFrame([("a", "Art"), ("b", "new york"), ("c", "y"), ("d", "")], "id string, label string")
+    queries = spark.createDataFrame([(1, "A party in NEW YORK"), (2, "nothing"), (3, None)], "query_id long, text string")
+    assert rows(graph.link_entities(queries, nodes), "query_id", "id", "place") == [(1, "a", 4), (1, "b", 12), (1, "c", 7)]
+
+
+def test_last_label_stays(spark):
+    triples = spark.createDataFrame([("Bob", "knows", "ann", 1), ("ANN", "knows", "bob", 2), ("BOB", "is", "Bob", 3)], "subject string, predicate string, object string, pos int")
+    assert rows(graph.graph_from_triples(triples)[0], "id", "label") == [("ann", "ANN"), ("bob", "Bob")]
+
+
+def test_multi_round(spark):
+    """A query finds one chunk a round until it has three; then it drafts, reflects and answers."""
+    queries = spark.createDataFrame([("many", "x"), ("few", "x")], "query_id string, text string")
+
+    def search(asked, number):
+        return asked.select("query_id", F.when(F.col("query_id") == "many", number * 10).otherwise(1).cast("long").alias("chunk_id"), F.lit(1).alias("rank"))
+
+    state, found = adversarial.multi_round(queries, search)
+    assert rows(found, "query_id", "chunk_id") == [("few", 1), ("many", 10), ("many", 20), ("many", 30)]
+    got = {r.query_id: (r.n, round(r.confidence, 2)) for r in state.collect()}
+    assert got["many"][0] == 3 and got["few"][0] == 1 and got["many"][1] >= got["few"][1] > 0
+
+
+def test_failed_stage_does_not_stop_the_rest(spark, tmp_path):
+    def broken():
+        raise KeyError("no such metric")
+
+    told = experiments.evaluate(spark, {"one": lambda: spark.range(3), "planned": broken, "run": lambda: spark.range(2).select(F.raise_error(F.lit("x"))), "last": lambda: spark.range(1)}, str(tmp_path))
+    got = {r.stage: (r.n, r.error) for r in told.collect()}
+    assert got["one"] == (3, None) and got["last"] == (1, None) and got["planned"] == (None, "KeyError") and got["run"][0] is None and got["run"][1]
+    assert spark.read.parquet(str(tmp_path / "one")).count() == 3
+
+
+def test_answer_overlap(spark):
+    preds = spark.createDataFrame([(1, "the cat sat on the mat"), (2, "a b"), (3, None)], "id long, text string")
+    refs = spark.createDataFrame([(1, 0, "the cat sat on the mat"), (2, 0, " "), (3, 0, "x")], "id long, ref int, text string")
+    got = {r.id: (round(r.bleu, 6), round(r.rouge_l, 6), r.n_words) for r in text_metrics.answer_overlap(preds, refs).collect()}
+    assert got == {1: (1.0, 1.0, 6), 2: (0.0, 0.0, 2), 3: (0.0, 0.0, 0)}
+
+
+def test_running_numbers(spark, tmp_path):
+    (tmp_path / "q.json").write_text(json.dumps([{"question": "a"}, {"_id": "own", "question": "b", "level": "hard"}, {"question": "c"}]))
+    assert rows(files.read_hotpot(spark, str(tmp_path / "q.json")), "question_id", "question", "difficulty") == [("own", "b", "hard"), ("q_0", "a", "medium"), ("q_2", "c", "medium")]
+    (tmp_path / "r.txt").write_text('{"reference": "x"}\n"y"\nz\n')
+    assert rows(files.read_references(spark, str(tmp_path / "r.txt")), "pos", "reference") == [(1, "x"), (2, "y"), (3, "z")]
