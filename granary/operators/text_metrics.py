@@ -40,8 +40,12 @@ def metric_tokens(df: DataFrame) -> DataFrame:
 
 
 def _grams(list_: str, n: int) -> Column:
-    made = F.transform(F.sequence(F.lit(1), F.size(list_) - (n - 1)), lambda i: F.array_join(F.slice(list_, i, F.lit(n)), " "))
-    return F.when(F.size(list_) >= n, made).otherwise(F.array().cast("array<string>"))
+    """n-grams of a word list: the list zipped with itself, moved by one word each time."""
+    many = F.greatest(F.size(list_) - (n - 1), F.lit(0))
+    made = F.slice(list_, F.lit(1), many)
+    for i in range(1, n):
+        made = F.zip_with(made, F.slice(list_, F.lit(i + 1), many), lambda a, b: F.concat_ws(" ", a, b))
+    return made
 
 
 def ngrams(df: DataFrame, n: int) -> DataFrame:
