@@ -306,11 +306,12 @@ def _heavy_links(edges: DataFrame, texts: DataFrame, k: int, scratch: Scratch) -
     maybe = connected_components(edges, scratch).select(F.col("node").alias("doc_id"), F.col("component").alias("comp"))
     sets = texts.join(maybe, "doc_id").select("comp", F.col("doc_id").alias("node"), "text").mapInArrow(_arrays(k), "comp long, node long, elements array<bigint>")
     sets = scratch.save(sets)
-    # One comparison with the component's smallest member for each set.
+    # One comparison with the component's smallest member for each set. Repeated links do no harm, and an
+    # aggregate by component would keep the join from being split where a component is large.
     root = sets.where("node = comp").select("comp", F.col("elements").alias("root"))
     overlap = F.size(F.array_intersect("elements", "root"))
     near = overlap * 100 >= (F.size("elements") + F.size("root") - overlap) * 90
-    star = scratch.save(sets.where("node <> comp").join(root, "comp").where(near).select(F.col("node").alias("a"), F.col("comp").alias("b")).distinct())
+    star = scratch.save(sets.where("node <> comp").join(root, "comp").where(near).select(F.col("node").alias("a"), F.col("comp").alias("b")))
     # A list is settled if all its members are joined to the root; the others' members are compared with each other.
     settled = star.select("a").union(maybe.where("doc_id = comp").select("doc_id"))
     loose = edges.select(F.explode(F.array("a", "b")).alias("a"), F.col("b").alias("hub")).distinct().join(settled, "a", "left_anti").select(F.col("hub").alias("b")).distinct()
