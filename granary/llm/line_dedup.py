@@ -189,11 +189,12 @@ def repeated_passages(docs: DataFrame, scratch: Scratch) -> DataFrame:
     # Equal bytes, not just equal hashes, make a group; its first occurrence stays. Where all chunks of a hash
     # have the same bytes, the hash stands for them from here on.
     place = F.min(F.struct("doc_id", "row_key", "no", "before", "after")).alias("first")
-    by_hash = spelled.groupBy("h").agg(F.count("*").alias("times"), F.min("chunk").alias("low"), F.max("chunk").alias("high"), place)
-    by_hash = scratch.save(by_hash.where("times > 1").select("h", (F.col("low") == F.col("high")).alias("same"), "first"))
-    copies = spelled.drop("chunk").join(by_hash.where("same").select("h", "first").hint("merge"), "h")
-    mixed = by_hash.where("NOT same").select("h")
-    if not mixed.isEmpty():
+    by_hash = scratch.save(spelled.groupBy("h", "chunk").agg(F.count("*").alias("times"), place).drop("chunk"))
+    mixed = by_hash.groupBy("h").agg(F.count("*").alias("variants")).where("variants > 1").select("h")
+    firsts = by_hash.where("times > 1").select("h", "first")
+    exact = mixed.isEmpty()
+    copies = spelled.drop("chunk").join((firsts if exact else firsts.join(mixed.hint("merge"), "h", "left_anti")).hint("merge"), "h")
+    if not exact:
         doubtful = spelled.join(mixed.hint("merge"), "h")
         by_bytes = doubtful.groupBy("h", "chunk").agg(F.count("*").alias("times"), place).where("times > 1")
         copies = copies.unionByName(doubtful.join(by_bytes.drop("times").hint("merge"), ["h", "chunk"]).drop("chunk"))
