@@ -64,8 +64,7 @@ def line_chunks(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     end = np.empty(len(start), np.int64)
     end[:-1] = start[1:] - 1
     end[last] = offsets[1:]
-    # line hashes and word counts
-    h = bt.span_hash(data, start, end)
+    # word counts, and hashes of lines and of what separates those with words
     filled = end > start
     is_word = bt.NONSPACE[data]
     opens = np.zeros(n + 1, np.int64)
@@ -76,12 +75,15 @@ def line_chunks(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     words = opens[end] - opens[start]
     words += (filled & (start > 0) & is_word[np.minimum(start, max(n - 1, 0))] & is_word[np.maximum(start, 1) - 1]) if n else 0
     full = np.flatnonzero(words > 0)
+    within = doc[full[1:]] == doc[full[:-1]]
+    h = bt.span_hash(data, np.concatenate([start, np.where(within, end[full[:-1]], 0)]), np.concatenate([end, np.where(within, start[full[1:]], 0)]))
+    h, gap = h[: len(start)], h[len(start) :]
     alone = np.flatnonzero(words >= LONG_WORDS)
     n_windows = max(len(full) - ROLL + 1, 0)
     with np.errstate(over="ignore"):
         rolled = h[full[:n_windows]]
         for i in range(1, ROLL):
-            rolled = bt.mix(rolled * _U(0x9E3779B97F4A7C15) + h[full[i : i + n_windows]])
+            rolled = bt.mix(bt.mix(rolled * _U(0x9E3779B97F4A7C15) + gap[i - 1 : i - 1 + n_windows]) + h[full[i : i + n_windows]])
     head, tail = full[:n_windows], full[ROLL - 1 :][:n_windows]
     inside = doc[head] == doc[tail]
     head, tail = np.concatenate([head[inside], alone]), np.concatenate([tail[inside], alone])
