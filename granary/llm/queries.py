@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from .chat import READ_BACK, format_conversations, linear_messages, read_back
 from .decontaminate import contamination
 from .exact_dedup import exact_dedup
+from .fill_middle import fill_in_middle, restore_middle
 from .html_text import extract_main_text
 from .jaccard_join import ngram_jaccard_components
 from .line_dedup import dedup_lines
 from .mixing import mix_sources
 from .secret_scan import BASE, RULES, secret_spans
+from .substring_dedup import dedup_substrings
 from .toxicity import toxicity
 from .url_filter import FANOUT, FANOUT_SHARE, NAMED, PRIOR, PRIOR_WEIGHT, REJECT, SIMILAR_Z, UNLABELLED, filter_urls
 
@@ -81,6 +83,19 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    restored = made.withColumn("restored", restore_middle("fim_text", "form"))
+    return restored.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("fim_text", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256")
+    )
+
+
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = dedup_substrings(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_chat_format": op2_chat_format,
@@ -92,6 +107,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_text": op8_html_text,
     "op9_line_dedup": op9_line_dedup,
     "op10_toxicity": op10_toxicity,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_substring_dedup": op13_substring_dedup,
 }
 
 _ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -270,4 +287,31 @@ ORACLE: dict[str, str] = {
         FROM documents d LEFT JOIN n USING (doc_id)
         JOIN (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id) c USING (doc_id)
     """,
+    "op12_fill_in_middle": r"""
+        WITH t AS (
+            SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS tokens, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS digest FROM documents
+        ), h AS (
+            SELECT *, len(tokens) AS n, CAST('0x' || substr(digest, 1, 8) AS BIGINT) % (len(tokens) + 1) AS c1, CAST('0x' || substr(digest, 9, 8) AS BIGINT) % (len(tokens) + 1) AS c2,
+                   CAST('0x' || substr(digest, 17, 8) AS BIGINT) % 100 AS h3, CAST('0x' || substr(digest, 25, 8) AS BIGINT) % 100 AS h4 FROM t
+        ), p AS (
+            SELECT doc_id, text, n, CASE WHEN text = '' OR regexp_matches(text, '<[PSM]>') OR h3 >= 50 THEN 'plain' WHEN h4 < 80 THEN 'spm' ELSE 'psm' END AS form,
+                   array_to_string(tokens[1:least(c1, c2)], '') AS prefix, array_to_string(tokens[least(c1, c2) + 1:greatest(c1, c2)], '') AS middle, array_to_string(tokens[greatest(c1, c2) + 1:], '') AS suffix FROM h
+        )
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256
+        FROM p
+    """,
+    "op13_substring_dedup": r"""
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+        ), w AS (
+            SELECT doc_id, k, sha256(array_to_string(ws[k:k + 49], ' ')) AS g FROM d, unnest(range(1, len(ws) - 48)) AS t(k)
+        ), gone AS (
+            SELECT DISTINCT doc_id, i FROM (SELECT doc_id, k FROM w JOIN (SELECT g, min(doc_id) AS lowest FROM w GROUP BY g) USING (g) WHERE lowest < doc_id), unnest(range(k, k + 50)) AS t(i)
+        ), kept AS (
+            SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept, count(*) AS n
+            FROM (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM d) ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
+        )
+        SELECT doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+    """,
 }
