@@ -54,7 +54,7 @@ def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values, at = q.flatten().to_numpy(zero_copy_only=False).astype(np.float64), _places(q)
         c = np.concatenate([[-1], np.arange(at.max() + 1 if len(at) else 0)])
         yield pa.RecordBatch.from_arrays(
-            [pa.array(c), *(pa.array(np.concatenate([[len(batch)], np.bincount(at, w, len(c) - 1)])) for w in (values, values * values))], ["c", "total", "squares"]
+            [pa.array(c), *(pa.array(np.concatenate([[float(len(batch))], np.bincount(at, w, len(c) - 1)])) for w in (values, values * values))], ["c", "total", "squares"]
         )
 
 
