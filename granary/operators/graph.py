@@ -6,13 +6,20 @@ over frontiers, at most the depth asked for; each round's frontier is saved.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from granary.functions import automaton
 from granary.sources.scratch import saved
 
+from .retrieval import meet
 from .text import sentence_table, strip
 
+#: Text and labels that meet in one group.
+TEXT_BYTES, LABEL_BYTES = 1 << 24, 1 << 16
+
 # Relation patterns of the rule-based extractor, in the order they are tried.
 RELATIONS = (
     (r"([A-Z][a-zA-Z\s]+)\s+is\s+(?:the\s+)?([a-z]+)\s+of\s+([A-Z][a-zA-Z\s]+)", "{1}_of"),
@@ -161,18 +168,37 @@ def to_triples(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("subject"), F.col("relation").alias("predicate"), F.col("dst").alias("object"))
 
 
-def link_entities(queries: DataFrame, nodes: DataFrame) -> DataFrame:
+def link_entities(queries: DataFrame, nodes: DataFrame, text_bytes: int = TEXT_BYTES, label_bytes: int = LABEL_BYTES) -> DataFrame:
     """(query_id, id, place, label): nodes whose label occurs in the query, without case, and where first.
 
-    Queries and labels meet on the whole label: a query offers its substrings of the lengths that labels
-    have, so candidates are as many as links. Empty labels link with nothing.
+    Labels are dealt into shards of about ``label_bytes``, texts into blocks of about ``text_bytes``. Where a shard
+    and a block meet, the shard becomes an automaton that is run once over all texts of the block, so the work is
+    the length of the texts, once a shard, and what is found. Empty labels link with nothing.
     """
-    keyed = nodes.select("id", F.lower("label").alias("low"), "label").where("low <> ''")
-    lengths = [r[0] for r in keyed.select(F.length("low")).distinct().collect()]  # small integers
-    asked = queries.select("query_id", F.lower("text").alias("text")).where("text <> ''").withColumn("size", F.explode(F.array(*map(F.lit, lengths)).cast("array<int>")))
-    offered = asked.where(F.length("text") >= F.col("size")).withColumn("place", F.explode(F.sequence(F.lit(1), F.length("text") - F.col("size") + 1)))
-    offered = offered.select("query_id", "place", F.expr("substring(text, place, size)").alias("low"))
-    return offered.join(keyed, "low").groupBy("query_id", "id", "label").agg(F.min("place").alias("place")).select("query_id", "id", "place", "label")
+    kinds = {c: f.schema[c].dataType.simpleString() for c, f in (("query_id", queries), ("id", nodes))}
+    keyed = nodes.select("id", "label", F.lower("label").alias("low")).where("low <> ''")
+    asked = queries.select("query_id", F.lower("text").alias("text")).where("text <> ''")
+
+    def scan(texts: pa.Table, labels: pa.Table) -> pa.Table:
+        rows_of: dict[str, list[int]] = {}
+        for i, low in enumerate(labels.column("low").to_pylist()):
+            rows_of.setdefault(low, []).append(i)
+        owned = np.array([len(r) for r in rows_of.values()], np.int64)
+        order, first = np.array([i for r in rows_of.values() for i in r], np.int64), np.cumsum(owned) - owned
+        data, offsets = automaton.text_bytes(texts.column("text")) if len(texts) else (np.zeros(0, np.uint8), np.zeros(1, np.int64))
+        text, pattern, place = automaton.Automaton([p.encode() for p in rows_of]).places(data, offsets)
+        points = np.zeros(len(data) + 1, np.int64)
+        np.cumsum((data & 0xC0) != 0x80, out=points[1:])
+        place = points[place] - points[offsets[text]] + 1
+        # Nodes that share a label all link.
+        times = owned[pattern]
+        row = np.repeat(np.arange(len(text)), times)
+        step = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+        node = pa.array(order[first[pattern[row]] + step])
+        return pa.table({"query_id": texts.column("query_id").take(pa.array(text[row])), "id": labels.column("id").take(node), "place": place[row].astype(np.int32), "label": labels.column("label").take(node)})
+
+    found = meet(asked, keyed, "query_id", "id", scan, f"query_id {kinds['query_id']}, id {kinds['id']}, place int, label string", text_bytes, label_bytes, q_weight=F.octet_length("text"), i_weight=F.octet_length("low"))
+    return found.groupBy("query_id", "id", "label").agg(F.min("place").alias("place")).select("query_id", "id", "place", "label")
 
 
 def _as_chunks(found: DataFrame, nodes: DataFrame, chunk_map: DataFrame | None, prefix: str, k: int, *order: str) -> DataFrame:

@@ -49,13 +49,15 @@ def append_index(index: DataFrame, new: DataFrame, dim: int) -> DataFrame:
     return index.unionByName(checked)
 
 
-def meet(queries: DataFrame, index: DataFrame, q_id: str, i_id: str, kernel, schema: str, q_block: int = QUERY_BLOCK, i_block: int = INDEX_BLOCK, pool: str | None = None) -> DataFrame:
+def meet(queries: DataFrame, index: DataFrame, q_id: str, i_id: str, kernel, schema: str, q_block: int = QUERY_BLOCK, i_block: int = INDEX_BLOCK, pool: str | None = None, q_weight: Column | None = None, i_weight: Column | None = None) -> DataFrame:
     """``kernel(query rows, index rows)`` for every pair of blocks, of the same ``pool`` if one is named. Each side
-    is dealt by a hash of its id and sent once for each block of the other; no side passes the driver."""
+    is dealt by a hash of its id and sent once for each block of the other; no side passes the driver. Blocks
+    hold so many rows, or so much of a weight."""
     per = [pool] if pool else []
 
-    def blocks(df: DataFrame, size: int) -> DataFrame:
-        return df.groupBy(*per).agg(F.ceil(F.count("*") / size).cast("int").alias("n_blocks"))
+    def blocks(df: DataFrame, size: int, weight: Column | None) -> DataFrame:
+        total = F.count("*") if weight is None else F.coalesce(F.sum(weight), F.lit(0))
+        return df.groupBy(*per).agg(F.ceil(total / size).cast("int").alias("n_blocks"))
 
     def dealt(df: DataFrame, own: DataFrame, other: DataFrame, id_: str, names: tuple[str, str]) -> DataFrame:
         both = own.withColumnRenamed("n_blocks", "own_blocks").join(other.withColumnRenamed("n_blocks", "other_blocks"), per) if pool else own.withColumnRenamed("n_blocks", "own_blocks").crossJoin(other.withColumnRenamed("n_blocks", "other_blocks"))
@@ -63,7 +65,7 @@ def meet(queries: DataFrame, index: DataFrame, q_id: str, i_id: str, kernel, sch
         out = df.join(both, per) if pool else df.crossJoin(F.broadcast(both))
         return out.withColumn(names[0], F.expr(f"pmod(xxhash64({id_}), own_blocks)").cast("int")).withColumn(names[1], F.explode(F.sequence(F.lit(0), F.col("other_blocks") - 1))).drop("own_blocks", "other_blocks")
 
-    nq, ni = blocks(queries, q_block), blocks(index, i_block)
+    nq, ni = blocks(queries, q_block, q_weight), blocks(index, i_block, i_weight)
     q, i = dealt(queries, nq, ni, q_id, ("qb", "ib")), dealt(index, ni, nq, i_id, ("ib", "qb"))
     q, i = (df.toDF(*df.columns) for df in (q, i))  # new attributes, should both come from one frame
     keys = [*per, "qb", "ib"]
