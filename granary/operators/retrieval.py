@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from granary.sources.scratch import saved
 
+from . import block_max
 from .text import strip
 
 #: Queries and index rows that one task multiplies; every block of queries meets every block of the index.
@@ -49,7 +50,7 @@ def append_index(index: DataFrame, new: DataFrame, dim: int) -> DataFrame:
     return index.unionByName(checked)
 
 
-def meet(queries: DataFrame, index: DataFrame, q_id: str, i_id: str, kernel, schema: str, q_block: int = QUERY_BLOCK, i_block: int = INDEX_BLOCK, pool: str | None = None, q_weight: Column | None = None, i_weight: Column | None = None) -> DataFrame:
+def meet(queries: DataFrame, index: DataFrame, q_id: str, i_id: str, kernel, schema: str, q_block: int = QUERY_BLOCK, i_block: int = INDEX_BLOCK, pool: str | None = None, *, q_weight: Column | None = None, i_weight: Column | None = None) -> DataFrame:
     """``kernel(query rows, index rows)`` for every pair of blocks, of the same ``pool`` if one is named. Each side
     is dealt by a hash of its id and sent once for each block of the other; no side passes the driver. Blocks
     hold so many rows, or so much of a weight."""
@@ -161,10 +162,15 @@ def build_postings(chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return postings, df, stats
 
 
-def _weights(queries: DataFrame, df: DataFrame, stats: DataFrame) -> DataFrame:
+def hashed(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def _weights(queries: DataFrame, df: DataFrame, stats: DataFrame, words: Column | None = None) -> DataFrame:
     """(query_id, token, times, idf_reference, idf_standard): ``reference`` counts documents as the original
     does, ``standard`` chunks."""
-    asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times"))
+    words = tokens(F.col("text")) if words is None else words
+    asked = queries.select("query_id", F.explode(words).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times"))
     idf = {m: F.ln((F.col(n) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1) for m, n in (("reference", "n_docs"), ("standard", "n_chunks"))}
     return asked.join(df, "token").crossJoin(F.broadcast(stats)).select("query_id", "token", "times", *(c.alias(f"idf_{m}") for m, c in idf.items()))  # stats is one row
 
@@ -187,37 +193,77 @@ def bm25(queries: DataFrame, postings: DataFrame, df: DataFrame, stats: DataFram
     return met.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
 
 
+def _term_norm(mode: str, k1: float, b: float) -> Column:
+    """What a chunk's length adds to the count of a token."""
+    return k1 * (1 - b + b * F.col("dl") / F.col(_AVERAGE[mode]))
+
+
+class Bm25Index:
+    """Chunks (chunk_id, doc_id, text) as lists of token hashes, saved, with document frequencies and averages."""
+
+    def __init__(self, chunks: DataFrame, k1: float = 1.5, b: float = 0.75):
+        self.k1, self.b = k1, b
+        listed = chunks.select("chunk_id", "doc_id", F.length("text").alias("n_chars"), hashed(tokens(F.col("text"))).alias("t"))
+        self.listed = saved(listed.withColumn("dl", F.size("t")), "tokens")
+        self.df = self.listed.select(F.explode(F.array_distinct("t")).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+        self.stats = saved(self.listed.agg(
+            F.countDistinct("doc_id").alias("n_docs"), F.count("*").alias("n_chunks"), F.avg("n_chars").alias("avg_chars"), F.avg("dl").alias("avg_tokens")
+        ), "stats")
+
+    def weights(self, queries: DataFrame) -> DataFrame:
+        return _weights(queries, self.df, self.stats, hashed(tokens(F.col("text"))))
+
+    def topk(self, queries: DataFrame, k: int, modes: tuple[str, ...] = ("reference", "standard")) -> DataFrame:
+        """(mode, query_id, chunk_id, score, rank). Blocks of queries meet shards of chunks; a shard scores only what its
+        block maxima let into a query's k best, and no pair of a query and a chunk is shuffled but these."""
+        weight = {m: F.col(f"idf_{m}") * F.col("times") * (self.k1 + 1) for m in modes}
+        asked = self.weights(queries).groupBy("query_id").agg(F.collect_list(F.struct(F.col("token").alias("w"), *(c.alias(m) for m, c in weight.items()))).alias("x"))
+        asked = asked.select("query_id", F.col("x.w").alias("t"), *(F.col(f"x.{m}") for m in modes))
+        index = self.listed.crossJoin(F.broadcast(self.stats.drop("n_docs"))).select("chunk_id", "t", *(_term_norm(m, self.k1, self.b).alias(m) for m in modes))  # stats is one row
+        kinds = {c: f.schema[c].dataType.simpleString() for c, f in (("query_id", queries), ("chunk_id", self.listed))}
+
+        def score(q: pa.Table, x: pa.Table) -> pa.Table:
+            found = _matches(q, x, k, {m: (np.asarray(x.column(m)), np.asarray(q.column(m).combine_chunks().flatten())) for m in modes})
+            return pa.concat_tables([t.append_column("mode", pa.array([m] * len(t), pa.string())) for m, (t, _, _) in found.items()])
+
+        found = meet(asked, index, "query_id", "chunk_id", score, f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, score double, mode string")
+        order = Window.partitionBy("mode", "query_id").orderBy(F.round("score", 9).desc(), "chunk_id")
+        return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("mode", "query_id", "chunk_id", "score", "rank")
+
+    def scores(self, queries: DataFrame, pairs: DataFrame, mode: str = "reference") -> DataFrame:
+        """(query_id, chunk_id, score) of the given ``pairs`` that share a token."""
+        wanted = self.listed.join(pairs.select("chunk_id").distinct(), "chunk_id", "left_semi")
+        counts = wanted.select("chunk_id", "dl", F.explode("t").alias("token")).groupBy("chunk_id", "dl", "token").agg(F.count("*").alias("tf"))
+        met = pairs.select("query_id", "chunk_id").join(self.weights(queries), "query_id").join(counts, ["chunk_id", "token"]).crossJoin(F.broadcast(self.stats.select(_AVERAGE[mode])))  # one row
+        part = F.col(f"idf_{mode}") * F.col("times") * F.col("tf") * (self.k1 + 1) / (F.col("tf") + _term_norm(mode, self.k1, self.b))
+        return met.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
+
+
+def _matches(q: pa.Table, x: pa.Table, k: int, settings: dict[str, tuple[np.ndarray, np.ndarray]]) -> dict[str, tuple[pa.Table, int, int]]:
+    """For each setting (norms of the chunks, weights of the query words): the k best chunks of each query, postings scored, of how many."""
+    lists, asked = x.column("t").combine_chunks(), q.column("t").combine_chunks()
+    shard = block_max.Shard(np.asarray(lists.flatten()), np.asarray(lists.value_lengths()))
+    word, owner = np.asarray(asked.flatten()), np.repeat(np.arange(len(q)), np.asarray(asked.value_lengths()))
+    out = {}
+    for name, (norm, weight) in settings.items():
+        row, text, score, scored, of = shard.top(norm, owner, word, weight, len(q), k)
+        out[name] = pa.table({"query_id": q.column("query_id").take(pa.array(row)), "chunk_id": x.column("chunk_id").take(pa.array(text)), "score": score}), scored, of
+    return out
+
+
 def bm25_topk(queries: DataFrame, chunks: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, modes: tuple[str, ...] = ("reference", "standard")) -> DataFrame:
-    """(mode, query_id, chunk_id, score, rank): the k best chunks (chunk_id, doc_id, text) of each query by BM25, in
-    each mode over one pass. Document frequencies are combined counts; scores are summed where blocks of
-    queries and chunks meet, so no pair of a query and a chunk is shuffled but the k best of a block."""
-    listed = chunks.select("chunk_id", "doc_id", F.length("text").alias("n_chars"), tokens(F.col("text")).alias("t"))
-    listed = saved(listed.select("chunk_id", "doc_id", "n_chars", F.size("t").alias("dl"), "t"), "tokens")
-    df = listed.select(F.explode(F.array_distinct("t")).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
-    stats = listed.agg(F.countDistinct("doc_id").alias("n_docs"), F.count("*").alias("n_chunks"), F.avg("n_chars").alias("avg_chars"), F.avg("dl").alias("avg_tokens"))
-    stats = saved(stats, "stats")
-    asked = _weights(queries, df, stats).withColumn("w", F.xxhash64("token")).groupBy("query_id").agg(
-        F.collect_list(F.struct("w", *((F.col(f"idf_{m}") * F.col("times") * (k1 + 1)).alias(m) for m in modes))).alias("x")
-    ).select("query_id", F.col("x.w").alias("t"), *(F.col(f"x.{m}") for m in modes))
-    norms = [(k1 * (1 - b + b * F.col("dl") / F.col(_AVERAGE[m]))).alias(m) for m in modes]
-    index = listed.crossJoin(F.broadcast(stats.drop("n_docs"))).select("chunk_id", F.transform("t", lambda t: F.xxhash64(t)).alias("t"), *norms)
-
-    def score(q: pa.Table, x: pa.Table) -> pa.Table:
-        ids, chunk, out = q.column("query_id"), x.column("chunk_id"), []
-        weight = {m: np.asarray(q.column(m).combine_chunks().flatten()) for m in modes}
-        for lo, cell, row, tf, c, shape in shared_words(q, x):
-            valid = np.bincount(cell, minlength=shape.prod()).reshape(shape) > 0
-            for m in modes:
-                norm = x.column(m).to_numpy()[lo : lo + SCORED]
-                value = np.bincount(cell, weight[m][row] * tf / (tf + norm[c]), shape.prod()).reshape(shape)
-                r, col = best(value, valid, k)
-                out.append(pa.table({"mode": pa.array([m] * len(r), pa.string()), "query_id": ids.take(pa.array(r)), "chunk_id": chunk.take(pa.array(lo + col)), "score": value[r, col]}))
-        return pa.concat_tables(out) if out else pa.table({"mode": pa.array([], pa.string()), "query_id": ids.slice(0, 0), "chunk_id": chunk.slice(0, 0), "score": pa.array([], pa.float64())})
-
-    kinds = {c: f.schema[c].dataType.simpleString() for c, f in (("query_id", queries), ("chunk_id", chunks))}
-    found = meet(asked, index, "query_id", "chunk_id", score, f"mode string, query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, score double")
-    order = Window.partitionBy("mode", "query_id").orderBy(F.round("score", 9).desc(), "chunk_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    """(mode, query_id, chunk_id, score, rank): the k best chunks (chunk_id, doc_id, text) of each query by BM25, in each mode."""
+    return Bm25Index(chunks, k1, b).topk(queries, k, modes)
+
+
+def bm25_hybrid_topk(queries: DataFrame, chunks: DataFrame, dense: DataFrame, k: int, w_dense: float = 0.7, w_sparse: float = 0.3, mode: str = "reference") -> DataFrame:
+    """The best 2k dense candidates fused with BM25 scores. A chunk that is no candidate can only be among the k best if it
+    is among the 3k best by BM25 (k, and as many as there are candidates); candidates are scored pair by pair."""
+    candidates = saved(dense.where(F.col("rank") <= 2 * k).select("query_id", "chunk_id", "score", "rank"), "candidates")
+    index = Bm25Index(chunks)
+    top = index.topk(queries, 3 * k, (mode,)).select("query_id", "chunk_id", "score")
+    own = index.scores(queries, candidates, mode)
+    return hybrid_topk(candidates, own.unionByName(top.join(candidates, ["query_id", "chunk_id"], "left_anti")), k, w_dense, w_sparse)
 
 
 def fuse(first: DataFrame, second: DataFrame, k: int | None, w_first: float, w_second: float) -> DataFrame:
@@ -245,15 +291,11 @@ def overlap_topk(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     to the smallest ids with score 0."""
     def distinct_words(df: DataFrame, id_: str) -> DataFrame:
         split = F.array_remove(F.array_distinct(F.split(F.lower(strip(F.coalesce("text", F.lit("")))), r"\s+", -1)), "")
-        return df.select(id_, F.transform(split, lambda w: F.xxhash64(w)).alias("t"))
+        return df.select(id_, hashed(split).alias("t"))
 
     def count(q: pa.Table, x: pa.Table) -> pa.Table:
-        ids, chunk, out = q.column("query_id"), x.column("chunk_id"), []
-        for lo, cell, _, _, _, shape in shared_words(q, x):
-            n = np.bincount(cell, minlength=shape.prod()).reshape(shape)
-            row, col = best(n.astype(np.float64), n > 0, k)
-            out.append(pa.table({"query_id": ids.take(pa.array(row)), "chunk_id": chunk.take(pa.array(lo + col)), "score": n[row, col].astype(np.float64)}))
-        return pa.concat_tables(out) if out else pa.table({"query_id": ids.slice(0, 0), "chunk_id": chunk.slice(0, 0), "score": pa.array([], pa.float64())})
+        ones = np.ones(len(q.column("t").combine_chunks().flatten()))
+        return _matches(q, x, k, {"": (np.zeros(len(x)), ones)})[""][0]
 
     kinds = {c: f.schema[c].dataType.simpleString() for c, f in (("query_id", queries), ("chunk_id", docs))}
     found = meet(distinct_words(queries, "query_id"), distinct_words(docs, "chunk_id"), "query_id", "chunk_id", count, f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, score double")

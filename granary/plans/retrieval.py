@@ -74,8 +74,8 @@ def ret6(spark, sf):
     texts = _items(spark, sf).select((-1 - F.col("query_id")).alias("id"), "text").union(_docs(spark, sf).select("chunk_id", "text"))
     vectors = R.embed(texts)
     dense = R.dense_topk(vectors.where("id < 0").select(F.col("id").alias("query_id"), "embedding"), vectors.where("id >= 0").select(F.col("id").alias("chunk_id"), "embedding"), 2 * K)
-    sparse = R.bm25(_items(spark, sf), *R.build_postings(table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "doc_id", "text")))
-    return R.hybrid_topk(dense.withColumn("query_id", -1 - F.col("query_id")), sparse, K).withColumn("score", F.round("score", 5))
+    chunks = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "doc_id", "text")
+    return R.bm25_hybrid_topk(_items(spark, sf), chunks, dense.withColumn("query_id", -1 - F.col("query_id")), K).withColumn("score", F.round("score", 5))
 
 
 def ret7(spark, sf):
