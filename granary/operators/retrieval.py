@@ -5,6 +5,7 @@ Retrieved frames have (query_id, chunk_id, score, rank); ranks count from 1 and
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,13 +15,15 @@ from pyspark.sql import functions as F
 
 from granary.sources.scratch import saved
 
-from . import block_max
+from . import balls, block_max
 from .text import strip
 
 #: Queries and index rows that one task multiplies; every block of queries meets every block of the index.
 QUERY_BLOCK, INDEX_BLOCK = 1024, 32768
 #: Chunks whose scores against a block of queries are held at once.
 SCORED = 1024
+#: Pivots of a ball partition at most; they are held by the driver and every task.
+MAX_PIVOTS = 1024
 #: Parts that a token's postings are dealt over.
 SALTS = 32
 TOKEN = r"[\p{L}\p{N}_]+"
@@ -82,23 +85,34 @@ def best(score: np.ndarray, valid: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return np.nonzero(valid)
 
 
+def ball_partition(index: DataFrame, max_pivots: int = MAX_PIVOTS, part: int = INDEX_BLOCK) -> DataFrame:
+    """(chunk_id, embedding, cell, part): rows by the nearest of some pivots, about the root of their number and at most
+    ``max_pivots``, drawn by a hash of their ids. A cell of more than ``part`` rows is dealt into parts."""
+    rows = index.select("chunk_id", "embedding")
+    n = rows.count()
+    drawn = rows.orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(min(max_pivots, math.isqrt(n) + 1)).select("embedding").toArrow()
+    if not n:
+        return rows.withColumns({"cell": F.lit(0), "part": F.lit(0)})
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    cells = saved(rows.mapInArrow(balls.nearest(balls.matrix(drawn.column("embedding"))), f"{kinds}, cell int"), "cells")
+    sizes = cells.groupBy("cell").agg(F.ceil(F.count("*") / part).cast("long").alias("parts"))  # a row for each pivot
+    return cells.join(F.broadcast(sizes), "cell").select("chunk_id", "embedding", "cell", F.pmod(F.xxhash64("chunk_id"), "parts").alias("part"))
+
+
 def dense_topk(queries: DataFrame, index: DataFrame, k: int, q_block: int = QUERY_BLOCK, i_block: int = INDEX_BLOCK) -> DataFrame:
-    """The k largest dot products of each query (query_id, embedding) over the index (chunk_id, embedding),
-    the query's own id left out. Blocks of queries meet blocks of the index; each pair keeps its own k best."""
+    """The k largest dot products of each query (query_id, embedding) over the index (chunk_id, embedding), the query's
+    own id left out. Blocks of queries meet blocks of whole cells of a ball partition; each pair of blocks keeps its own
+    k best and skips the cells that cannot hold any."""
 
     def multiply(q: pa.Table, x: pa.Table) -> pa.Table:
         ids, chunk = q.column("query_id").to_numpy(), x.column("chunk_id").to_numpy()
         if not len(ids) or not len(chunk):
             return _SCORED.empty_table()
-        a, b = (np.asarray(t.column("embedding").combine_chunks().flatten(), np.float64).reshape(len(t), -1) for t in (q, x))
-        out = []
-        for lo in range(0, len(chunk), SCORED):
-            scores = a @ b[lo : lo + SCORED].T
-            row, col = best(scores, ids[:, None] != chunk[None, lo : lo + SCORED], k)
-            out.append(pa.table([ids[row], chunk[lo + col], scores[row, col]], schema=_SCORED))
-        return pa.concat_tables(out)
-
-    found = meet(queries.select("query_id", "embedding"), index.select("chunk_id", "embedding"), "query_id", "chunk_id", multiply, "query_id long, chunk_id long, score double", q_block, i_block)
+        row, at, score, _ = balls.top(balls.matrix(q.column("embedding")), ids, balls.matrix(x.column("embedding")), chunk, x.column("cell").to_numpy(), k)
+        return pa.table([ids[row], chunk[at], score], schema=_SCORED)
+
+    cells = ball_partition(index, part=i_block)
+    found = meet(queries.select("query_id", "embedding"), cells, "query_id", "cell, part", multiply, "query_id long, chunk_id long, score double", q_block, i_block)
     return _ranked(found, k)
 
 
