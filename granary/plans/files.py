@@ -39,6 +39,33 @@ def src3(spark, sf):
     return S.read_references(spark, _written(spark, _docs(spark, sf).select(line), "references")).groupBy("reference").agg(F.count("*").alias("n"))
 
 
+def _pretty(spark, listed, name):
+    """Documents (name, items) as JSON arrays over many lines."""
+    value = F.to_json("items", {"pretty": "true"})
+    return _named_files(spark, listed.select("name", value.alias("value")), scratch_path(spark, name))
+
+
+def src1_document(spark, sf):
+    """Files of FILE_ROWS documents each, as arrays over many lines; every seventh entry has no content."""
+    item = F.struct(F.col("doc_id").cast("string").alias("source_id"), F.lit("text").alias("input_type"), F.when(F.col("doc_id") % 7 > 0, F.col("text")).alias("content"))
+    listed = _docs(spark, sf).groupBy(F.concat(F.lit("k"), F.floor(F.col("doc_id") / FILE_ROWS).cast("string")).alias("name")).agg(F.collect_list(item).alias("items"))
+    return S.read_knowledge(spark, _pretty(spark, listed, "knowledge")).select("source_id", F.sha2("content", 256).alias("content_sha256"))
+
+
+def src2_document(spark, sf):
+    """A file for each fifty conversations, of the questions as an array over many lines."""
+    item = F.struct(F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("text").alias("question_text"), F.col("role").alias("question_type"))
+    listed = table(spark, sf, "conversations").where("role = 'user'").groupBy(F.concat(F.lit("c"), F.floor(F.col("conv_id") / 50).cast("string")).alias("name")).agg(F.collect_list(item).alias("items"))
+    return S.read_questions(spark, _pretty(spark, listed, "questions")).select("id", "question_type", F.sha2("question_text", 256).alias("text_sha256"))
+
+
+def src3_quoted(spark, sf):
+    """Whole texts as JSON strings, with their escapes."""
+    line = F.expr("substring(to_json(named_struct('t', text)), 6, length(to_json(named_struct('t', text))) - 6)")
+    read = S.read_references(spark, _written(spark, _docs(spark, sf).where("text IS NOT NULL").select(line), "references"))
+    return read.groupBy(F.sha2("reference", 256).alias("reference_sha256")).agg(F.count("*").alias("n"))
+
+
 def src6(spark, sf):
     line = F.when(F.col("doc_id") % 4 == 0, F.lit("")).when(F.col("doc_id") % 4 == 1, F.concat_ws(" | ", "lang", "source", F.lit("x"))).otherwise(F.col("source"))
     read = S.read_document_lines(spark, _written(spark, _docs(spark, sf).select(line), "lines"))
@@ -125,13 +152,16 @@ def snk3(spark, sf):
 
 
 QUERIES = {
-    "src1_read_knowledge": src1, "src2_read_questions": src2, "src3_read_references": src3, "src4_read_result_dir": src4,
+    "src1_read_knowledge": src1, "src2_read_questions": src2, "src1_read_document": src1_document, "src2_read_document": src2_document, "src3_quoted": src3_quoted, "src3_read_references": src3, "src4_read_result_dir": src4,
     "src5_read_hotpot": src5, "src8_list_experiments": src8, "src6_read_document_lines": src6, "src7_read_examples": src7,
     "snk1_write_json": snk1, "snk2_write_stats_csv": snk2, "snk3_save_tables": snk3,
 }
 ORACLE = {
     "src1_read_knowledge": """SELECT CASE WHEN doc_id % 10 = 0 THEN 'file' ELSE CAST(doc_id AS VARCHAR) END AS source_id, sha256(CASE WHEN doc_id % 10 = 0 THEN 'broken ' || doc_id ELSE text END) AS content_sha256
         FROM documents WHERE doc_id % 10 = 0 OR doc_id % 7 > 0""",
+    "src1_read_document": "SELECT CAST(doc_id AS VARCHAR) AS source_id, sha256(text) AS content_sha256 FROM documents WHERE doc_id % 7 > 0 AND text IS NOT NULL",
+    "src2_read_document": "SELECT conv_id || '-' || turn AS id, role AS question_type, sha256(text) AS text_sha256 FROM conversations WHERE role = 'user' AND text IS NOT NULL",
+    "src3_quoted": "SELECT sha256(text) AS reference_sha256, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1",
     "src2_read_questions": "SELECT conv_id, CASE WHEN conv_id % 2 = 0 THEN count(*) ELSE 1 END AS n FROM conversations WHERE role = 'user' GROUP BY conv_id",
     "src3_read_references": "SELECT CASE doc_id % 3 WHEN 0 THEN lang WHEN 1 THEN source ELSE 'raw ' || source END AS reference, count(*) AS n FROM documents GROUP BY 1",
     "src4_read_result_dir": f"SELECT doc_id, lang, 'run' || (doc_id // {FILE_ROWS}) AS \"group\" FROM documents",

@@ -5,22 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .json_items import file_stem, json_items, numbered
+
 KNOWLEDGE_SCHEMA = "source_id string, input_type string, content string, metadata map<string,string>"
 QUESTION_SCHEMA = "id string, question_text string, question_type string, prompt_strategy string, model_name string, reference string, source_id string"
 STATS_COLUMNS = ("group", "metric_name", "n", "mean", "std", "median", "min", "max", "ci_low", "ci_high", "unit")
 TABLE_KEYS = {"experiments": "experiment_id", "generated_questions": "question_id", "evaluation_results": None, "rag_runs": "run_id"}
 
 
+def _parsed(items: DataFrame, schema: str) -> DataFrame:
+    """``items`` with ``rows``: what an item holds, a line's array in full; null if it is no JSON."""
+    wrapped = F.when(F.col("is_line") & F.startswith("item", F.lit("[")), F.col("item")).otherwise(F.concat(F.lit("["), "item", F.lit("]")))
+    return items.withColumn("rows", F.from_json(wrapped, f"array<struct<{_fields(schema)}>>"))
+
+
 def read_knowledge(spark: SparkSession, path: str, on_bad: str = "drop") -> DataFrame:
-    """JSON lines (or one array per line) with content; a line that is no JSON is dropped, or kept as a
-    text entry named by its file."""
-    lines = spark.read.text(path).where("trim(value) <> ''").select(F.trim("value").alias("line"), F.col("_metadata.file_path").alias("file"))
-    wrapped = F.when(F.startswith("line", F.lit("[")), F.col("line")).otherwise(F.concat(F.lit("["), "line", F.lit("]")))
-    rows = lines.withColumn("items", F.from_json(wrapped, f"array<struct<{_fields(KNOWLEDGE_SCHEMA)}>>"))
-    good = rows.select(F.explode("items").alias("i")).select("i.*").where("content IS NOT NULL")
+    """Entries with content from JSON lines (an object or an array each) or one document over many lines. A line that is no
+    JSON is dropped, or kept as a text entry named by its file; an element of a document that is none is dropped."""
+    rows = _parsed(json_items(spark, path), KNOWLEDGE_SCHEMA)
+    good = rows.select(F.explode("rows").alias("i")).select("i.*").where("content IS NOT NULL")
     if on_bad == "drop":
         return good
-    bad = rows.where("items IS NULL OR exists(items, i -> i IS NULL)").select(F.col("file").alias("source_id"), F.lit("text").alias("input_type"), F.col("line").alias("content"), F.lit(None).cast("map<string,string>").alias("metadata"))
+    bad = rows.where("is_line AND (rows IS NULL OR exists(rows, i -> i IS NULL))").select(F.col("file").alias("source_id"), F.lit("text").alias("input_type"), F.col("item").alias("content"), F.lit(None).cast("map<string,string>").alias("metadata"))
     return good.unionByName(bad)
 
 
@@ -29,10 +35,8 @@ def _fields(schema: str) -> str:
 
 
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
-    """Questions from JSON lines, each an object or an array of objects."""
-    lines = spark.read.text(path).where("trim(value) <> ''").select(F.trim("value").alias("line"))
-    wrapped = F.when(F.startswith("line", F.lit("[")), F.col("line")).otherwise(F.concat(F.lit("["), "line", F.lit("]")))
-    return lines.select(F.inline(F.from_json(wrapped, f"array<struct<{_fields(QUESTION_SCHEMA)}>>"))).where("question_text IS NOT NULL")
+    """Questions from JSON lines, each an object or an array of objects, or from one document over many lines."""
+    return _parsed(json_items(spark, path), QUESTION_SCHEMA).select(F.inline("rows")).where("question_text IS NOT NULL")
 
 
 def _numbered(lines: DataFrame, name: str) -> DataFrame:
@@ -48,20 +52,21 @@ def read_references(spark: SparkSession, path: str) -> DataFrame:
     """(pos, reference): the reference field, a JSON string, other JSON as text, or the raw line; pos is the
     line number from 1, running on from file to file in reading order."""
     lines = _numbered(spark.read.text(path), "pos")
-    quoted = F.when(F.col("value").rlike(r'^\s*".*"\s*$'), F.regexp_extract("value", r'^\s*"(.*)"\s*$', 1))
+    quoted = F.when(F.col("value").rlike(r'^\s*".*"\s*$'), F.from_json(F.concat(F.lit("["), "value", F.lit("]")), "array<string>")[0])
     return lines.select("pos", F.coalesce(F.get_json_object("value", "$.reference"), quoted, F.col("value")).alias("reference"))
 
 
 def read_result_dir(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of all JSON files of a folder with ``group``: the file stem without _results or _eval."""
-    df = spark.read.schema(schema).json(f"{path}/*.json", multiLine=True)
-    return df.withColumn("group", F.regexp_replace("_metadata.file_name", r"(_results|_eval)?\.json$", ""))
+    rows = _parsed(json_items(spark, f"{path}/*.json"), schema)
+    return rows.select(file_stem(ending=r"(_results|_eval)?\.json$").alias("group"), F.explode("rows").alias("i")).where("i IS NOT NULL").select("i.*", "group")
 
 
 def read_hotpot(spark: SparkSession, path: str) -> DataFrame:
     """Two-hop questions; ids default to q_<n>, difficulty to medium."""
-    df = _numbered(spark.read.schema("_id string, question string, answer string, level string").json(path, multiLine=True), "n")
-    return df.select(F.coalesce("_id", F.concat(F.lit("q_"), (F.col("n") - 1).cast("string"))).alias("question_id"), "question", "answer", F.lit(2).alias("hops"), F.coalesce("level", F.lit("medium")).alias("difficulty"))
+    rows = _parsed(json_items(spark, path), "_id string, question string, answer string, level string")
+    df = numbered(rows.select("file", "split", "n", F.posexplode("rows").alias("pos", "i")), "number", "n", "pos").select(F.col("number").alias("n"), "i.*")
+    return df.select(F.coalesce("_id", F.concat(F.lit("q_"), F.col("n").cast("string"))).alias("question_id"), "question", "answer", F.lit(2).alias("hops"), F.coalesce("level", F.lit("medium")).alias("difficulty"))
 
 
 def read_document_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -83,7 +88,7 @@ def read_examples(spark: SparkSession, path: str) -> DataFrame:
 def list_experiments(spark: SparkSession, path: str) -> DataFrame:
     """One row per *_result.json, by path: id, name, models, strategies, counts, completion time."""
     schema = "project_id string, name string, models array<string>, strategies array<string>, questions array<string>, evaluations array<string>, completed_at string"
-    df = spark.read.schema(schema).json(f"{path}/*_result.json", multiLine=True).withColumn("path", F.col("_metadata.file_path"))
+    df = json_items(spark, f"{path}/*_result.json").select(F.from_json("item", schema).alias("i"), F.col("file").alias("path")).where("i IS NOT NULL").select("i.*", "path")
     return df.select(
         "project_id", "name", F.array_join("models", ",").alias("models"), F.array_join("strategies", ",").alias("strategies"),
         F.coalesce(F.size("questions"), F.lit(0)).alias("n_questions"), F.coalesce(F.size("evaluations"), F.lit(0)).alias("n_evaluations"), "completed_at", "path",
