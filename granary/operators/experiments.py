@@ -6,10 +6,13 @@ Scores are long: question_id, model, strategy, question_type, metric_name, score
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from granary.functions.selection import exact_medians
 from granary.functions.student import p_value, t_quantile
 
 CONDITION = ("model", "strategy", "question_type")
@@ -130,9 +133,11 @@ def comparison_table(compared: DataFrame) -> DataFrame:
 def describe(long: DataFrame, by: list[str], level: float = 0.95) -> DataFrame:
     """Count, mean, sample deviation (0 for one row), median, extremes and t interval by group."""
     s = long.groupBy(*by).agg(
-        F.count("score").alias("n"), F.avg("score").alias("mean"), F.coalesce(F.stddev_samp("score"), F.lit(0.0)).alias("std"), F.median("score").alias("median"),
+        F.count("score").alias("n"), F.avg("score").alias("mean"), F.coalesce(F.stddev_samp("score"), F.lit(0.0)).alias("std"),
         F.min("score").alias("min"), F.max("score").alias("max"),
     )
+    middle = exact_medians(long, by, "score").select(*(F.col(c).alias(f"middle_{c}") for c in by), "median")
+    s = s.join(middle, reduce(and_, (F.col(c).eqNullSafe(F.col(f"middle_{c}")) for c in by), F.lit(True)), "left")
     half = t_quantile(level, F.col("n") - 1) * F.col("std") / F.sqrt("n")
     s = s.withColumn("half", F.when((F.col("n") > 1) & (F.col("std") > 0), half))
     return s.select(*by, "n", *(F.bround(c, 4).alias(c) for c in ("mean", "std", "median", "min", "max")), F.bround(F.col("mean") - F.col("half"), 4).alias("ci_low"), F.bround(F.col("mean") + F.col("half"), 4).alias("ci_high"))

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from granary.functions.selection import exact_medians
+
 KS = (1, 3, 5, 10)
 
 
@@ -70,7 +72,9 @@ def aggregate_run(long: DataFrame, latencies: DataFrame) -> DataFrame:
     name = F.when(F.col("k") == 0, F.concat(F.lit("avg_"), "metric")).otherwise(F.concat_ws("_", F.lit("avg"), "metric", F.lit("at"), "k"))
     names = [r[0] for r in long.select(name.alias("n")).distinct().orderBy("n").collect()]  # one per metric and k
     means = long.withColumn("name", name).groupBy().pivot("name", names).agg(F.avg("value"))
-    return means.crossJoin(latencies.agg(F.avg("latency_ms").alias("avg_latency_ms"), F.median("latency_ms").alias("median_latency_ms")))
+    middle = exact_medians(latencies, [], "latency_ms").withColumnRenamed("median", "median_latency_ms")
+    one = latencies.agg(F.avg("latency_ms").alias("avg_latency_ms")).join(middle, how="left")  # rows of one each
+    return means.crossJoin(one)
 
 
 def pair_results(queries: DataFrame, results: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
