@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import find_paths, shortest_path
+from .traversal import shortest_paths
 from .text import words
 
 # Name swaps, relation and superlative alternatives.
@@ -76,7 +76,7 @@ def robustness(adversarial: DataFrame, answers: DataFrame) -> DataFrame:
 
 def multihop_questions(edges: DataFrame, pairs: DataFrame, n: int, hops: int = 2, seed: int = 42) -> DataFrame:
     """n questions over reachable pairs at least two edges apart: question_id, question, answer, hops, chain."""
-    best = shortest_path(find_paths(edges, pairs, hops)).where("size(path) >= 3")
+    best = shortest_paths(edges, pairs, hops).where("size(path) >= 3")
     order = F.md5(F.concat_ws(":", F.lit(str(seed)), "start", "end"))
     chosen = best.orderBy(order, "start", "end").limit(n)
     return chosen.select(

@@ -1,7 +1,6 @@
 """Knowledge graphs as node and edge frames, traversal and graph retrieval.
 
-nodes: id, label, type; edges: src, dst, relation, weight, evidence. Traversals are bounded self-joins
-over frontiers, at most the depth asked for; each round's frontier is saved.
+nodes: id, label, type; edges: src, dst, relation, weight, evidence.
 """
 
 from __future__ import annotations
@@ -16,6 +15,7 @@ from granary.sources.scratch import saved
 
 from .retrieval import meet
 from .text import sentence_table, strip
+from .traversal import ego_nodes, find_paths
 
 #: Text and labels that meet in one group.
 TEXT_BYTES, LABEL_BYTES = 1 << 24, 1 << 16
@@ -91,10 +91,6 @@ def check_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return no_src.unionByName(no_dst).unionByName(edges.where("weight < 0 OR weight > 1 OR weight IS NULL").withColumn("reason", F.lit("weight")))
 
 
-def both_ways(edges: DataFrame) -> DataFrame:
-    return edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(edges.select("dst", "src")).distinct()
-
-
 def neighbors(edges: DataFrame, ids: DataFrame, direction: str = "both") -> DataFrame:
     """(id, neighbor), distinct."""
     pairs = {"out": edges.select(F.col("src").alias("id"), F.col("dst").alias("neighbor")), "in": edges.select(F.col("dst").alias("id"), F.col("src").alias("neighbor"))}
@@ -122,48 +118,12 @@ def top_degrees(nodes: DataFrame, edges: DataFrame, k: int = 5) -> DataFrame:
     return degree(nodes, edges).orderBy(F.desc("degree"), "id").limit(k)
 
 
-def find_paths(edges: DataFrame, pairs: DataFrame, max_depth: int = 3) -> DataFrame:
-    """(start, end, path): simple directed paths of at most ``max_depth`` edges that stop at the end.
-
-    Each round's open paths are saved, so a round extends them instead of repeating the rounds before."""
-    steps = edges.select(F.col("src").alias("at"), F.col("dst").alias("next")).distinct()
-    live = pairs.where("start <> end").distinct().select("start", "end", F.col("start").alias("at"), F.array("start").alias("path"))
-    found = None
-    for _ in range(max_depth):
-        live = live.join(steps, "at").where(~F.array_contains("path", F.col("next"))).select("start", "end", F.col("next").alias("at"), F.concat("path", F.array("next")).alias("path"))
-        live = saved(live, "paths")
-        done = live.where(F.col("at") == F.col("end")).select("start", "end", "path")
-        found = done if found is None else found.unionByName(done)
-        live = live.where(F.col("at") != F.col("end"))
-    return found
-
-
 def shortest_path(paths: DataFrame) -> DataFrame:
     """Each pair's shortest path, the smallest of equal ones."""
     best = paths.groupBy("start", "end").agg(F.min(F.struct(F.size("path").alias("n"), F.array_join("path", ">").alias("text"), "path")).alias("b"))
     return best.select("start", "end", "b.path")
 
 
-def ego_nodes(edges: DataFrame, seeds: DataFrame, k: int = 2) -> DataFrame:
-    """(seed, id, hop): nodes within k edges of each seed, in either direction."""
-    steps = both_ways(edges)
-    seen = seeds.distinct().select("seed", F.col("seed").alias("id"), F.lit(0).alias("hop"))
-    front = seen
-    for hop in range(1, k + 1):
-        new = front.select("seed", F.col("id").alias("a")).join(steps, "a").select("seed", F.col("b").alias("id")).distinct()
-        front = saved(new.join(seen.select("seed", "id"), ["seed", "id"], "left_anti").withColumn("hop", F.lit(hop)), "ego")
-        seen = seen.unionByName(front)
-    return seen
-
-
-def ego_graph(edges: DataFrame, seeds: DataFrame, k: int = 2) -> tuple[DataFrame, DataFrame]:
-    """(nodes by seed, edges with both ends among a seed's nodes)."""
-    near = ego_nodes(edges, seeds, k)
-    ends = near.select("seed", F.col("id").alias("src"))
-    inside = edges.join(ends, "src").join(near.select("seed", F.col("id").alias("dst")), ["seed", "dst"])
-    return near, inside.select("seed", "src", "dst", "relation", "weight", "evidence")
-
-
 def to_triples(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("subject"), F.col("relation").alias("predicate"), F.col("dst").alias("object"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from granary.operators import graph as G
 from granary.operators import retrieval as R
+from granary.operators import traversal as V
 
 from .common import TRIPLES, frame, plain
 
@@ -88,18 +89,17 @@ def _pairs(nodes):
 
 def gra8(spark, sf):
     nodes, edges = _graph(spark, sf)
-    return G.find_paths(edges, _pairs(nodes)).select("start", "end", F.array_join("path", ">").alias("path"))
+    return V.find_paths(edges, _pairs(nodes)).select("start", "end", F.array_join("path", ">").alias("path"))
 
 
 def gra9(spark, sf):
     nodes, edges = _graph(spark, sf)
-    near, inside = G.ego_graph(edges, _seeds(spark, sf, nodes), 2)
-    return near.groupBy("seed").agg(F.count("*").alias("n_nodes")).join(inside.groupBy("seed").agg(F.count("*").alias("n_edges")), "seed")
+    return V.ego_sizes(edges, _seeds(spark, sf, nodes), 2)
 
 
 def gra10(spark, sf):
     nodes, edges = _graph(spark, sf)
-    return G.shortest_path(G.find_paths(edges, _pairs(nodes))).select("start", "end", F.array_join("path", ">").alias("path"))
+    return V.shortest_paths(edges, _pairs(nodes)).select("start", "end", F.array_join("path", ">").alias("path"))
 
 
 def gra11(spark, sf):
