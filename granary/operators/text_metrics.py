@@ -7,12 +7,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ir_metrics import judge
-from .retrieval import dot, pair_cosine, tokens
+from .retrieval import dot, hashed, pair_cosine, tokens
 from .text import words
 
 FLOOR = 1e-10
@@ -140,19 +142,52 @@ def rouge_l(preds: DataFrame, refs: DataFrame) -> DataFrame:
     return both.select("id", F.when(sizes > 0, 2 * lcs("p", "r") / sizes).otherwise(0.0).alias("value"))
 
 
-def meteor(preds: DataFrame, refs: DataFrame, alpha: float = 0.9, beta: float = 3.0, gamma: float = 0.5) -> DataFrame:
-    """(id, value): weighted F of clipped exact matches with the first reference, less fragmentation."""
+def _aligned(pred: pa.Array, ref: pa.Array) -> pa.Array:
+    """(matches, starts) of rows of two lists of word hashes: matches clipped by the counts of the second, and how many runs
+    the words form that the second has at all. Words of all rows are sorted once, so the work is linear but for that."""
+    sizes = [x.value_lengths().to_numpy(zero_copy_only=False) for x in (pred, ref)]
+    row = np.concatenate([np.repeat(np.arange(len(n)), n) for n in sizes])
+    word = np.concatenate([x.flatten().to_numpy(zero_copy_only=False) for x in (pred, ref)])
+    n = int(sizes[0].sum())
+    order = np.lexsort((word, row))
+    new = np.append(True, (row[order][1:] != row[order][:-1]) | (word[order][1:] != word[order][:-1]))[: len(order)]
+    kind = np.empty(len(order), np.int64)
+    kind[order] = np.cumsum(new) - 1
+    total = int(new.sum())
+    ours, theirs = np.bincount(kind[:n], minlength=total), np.bincount(kind[n:], minlength=total)
+    matches = np.bincount(row[order][new], np.minimum(ours, theirs), len(pred)).astype(np.int64)
+    hit = theirs[kind[:n]] > 0
+    after = np.append(False, hit[:-1] & (row[1:n] == row[: n - 1])) if n else hit
+    starts = np.bincount(row[:n], hit & ~after, len(pred)).astype(np.int64)
+    return pa.StructArray.from_arrays([pa.array(matches), pa.array(starts)], ["matches", "starts"])
+
+
+def _synonym_matches(preds: DataFrame, first: DataFrame, synonyms: DataFrame) -> DataFrame:
+    """(id, more): words left over on both sides that are of one class of ``synonyms`` (word, class), clipped by their counts."""
+    p, r = (_counted(x, ["id"], 1, normal_words).select("id", F.col("gram").alias("word"), "cnt") for x in (preds, first))
+    classes = synonyms.select("word", "class").distinct()
+
+    def left(own: DataFrame, other: DataFrame, name: str) -> DataFrame:
+        met = own.join(other.withColumnRenamed("cnt", "used"), ["id", "word"], "left")
+        over = met.withColumn("over", F.col("cnt") - F.least("cnt", F.coalesce("used", F.lit(0)))).where("over > 0")
+        return over.join(classes, "word").groupBy("id", "class").agg(F.sum("over").alias(name))
+
+    both = left(p, r, "ours").join(left(r, p, "theirs"), ["id", "class"])
+    return both.groupBy("id").agg(F.sum(F.least("ours", "theirs")).alias("more"))
+
+
+def meteor(preds: DataFrame, refs: DataFrame, alpha: float = 0.9, beta: float = 3.0, gamma: float = 0.5, synonyms: DataFrame | None = None) -> DataFrame:
+    """(id, value): weighted F of clipped exact matches with the first reference, less fragmentation. With ``synonyms``
+    (word, class; a word is in one class) words left over on both sides match by class."""
     first = refs.where("ref = 0")
-    shared = _clipped(preds, first, 1, normal_words).select("id", "matches")
-    both = preds.select("id", normal_words(F.col("text")).alias("p")).join(first.select("id", normal_words(F.col("text")).alias("r")), "id").join(shared, "id", "left")
-    in_ref = F.transform("p", lambda w: F.array_contains("rs", w))
-    starts = F.size(F.filter(F.sequence(F.lit(0), F.size("hit") - 1), lambda i: F.get("hit", i) & ~F.coalesce(F.when(i > 0, F.get("hit", i - 1)), F.lit(False))))
-    m = F.coalesce(F.col("matches"), F.lit(0))
-    precision, recall = m / F.size("p"), m / F.size("r")
+    both = preds.select("id", hashed(normal_words(F.col("text"))).alias("p")).join(first.select("id", hashed(normal_words(F.col("text"))).alias("r")), "id")
+    both = both.withColumn("a", F.arrow_udf(_aligned, "struct<matches:long,starts:long>")("p", "r")).select("id", F.size("p").alias("pl"), F.size("r").alias("rl"), "a.matches", "a.starts")
+    m = F.col("matches")
+    if synonyms is not None:
+        both, m = both.join(_synonym_matches(preds, first, synonyms), "id", "left"), m + F.coalesce("more", F.lit(0))
+    precision, recall = m / F.col("pl"), m / F.col("rl")
     f = precision * recall / (alpha * precision + (1 - alpha) * recall)
-    return both.withColumn("rs", F.array_distinct("r")).withColumn("hit", in_ref).select(
-        "id", F.when((F.size("p") > 0) & (F.size("r") > 0) & (m > 0), f * (1 - gamma * F.pow(starts / m, F.lit(beta)))).otherwise(0.0).alias("value")
-    )
+    return both.select("id", F.when((F.col("pl") > 0) & (F.col("rl") > 0) & (m > 0), f * (1 - gamma * F.pow(F.col("starts") / m, F.lit(beta)))).otherwise(0.0).alias("value"))
 
 
 def bertscore(pred_vecs: DataFrame, ref_vecs: DataFrame) -> DataFrame:
