@@ -22,6 +22,8 @@ from .text import strip
 QUERY_BLOCK, INDEX_BLOCK = 1024, 32768
 #: Chunks whose scores against a block of queries are held at once.
 SCORED = 1024
+#: Texts of one shard of postings.
+SHARD = 8192
 #: Pivots of a ball partition at most; they are held by the driver and every task.
 MAX_PIVOTS = 1024
 #: Parts that a token's postings are dealt over.
@@ -219,13 +221,15 @@ class Bm25Index:
         self.k1, self.b = k1, b
         listed = chunks.select("chunk_id", "doc_id", F.length("text").alias("n_chars"), hashed(tokens(F.col("text"))).alias("t"))
         self.listed = saved(listed.withColumn("dl", F.size("t")), "tokens")
-        self.df = self.listed.select(F.explode(F.array_distinct("t")).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
         self.stats = saved(self.listed.agg(
             F.countDistinct("doc_id").alias("n_docs"), F.count("*").alias("n_chunks"), F.avg("n_chars").alias("avg_chars"), F.avg("dl").alias("avg_tokens")
         ), "stats")
 
     def weights(self, queries: DataFrame) -> DataFrame:
-        return _weights(queries, self.df, self.stats, hashed(tokens(F.col("text"))))
+        words = hashed(tokens(F.col("text")))
+        asked = queries.select(F.explode(words).alias("token")).distinct()
+        df = self.listed.select(F.explode(F.array_distinct("t")).alias("token")).join(asked, "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
+        return _weights(queries, df, self.stats, words)
 
     def topk(self, queries: DataFrame, k: int, modes: tuple[str, ...] = ("reference", "standard")) -> DataFrame:
         """(mode, query_id, chunk_id, score, rank). Blocks of queries meet shards of chunks; a shard scores only what its
@@ -240,7 +244,7 @@ class Bm25Index:
             found = _matches(q, x, k, {m: (np.asarray(x.column(m)), np.asarray(q.column(m).combine_chunks().flatten())) for m in modes})
             return pa.concat_tables([t.append_column("mode", pa.array([m] * len(t), pa.string())) for m, (t, _, _) in found.items()])
 
-        found = meet(asked, index, "query_id", "chunk_id", score, f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, score double, mode string")
+        found = meet(asked, index, "query_id", "chunk_id", score, f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, score double, mode string", QUERY_BLOCK, SHARD)
         order = Window.partitionBy("mode", "query_id").orderBy(F.round("score", 9).desc(), "chunk_id")
         return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("mode", "query_id", "chunk_id", "score", "rank")
 
@@ -312,7 +316,7 @@ def overlap_topk(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
         return _matches(q, x, k, {"": (np.zeros(len(x)), ones)})[""][0]
 
     kinds = {c: f.schema[c].dataType.simpleString() for c, f in (("query_id", queries), ("chunk_id", docs))}
-    found = meet(distinct_words(queries, "query_id"), distinct_words(docs, "chunk_id"), "query_id", "chunk_id", count, f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, score double")
+    found = meet(distinct_words(queries, "query_id"), distinct_words(docs, "chunk_id"), "query_id", "chunk_id", count, f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, score double", QUERY_BLOCK, SHARD)
     top = saved(_ranked(found, k).drop("rank"), "overlap")
     # Queries with places left: any k of the 2k smallest ids are enough to fill up.
     lacking = queries.select("query_id").join(top.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k), "query_id", "left_anti")

@@ -47,15 +47,19 @@ def find_paths(edges: DataFrame, pairs: DataFrame, max_depth: int = 3) -> DataFr
     """(start, end, path): simple directed paths of at most ``max_depth`` edges.
 
     Halves are walked from both ends and meet in the middle: forward halves from each start, shared by all its pairs,
-    backward ones from each end, joined on the node they meet in if they have no other in common. A half goes on only
-    to nodes from which some end (or start) is near enough.
+    backward ones from each end, joined on the node they meet in if they have no other in common. Forward halves go on
+    only to nodes from which some end is near enough, backward ones only to nodes that are on the way from some start,
+    or that a forward half has come to.
     """
     pairs = saved(pairs.where("start <> end").select("start", "end").distinct(), "pairs")
     steps = saved(edges.select(F.col("src").alias("at"), F.col("dst").alias("next")).where("at <> next").distinct(), "steps")
     back = steps.select(F.col("next").alias("at"), F.col("at").alias("next"))
     starts, ends = (pairs.select(F.col(c).alias("id")) for c in ("start", "end"))
-    forth = half_paths(steps, starts, hop_distances(steps, ends, max_depth - 1), (max_depth + 1) // 2, max_depth)
-    hither = half_paths(back, ends, hop_distances(back, starts, max_depth - 1), max_depth // 2, max_depth)
+    half, rest = (max_depth + 1) // 2, max_depth // 2
+    forth = half_paths(steps, starts, hop_distances(steps, ends, max_depth - 1), half, max_depth)
+    # How far a node is from the nearest start, for all nodes that forward halves have come to.
+    come = reduce(DataFrame.unionByName, (f.select(F.col("at").alias("id"), F.lit(i).alias("hops")) for i, f in enumerate(forth))).groupBy("id").agg(F.min("hops").alias("hops"))
+    hither = half_paths(back, ends, come, rest, max_depth) if rest < 2 else half_paths(back, ends, hop_distances(back, starts, max_depth - 1), rest, max_depth)
     found = []
     for length in range(1, max_depth + 1):
         a = forth[(length + 1) // 2].select(F.col("origin").alias("start"), "at", F.col("path").alias("ahead"))

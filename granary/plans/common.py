@@ -11,8 +11,15 @@ from granary.sources.scratch import scratch_path
 __all__ = ["frame", "plain", "scratch_path", "table"]
 
 
+#: Tables of texts with their keys: work on a text costs more than moving it.
+TEXTS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; texts that lie in fewer parts than there are cores are dealt over all of them."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores, TEXTS[name]) if name in TEXTS and df.rdd.getNumPartitions() < cores else df
 
 
 def frame(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:

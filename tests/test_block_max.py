@@ -53,3 +53,23 @@ def test_common_words_are_not_read():
     weight = np.where(asked < 10, 0.3, 5.0)
     row, text, score, read, of = shard.top(np.full(n, 1.5), np.zeros(len(asked), np.int64), asked, weight, 1, 3)
     assert text[0] == 77 and read < of / 10
+
+
+def test_bm25_over_many_shards(spark, monkeypatch):
+    """Any number of shards and query blocks gives the same k best, alone and fused with dense candidates."""
+    from granary.operators import retrieval
+
+    r = random.Random(8)
+    text = lambda n: " ".join(r.choice(["a", "b", "cc", "Été", "x_1", "rare1", "rare2", "the"]) for _ in range(n))
+    chunks = spark.createDataFrame([(i, i // 3, text(r.randrange(1, 12))) for i in range(80)], "chunk_id long, doc_id long, text string")
+    queries = spark.createDataFrame([(i, text(4)) for i in range(9)], "query_id long, text string")
+    dense = spark.createDataFrame([(q, c, r.random(), n + 1) for q in range(9) for n, c in enumerate(r.sample(range(80), 10))], "query_id long, chunk_id long, score double, rank int")
+    postings = retrieval.build_postings(chunks)
+    key = lambda rows: sorted((x.query_id, x.chunk_id, x["rank"], round(x.score, 9)) for x in rows)
+    want = key(retrieval.hybrid_topk(dense, retrieval.bm25(queries, *postings), 4).collect())
+    alone = key(retrieval._ranked(retrieval.bm25(queries, *postings), 4).collect())
+    for block, shard in ((1024, 8192), (2, 7)):
+        monkeypatch.setattr(retrieval, "QUERY_BLOCK", block)
+        monkeypatch.setattr(retrieval, "SHARD", shard)
+        assert key(retrieval.bm25_topk(queries, chunks, 4, modes=("reference",)).collect()) == alone
+        assert key(retrieval.bm25_hybrid_topk(queries, chunks, dense, 4).collect()) == want
