@@ -70,8 +70,8 @@ def extract_relations(docs: DataFrame) -> DataFrame:
 
 
 def graph_from_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The merged graph of all documents' relations."""
-    return graph_from_triples(extract_relations(docs))
+    """The merged graph of all documents' relations; a later document's label replaces an earlier one's."""
+    return graph_from_triples(extract_relations(docs).withColumn("pos", F.struct("doc_id", "pos")))
 
 
 def parse_triple_json(df: DataFrame) -> DataFrame:
@@ -98,6 +98,16 @@ def neighbors(edges: DataFrame, ids: DataFrame, direction: str = "both") -> Data
     return pairs[direction].join(ids.select("id"), "id", "left_semi").distinct()
 
 
+def edges_from(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """Edges that start at one of the ids."""
+    return edges.join(ids.select(F.col("id").alias("src")).distinct(), "src", "left_semi").select(*edges.columns)
+
+
+def edges_to(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """Edges that end at one of the ids."""
+    return edges.join(ids.select(F.col("id").alias("dst")).distinct(), "dst", "left_semi").select(*edges.columns)
+
+
 def degree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, degree): ends of edges at each node, 0 kept; a loop counts twice."""
     ends = edges.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from granary.sources.scratch import saved
+
 from .ir_metrics import judge
 from .retrieval import dot, hashed, pair_cosine, tokens
 from .text import words
@@ -308,6 +310,30 @@ def compute_metrics(preds: DataFrame, refs: DataFrame, names: list[str]) -> Data
     return out
 
 
+def compute_isolated(preds: DataFrame, refs: DataFrame, names: list[str]) -> DataFrame:
+    """(id, metric_name, score, error): as compute_metrics, each metric run and saved on its own. One that fails, or is
+    unknown, has a single row without id, of score 0 and its error, and the others go on."""
+    out = None
+    for n in names:
+        try:
+            part = saved(compute_metrics(preds, refs, [n]).withColumn("error", F.lit(None).cast("string")), "metric")
+        except Exception as e:  # noqa: BLE001 a failure of any kind is this metric's result
+            kind = preds.schema["id"].dataType.simpleString()
+            part = preds.sparkSession.createDataFrame([(None, n, 0.0, f"{type(e).__name__}: {e}"[:500])], f"id {kind}, metric_name string, score double, error string")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def batch_figures(scores: DataFrame) -> DataFrame:
+    """(metric_name, n, mean, std) of (metric_name, score): mean and population deviation over the batch."""
+    return scores.groupBy("metric_name").agg(F.count("score").alias("n"), F.avg("score").alias("mean"), F.stddev_pop("score").alias("std"))
+
+
+def issue_counts(issues: DataFrame) -> DataFrame:
+    """(issue, n) of ``grammar``'s (id, value, issues)."""
+    return issues.select(F.explode("issues").alias("issue")).groupBy("issue").agg(F.count("*").alias("n"))
+
+
 def score_violations(scores: DataFrame) -> DataFrame:
     """Scores outside [0, 1]."""
     return scores.where("score < 0 OR score > 1 OR isnan(score)")

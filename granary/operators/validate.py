@@ -59,9 +59,13 @@ def validate(df: DataFrame, validators: tuple[str, ...] = ("format", "semantic")
     return df.withColumn("error", F.coalesce(*first))
 
 
-def split_valid(df: DataFrame, strict: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(ok, rejected). Strict drops failing rows from ok; otherwise they stay, with the error in metadata."""
+def split_valid(df: DataFrame, strict: bool = True, fail_fast: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(ok, rejected). Strict drops failing rows from ok; otherwise they stay, with the error in metadata. With
+    ``fail_fast`` the job stops at a failing row, with its id and error."""
     checked = validate(df)
+    if fail_fast:
+        stop = F.raise_error(F.concat_ws(" ", F.lit("invalid row"), F.col("source_id").cast("string"), "error"))
+        checked = checked.withColumn("error", F.when(F.col("error").isNotNull(), stop.cast("string")))
     rejected = checked.where("error IS NOT NULL")
     if strict:
         return checked.where("error IS NULL").drop("error"), rejected

@@ -71,6 +71,14 @@ def gra6(spark, sf):
     return out
 
 
+def gra6_edges(spark, sf):
+    """All edges that start at a supplier or end at a region."""
+    nodes, edges = _graph(spark, sf)
+    parts = (("from", G.edges_from(edges, nodes.where("id LIKE 'supplier_%'"))), ("to", G.edges_to(edges, nodes.where("id LIKE 'region_%'"))))
+    out = [df.select("src", "dst", "relation", F.lit(d).alias("direction")) for d, df in parts]
+    return out[0].unionByName(out[1])
+
+
 def gra7(spark, sf):
     nodes, edges = _graph(spark, sf)
     summary = G.graph_summary(nodes, edges)
@@ -140,10 +148,21 @@ def ret12(spark, sf):
     return G.degree(nodes, edges)
 
 
+_CASED = """
+    SELECT c_custkey AS doc_id, 'Nothing here. ' || name || ' works at ' || CASE WHEN c_custkey % 3 = 0 THEN 'LAND ' ELSE 'Land ' END || translate(CAST(c_nationkey AS STRING), '0123456789', 'abcdefghij') AS text
+    FROM (SELECT *, 'Client ' || translate(CAST(c_custkey AS STRING), '0123456789', 'abcdefghij') AS name FROM {customer}) AS c
+"""
+
+
+def ret12_labels(spark, sf):
+    """Nations are spelled in two ways; the last document's spelling stays."""
+    return G.graph_from_documents(frame(spark, sf, _CASED))[0].select("id", "label")
+
+
 QUERIES = {
-    "gra1_graph_from_triples": gra1, "gra2_resolve_entities": gra2, "gra3_extract_relations": gra3, "gra4_parse_triple_json": gra4, "gra5_check_edges": gra5, "gra6_neighbors": gra6,
+    "gra1_graph_from_triples": gra1, "gra2_resolve_entities": gra2, "gra3_extract_relations": gra3, "gra4_parse_triple_json": gra4, "gra5_check_edges": gra5, "gra6_neighbors": gra6, "gra6_edges": gra6_edges,
     "gra7_degree_summary": gra7, "gra7_top_degrees": gra7_top, "gra8_find_paths": gra8, "gra9_ego_graph": gra9, "gra10_shortest_path": gra10, "gra11_to_triples": gra11,
-    "ret8_graph_hybrid": ret8, "ret9_link_entities": ret9, "ret10_ego_topk": ret10, "ret11_path_topk": ret11, "ret12_graph_from_documents": ret12,
+    "ret8_graph_hybrid": ret8, "ret9_link_entities": ret9, "ret10_ego_topk": ret10, "ret11_path_topk": ret11, "ret12_graph_from_documents": ret12, "ret12_labels": ret12_labels,
 }
 
 _ID = r"lower(regexp_replace(trim({0}), '[^\p{L}\p{N}_]+', '_', 'g'))"
@@ -182,6 +201,10 @@ ORACLE = {
         UNION ALL SELECT src, dst, 'weight' FROM e WHERE src LIKE '%7'""",
     "gra6_neighbors": f"""WITH {_G}, x AS (SELECT DISTINCT src AS id, dst AS m, 'out' AS direction FROM e UNION SELECT DISTINCT dst, src, 'in' FROM e UNION SELECT DISTINCT a, b, 'both' FROM b)
         SELECT id, direction, count(*) AS n FROM x WHERE id LIKE 'nation_%' GROUP BY ALL""",
+    "gra6_edges": f"""WITH {_G} SELECT src, dst, relation, 'from' AS direction FROM e WHERE src LIKE 'supplier_%' UNION ALL SELECT src, dst, relation, 'to' FROM e WHERE dst LIKE 'region_%'""",
+    "ret12_labels": f"""WITH d AS ({plain(_CASED)}), m AS (SELECT doc_id, regexp_extract(text, '(Client [a-j]+) works at (.*)$', ['subject', 'object']) AS x FROM d
+        ), l AS (SELECT doc_id, 0 AS side, trim(x.subject) AS label FROM m UNION ALL SELECT doc_id, 1, trim(x.object) FROM m)
+        SELECT {_ID.replace('{0}', 'label')} AS id, arg_max(label, (doc_id, side)) AS label FROM l GROUP BY 1""",
     "gra7_degree_summary": f"""WITH {_G}, d AS (SELECT n.id, count(x.id) AS degree FROM n LEFT JOIN (SELECT src AS id FROM e UNION ALL SELECT dst FROM e) x USING (id) GROUP BY n.id
         ), s AS (SELECT (SELECT count(*) FROM n) AS n_nodes, (SELECT count(*) FROM e) AS n_edges, (SELECT count(DISTINCT relation) FROM e) AS n_relations)
         SELECT n_nodes, n_edges, n_relations, round(n_edges / (n_nodes * (n_nodes - 1)), 9) AS density, round(2 * n_edges / n_nodes, 6) AS avg_degree, degree, count(*) AS n FROM s, d GROUP BY ALL""",

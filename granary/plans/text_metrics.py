@@ -104,6 +104,22 @@ def met21(spark, sf):
     return long.groupBy("metric_name").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean"))
 
 
+def met21_isolated(spark, sf):
+    """One metric is unknown and fails alone."""
+    long = M.compute_isolated(*_pairs(spark, sf), ["bleu", "no such metric", "exact_match"])
+    return long.groupBy("metric_name", F.col("error").isNotNull().alias("failed")).agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean"))
+
+
+def met21_batch(spark, sf):
+    long = M.compute_metrics(*_pairs(spark, sf), ["bleu", "rouge1", "meteor"])
+    return _rounded(M.batch_figures(long), "mean", "std")
+
+
+def met11_issues(spark, sf):
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    return M.issue_counts(M.grammar(docs))
+
+
 def met22(spark, sf):
     p, r = _pairs(spark, sf)
     scores = M.rouge_n(p, r, 1).select("id", F.when(F.col("id") % 5 == 0, F.col("value") + 1.5).otherwise(F.col("value")).alias("score"))
@@ -115,7 +131,7 @@ QUERIES = {
     "met6_rouge_l": _metric("rougeL"), "met7_meteor": _metric("meteor"), "met8_bertscore": met8, "met9_self_bleu": met9, "met10_distinct_n": met10, "met11_grammar": met11,
     "met12_exact_match": _metric("exact_match"), "met13_contains_answer": _metric("contains"), "met14_semantic_similarity": met14, "met15_context_relevance": met15,
     "met16_faithfulness_vec": met16, "met17_faithfulness": met17, "met18_answer_relevance": met18, "met19_context_precision": met19, "met20_answer_overlap": met20,
-    "met21_compute_metrics": met21, "met22_score_violations": met22,
+    "met21_compute_metrics": met21, "met21_isolated": met21_isolated, "met21_batch": met21_batch, "met11_issues": met11_issues, "met22_score_violations": met22,
 }
 
 _NORMAL = r"list_filter(regexp_split_to_array(regexp_replace(lower(coalesce(text, '')), '[!-/:-@\[-`{-~]', '', 'g'), '\s+'), lambda w: w <> '')"
@@ -138,10 +154,17 @@ _BLEU = f"""WITH {_sets(_PLAIN, 4)}, pr AS (
         SELECT pw.id, rw.ref, len(pw.w) AS pl, len(rw.w) AS rl, sum(ln(greatest(1e-10, coalesce(m / greatest(len(pw.w) - (k - 1), 1), 0)))) / 4 AS g
         FROM pw JOIN rw USING (id), unnest(range(1, 5)) AS t(k) LEFT JOIN sh ON sh.id = pw.id AND sh.ref = rw.ref AND sh.n = k GROUP BY ALL
     ), bleu AS (SELECT id, max(CASE WHEN pl > rl THEN 1 WHEN pl = 0 OR rl = 0 THEN 0 ELSE exp(1 - rl / pl) END * exp(g)) AS value FROM pr GROUP BY id)"""
+_BLEU_FIRST = _BLEU.replace("FROM pw JOIN rw USING (id), unnest", "FROM pw JOIN (SELECT * FROM rw WHERE ref = 0) rw USING (id), unnest")
 _LOWERED = f"""WITH p AS (SELECT id, trim(lower(coalesce(text, ''))) AS p FROM ({plain(PREDS)}) x), r AS (SELECT id, trim(lower(coalesce(text, ''))) AS r FROM ({plain(REFS)}) x WHERE ref = 0)"""
 _METEOR = f"""WITH {_sets(_NORMAL, 1)}, z AS (SELECT pw.id, pw.w AS p, rw.w AS r, coalesce(m, 0) AS m FROM pw JOIN rw ON rw.id = pw.id AND rw.ref = 0 LEFT JOIN sh ON sh.id = pw.id AND sh.ref = 0
     ), c AS (SELECT *, len(list_filter(range(1, len(p) + 1), lambda i: list_contains(r, p[i]) AND (i = 1 OR NOT list_contains(r, p[i - 1])))) AS chunks FROM z
     ), meteor AS (SELECT id, CASE WHEN m > 0 THEN (m / len(p) * m / len(r)) / (0.9 * m / len(p) + 0.1 * m / len(r)) * (1 - 0.5 * pow(chunks / m, 3)) ELSE 0 END AS value FROM c)"""
+_LCS = """pt AS (SELECT id, unnest(w) AS token, generate_subscripts(w, 1) AS i FROM pw), rt AS (SELECT id, unnest(w) AS token, generate_subscripts(w, 1) AS j FROM rw WHERE ref = 0
+    ), l AS (SELECT id, 0 AS i, j, token, 0 AS best FROM rt
+        UNION ALL SELECT id, i + 1, j, token, max(v) OVER (PARTITION BY id ORDER BY j ROWS UNBOUNDED PRECEDING) AS best
+        FROM (SELECT l.id, l.i, l.j, l.token, greatest(best, CASE WHEN l.token = pt.token THEN 1 + coalesce(lag(best) OVER (PARTITION BY l.id ORDER BY l.j), 0) ELSE 0 END) AS v FROM l JOIN pt ON pt.id = l.id AND pt.i = l.i + 1) AS step
+    ), longest AS (SELECT id, max(best) AS m FROM l GROUP BY id
+    ), rouge AS (SELECT p.id, CASE WHEN len(p.w) + len(r.w) > 0 THEN 2.0 * coalesce(m, 0) / (len(p.w) + len(r.w)) ELSE 0 END AS value FROM pw p JOIN rw r ON r.id = p.id AND r.ref = 0 LEFT JOIN longest ON longest.id = p.id)"""
 _FLAGS = [
     (r"[.!?]{2,}", 0.3, "repeated_punctuation"), (r"\s[,.!?;:]", 0.2, "missing_space_before_punctuation"), (r"[a-zA-Z][A-Z]{2,}[a-zA-Z]", 0.1, "unlikely_caps"),
     (r"\([^)]*\z", 0.4, "unbalanced_paren"), (r'"[^"]*\z', 0.4, "unbalanced_quote"), (r"\s{2,}", 0.1, "multiple_spaces"), (r"[\x{4e00}-\x{9fff}]", 0.0, "chinese_chars"),
@@ -162,6 +185,17 @@ ORACLE = {
         ), s AS (SELECT sum(pl) AS pl, sum(rl) AS rl FROM l)
         SELECT round(CASE WHEN pl >= rl THEN 1 ELSE exp(1 - rl / pl) END * exp((SELECT sum(CASE WHEN m > 0 THEN ln(m / t) ELSE ln(1 / pow(2, zeros) / t) END) FROM z) / 4), 6) AS bleu FROM s""",
     "met5_rouge1": _rouge(1), "met5_rouge2": _rouge(2),
+    "met6_rouge_l": f"WITH RECURSIVE {_sets(_NORMAL, 1)}, {_LCS} SELECT id, round(value, 6) AS value FROM rouge",
+    "met20_answer_overlap": f"""WITH has AS (SELECT id FROM ({plain(REFS)}) x WHERE ref = 0 AND id % 3 > 0 AND text IS NOT NULL AND trim(text) <> ''
+        ), b AS ({_BLEU_FIRST} SELECT id, value FROM bleu), r AS (WITH RECURSIVE {_sets(_NORMAL, 1)}, {_LCS} SELECT id, value FROM rouge)
+        SELECT p.id, CASE WHEN has.id IS NULL THEN 0 ELSE round(b.value, 6) END AS bleu, CASE WHEN has.id IS NULL THEN 0 ELSE round(r.value, 6) END AS rouge_l, len({_PLAIN}) AS n_words
+        FROM ({plain(PREDS)}) p LEFT JOIN has USING (id) LEFT JOIN b USING (id) LEFT JOIN r USING (id)""",
+    "met21_isolated": f"""{_BLEU}, e AS ({_LOWERED} SELECT CASE WHEN p = r THEN 1.0::DOUBLE ELSE 0 END AS v FROM p JOIN r USING (id))
+        SELECT 'bleu' AS metric_name, false AS failed, count(*) AS n, round(avg(value), 6) AS mean FROM bleu UNION ALL SELECT 'exact_match', false, count(*), round(avg(v), 6) FROM e UNION ALL SELECT 'no such metric', true, 1, 0""",
+    "met21_batch": f"""WITH b AS ({_BLEU} SELECT value FROM bleu), m AS ({_METEOR} SELECT value FROM meteor), r AS ({_rouge(1)}), v AS (
+            SELECT 'bleu' AS metric_name, value FROM b UNION ALL SELECT 'meteor', value FROM m UNION ALL SELECT 'rouge1', value FROM r)
+        SELECT metric_name, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std FROM v GROUP BY metric_name""",
+    "met11_issues": f"SELECT issue, count(*) AS n FROM (SELECT unnest(string_split({_ISSUES}, ',')) AS issue FROM documents) WHERE issue <> '' GROUP BY issue",
     "met7_meteor": _METEOR + " SELECT id, round(value, 6) AS value FROM meteor",
     "met8_bertscore": f"""WITH v AS (SELECT vec_id // 10 AS id, vec_id % 10 AS pos, embedding FROM embeddings), s AS (SELECT a.id, a.pos AS p, b.pos AS r, {_VEC.format('a.embedding', 'b.embedding')} AS s FROM v a JOIN v b ON a.id = b.id AND a.pos < 5 AND b.pos >= 5
         ), p AS (SELECT id, avg(s) AS p FROM (SELECT id, p, max(s) AS s FROM s GROUP BY ALL) GROUP BY id), r AS (SELECT id, avg(s) AS r FROM (SELECT id, r, max(s) AS s FROM s GROUP BY ALL) GROUP BY id)
