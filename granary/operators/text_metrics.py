@@ -15,13 +15,14 @@ from pyspark.sql import functions as F
 
 from granary.sources.scratch import saved
 
+from . import best_partner
+from .best_partner import FLOOR
 from .ir_metrics import judge
-from .retrieval import dot, hashed, pair_cosine, tokens
+from .retrieval import dot, hashed, meet, pair_cosine, tokens
 from .text import words
 
-FLOOR = 1e-10
-#: Heavy n-grams of Self-BLEU are dealt over this many salts.
-SALTS = 16
+#: Texts that meet at once in Self-BLEU.
+BLEU_BLOCK = 2048
 # Grammar patterns with penalties.
 GRAMMAR = (
     (r"[.!?]{2,}", 0.3, "repeated_punctuation"),
@@ -202,20 +203,29 @@ def bertscore(pred_vecs: DataFrame, ref_vecs: DataFrame) -> DataFrame:
     return precision.join(recall, "id").withColumn("f1", F.when(total != 0, 2 * F.col("precision") * F.col("recall") / total).otherwise(0.0))
 
 
-def self_bleu(texts: DataFrame, n: int = 4, by: str = "group") -> DataFrame:
-    """(group, value, std, diversity, n_texts): for each text the best geometric mean precision against
-    another text of its group. Texts that share no word have exactly the floor, so only pairs that share
-    one are joined; a text sharing none keeps the floor. One text scores 0."""
-    counts = _counted(texts.withColumnRenamed(by, "g0"), ["g0", "id"], n, normal_words)
-    salted = counts.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
-    other = counts.select("g0", "n", "gram", F.col("id").alias("o"), F.col("cnt").alias("ocnt"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
-    shared = (
-        salted.join(other, ["g0", "n", "gram", "salt"]).where("id <> o").groupBy("g0", "id", "o", "n").agg(F.sum(F.least("cnt", "ocnt")).alias("matches"))
-        .groupBy("g0", "id", "o").pivot("n", list(range(1, n + 1))).sum("matches").select("g0", "id", "o", *(F.col(str(i)).alias(f"m{i}") for i in range(1, n + 1)))
-    )
-    sizes = texts.select(F.col(by).alias("g0"), "id", F.size(normal_words(F.col("text"))).alias("pl"))
-    best = shared.join(sizes, ["g0", "id"]).groupBy("g0", "id").agg(F.max(F.exp(_precisions(n, "pl"))).alias("b"))
-    per = sizes.join(best, ["g0", "id"], "left").select("g0", F.coalesce("b", F.lit(FLOOR)).alias("b"))
+def self_bleu(texts: DataFrame, n: int = 4, by: str = "group", block: int = BLEU_BLOCK) -> DataFrame:
+    """(group, value, std, diversity, n_texts): for each text the best geometric mean precision against another text of its
+    group; one that shares no word with any has the floor. One text scores 0.
+
+    Blocks of texts meet blocks of their group's texts; groups smaller than a block are met together, the group
+    being part of every word's hash. A meeting returns one value for each text, and no pair leaves it.
+    """
+    sizes = texts.groupBy(F.col(by).alias("g0")).agg(F.count("*").alias("n_texts"))
+    pools = sizes.agg(F.greatest(F.ceil(F.sum("n_texts") / block), F.lit(1)).alias("pools"))
+    small = F.concat(F.lit("small "), F.pmod(F.xxhash64("g0"), "pools").cast("string"))
+    pool = sizes.crossJoin(F.broadcast(pools)).select("g0", F.when(F.col("n_texts") > block, F.concat(F.lit("group "), F.col("g0").cast("string"))).otherwise(small).alias("pool"))  # pools is one row
+    listed = texts.select(F.col(by).alias("g1"), "id", normal_words(F.col("text")).alias("w")).join(pool, F.expr("g0 <=> g1"))
+    listed = listed.select("pool", F.xxhash64("g0", F.col("g0").isNull(), "id").alias("own"), "g0", "id", F.transform("w", lambda w: F.xxhash64("g0", w)).alias("t"))
+    listed = saved(listed, "words")
+    kinds = {c: listed.schema[c].dataType.simpleString() for c in ("g0", "id")}
+
+    def score(q: pa.Table, x: pa.Table) -> pa.Table:
+        sides = [best_partner.Grams(np.asarray(t.column("t").combine_chunks().flatten()), np.asarray(t.column("t").combine_chunks().value_lengths()).astype(np.int64), n) for t in (q, x)]
+        value, _ = best_partner.best(sides[0], q.column("own").to_numpy(), sides[1], x.column("own").to_numpy(), n)
+        return pa.table({"g0": q.column("g0"), "id": q.column("id"), "b": value})
+
+    met = meet(listed, listed.select("pool", "own", "t"), "own", "own", score, f"g0 {kinds['g0']}, id {kinds['id']}, b double", block, block, pool="pool")
+    per = met.groupBy("g0", "id").agg(F.greatest(F.max("b"), F.lit(FLOOR)).alias("b"))
     out = per.groupBy("g0").agg(F.count("*").alias("n_texts"), F.avg("b").alias("value"), F.stddev_pop("b").alias("std"))
     alone = F.col("n_texts") < 2
     return out.select(F.col("g0").alias(by), F.when(alone, 0.0).otherwise(F.col("value")).alias("value"), F.when(alone, 0.0).otherwise(F.col("std")).alias("std"), F.when(alone, 0.0).otherwise(1 - F.col("value")).alias("diversity"), "n_texts")
