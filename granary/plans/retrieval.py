@@ -12,7 +12,9 @@ from granary.operators import ir_metrics as I
 from granary.operators import retrieval as R
 from granary.operators.text import chunk_fixed
 
-from .common import table
+from granary.sources.vector_index import RefusedBatch, append_batch, read_index
+
+from .common import scratch_path, table
 from .text import _PIECES
 
 K = 10
@@ -111,6 +113,20 @@ def snk5(spark, sf):
     return merged.groupBy((F.col("vec_id") % 10).alias("part")).agg(F.count("*").alias("n"), F.min(F.size("embedding")).alias("dim"))
 
 
+def snk5_batches(spark, sf):
+    """Two batches that fit, and one with vectors missing, which is refused."""
+    path, v = scratch_path(spark, "index"), table(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    for part in (0, 1):
+        some = v.where(F.col("chunk_id") % 3 == part)
+        append_batch(some, some, path, 64)
+    rest = v.where("chunk_id % 3 = 2")
+    try:
+        append_batch(rest, rest.where("chunk_id % 7 > 0"), path, 64)
+    except RefusedBatch:
+        return read_index(spark, path).select("chunk_id", F.transform("embedding", lambda x: F.round(x.cast("double"), 5)).alias("embedding"))
+    raise AssertionError("a short batch was accepted")
+
+
 def _metric(name, variants=("distinct", "list")):
     def run(spark, sf):
         judged = _judged(spark, sf)
@@ -147,7 +163,7 @@ def ir9(spark, sf):
 
 QUERIES = {
     "emb1_embed": emb1, "ret1_dense_topk": ret1, "ret2_pair_cosine": ret2, "ret3_token_table": ret3, "ret4_build_postings": ret4, "ret5_bm25": ret5, "ret6_hybrid_topk": ret6,
-    "ret7_overlap_topk": ret7, "ret13_pack_context": ret13, "ret14_extractive_answer": ret14, "ret15_answer_defaults": ret15, "ret16_run_benchmark": ret16, "snk5_append_index": snk5,
+    "ret7_overlap_topk": ret7, "ret13_pack_context": ret13, "ret14_extractive_answer": ret14, "ret15_answer_defaults": ret15, "ret16_run_benchmark": ret16, "snk5_batches": snk5_batches, "snk5_append_index": snk5,
     "ir1_precision_at_k": _metric("precision"), "ir2_recall_at_k": _metric("recall"), "ir3_mrr": _metric("mrr"), "ir4_ndcg_at_k": _metric("ndcg"), "ir5_hit_rate_at_k": _metric("hit_rate"),
     "ir6_no_relevant": ir6, "ir7_aggregate_scores": ir7, "ir8_aggregate_run": ir8, "ir9_pair_results": ir9,
 }
@@ -231,6 +247,7 @@ ORACLE = {
     "ret15_answer_defaults": _OVERLAP + """SELECT item_id AS query_id, coalesce('Based on the documents: ' || substr(string_agg(substr(d.text, 1, 200), ' ' ORDER BY rank), 1, 500), 'No answer.') AS answer
         FROM benchmark LEFT JOIN (SELECT * FROM ov WHERE query_id % 3 > 0) o ON item_id = query_id LEFT JOIN documents d ON d.doc_id = o.chunk_id GROUP BY item_id""",
     "ret16_run_benchmark": _AGGREGATE,
+    "snk5_batches": "SELECT vec_id AS chunk_id, list_transform(embedding, lambda x: round(CAST(x AS DOUBLE), 5)) AS embedding FROM embeddings WHERE vec_id % 3 < 2",
     "snk5_append_index": "SELECT vec_id % 10 AS part, count(*) AS n, CAST(min(len(embedding)) AS INT) AS dim FROM embeddings GROUP BY 1",
     "ir1_precision_at_k": _ir("CASE variant WHEN 'distinct' THEN hits / k ELSE hits / least(k, n) END"),
     "ir2_recall_at_k": _ir("CASE WHEN rel > 0 THEN hits / rel ELSE 0 END"),
