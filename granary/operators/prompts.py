@@ -11,7 +11,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .retrieval import meet, shared_words
+from granary.sources.scratch import saved
+
+from .retrieval import INDEX_BLOCK, QUERY_BLOCK, meet, shared_words
 from .text import strip, words
 
 # Reasoning instructions of self-consistency prompts, in order.
@@ -95,12 +97,6 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) > 0) & (F.size(b) > 0), shared / (F.size(a) + F.size(b) - shared)).otherwise(0.0)
 
 
-def _scored(knowledge: DataFrame, examples: DataFrame) -> DataFrame:
-    # Word sets are made once per row, before rows meet.
-    met = candidates(knowledge.withColumn("content", _bag(F.col("content"))), examples.withColumn("knowledge", _bag(F.col("knowledge"))))
-    return met.select("source_id", "ex_id", F.col("ex_knowledge").alias("bag"), jaccard(F.col("content"), F.col("ex_knowledge")).alias("sim"))
-
-
 def select_similar(knowledge: DataFrame, examples: DataFrame, k: int) -> DataFrame:
     """(source_id, ex_id, sim, rank): the k examples of each row's pool whose words are most similar to the
     content's. Blocks of rows meet blocks of their pool's examples; only the k best of a block are shuffled."""
@@ -124,18 +120,101 @@ def select_similar(knowledge: DataFrame, examples: DataFrame, k: int) -> DataFra
     return _top(met, k, F.desc(F.round("sim", 9)), F.col("ex_id")).select("source_id", "ex_id", "sim", "rank")
 
 
-def select_diverse(knowledge: DataFrame, examples: DataFrame, k: int, lam: float = 0.5) -> DataFrame:
-    """Maximal marginal relevance: the most similar first, then lam * similarity - (1 - lam) * largest
-    similarity to those chosen, in k unrolled rounds."""
-    left = _scored(knowledge, examples).withColumn("near", F.lit(0.0))
-    picked = None
-    for rank in range(1, max(1, k) + 1):
-        value = F.col("sim") if rank == 1 else lam * F.col("sim") - (1 - lam) * F.col("near")
-        best = left.groupBy("source_id").agg(F.min(F.struct((-F.round(value, 9)).alias("v"), "ex_id", "bag")).alias("b")).select("source_id", F.col("b.ex_id").alias("chosen"), F.col("b.bag").alias("chosen_bag"))
-        part = best.select("source_id", F.col("chosen").alias("ex_id"), F.lit(rank).alias("rank"))
-        picked = part if picked is None else picked.unionByName(part)
-        left = left.join(best, "source_id").where("ex_id <> chosen").select("source_id", "ex_id", "bag", "sim", F.greatest("near", jaccard(F.col("bag"), F.col("chosen_bag"))).alias("near"))
-    return picked
+def _round_value(sim: float, near: float, lam: float, first: bool) -> float:
+    # Values that differ by rounding noise only are ties.
+    return round(sim if first else lam * sim - (1 - lam) * near, 9)
+
+
+def lazy_greedy(sim: np.ndarray, bags: list[set], chosen: list[set], taken: set[int], rounds: int, lam: float) -> list[tuple[int, float]]:
+    """(place, value) of the examples that ``rounds`` more rounds of maximal marginal relevance choose, places in order of id.
+
+    The similarity to what is chosen only lowers a value, so examples are tried in order of their similarity to the row,
+    and a round ends where that alone is less than the best value. Similarities to chosen ones are made when asked for.
+    """
+    order = np.lexsort((np.arange(len(sim)), -sim)).tolist()
+    near, known, out = {}, {}, []
+    chosen, taken = list(chosen), set(taken)
+    for _ in range(rounds):
+        best, first = None, not chosen
+        for i in order:
+            if i in taken:
+                continue
+            if best and _round_value(sim[i], 0.0, lam, first) < best[0]:
+                break
+            for other in chosen[known.get(i, 0) :]:
+                shared = len(bags[i] & other)
+                near[i] = max(near.get(i, 0.0), shared / (len(bags[i]) + len(other) - shared) if bags[i] and other else 0.0)
+            known[i] = len(chosen)
+            value = _round_value(sim[i], near.get(i, 0.0), lam, first)
+            if best is None or (value, -i) > (best[0], -best[1]):
+                best = (value, i)
+        if best is None:
+            break
+        out.append((best[1], best[0]))
+        taken.add(best[1])
+        chosen.append(bags[best[1]])
+    return out
+
+
+#: Rows whose similarities to a block of examples are held at once.
+_ROWS = 64
+
+
+def select_diverse(knowledge: DataFrame, examples: DataFrame, k: int, lam: float = 0.5, block: int = INDEX_BLOCK) -> DataFrame:
+    """(source_id, ex_id, rank), maximal marginal relevance: the most similar first, then lam * similarity - (1 - lam) *
+    largest similarity to those chosen.
+
+    A pool of examples that fits a block is met once, and all k rounds are made there. For a larger pool each round
+    meets its blocks, each giving its best example, and the best of these is the round's.
+    """
+    rows, bank = _pools(knowledge.select("source_id", "content", "question_type", "strategy"), examples.select("ex_id", "knowledge", "question_type", "strategy"))
+    rows, bank = rows.select("pool", "source_id", _bag(F.col("content")).alias("t")), saved(bank.select("pool", "ex_id", _bag(F.col("knowledge")).alias("t")), "bank")
+    kinds = {c: f.schema[c].dataType.simpleString() for c, f in (("source_id", rows), ("ex_id", bank))}
+    bags = "array<array<bigint>>"
+    rows = rows.withColumns({"chosen": F.array().cast(bags), "taken": F.array().cast(f"array<{kinds['ex_id']}>")})
+
+    def choose(rounds: int):
+        def kernel(q: pa.Table, x: pa.Table) -> pa.Table:
+            x = x.sort_by("ex_id").combine_chunks()
+            out: list[tuple] = []
+            sets = [set(b) for b in x.column("t").to_pylist()]
+            ids, place = x.column("ex_id"), {e: i for i, e in enumerate(x.column("ex_id").to_pylist())}
+            n_x = np.array([len(b) for b in sets], np.float64)
+            for lo in range(0, len(q) if len(x) else 0, _ROWS):
+                part = q.slice(lo, _ROWS).combine_chunks()
+                n_q = np.asarray(part.column("t").combine_chunks().value_lengths(), np.float64)
+                shared = np.zeros((len(part), len(x)))
+                for at, cell, _, _, _, shape in shared_words(part, x):
+                    shared[:, at : at + shape[1]] = np.bincount(cell, minlength=shape.prod()).reshape(shape)
+                sim = shared / np.maximum(n_q[:, None] + n_x[None] - shared, 1)
+                for i, (source, chosen, taken) in enumerate(zip(*(part.column(c).to_pylist() for c in ("source_id", "chosen", "taken")), strict=True)):
+                    found = lazy_greedy(sim[i], sets, [set(b) for b in chosen], {place[e] for e in taken if e in place}, rounds, lam)
+                    out += [(source, i_x, n + 1, value) for n, (i_x, value) in enumerate(found)]
+            source, at, rank, value = zip(*out, strict=True) if out else ((), (), (), ())
+            at = pa.array(at, pa.int64())
+            return pa.table({
+                "source_id": pa.array(source, q.schema.field("source_id").type), "ex_id": ids.take(at), "rank": pa.array(rank, pa.int32()), "value": pa.array(value, pa.float64()),
+                "bag": x.column("t").take(at) if rounds == 1 else pa.nulls(len(at), pa.list_(pa.int64())),
+            })
+
+        return kernel
+
+    schema = f"source_id {kinds['source_id']}, ex_id {kinds['ex_id']}, rank int, value double, bag array<bigint>"
+    large = saved(bank.groupBy("pool").agg(F.count("*").alias("n")).where(F.col("n") > block).select("pool"), "pools")
+    k = max(1, k)
+    whole = bank.join(large, "pool", "left_anti").withColumn("all", F.lit(0))
+    # The pool is the block: no example of it is dealt elsewhere.
+    out = meet(rows.join(large, "pool", "left_anti"), whole, "source_id", "all", choose(k), schema, QUERY_BLOCK, block, pool="pool").select("source_id", "ex_id", "rank")
+    if large.isEmpty():
+        return out
+    rows, bank = rows.join(large, "pool", "left_semi"), bank.join(large, "pool", "left_semi")
+    for rank in range(1, k + 1):
+        met = meet(rows, bank, "source_id", "ex_id", choose(1), schema, QUERY_BLOCK, block, pool="pool")
+        best = met.groupBy("source_id").agg(F.min(F.struct((-F.col("value")).alias("v"), "ex_id", "bag")).alias("b"))
+        best = saved(best.select("source_id", F.col("b.ex_id").alias("ex_id"), F.col("b.bag").alias("bag")), "round")
+        out = out.unionByName(best.select("source_id", "ex_id", F.lit(rank).alias("rank")))
+        rows = saved(rows.join(best, "source_id").select("pool", "source_id", "t", F.concat("chosen", F.array("bag")).alias("chosen"), F.concat("taken", F.array("ex_id")).alias("taken")), "rows")
+    return out
 
 
 def resolve_templates(matrix: DataFrame, templates: DataFrame, builtin: str = "Ask a question about: {knowledge}") -> DataFrame:
