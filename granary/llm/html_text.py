@@ -1,13 +1,17 @@
 """Main text of HTML pages by line-block distribution.
 
-Markup is stripped into lines, one for each block of the page, keeping how much of a line is link text
-and whether it stands in page furniture (menus, headers, footers, asides, adverts, notices, forms,
-comments) or, where the page marks one, in its article. Furniture is not text; of the rest, lines in an
-article weigh ARTICLE times their length, mostly-link lines outside nothing and others their length.
-Weights are summed over windows of WINDOW lines; text surges where a window rises from nothing and dives
-where it returns to nothing, and also where an article begins and ends. Stretches between surge and dive
-that weigh at least FLOOR of the heaviest are main text, and so is all that stands between two of them on
-the same side of an article's edge, mostly-link lines too; an article's stretches weigh as one.
+Markup is stripped into lines, one for each block of the page, keeping how much of a line is link text, whether it
+is a heading, and where it stands: in furniture (menus, headers, footers, asides, adverts, notices, forms,
+comments), which is no text; in an article, where the page marks one, where a line weighs ARTICLE times its length;
+under a class that may name furniture or content (``related-work``, ``side-by-side``), where it weighs DOUBT times
+as much; outside of articles mostly-link lines weigh nothing.
+
+Weights are summed over sliding windows of WINDOW lines, which do not reach over the edge of an article or of a
+doubtful block. Text surges where a window exceeds SURGE of the page's median window, and dives behind the last
+line of the last such window; what lies between the surge and the dive points of one stretch is text, mostly-link
+lines too. On a page's unmarked parts, lines at the ends of a stretch that weigh less than LINE, and less than EDGE of
+its heaviest one, are boilerplate that the window touched, but headings stay before text. Of the stretches, those
+stay that weigh FLOOR of the heaviest, doubtful ones DOUBT_FLOOR; an article's stretches weigh as one.
 
 Each page is one row of an Arrow batch; there is no shuffle. Defined cases: null, empty or text-free
 html gives an empty text; broken or truncated markup ends open elements; nothing is cut from long
@@ -25,13 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WINDOW = 3
-#: Weight of a window below which an unmarked page has no main text there.
-SURGE = 40
-#: Weight of a character in an article against one outside.
-ARTICLE = 5
-#: Share of the heaviest stretch's weight below which a stretch at the edge is not main text.
-FLOOR = 0.1
+WINDOW = 4
+#: Share of the page's median window, of those with any weight, that a window of main text exceeds.
+SURGE = 0.01
+#: Weight of a character in an article against one outside, and of one under a doubtful class against others.
+ARTICLE, DOUBT = 5, 0.1
+#: What a line at the end of a stretch weighs at least, outside of articles, or which share of the heaviest line.
+LINE, EDGE = 40, 0.1
+#: Share of the heaviest stretch's weight that a stretch weighs at least, and a doubtful one, whose weight is reduced already.
+FLOOR, DOUBT_FLOOR = 0.1, 0.02
 
 # Element names of HTML and common class words.
 BLOCKS = frozenset(
@@ -43,10 +49,12 @@ RAW = frozenset("script style textarea title iframe noembed noframes xmp noscrip
 FURNITURE = frozenset("head nav header footer aside form button select option textarea iframe noscript template menu dialog svg canvas object script style title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 FURNITURE_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adv|advert\w*|adbox|banner\w*|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|notification\w*|alert|newsletter|subscribe\w*|"
-    r"popup|modal|sidebar\w*|side|widget\w*|menu\w*|nav\w*|breadcrumbs?|pagination|pager|footer\w*|header|masthead|toolbar|share\w*|social\w*|related|"
-    r"recommend\w*|comments?|commentlist|replies|disqus|respond|login|signup|search\w*|copyright|legal)(?:$|[\s_-])"
+    r"(?:^|[\s_-])(?:ads?|adv|advert\w*|adbox|banner\w*|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|notification\w*|newsletter|"
+    r"popup|modal|sidebar\w*|widget\w*|menu\w*|nav\w*|breadcrumbs?|pagination|pager|footer\w*|header|masthead|toolbar|social\w*|"
+    r"comments?|commentlist|disqus|login|signup|copyright)(?:$|[\s_-])"
 )
+DOUBTFUL_WORDS = re.compile(r"(?:^|[\s_-])(?:side|related|recommend\w*|search\w*|legal|share\w*|alert|subscribe\w*|replies|respond)(?:$|[\s_-])")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 # Whole name=value pairs, so that neither values nor longer names are taken for a name.
@@ -55,31 +63,38 @@ _ATTR = re.compile(r"([^\s/>=\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"'
 _SIBLINGS = {"p": {"p"}, "li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
 
 
-def _is_furniture(name: str, attributes: str) -> bool:
+_OUTSIDE = ("", False, False, False, False, False)
+
+
+def _standing(name: str, attributes: str) -> tuple[bool, bool]:
+    """(furniture, doubtful) of an element by its name and attributes."""
     if name in FURNITURE:
-        return True
+        return True, False
     if not attributes or name in ("html", "body", "article", "main"):
-        return False
+        return False, False
+    doubtful = False
     for key, a, b, c in _ATTR.findall(attributes):
         key, value = key.lower(), (a or b or c).lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "role" and value in FURNITURE_ROLES:
-            return True
-        if key in ("class", "id") and FURNITURE_WORDS.search(value):
-            return True
-    return False
+            return True, False
+        if key in ("class", "id"):
+            if FURNITURE_WORDS.search(value):
+                return True, False
+            doubtful = doubtful or bool(DOUBTFUL_WORDS.search(value))
+    return False, doubtful
 
 
-def page_lines(page: str) -> list[tuple[str, int, bool, bool]]:
-    """(text, characters in links, in furniture, in article) of each block with text, in page order."""
+def page_lines(page: str) -> list[tuple[str, int, bool, bool, bool, bool]]:
+    """(text, characters in links, in furniture, in article, under a doubtful class, heading) of each block with text, in page order."""
     lines, parts, linked = [], [], 0
-    stack: list[tuple[str, bool, bool, bool]] = []  # name, furniture, article, link
+    stack: list[tuple[str, bool, bool, bool, bool, bool]] = []  # name, furniture, article, link, doubtful, heading
 
     def close_line() -> None:
         nonlocal parts, linked
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            _, furniture, article, _ = stack[-1] if stack else ("", False, False, False)
-            lines.append((text, linked, furniture, article))
+            _, furniture, article, _, doubtful, heading = stack[-1] if stack else _OUTSIDE
+            lines.append((text, linked, furniture, article, doubtful, heading))
         parts, linked = [], 0
 
     def add(raw: str) -> None:
@@ -126,8 +141,9 @@ def page_lines(page: str) -> list[tuple[str, int, bool, bool]]:
                 break
             if stack[i][0] in BLOCKS and stack[i][0] not in ("p", "td", "th"):
                 break
-        _, furniture, article, link = stack[-1] if stack else ("", False, False, False)
-        stack.append((name, furniture or _is_furniture(name, m[3]), article or name in ("article", "main"), link or name == "a"))
+        _, furniture, article, link, doubtful, heading = stack[-1] if stack else _OUTSIDE
+        gone, doubt = _standing(name, m[3])
+        stack.append((name, furniture or gone, article or name in ("article", "main"), link or name == "a", doubtful or doubt, heading or name in HEADINGS))
 
 
 def main_text(page: str | None) -> str:
@@ -136,26 +152,35 @@ def main_text(page: str | None) -> str:
     if not lines:
         return ""
     size = np.array([len(t.replace(" ", "")) for t, *_ in lines])
-    links = np.array([n for _, n, _, _ in lines])
-    article = np.array([a for *_, a in lines])
-    weight = np.where(article, ARTICLE * size, np.where(2 * links > size, 0, size - links))
-    sums = np.concatenate([[0], np.cumsum(weight)])
-    # Windows look ahead: text surges at a line if enough follows within WINDOW lines.
-    ahead = sums[np.minimum(np.arange(len(lines)) + WINDOW, len(lines))] - sums[:-1]
-    on = (ahead > SURGE) | (weight > 0)
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], on * (1 + article), [0]])))
-    stretches = [(s, d) for s, d in zip(edges, edges[1:]) if sums[d] > sums[s]]
-    if not stretches:
-        return ""
-    marked = weight[article].sum()
-    weights = [marked if article[s] else sums[d] - sums[s] for s, d in stretches]
-    side = np.cumsum(np.diff(article, prepend=article[:1]))
-    ends: dict[int, tuple[int, int]] = {}
-    for (s, d), w in zip(stretches, weights, strict=True):
-        if w >= FLOOR * max(weights):
-            texty = s + np.flatnonzero(weight[s:d])
-            ends[side[s]] = (ends.get(side[s], (texty[0],))[0], texty[-1] + 1)
-    return " ".join(lines[i][0] for s, d in ends.values() for i in range(s, d))
+    links, article, doubtful, heading = (np.array([x[i] for x in lines]) for i in (1, 3, 4, 5))
+    weight = np.where(article, ARTICLE * size, np.where(2 * links > size, 0, size - links)) * np.where(doubtful, DOUBT, 1.0)
+    sums = np.concatenate([[0.0], np.cumsum(weight)])
+    # Parts of the page that windows stay within, and the window that begins at each line.
+    part = np.cumsum(np.diff(article * 2 + doubtful, prepend=0) != 0)
+    end = np.searchsorted(part, part, "right")
+    reach = np.minimum(np.arange(len(lines)) + WINDOW, end)
+    window = sums[reach] - sums[:-1]
+    heavy = window[window > 0]
+    surging = np.flatnonzero(window > SURGE * np.median(heavy)) if len(heavy) else heavy
+    stretches = []
+    for p in np.unique(part[surging]):
+        own = surging[part[surging] == p]
+        first, last = own[0], reach[own[-1]]
+        while weight[first] == 0:
+            first += 1
+        while weight[last - 1] == 0:
+            last -= 1
+        if not article[first]:
+            least = min(LINE, EDGE * weight[first:last].max())
+            while weight[last - 1] < least:
+                last -= 1
+            while weight[first] < least and not heading[first]:
+                first += 1
+        stretches.append((first, last))
+    marked = weight[article & ~doubtful].sum()
+    weights = [marked if article[s] and not doubtful[s] else sums[d] - sums[s] for s, d in stretches]
+    kept = [(s, d) for (s, d), w in zip(stretches, weights, strict=True) if w >= (DOUBT_FLOOR if doubtful[s] else FLOOR) * max(weights)]
+    return " ".join(lines[i][0] for s, d in kept for i in range(s, d))
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
