@@ -8,7 +8,7 @@ from granary.operators import graph as G
 from granary.operators import retrieval as R
 from granary.operators import traversal as V
 
-from .common import TRIPLES, frame, plain
+from .common import TRIPLES, frame, plain, table
 
 _T = plain(TRIPLES)
 _SENTENCES = """
@@ -126,6 +126,13 @@ def ret9(spark, sf):
     return G.link_entities(frame(spark, sf, _NATIONS), nodes).select("query_id", "id", F.col("place").cast("long").alias("place"))
 
 
+def ret9_passages(spark, sf):
+    """Benchmark items as labels, linked in whole documents."""
+    nodes = table(spark, sf, "benchmark").select(F.concat(F.lit("item_"), F.col("item_id").cast("string")).alias("id"), F.col("text").alias("label"))
+    found = G.link_entities(table(spark, sf, "documents").select(F.col("doc_id").alias("query_id"), "text"), nodes)
+    return found.select("query_id", "id", F.col("place").cast("long").alias("place"))
+
+
 def _chunked(spark, sf):
     """Suppliers have chunks, nations content of their own, customers neither."""
     nodes, edges = _graph(spark, sf)
@@ -162,7 +169,7 @@ def ret12_labels(spark, sf):
 QUERIES = {
     "gra1_graph_from_triples": gra1, "gra2_resolve_entities": gra2, "gra3_extract_relations": gra3, "gra4_parse_triple_json": gra4, "gra5_check_edges": gra5, "gra6_neighbors": gra6, "gra6_edges": gra6_edges,
     "gra7_degree_summary": gra7, "gra7_top_degrees": gra7_top, "gra8_find_paths": gra8, "gra9_ego_graph": gra9, "gra10_shortest_path": gra10, "gra11_to_triples": gra11,
-    "ret8_graph_hybrid": ret8, "ret9_link_entities": ret9, "ret10_ego_topk": ret10, "ret11_path_topk": ret11, "ret12_graph_from_documents": ret12, "ret12_labels": ret12_labels,
+    "ret8_graph_hybrid": ret8, "ret9_link_entities": ret9, "ret9_link_passages": ret9_passages, "ret10_ego_topk": ret10, "ret11_path_topk": ret11, "ret12_graph_from_documents": ret12, "ret12_labels": ret12_labels,
 }
 
 _ID = r"lower(regexp_replace(trim({0}), '[^\p{L}\p{N}_]+', '_', 'g'))"
@@ -217,6 +224,7 @@ ORACLE = {
     "gra11_to_triples": f"WITH {_G} SELECT src AS subject, relation AS predicate, dst AS object FROM e",
     "ret8_graph_hybrid": _EGO + """, f AS (SELECT query_id, chunk_id, 0.6 * CASE WHEN rank % 2 = 1 THEN 1.0 / rank ELSE 0 END + 0.4 AS score FROM g WHERE rank <= 10)
         SELECT query_id, chunk_id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY f.score DESC, chunk_id) AS INT) AS rank FROM f QUALIFY rank <= 5""",
+    "ret9_link_passages": """SELECT doc_id AS query_id, 'item_' || item_id AS id, strpos(lower(d.text), lower(b.text)) AS place FROM documents d JOIN benchmark b ON contains(lower(d.text), lower(b.text)) AND b.text <> ''""",
     "ret9_link_entities": _EGO + " SELECT query_id, id, place FROM l",
     "ret10_ego_topk": _EGO + f""", c AS (SELECT query_id, hop, id, {_CHUNK.format('kg_')} AS chunk_id FROM h JOIN n USING (id))
         SELECT query_id, chunk_id, CAST(1.0 AS DOUBLE) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY hop, id) AS INT) AS rank FROM c WHERE chunk_id IS NOT NULL QUALIFY rank <= 5""",
