@@ -5,7 +5,7 @@ import hashlib
 import math
 
 import corpus_pipeline
-from test_corpus_operators import _components, _contaminated, _sets
+from test_corpus_operators import _components, _contaminated, _sets, make
 
 SF = "/root/testdata/sf0.001"
 
@@ -106,3 +106,33 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     assert collections.Counter((r.doc_id, r.copy) for r in got) == want
     text = {r.doc_id: (r.text, r.source) for r in rows}
     assert all((r.text, r.source) == text[r.doc_id] for r in got)
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    for name in ("documents", "benchmark", "labels"):
+        spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.columns[-1] == "copy" and out.collect() == []
+
+
+def test_stages_with_nulls_repeats_and_clashing_columns(spark):
+    """Every stage keeps the columns as they are, and repeated rows and null ids and texts pass or go by their text."""
+    text = " ".join(f"word{i}" for i in range(60))
+    item = next(r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").collect() if len(r.text.split()) >= 13)
+    rows = [(1, text), (1, text), (2, text), (3, f"{text} more"), (4, item), (4, "clean text of the same id"), (None, item), (None, None), (None, None), (5, None), (6, ""), (7, "other words here")]
+    docs = make(spark, rows)
+    for _, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        own = [c for c in docs.columns if c not in ("copy", "shuffle_key")] + ["copy"]  # mixing replaces these
+        assert out.columns == (own if stage is corpus_pipeline.mix else docs.columns)
+        assert {r.keep_id for r in out.collect()} <= {"x"}  # a column of the input, not the stage's own
+
+    def kept(stage):
+        return sorted(((r.doc_id, r.text) for r in stage(spark, docs, SF).collect()), key=str)
+
+    exact = kept(corpus_pipeline.exact)
+    assert len(exact) == len({t or "" for _, t in rows}) and {(2, text)} <= set(exact)
+    clean = kept(corpus_pipeline.decontaminate)
+    assert clean == sorted(((i, t) for i, t in rows if t != item), key=str)
+    near = kept(corpus_pipeline.near)
+    assert (3, f"{text} more") not in near and {(7, "other words here"), (5, None), (6, "")} <= set(near)
