@@ -7,7 +7,7 @@ training rows.
 
 Training takes a bounded sample of labelled rows (SAMPLE_ROWS, by a hash of doc_id) and the VOCABULARY
 features per label that differ most between its classes; the fit itself is a few thousand weights on the
-driver. Scoring covers every document and whole text in one pass without a shuffle.
+driver, over the sample's features as flat arrays read in blocks. Scoring covers every document and whole text in one pass without a shuffle.
 
 Defined cases: null text counts as empty; rows without a label are scored only; labels of a repeated
 doc_id are combined by maximum, and all its rows train; a null doc_id has no label; rows with a null label
@@ -19,6 +19,7 @@ empty table gives an empty one; extra columns are ignored, whatever their names.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,8 @@ FOLDS = 3
 MIN_DOCS = 3
 #: Bytes of text whose features are held at once.
 CHUNK = 2 << 20
+#: (row, feature) pairs that a step of the fit widens to 64 bits at once, on the driver.
+BLOCK_PAIRS = 1 << 16
 _BASE = np.uint64(2**64 - 4)  # the low bits tell the repeats
 
 
@@ -106,19 +109,55 @@ def _rows(keep: np.ndarray, labels: list[str]):
     return run
 
 
+@dataclass
+class Rows:
+    """Features of the sample's rows, eight bytes a pair: pair p says that row row[p] has feature feat[p]; rows ascend."""
+
+    row: np.ndarray
+    feat: np.ndarray
+    n: int
+
+    @classmethod
+    def of(cls, feat: np.ndarray, size: np.ndarray) -> Rows:
+        return cls(np.repeat(np.arange(len(size), dtype=np.int32), size), feat.astype(np.int32, copy=False), len(size))
+
+    def take(self, which: np.ndarray) -> Rows:
+        """The rows where ``which`` is true, numbered anew."""
+        pairs, new = which[self.row], (np.cumsum(which) - 1).astype(np.int32)
+        return Rows(new[self.row[pairs]], self.feat[pairs], int(which.sum()))
+
+    def _blocks(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for at in range(0, len(self.row), BLOCK_PAIRS):
+            yield self.row[at : at + BLOCK_PAIRS], self.feat[at : at + BLOCK_PAIRS]
+
+    def by_row(self, w: np.ndarray) -> np.ndarray:
+        """For each row the sum of its features' ``w``."""
+        out = np.zeros(self.n)
+        for row, feat in self._blocks():
+            lo, hi = row[0], row[-1] + 1
+            # What the block before left of its last row is added first, so sums don't depend on the blocks.
+            out[lo:hi] = np.bincount(np.append(0, row - lo), np.append(out[lo], w[feat]), hi - lo)
+        return out
+
+    def by_feature(self, d: np.ndarray, width: int) -> np.ndarray:
+        """For each feature the sum of its rows' ``d``."""
+        out, own = np.zeros(width), np.arange(width)
+        for row, feat in self._blocks():
+            out = np.bincount(np.append(own, feat), np.append(out, d[row]), width)
+        return out
+
+
 class Link:
     """Logistic regression over sparse presence features and the dense probabilities of earlier links."""
 
-    def __init__(self, rows: list[np.ndarray], extra: np.ndarray, y: np.ndarray, width: int, steps: int = 250, l2: float = 1e-3):
-        doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        feat = np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64)
+    def __init__(self, rows: Rows, extra: np.ndarray, y: np.ndarray, width: int, steps: int = 250, l2: float = 1e-3):
         weight = np.where(y > 0, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9)) / len(y)
         w, v, b = np.zeros(width), np.zeros(extra.shape[1]), 0.0
         state = [np.zeros(width + len(v) + 1) for _ in range(2)]
         for t in range(1, steps + 1):
-            p = self._sigmoid(np.bincount(doc, w[feat], len(rows)) + extra @ v + b)
+            p = self._sigmoid(rows.by_row(w) + extra @ v + b)
             d = (p - y) * weight
-            grad = np.concatenate([np.bincount(feat, d[doc], width) + l2 * w, extra.T @ d + l2 * v, [d.sum()]])
+            grad = np.concatenate([rows.by_feature(d, width) + l2 * w, extra.T @ d + l2 * v, [d.sum()]])
             state[0] = 0.9 * state[0] + 0.1 * grad
             state[1] = 0.99 * state[1] + 0.01 * grad**2
             step = 0.1 * (state[0] / (1 - 0.9**t)) / (np.sqrt(state[1] / (1 - 0.99**t)) + 1e-8)
@@ -132,24 +171,23 @@ class Link:
     def predict(self, doc: np.ndarray, feat: np.ndarray, n: int, extra: np.ndarray) -> np.ndarray:
         return self._sigmoid(np.bincount(doc, self.w[feat.astype(np.int64)], n) + extra @ self.v + self.b)
 
-    def predict_rows(self, rows: list[np.ndarray], extra: np.ndarray) -> np.ndarray:
-        doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        return self.predict(doc, np.concatenate([*rows, np.zeros(0, np.int64)]), len(rows), extra)
+    def predict_rows(self, rows: Rows, extra: np.ndarray) -> np.ndarray:
+        return self._sigmoid(rows.by_row(self.w) + extra @ self.v + self.b)
 
 
 class Chain:
     """Vocabulary and links, in the order of ``labels``."""
 
-    def __init__(self, labels: list[str], keep: np.ndarray, rows: list[np.ndarray], y: np.ndarray, fold: np.ndarray):
+    def __init__(self, labels: list[str], keep: np.ndarray, rows: Rows, y: np.ndarray, fold: np.ndarray):
         self.labels, self.keep, self.links = labels, keep, []
-        extra = np.zeros((len(rows), 0))
+        extra = np.zeros((rows.n, 0))
         for c in range(y.shape[1]):
-            out = np.zeros(len(rows))
+            out = np.zeros(rows.n)
             if c + 1 < y.shape[1]:
                 for f in range(FOLDS):
-                    inside, outside = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
-                    link = Link([rows[i] for i in inside], extra[inside], y[inside, c], len(keep))
-                    out[outside] = link.predict_rows([rows[i] for i in outside], extra[outside])
+                    inside, outside = fold != f, fold == f
+                    link = Link(rows.take(inside), extra[inside], y[inside, c], len(keep))
+                    out[outside] = link.predict_rows(rows.take(outside), extra[outside])
             self.links.append(Link(rows, extra, y[:, c], len(keep)))
             extra = np.column_stack([extra, out])
 
@@ -194,12 +232,17 @@ def fit_chain(docs: DataFrame, labels: DataFrame, order: list[str], sample_rows:
     if not len(keep):
         return None
     rows = sample.mapInArrow(_rows(keep, ys), f"doc_id long, {', '.join(f'{c} double' for c in ys)}, features array<int>").toArrow()
-    lists = rows.column("features").to_pylist()
-    order_of = sorted(range(len(lists)), key=lambda i: (rows.column("doc_id")[i].as_py(), lists[i]))
-    rows = rows.take(order_of)
-    y = np.column_stack([rows.column(c).to_numpy() for c in ys])
-    fold = bt.mix(rows.column("doc_id").to_numpy().astype(np.uint64) + np.uint64(7)) % np.uint64(FOLDS)
-    return Chain([order[i] for i in used], keep, [np.asarray(lists[i], np.int64) for i in order_of], y, fold)
+    ids, y = rows.column("doc_id").to_numpy(), np.column_stack([rows.column(c).to_numpy() for c in ys])
+    features = rows.column("features").combine_chunks()
+    first, feat = features.offsets.to_numpy(), features.values.to_numpy()
+    del rows
+    spelled = feat.astype(">i4").tobytes()  # compares like the lists themselves
+    order_of = np.array(sorted(range(len(ids)), key=lambda i: (ids[i], spelled[4 * first[i] : 4 * first[i + 1]])))
+    del spelled
+    size = np.diff(first)[order_of]
+    feat = feat[np.repeat(first[:-1][order_of], size) + bt.runs(size)]
+    fold = bt.mix(ids[order_of].astype(np.uint64) + np.uint64(7)) % np.uint64(FOLDS)
+    return Chain([order[i] for i in used], keep, Rows.of(feat, size), y[order_of], fold)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, order: tuple[str, ...] = ("quality", "toxic"), threshold: float = 0.5, sample_rows: int = SAMPLE_ROWS) -> DataFrame:

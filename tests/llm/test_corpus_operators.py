@@ -6,6 +6,8 @@ import math
 import random
 import re
 import statistics
+import tracemalloc
+from unittest import mock
 
 import numpy as np
 import pytest
@@ -287,6 +289,40 @@ def test_toxicity_against_brute_force(spark):
         assert mine[0] == slow[0] and abs(mine[1] - slow[1]) < 1e-6 and abs(mine[2] - slow[2]) < 1e-6
 
 
+def test_toxicity_fit_is_lean(spark):
+    """The driver holds the sample's features as flat arrays: a few bytes a pair, whatever it is fitted on."""
+    r = random.Random(9)
+    vocab = [f"{i:03d}words" for i in range(600)]
+    rows = [(i, " ".join(r.sample(vocab, 120))) for i in range(1500)]
+    docs, known = make(spark, rows), spark.createDataFrame([(i, i % 2, i % 3 % 2) for i, _ in rows], "doc_id long, quality int, toxic int")
+    with mock.patch.object(toxicity, "Chain", wraps=toxicity.Chain) as chain:
+        tracemalloc.start()
+        try:
+            toxicity.fit_chain(docs, known, ["quality", "toxic"])
+            peak = tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+    sample = chain.call_args.args[2]
+    assert sample.n == 1500 and len(sample.feat) > 300_000
+    assert peak < 40 * len(sample.feat)
+
+
+def test_toxicity_rows_by_blocks(spark):
+    """Sums over pairs are the same for every size of block, down to the last bit, also where a row spans several."""
+    r = np.random.default_rng(3)
+    size = np.array([0, 5, 0, 40, 1, 17, 0])
+    rows = toxicity.Rows.of(r.integers(0, 9, size.sum()), size)
+    w, d = r.normal(size=9), r.normal(size=7)
+    row = np.repeat(np.arange(7), size)
+    for block in (1, 4, 1000):
+        with mock.patch.object(toxicity, "BLOCK_PAIRS", block):
+            assert (rows.by_row(w) == np.bincount(row, w[rows.feat], 7)).all()
+            assert (rows.by_feature(d, 9) == np.bincount(rows.feat, d[row], 9)).all()
+    part = rows.take(np.array([True, False, False, True, False, True, True]))
+    assert part.n == 4 and np.bincount(part.row, minlength=4).tolist() == [0, 40, 17, 0]
+    assert (part.by_row(w) == rows.by_row(w)[[0, 3, 5, 6]]).all()
+
+
 def test_rows_with_null_or_shared_ids(spark):
     """Rows are judged by their own text where ids say nothing."""
     bench = spark.createDataFrame([("q1", " ".join(f"w{i}" for i in range(15)))], "item_id string, text string")
