@@ -182,21 +182,21 @@ def repeated_passages(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_id, row_key, lines, start, end): passages to remove, as code-point spans of the text that don't overlap."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row_key", F.xxhash64(F.coalesce("text", F.lit(""))))
     again = scratch.save(texts.select("text").mapInArrow(_counts, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"))
-    # Merge joins at every size: a broadcast below some size would only hide what the large run moves.
-    places = scratch.save(texts.mapInArrow(_places, "doc_id long, row_key long, no int, h long").join(again.hint("merge"), "h").drop("h"))
+    # Shuffled joins at every size: a broadcast below some size would only hide what the large run moves. Each
+    # key stands once in the hinted table, so the many rows that it meets need no sort.
+    places = scratch.save(texts.mapInArrow(_places, "doc_id long, row_key long, no int, h long").join(again.hint("shuffle_hash"), "h").drop("h"))
     asked = scratch.save(places.groupBy(F.col("doc_id").alias("asked_id"), F.col("row_key").alias("asked_key")).agg(F.collect_set("no").alias("nos"), F.count("*").alias("n")))
     repeated_rows = not asked.where(F.col("n") > F.size("nos")).isEmpty()
-    asked = texts.join(asked.hint("merge"), F.expr("doc_id <=> asked_id AND row_key = asked_key")).select("doc_id", "row_key", "text", "nos")
+    asked = texts.join(asked.hint("shuffle_hash"), F.expr("doc_id <=> asked_id AND row_key = asked_key")).select("doc_id", "row_key", "text", "nos")
     spelled = scratch.save(asked.mapInArrow(_texts, "doc_id long, row_key long, no long, from long, to long, start long, end long, h long, chunk binary, before binary, after binary"))
     # Equal bytes, not just equal hashes, make a group; its first occurrence stays. Where all chunks of a hash
-    # have the same bytes, the hash stands for them from here on.
+    # have the same bytes, its least and its greatest being equal, the hash stands for them from here on.
     place = F.min(F.struct("doc_id", "row_key", "no", "before", "after")).alias("first")
-    by_hash = scratch.save(spelled.groupBy("h", "chunk").agg(F.count("*").alias("times"), place).drop("chunk"))
-    mixed = by_hash.groupBy("h").agg(F.count("*").alias("variants")).where("variants > 1").select("h")
-    firsts = by_hash.where("times > 1").select("h", "first")
-    exact = mixed.isEmpty()
-    copies = spelled.drop("chunk").join((firsts if exact else firsts.join(mixed.hint("merge"), "h", "left_anti")).hint("merge"), "h")
-    if not exact:
+    by_hash = scratch.save(spelled.groupBy("h").agg(F.count("*").alias("times"), place, (F.min("chunk") != F.max("chunk")).alias("mixed")))
+    firsts = by_hash.where("times > 1 AND NOT mixed").select("h", "first")
+    copies = spelled.drop("chunk").join(firsts.hint("shuffle_hash"), "h")
+    mixed = by_hash.where("mixed").select("h")
+    if not mixed.isEmpty():
         doubtful = spelled.join(mixed.hint("merge"), "h")
         by_bytes = doubtful.groupBy("h", "chunk").agg(F.count("*").alias("times"), place).where("times > 1")
         copies = copies.unionByName(doubtful.join(by_bytes.drop("times").hint("merge"), ["h", "chunk"]).drop("chunk"))
@@ -206,11 +206,13 @@ def repeated_passages(docs: DataFrame, scratch: Scratch) -> DataFrame:
     copies = copies.select("doc_id", "row_key", "no", "from", "to", "start", "end", left.alias("left"), right.alias("right"))
     again = scratch.save(copies.distinct() if repeated_rows else copies)
     scratch.free(spelled)
-    # Chunks of one document that overlap or touch are one passage.
-    before = Window.partitionBy("doc_id", "row_key").orderBy("no")
-    reach = F.max("to").over(before.rowsBetween(Window.unboundedPreceding, -1))
-    opens = again.withColumn("opens", F.coalesce(F.col("from") > reach + 1, F.lit(True)).cast("long"))
-    passages = opens.withColumn("passage", F.sum("opens").over(before)).groupBy("doc_id", "row_key", "passage").agg(
+    # Chunks of one document that overlap or touch are one passage. Neither end of a chunk lies before that of
+    # the chunk before it, so a passage's first and last chunk tell its extent, and only they are grouped.
+    order = Window.partitionBy("doc_id", "row_key").orderBy("no")
+    opens = F.coalesce(F.col("from") > F.lag("to").over(order) + 1, F.lit(True))
+    closes = F.coalesce(F.lead("from").over(order) > F.col("to") + 1, F.lit(True))
+    ends = again.withColumns({"opens": opens.cast("long"), "closes": closes}).withColumn("passage", F.sum("opens").over(order))
+    passages = ends.where("opens = 1 OR closes").groupBy("doc_id", "row_key", "passage").agg(
         F.min("from").alias("from"), F.max("to").alias("to"), F.min("start").alias("start"), F.max("end").alias("end"),
         F.min(F.struct("from", "no", "left")).alias("head"), F.max(F.struct("to", "no", "right")).alias("tail"),
     )
@@ -236,7 +238,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     cuts = scratch.save(cuts.toDF(cut_id, cut_key, chunks, lines, start, end))
     text = F.coalesce(F.col("text"), F.lit(""))
     same = F.col("doc_id").eqNullSafe(F.col(cut_id)) & (F.col(key) == F.col(cut_key))
-    joined = docs.withColumn(key, F.xxhash64(text)).join(cuts.hint("merge"), same, "left")
+    joined = docs.withColumn(key, F.xxhash64(text)).join(cuts.hint("shuffle_hash"), same, "left")
     return joined.withColumn(cut_text, F.arrow_udf(_cut, "string")("text", start, end)).select(
         *(F.col(cut_text).alias("text") if c == "text" else F.col(c) for c in docs.columns),
         F.coalesce(chunks, F.lit(0)).alias("removed_chunks"), F.coalesce(lines, F.lit(0)).alias("removed_lines"),

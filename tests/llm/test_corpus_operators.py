@@ -536,6 +536,18 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(make(spark, [])).count() == 0
 
 
+def test_line_dedup_sorts_no_texts(spark):
+    """Whole texts meet their cuts without a sort of the texts, and chunks are grouped by their hash alone."""
+    rows = [(i, "One shared line here.\nAnother shared line.\nOwn line %d." % i) for i in range(4)]
+    seen = []
+    with mock.patch.object(line_dedup.Scratch, "save", autospec=True, side_effect=lambda self, df, save=line_dedup.Scratch.save: seen.append(df._jdf.queryExecution().executedPlan().toString()) or save(self, df)):
+        out = line_dedup.dedup_lines(make(spark, rows))
+    seen.append(out._jdf.queryExecution().executedPlan().toString())
+    assert sorted(r.removed_lines for r in out.collect()) == [0, 2, 2, 2]
+    assert not any("SortMergeJoin" in plan for plan in seen) and sum("ShuffledHashJoin" in plan for plan in seen) >= 4
+    assert not any("keys=[h#" in line and "chunk#" in line.split("functions")[0] for plan in seen for line in plan.split("\n"))
+
+
 def test_line_dedup_planted_passages(spark):
     """Passages of 3 to 8 sentences and 50 words and more go whole, wherever they stand in later documents."""
     r = random.Random(3)
