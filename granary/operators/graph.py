@@ -5,6 +5,8 @@ nodes: id, label, type; edges: src, dst, relation, weight, evidence.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -171,29 +173,42 @@ def link_entities(queries: DataFrame, nodes: DataFrame, text_bytes: int = TEXT_B
     return found.groupBy("query_id", "id", "label").agg(F.min("place").alias("place")).select("query_id", "id", "place", "label")
 
 
-def _as_chunks(found: DataFrame, nodes: DataFrame, chunk_map: DataFrame | None, prefix: str, k: int, *order: str) -> DataFrame:
-    """(query_id, chunk_id, score, rank) of found nodes (query_id, id): their chunks by ``chunk_map`` (id,
-    chunk_id), else one named for the node where it has content; without a map or a content column each node
-    is its own chunk."""
+def _chunks_of(found: DataFrame, nodes: DataFrame, chunk_map: DataFrame | None, prefix: str) -> DataFrame:
+    """``found`` nodes (id) with their chunk_id: their chunks by ``chunk_map`` (id, chunk_id), else one named for
+    the node where it has content, and no row without either; without a map or a content column each node is
+    its own chunk."""
     own = F.lit(None).cast("string")
     if "content" in nodes.columns:
-        content = nodes.where("content <> ''").select("id", F.concat(F.lit(prefix), "id").alias("own"))
+        content = nodes.where("content <> ''").select("id", F.concat(F.lit(prefix), "id").alias("own")).distinct()
         found, own = found.join(content, "id", "left"), F.col("own")
     if chunk_map is not None:
-        found, own = found.join(chunk_map.select("id", F.col("chunk_id").cast("string").alias("mapped")), "id", "left"), F.coalesce("mapped", own)
+        found, own = found.join(chunk_map.select("id", F.col("chunk_id").cast("string").alias("mapped")).distinct(), "id", "left"), F.coalesce("mapped", own)
     elif "content" not in nodes.columns:
         own = F.col("id")
-    first = Window.partitionBy("query_id").orderBy(*order)
-    kept = found.withColumn("chunk_id", own).where("chunk_id IS NOT NULL").withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k)
-    return kept.select("query_id", "chunk_id", F.lit(1.0).alias("score"), "rank")
+    return found.withColumn("chunk_id", own).where("chunk_id IS NOT NULL").drop("own", "mapped")
+
+
+def _first_chunks(found: DataFrame, by: str, k: int, *order: str) -> DataFrame:
+    """The first k chunks ``by`` query or seed, numbered by ``rank``."""
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order, "chunk_id"))).where(F.col("rank") <= k)
 
 
 def ego_topk(queries: DataFrame, nodes: DataFrame, edges: DataFrame, k_hops: int = 1, k: int = 5, chunk_map: DataFrame | None = None) -> DataFrame:
-    """(query_id, chunk_id, score, rank): chunks of the nodes around each query's linked entities, nearest first."""
+    """(query_id, chunk_id, score, rank): chunks of the nodes around each query's linked entities, nearest first.
+
+    What is before a chunk in the list of one entity is before it in any list of a query that links to the entity, so
+    a query needs only the first k of each of its entities. An entity's list is made once for all queries, and those
+    that have k go no further out.
+    """
     linked = saved(link_entities(queries, nodes), "links")
-    near = ego_nodes(edges, linked.select(F.col("id").alias("seed")), k_hops)
-    hops = linked.select("query_id", F.col("id").alias("seed")).join(near, "seed").groupBy("query_id", "id").agg(F.min("hop").alias("hop"))
-    return _as_chunks(hops, nodes, chunk_map, "kg_", k, "hop", "id")
+    open_, lists = linked.select(F.col("id").alias("seed")).distinct(), []
+    for hops in range(min(1, k_hops), k_hops + 1):
+        own = saved(_first_chunks(_chunks_of(ego_nodes(edges, open_, hops), nodes, chunk_map, "kg_"), "seed", k, "hop", "id").drop("rank"), "lists")
+        full = own.groupBy("seed").agg(F.count("*").alias("n")).where(F.col("n") >= k).select("seed")
+        lists.append(own if hops == k_hops else own.join(full, "seed", "left_semi"))
+        open_ = open_.join(full, "seed", "left_anti")
+    near = linked.select("query_id", F.col("id").alias("seed")).join(reduce(DataFrame.unionByName, lists), "seed").groupBy("query_id", "id", "chunk_id").agg(F.min("hop").alias("hop"))
+    return _first_chunks(near, "query_id", k, "hop", "id").select("query_id", "chunk_id", F.lit(1.0).alias("score"), "rank")
 
 
 def path_topk(queries: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int = 3, k: int = 5, chunk_map: DataFrame | None = None) -> DataFrame:
@@ -204,4 +219,4 @@ def path_topk(queries: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int
     pairs = saved(pairs, "pairs")
     paths = find_paths(edges, pairs.select("start", "end"), depth)
     on = pairs.join(paths, ["start", "end"]).select("query_id", F.size("path").alias("n"), F.explode("path").alias("id")).groupBy("query_id", "id").agg(F.min("n").alias("n"))
-    return _as_chunks(on, nodes, chunk_map, "kg_path_", k, "n", "id")
+    return _first_chunks(_chunks_of(on, nodes, chunk_map, "kg_path_"), "query_id", k, "n", "id").select("query_id", "chunk_id", F.lit(1.0).alias("score"), "rank")
