@@ -127,8 +127,8 @@ def _seeds_of(rows: DataFrame, numbered: DataFrame, *keep: str) -> DataFrame:
 
 
 def _per_seed(rows: DataFrame, numbered: DataFrame, name: str) -> DataFrame:
-    """(seed, ``name``): in how many ``rows`` (word, bits) each seed's bit is set; a sum for each bit, no row for each seed."""
-    sums = rows.groupBy("word").agg(*(F.sum(F.expr(f"cast(getbit(bits, {i}) as long)")).alias(f"s{i}") for i in range(_WORD)))
+    """(seed, ``name``): the times of the ``rows`` (word, bits, times) in which each seed's bit is set; a sum for each bit, no row for each seed."""
+    sums = rows.groupBy("word").agg(*(F.sum(F.expr(f"getbit(bits, {i}) * times")).alias(f"s{i}") for i in range(_WORD)))
     return sums.select("word", F.posexplode(F.array(*(f"s{i}" for i in range(_WORD)))).alias("bit", name)).join(numbered, ["word", "bit"]).select("seed", name)
 
 
@@ -153,9 +153,38 @@ def ego_graph(edges: DataFrame, seeds: DataFrame, k: int = 2) -> tuple[DataFrame
     return _seeds_of(near, numbered, "id", "hop"), _seeds_of(_inside(near, edges), numbered, "src", "dst", "relation", "weight", "evidence")
 
 
+def twins(edges: DataFrame) -> DataFrame:
+    """(id, kind): nodes of the same neighbours, in either direction, have the same kind, told by 128 bits of hashes."""
+    hashes = (F.bit_xor(F.xxhash64(F.lit(i), "b")).alias(f"h{i}") for i in range(2))
+    each = both_ways(edges).groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n"), *hashes)
+    return saved(each.select("id", F.concat_ws("|", *(F.col(c).cast("string") for c in ("n", "h0", "h1"))).alias("kind")), "twins")
+
+
 def ego_sizes(edges: DataFrame, seeds: DataFrame, k: int = 2) -> DataFrame:
-    """(seed, n_nodes, n_edges) of each seed's ego graph, counted without listing them."""
-    numbered = number_seeds(seeds)
-    near = ego_bits(edges, numbered, k)
-    nodes, inside = _per_seed(near, numbered, "n_nodes"), _per_seed(_inside(near, edges), numbered, "n_edges")
-    return nodes.join(inside, "seed", "left").select("seed", "n_nodes", F.coalesce("n_edges", F.lit(0)).alias("n_edges"))
+    """(seed, n_nodes, n_edges) of each seed's ego graph, counted without listing them.
+
+    Twins, nodes of the same neighbours, are two edges apart and equally far from all others, so from k = 2 on they have
+    the same ego graph and lie in the same ones. Each kind of node is then walked from and come to once, and
+    counts as often as it has nodes; edges between two kinds count as often as there are.
+    """
+    if k < 2:
+        numbered = number_seeds(seeds)
+        near = ego_bits(edges, numbered, k)
+        nodes, inside = near.withColumn("times", F.lit(1).cast("long")), _inside(near, edges).withColumn("times", F.lit(1).cast("long"))
+        return _sizes(nodes, inside, numbered)
+    kind = twins(edges)
+    weights = kind.groupBy("kind").agg(F.count("*").alias("times"))
+    asked = seeds.select("seed").distinct().join(kind.withColumnRenamed("id", "seed"), "seed", "left")
+    asked = saved(asked.select("seed", F.coalesce("kind", F.concat(F.lit("alone "), F.col("seed").cast("string"))).alias("kind")), "asked")
+    src, dst = (kind.select(F.col("id").alias(c), F.col("kind").alias(f"{c}_kind")) for c in ("src", "dst"))
+    half = edges.join(src, "src").groupBy("src_kind", "dst").agg(F.count("*").alias("times"))
+    between = saved(half.join(dst, "dst").groupBy(F.col("src_kind").alias("src"), F.col("dst_kind").alias("dst")).agg(F.sum("times").alias("times")), "between")
+    numbered = number_seeds(asked.select(F.col("kind").alias("seed")))
+    near = ego_bits(between, numbered, k)
+    nodes = near.join(weights.withColumnRenamed("kind", "id"), "id", "left").withColumn("times", F.coalesce("times", F.lit(1).cast("long")))
+    return asked.join(_sizes(nodes, _inside(near, between), numbered).withColumnRenamed("seed", "kind"), "kind").drop("kind")
+
+
+def _sizes(nodes: DataFrame, inside: DataFrame, numbered: DataFrame) -> DataFrame:
+    ends = _per_seed(nodes, numbered, "n_nodes").join(_per_seed(inside, numbered, "n_edges"), "seed", "left")
+    return ends.select("seed", "n_nodes", F.coalesce("n_edges", F.lit(0)).alias("n_edges"))

@@ -3,7 +3,7 @@
 import gc
 import random
 
-from granary.operators import graph
+from granary.operators import graph, traversal
 
 
 def most_rows(spark, make):
@@ -61,3 +61,13 @@ def test_ego_chunks_of_all_hops_against_plain_search(spark):
             want |= {(q, c, n) for n, (_, _, c) in enumerate(ranked, 1)}
         got = graph.ego_topk(queries, nodes, _edges(spark, pairs), hops, 5, spark.createDataFrame(chunks, "id string, chunk_id string"))
         assert {(x.query_id, x.chunk_id, x.rank) for x in got.collect()} == want
+
+
+def test_twins_at_hubs_are_walked_once(spark):
+    """Five hubs of 300 leaves each, all leaves seeds in an order that mixes the hubs."""
+    pairs = [(f"x{i:04}", f"hub{i % 5}") for i in range(1500)] + [(f"hub{i}", "root") for i in range(5)] + [("x0000", "hub0"), ("y", "y"), ("z", "y")]
+    seeds = spark.createDataFrame([(f"x{i:04}",) for i in range(1500)] + [("root",), ("y",), ("far",)], "seed string")
+    found, most = most_rows(spark, lambda: traversal.ego_sizes(_edges(spark, pairs), seeds, 2))
+    want = {(f"x{i:04}", 302, 302 if i % 5 == 0 else 301) for i in range(1500)} | {("root", 1506, 1506), ("y", 2, 2), ("far", 1, 0)}
+    assert {(r.seed, r.n_nodes, r.n_edges) for r in found} == want and len(found) == len(want)
+    assert most < 8_000  # a row for each leaf and word of seeds before, 36 000
