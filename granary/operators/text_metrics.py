@@ -331,9 +331,8 @@ def context_precision(retrieved: DataFrame, qrels: DataFrame) -> DataFrame:
 def answer_overlap(preds: DataFrame, refs: DataFrame) -> DataFrame:
     """(id, bleu, rouge_l, n_words): overlap only where an expected answer exists, else 0."""
     some = refs.where("ref = 0 AND text IS NOT NULL AND trim(text) <> ''")
-    bleu, rouge = bleu_sentence(preds, some).withColumnRenamed("value", "bleu"), rouge_l(preds, some).withColumnRenamed("value", "rouge_l")
-    length = preds.select("id", F.size(words(F.coalesce("text", F.lit("")))).alias("n_words"))
-    return length.join(bleu, "id", "left").join(rouge, "id", "left").fillna(0.0, ["bleu", "rouge_l"])
+    scores = (F.when(F.col("ref").isNotNull(), c).otherwise(0.0).alias(name) for name, c in (("bleu", _bleu()), ("rouge_l", _rouge_l())))
+    return text_pairs(preds, some, "left").select("id", *scores, F.size("pw").alias("n_words"))
 
 
 METRICS: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {

@@ -51,3 +51,16 @@ def test_sentence_bleu_makes_no_row_for_an_ngram(spark):
     _, refs, p, r = _texts(spark, 20, 300)
     found, most = most_rows(spark, lambda: M.bleu_sentence(p, r))
     assert len(found) == 20 and most <= len(refs)  # thousands before
+
+
+def test_answer_overlap_from_one_join(spark):
+    """Each text is read once; those without an expected answer stay, with zeros."""
+    preds, refs, p, r = _texts(spark)
+    (found, most) = most_rows(spark, lambda: M.answer_overlap(p, r))
+    some = {i: t for (i, k), t in refs.items() if k == 0 and t.strip()}
+    assert {x.id: x.bleu for x in found} == pytest.approx({i: _bleu(t.split(), some[i].split()) if i in some else 0.0 for i, t in preds.items()})
+    assert {x.id: x.n_words for x in found} == {i: len(t.split()) for i, t in preds.items()}
+    assert all(x.rouge_l == 0 for x in found if x.id not in some) and any(x.rouge_l > 0 for x in found)
+    assert most <= len(refs)
+    plan = M.answer_overlap(p, r)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1
