@@ -6,6 +6,7 @@ Per-row metrics return (id, value); batch figures are plain aggregates over them
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -213,18 +214,23 @@ def _synonym_matches(preds: DataFrame, first: DataFrame, synonyms: DataFrame) ->
     return both.groupBy("id").agg(F.sum(F.least("ours", "theirs")).alias("more"))
 
 
+def _meteor(alpha: float, beta: float, gamma: float, more: Column | None = None) -> Column:
+    """Weighted F of a pair's clipped matches, and ``more`` of them, less fragmentation."""
+    aligned, pl, rl = F.arrow_udf(_aligned, "struct<matches:long,starts:long>")("pn", "rn"), F.size("pn"), F.size("rn")
+    m = aligned["matches"] if more is None else aligned["matches"] + more
+    precision, recall = m / pl, m / rl
+    f = precision * recall / (alpha * precision + (1 - alpha) * recall)
+    return F.when((pl > 0) & (rl > 0) & (m > 0), f * (1 - gamma * F.pow(aligned["starts"] / m, F.lit(beta)))).otherwise(0.0)
+
+
 def meteor(preds: DataFrame, refs: DataFrame, alpha: float = 0.9, beta: float = 3.0, gamma: float = 0.5, synonyms: DataFrame | None = None) -> DataFrame:
     """(id, value): weighted F of clipped exact matches with the first reference, less fragmentation. With ``synonyms``
     (word, class; a word is in one class) words left over on both sides match by class."""
     first = refs.where("ref = 0")
-    both = preds.select("id", hashed(normal_words(F.col("text"))).alias("p")).join(first.select("id", hashed(normal_words(F.col("text"))).alias("r")), "id")
-    both = both.withColumn("a", F.arrow_udf(_aligned, "struct<matches:long,starts:long>")("p", "r")).select("id", F.size("p").alias("pl"), F.size("r").alias("rl"), "a.matches", "a.starts")
-    m = F.col("matches")
+    both, more = text_pairs(preds, first), None
     if synonyms is not None:
-        both, m = both.join(_synonym_matches(preds, first, synonyms), "id", "left"), m + F.coalesce("more", F.lit(0))
-    precision, recall = m / F.col("pl"), m / F.col("rl")
-    f = precision * recall / (alpha * precision + (1 - alpha) * recall)
-    return both.select("id", F.when((F.col("pl") > 0) & (F.col("rl") > 0) & (m > 0), f * (1 - gamma * F.pow(F.col("starts") / m, F.lit(beta)))).otherwise(0.0).alias("value"))
+        both, more = both.join(_synonym_matches(preds, first, synonyms), "id", "left"), F.coalesce("more", F.lit(0))
+    return both.select("id", _meteor(alpha, beta, gamma, more).alias("value"))
 
 
 def bertscore(pred_vecs: DataFrame, ref_vecs: DataFrame) -> DataFrame:
@@ -284,18 +290,25 @@ def grammar(texts: DataFrame) -> DataFrame:
     return texts.select("id", grammar_score(t).alias("value"), issues.alias("issues"))
 
 
-def _joined(preds: DataFrame, refs: DataFrame) -> DataFrame:
-    first = refs.where("ref = 0").select("id", F.trim(F.lower(F.coalesce("text", F.lit("")))).alias("r"))
-    return preds.select("id", F.trim(F.lower(F.coalesce("text", F.lit("")))).alias("p")).join(first, "id")
+def _bare(c: str) -> Column:
+    return F.trim(F.lower(F.col(c)))
+
+
+def _exact() -> Column:
+    return (_bare("p") == _bare("r")).cast("double")
+
+
+def _contains() -> Column:
+    return (F.contains(_bare("p"), _bare("r")) | F.contains(_bare("r"), _bare("p"))).cast("double")
 
 
 def exact_match(preds: DataFrame, refs: DataFrame) -> DataFrame:
-    return _joined(preds, refs).select("id", (F.col("p") == F.col("r")).cast("double").alias("value"))
+    return text_pairs(preds, refs.where("ref = 0")).select("id", _exact().alias("value"))
 
 
 def contains_answer(preds: DataFrame, refs: DataFrame) -> DataFrame:
     """1 if either text contains the other; an empty one is contained in any."""
-    return _joined(preds, refs).select("id", (F.contains("p", "r") | F.contains("r", "p")).cast("double").alias("value"))
+    return text_pairs(preds, refs.where("ref = 0")).select("id", _contains().alias("value"))
 
 
 def semantic_similarity(pred_vecs: DataFrame, ref_vecs: DataFrame) -> DataFrame:
@@ -341,16 +354,29 @@ METRICS: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {
 }
 
 
+#: Metrics of a pair of texts by the first reference.
+_OF_PAIRS: dict[str, Callable[[], Column]] = {
+    "rouge1": lambda: _rouge_n(1), "rouge2": lambda: _rouge_n(2), "rougeL": _rouge_l, "meteor": lambda: _meteor(0.9, 3.0, 0.5), "exact_match": _exact, "contains": _contains,
+}
+
+
 def compute_metrics(preds: DataFrame, refs: DataFrame, names: list[str]) -> DataFrame:
-    """(id, metric_name, score) of registered metrics; an unknown name raises."""
+    """(id, metric_name, score) of registered metrics; an unknown name raises. Those of pairs of texts are taken from one
+    join of them."""
     unknown = [n for n in names if n not in METRICS]
     if unknown:
         raise KeyError(f"unknown metrics: {unknown}")
-    out = None
-    for n in names:
-        part = METRICS[n](preds, refs).select("id", F.lit(n).alias("metric_name"), F.col("value").alias("score"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    paired = [n for n in names if n == "bleu" or n in _OF_PAIRS]
+    parts = [METRICS[n](preds, refs).select("id", F.lit(n).alias("metric_name"), F.col("value").alias("score")) for n in names if n not in paired]
+    if paired:
+        pairs = text_pairs(preds, refs if "bleu" in paired else refs.where("ref = 0"))
+        pairs = pairs.withColumns({c: F.when(F.col("ref") == 0, F.col(c)).otherwise(F.array().cast("array<long>")) for c in ("pn", "rn")})
+        scored = pairs.select("id", *((_bleu() if n == "bleu" else F.when(F.col("ref") == 0, _OF_PAIRS[n]())).alias(n) for n in dict.fromkeys(paired)))
+        per = scored.groupBy("id").agg(*(F.max(n).alias(n) for n in dict.fromkeys(paired)))
+        # An id without a first reference has no value of the metrics that need it.
+        listed = F.explode(F.array(*(F.struct(F.lit(n).alias("metric_name"), F.col(n).alias("score")) for n in paired)))
+        parts.append(per.select("id", listed.alias("x")).select("id", "x.metric_name", "x.score").where("score IS NOT NULL"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def compute_isolated(preds: DataFrame, refs: DataFrame, names: list[str]) -> DataFrame:

@@ -64,3 +64,16 @@ def test_answer_overlap_from_one_join(spark):
     assert most <= len(refs)
     plan = M.answer_overlap(p, r)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") == 1
+
+
+def test_metrics_come_from_one_join(spark):
+    """As each metric on its own; an id without a first reference has only what needs none."""
+    preds, refs, p, r = _texts(spark)
+    names = ["bleu", "rouge1", "rouge2", "rougeL", "meteor", "exact_match", "contains", "grammar"]
+    both = M.compute_metrics(p, r, names)
+    got = {(x.id, x.metric_name): x.score for x in both.collect()}
+    assert len(got) == both.count()
+    assert got == pytest.approx({(x.id, n): x.value for n in names for x in M.METRICS[n](p, r).collect()})
+    assert both._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+    first = {i for i, k in refs if k == 0}
+    assert {i for i, n in got if n == "meteor"} == first and {i for i, n in got if n == "bleu"} == {i for i, _ in refs} and {i for i, n in got if n == "grammar"} == set(preds)
