@@ -34,3 +34,12 @@ def _conversations():
 def test_word_boundaries_of_question_quality(spark, tmp_path, name):
     got, want = both(spark, tmp_path, name, conversations=_conversations())
     assert [r[0] for r in got] == [r[0] for r in want] and [r[1] for r in got] == pytest.approx([float(r[1]) for r in want])
+
+
+def test_small_negative_values_keep_their_sign(spark, tmp_path):
+    """Rounded, they are a zero below zero; equal as numbers, so spellings are compared."""
+    values = [-1e-6, 1e-6, -4.9e-6, 0.0, -0.0, -5.1e-6, 0.015625, -0.015625]
+    vectors = [[values[(i + j) % len(values)] for j in range(64)] for i in range(30)]
+    table = pa.table({"vec_id": pa.array(range(30), pa.int64()), "label": pa.array([i % 3 for i in range(30)], pa.int32()), "embedding": pa.array(vectors, pa.list_(pa.float32()))})
+    got, want = both(spark, tmp_path, "snk5_batches", embeddings=table)
+    assert len(got) == 20 and [(i, repr(list(v))) for i, v in got] == [(i, repr(list(v))) for i, v in want]
