@@ -77,3 +77,23 @@ def test_metrics_come_from_one_join(spark):
     assert both._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
     first = {i for i, k in refs if k == 0}
     assert {i for i, n in got if n == "meteor"} == first and {i for i, n in got if n == "bleu"} == {i for i, _ in refs} and {i for i, n in got if n == "grammar"} == set(preds)
+
+
+def test_isolated_metrics_make_no_row_for_an_ngram(spark):
+    """A metric that runs out of room is told as failed, so the counts of a good one must not need any."""
+    _, refs, p, r = _texts(spark, 20, 300)
+    found, most = most_rows(spark, lambda: M.compute_isolated(p, r, ["bleu", "no such metric", "exact_match"]))
+    first = sum(k == 0 for _, k in refs)
+    assert [(n, sum(x.metric_name == n and (x.error is not None) == failed for x in found)) for n, failed in (("bleu", False), ("no such metric", True), ("exact_match", False))] == [("bleu", 20), ("no such metric", 1), ("exact_match", first)]
+    assert most <= len(refs)  # thousands before
+
+
+def test_metrics_of_an_evaluation_make_no_row_for_an_ngram(spark, tmp_path):
+    """The stage of exp21_evaluate, run and exported by it."""
+    from granary.operators import experiments
+
+    _, refs, p, r = _texts(spark, 20, 300)
+    make = {"metrics": lambda: M.compute_metrics(p, r, ["bleu", "rouge1", "exact_match"])}
+    found, most = most_rows(spark, lambda: experiments.evaluate(spark, make, str(tmp_path)))
+    n = 20 + 2 * sum(k == 0 for _, k in refs)
+    assert [(x.stage, x.n, x.error) for x in found] == [("metrics", n, None)] and most <= 3 * len(refs)
